@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from unisource.functions.types import universal_type
 from unisource.operators.edmx import edmx_fields
-from unisource.operators.fields import explode_fields, field
+from unisource.operators.fields import explode_fields, field, settle
 
 # ---- fixed values: page sizes asked of the server ----
 TOP_ENTITIES = 200
@@ -89,11 +89,10 @@ def attribute_fields(
             description=_label(a, name),
         )
 
-    replies = (
-        attributes.filter(F.coalesce("status", F.lit(200)) < 400)
-        .select("source_id", F.col("entity_hint").alias("entity"), F.transform(rows, describe).alias("_own"))
-        .filter(F.size("_own") > 0)
+    described = attributes.filter(F.coalesce("status", F.lit(200)) < 400).select(
+        "source_id", F.col("entity_hint").alias("entity"), F.transform(rows, describe).alias("_own")
     )
+    replies = settle(described, "_own").filter(F.size("_own") > 0)
     joined = definitions(landed, top).join(replies, ["source_id", "entity"], "left")
     return explode_fields(
         joined.withColumn("fields", F.coalesce("_own", "fields")), keep_empty=False

@@ -117,8 +117,10 @@ def edmx_fields(landed: DataFrame, variant: str = "odata", prefix: str | None =
 
 def edmx_keys(landed: DataFrame) -> DataFrame:
     """Key columns of every entity type, in key order."""
-    return entity_types(landed).select(
-        "source_id", "path", "entity", F.posexplode("keys").alias("key_no", "field")
+    return (
+        entity_types(landed)
+        .select("source_id", "path", "entity", F.posexplode_outer("keys").alias("key_no", "field"))
+        .filter(F.col("key_no").isNotNull())
     )
 
 

@@ -32,13 +32,21 @@ def fixed_field(name: str, type: str, native_type: str, nullable: bool, primary_
     return field(F.lit(name), F.lit(type), F.lit(native_type), nullable, primary_key)
 
 
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep parsed columns parsed once: a later filter on them is not pushed below, where
+    the optimizer would have to repeat the parsing expression. Unfolding a one-element
+    array changes no row and is a step filters do not cross."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def explode_fields(entities: DataFrame, keep_empty: bool) -> DataFrame:
     """Unfold a `fields` array; an entity without fields stays as one null-position row or goes."""
+    unfolded = entities.select("*", F.posexplode_outer("fields").alias("position", "_field"))
     if not keep_empty:
-        entities = entities.filter(F.size("fields") > 0)
-    return entities.select(
-        "*", F.posexplode_outer("fields").alias("position", "_field")
-    ).select("*", "_field.*").select(*DISCOVERED_COLUMNS)
+        # after the unfolding: a size filter before it would build every array twice
+        unfolded = unfolded.filter(F.col("position").isNotNull())
+    return unfolded.select("*", "_field.*").select(*DISCOVERED_COLUMNS)
 
 
 def entity_id() -> Column:

@@ -44,10 +44,15 @@ def vote(cells: DataFrame, keys: list[str], value: str = "value", merge_numeric:
     Only counters are exchanged, a handful per group and task, so a group that holds
     most of the cells costs no more than any other.
     """
-    filled = F.col(value) != ""
-    kind = F.when(filled, _looks_like(strip(value)))
+    # Most cells need no stripping: a text that fits a pattern as it is fits it stripped too.
+    # Each step is a projection of its own, as branches of one CASE would strip again and again.
+    raw = cells.select(*keys, F.col(value).alias("_value"), _looks_like(F.col(value)).alias("_raw"))
+    bare = raw.select(
+        *keys, (F.col("_value") != "").alias("_filled"), "_raw",
+        F.when(F.col("_raw").isNull(), strip("_value")).alias("_bare"),
+    )
     counted = (
-        cells.select(*keys, filled.alias("_filled"), kind.alias("_kind"))
+        bare.select(*keys, "_filled", F.coalesce("_raw", _looks_like(F.col("_bare"))).alias("_kind"))
         .groupBy(*keys)
         .agg(
             F.count_if("_filled").alias("n_values"),

@@ -139,31 +139,35 @@ def entity_detail(entities: DataFrame, fields: DataFrame, per_part: int = FIELDS
     """Entities with their ordered fields nested, and their whole field count.
 
     Positions are unique within an entity, so a range of `per_part` positions bounds every
-    nested list: an entity with very many fields continues in parts 1, 2, ... that spread
-    over the cluster. Usual entities have part 0 only. Without fields the list is empty.
+    nested list: an entity with very many fields continues in parts 1, 2, ... Usual entities
+    have part 0 only. Without fields the list is empty.
+
+    Entities and parts meet on (entity, part). So fields are exchanged once, and the parts
+    of one huge entity spread over the cluster.
     """
-    nested = (
-        fields.groupBy("entity_id", F.floor(F.col("position") / per_part).cast("int").alias("part"))
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "position", "name", "display_name", "data_type", "native_type", "is_nullable",
-                        "is_primary_key", "is_foreign_key",
-                    )
+    nested = fields.groupBy("entity_id", F.floor(F.col("position") / per_part).cast("int").alias("part")).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "position", "name", "display_name", "data_type", "native_type", "is_nullable",
+                    "is_primary_key", "is_foreign_key",
                 )
-            ).alias("fields")
-        )
-        .withColumn("_n", F.size("fields"))
+            )
+        ).alias("fields")
+    )
+    # counted from the bare keys, combined on the map side
+    counts = fields.groupBy("entity_id").agg(
+        F.count("*").alias("field_count"), F.floor(F.max("position") / per_part).cast("int").alias("_last")
     )
-    # Count per entity from the parts, not from the rows: the exchange carries one row a part.
-    counts = nested.groupBy("entity_id").agg(F.sum("_n").alias("field_count"), F.count("*").alias("n_parts"))
-    whole = nested.drop("_n").join(counts, "entity_id")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))).alias("part")
     return (
         entities.withColumnRenamed("id", "entity_id")
-        .join(whole, "entity_id", "left")
-        .withColumn("field_count", F.coalesce("field_count", F.lit(0)).cast("bigint"))
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)).cast("bigint"))
-        .withColumn("fields", F.coalesce("fields", F.array().cast(whole.schema["fields"].dataType)))
+        .join(counts, "entity_id", "left")
+        .select("*", parts)
+        .join(nested, ["entity_id", "part"], "left")
+        # merging repeated names leaves gaps in the positions, perhaps a whole part long
+        .filter((F.col("part") == 0) | F.col("fields").isNotNull())
+        .withColumn("field_count", F.coalesce("field_count", F.lit(0)))
+        .withColumn("fields", F.coalesce("fields", F.array().cast(nested.schema["fields"].dataType)))
+        .drop("_last")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from unisource.functions import json as J
 from unisource.functions.text import entity_name_from_path, non_empty
-from unisource.operators.fields import explode_fields, field
+from unisource.operators.fields import explode_fields, field, settle
 
 
 def _whole(body: str) -> Column:
@@ -58,6 +58,19 @@ def unreadable(landed: DataFrame) -> DataFrame:
     return landed.filter(bad).select("source_id", "path", F.col("body").alias("_corrupt"))
 
 
+def _parsed(landed: DataFrame) -> DataFrame:
+    """Readable bodies as list items or object entries; a bare value has neither."""
+    parsed = landed.select(
+        "source_id", "path", "entity_hint", "body",
+        J.items("body").alias("_items"), J.entries("body").alias("_pairs"),
+    )
+    bare = F.col("_items").isNull() & F.col("_pairs").isNull()
+    readable = settle(
+        parsed.withColumn("_readable", ~bare | F.try_parse_json("body").isNotNull()), "_items", "_pairs", "_readable"
+    )
+    return readable.filter("_readable").drop("_readable")
+
+
 def _json_fields(pairs: Column, native_type: Column) -> Column:
     return F.transform(pairs, lambda e: field(e["key"], J.value_type(e["value"]), native_type))
 
@@ -67,11 +80,7 @@ def endpoint_fields(landed: DataFrame) -> DataFrame:
 
     An empty list or a bare value gives an entity without fields, a list of bare values none.
     """
-    parsed = landed.select(
-        "source_id", "path", "entity_hint", "body",
-        J.items("body").alias("_items"), J.entries("body").alias("_pairs"),
-        F.try_parse_json("body").alias("_doc"),
-    ).filter(F.col("_items").isNotNull() | F.col("_pairs").isNotNull() | F.col("_doc").isNotNull())
+    parsed = _parsed(landed)
     first = F.get("_items", 0)
     sampled = parsed.filter(
         F.col("_items").isNull() | (F.size("_items") == 0) | J.is_object(first)
@@ -92,11 +101,7 @@ def endpoint_fields(landed: DataFrame) -> DataFrame:
 
 def json_file_fields(landed: DataFrame) -> DataFrame:
     """Entity of a JSON file, described by its record and field counts."""
-    parsed = landed.select(
-        "source_id", "path", "entity_hint", "body",
-        J.items("body").alias("_items"), J.entries("body").alias("_pairs"),
-        F.try_parse_json("body").alias("_doc"),
-    ).filter(F.col("_items").isNotNull() | F.col("_pairs").isNotNull() | F.col("_doc").isNotNull())
+    parsed = _parsed(landed)
     nested_key = F.get(
         F.filter("_pairs", lambda e: F.size(J.as_list(e["value"])) > 0), 0
     )["key"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from unisource.functions import json as J
 from unisource.functions.types import universal_type
-from unisource.operators.fields import explode_fields, field, fixed_field
+from unisource.operators.fields import explode_fields, field, fixed_field, settle
 
 # ---- fixed values: objects and resources read by default ----
 X3_OBJECTS = [
@@ -71,20 +71,21 @@ def x3_fields(landed: DataFrame, folder: str = X3_FOLDER) -> DataFrame:
 def cloud_fields(landed: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Fields of the first record a resource returns; refused or unreadable replies are skipped."""
     labels = CLOUD_RESOURCES if labels is None else labels
-    doc = landed.filter(F.coalesce("status", F.lit(200)) < 400).select(
+    parsed = landed.filter(F.coalesce("status", F.lit(200)) < 400).select(
         "source_id", "path", "entity_hint", J.entries("body").alias("_pairs"),
         F.from_json("body", "map<string,string>").alias("_texts"),
-    ).filter(F.col("_pairs").isNotNull())
+    )
+    doc = settle(parsed, "_pairs", "_texts").filter(F.col("_pairs").isNotNull())
     keys = F.transform("_pairs", lambda e: e["key"])
     chosen = F.when(F.array_contains(keys, "$items"), "$items").when(F.array_contains(keys, "value"), "value")
     value = F.get(F.filter("_pairs", lambda e: e["key"] == F.col("_key")), 0)["value"]
-    listed = (
+    chosen_items = (
         doc.withColumn("_key", chosen)
         .withColumn("_items", J.as_list(value))
         .withColumn("_text", F.try_element_at("_texts", F.col("_key")))
-        # a reply whose items are no list cannot be sampled
-        .filter(F.col("_key").isNull() | F.col("_items").isNotNull())
     )
+    # a reply whose items are no list cannot be sampled
+    listed = settle(chosen_items, "_key", "_items").filter(F.col("_key").isNull() | F.col("_items").isNotNull())
     first = F.get("_items", 0)
     sample = F.when(F.size("_items") > 0, F.when(J.is_object(first), J.entries(F.get(J.item_texts("_text"), 0)))).otherwise(
         F.array().cast("array<struct<key:string,value:variant>>")

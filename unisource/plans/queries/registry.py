@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unisource.session import spread_small
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def payload(df: DataFrame, source: Column | str, hint: Column, path: Column, body: Column, status: Column | int = 200) -> DataFrame:
-    """Landed payloads made row by row of a table, without an exchange."""
-    return df.select(
+    """Landed payloads made row by row of a table; a small table is spread over the cores first."""
+    return spread_small(df).select(
         (F.lit(source) if isinstance(source, str) else source.cast("string")).alias("source_id"),
         F.lit("").alias("dialect"),
         hint.cast("string").alias("entity_hint"),

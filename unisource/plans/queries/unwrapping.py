@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from unisource.functions import json as J
 from unisource.operators import records
 from unisource.plans.queries.registry import payload, pick, query, table
+from unisource.session import spread_small
 
 # Two records of one event, in JSON and in SQL.
 _FIRST = '{"event_id":%d,"kind":"%s","amount":%d}'
@@ -92,7 +93,7 @@ _VALUE_TYPES = [
 ))
 def json_value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "events")
+        spread_small(table(spark, sf_dir, "events"))
         .select(F.posexplode(J.entries(_value_body())).alias("position", "_e"))
         .select("position", F.col("_e.key").alias("name"), J.value_type(F.col("_e.value")).alias("type"))
         .groupBy("position", "name", "type")

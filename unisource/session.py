@@ -18,8 +18,10 @@ DEFAULTS = {
     "spark.sql.python.filterPushdown.enabled": "true",
 }
 
-# A scan smaller than this may be spread over all cores with one cheap exchange.
+# A scan smaller than this may be spread over the cores with one cheap exchange,
+# as far as every part keeps about SPREAD_BYTES of stored data.
 SMALL_INPUT_BYTES = 1 << 30
+SPREAD_BYTES = 128 << 10
 
 
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
@@ -71,8 +73,6 @@ def spread_small(df: DataFrame) -> DataFrame:
     optimizer's statistics: large inputs already have enough splits and stay as they
     are, so no big table is ever shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(cores)
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    return df.repartition(parts) if 1 < parts and size <= SMALL_INPUT_BYTES else df
