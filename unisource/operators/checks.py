@@ -59,6 +59,13 @@ def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> D
     return rows.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
 
 
+def orphan_count(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """How many rows lack their parent, joined as one count per parent and not row by row."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    lost = orphans(counts, key, parents, parent_key)
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_violations"))
+
+
 def too_long(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a | b, [F.length(c) > n for c, n in limits.items()]))
 
@@ -78,7 +85,9 @@ def catalog_integrity(entities: DataFrame, fields: DataFrame) -> DataFrame:
         [
             counted("field name unique in entity", duplicate_keys(fields, ["entity_id", "name"])),
             counted("field position unique in entity", duplicate_keys(fields, ["entity_id", "position"])),
-            counted("field has entity", orphans(fields, "entity_id", entities, "id")),
+            orphan_count(fields, "entity_id", entities, "id").select(
+                F.lit("field has entity").alias("rule"), "n_violations"
+            ),
             counted("entity text length", too_long(entities, present["entities"])),
             counted("field text length", too_long(fields, present["fields"])),
         ],

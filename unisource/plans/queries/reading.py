@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from unisource.operators import checks, pages, status
 from unisource.operators.fields import dedup_fields
 from unisource.plans.queries.registry import pick, query, sql_pick, table
+from unisource.session import spread_small
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as fields; a repeated line number is merged as on save."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread_small(table(spark, sf_dir, "lineitem")).select(
         F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("entity_id"),
         F.concat(F.lit("line_"), "l_linenumber").alias("name"),
         F.col("l_linenumber").alias("position"),

@@ -172,4 +172,5 @@ def json_schema_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"rare":'), F.when(F.col("event_id") % 7 == 0, '"2024-02-03"').otherwise("null"),
         F.when(F.col("event_id") % 3 == 0, ',"late":[1]').otherwise(""), F.lit("}"),
     )
-    return records.record_types(table(spark, sf_dir, "events").select("event_type", body.alias("body")), ["event_type"])
+    events = spread_small(table(spark, sf_dir, "events"))
+    return records.record_types(events.select("event_type", body.alias("body")), ["event_type"])
