@@ -173,11 +173,12 @@ def test_stored_catalog(spark, tmp_path):
     s2 = catalog.sources().filter("id = 's2'").first()
     assert (s2["status"], s2["error_message"], s2["test_latency_ms"]) == ("error", "HTTP 503", None)
 
+    assert catalog.connection_tests().count() == 1
     gone = catalog.delete_sources(spark.createDataFrame([("s2",), ("nobody",)], "id string"))
     assert [r["id"] for r in gone.collect()] == ["s2"]
     assert [r["id"] for r in catalog.sources().collect()] == ["s1"]
     assert catalog.entities().count() == 0 and catalog.fields().count() == 0
-    assert catalog.connection_tests().count() == 1
+    assert catalog.connection_tests().count() == 0
 
 
 def test_cascade_with_relations(spark):

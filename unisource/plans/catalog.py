@@ -59,7 +59,9 @@ class Catalog:
         return self._by_source("relations")
 
     def connection_tests(self) -> DataFrame:
-        return self._stored("connection_tests", schemas.CONNECTION_TESTS)
+        """The test log without the tests of deleted sources."""
+        log = self._stored("connection_tests", schemas.CONNECTION_TESTS)
+        return log.join(self.sources().select(F.col("id").alias("source_id")), "source_id", "left_semi")
 
     def detail(self, source_id: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, search: str = "") -> DataFrame:
         """One page of a source's entities with their fields nested."""
