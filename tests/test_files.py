@@ -67,11 +67,25 @@ def test_csv_sample_is_the_first_rows(spark, tmp_path):
     assert files.csv_fields(spark, str(path), "x", sample=None).first()["type"] == "string"
 
 
-def test_splittable_csv_is_recognised(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('a,b\n"x, y",1\n')
-    (tmp_path / "b.csv").write_text('a,b\n"x\ny",1\n')
-    (tmp_path / "c.csv").write_text("a\n  \n")
-    assert [files.needs_whole_files(spark, str(tmp_path / f)) for f in ("a.csv", "b.csv", "c.csv")] == [False, True, True]
+def test_only_needed_files_are_read_whole(spark, tmp_path, plan):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / "a.csv").write_text('a,b\n"x, y",1\n')
+    (folder / "b.csv").write_text('a,b\n"x\ny",2\n')
+    (folder / "c.csv").write_text("a,b\n  \n")
+    assert sorted(f[-5:] for f in files.whole_files(spark, str(folder))) == ["b.csv", "c.csv"]
+    assert files.whole_files(spark, str(folder / "a.csv")) == []
+    got = files.read_csv(spark, str(folder)).rows().collect()
+    assert sorted(tuple(r) for r in got if r["b"]) == [("x\ny", "2"), ("x, y", "1")]
+    assert [r["a"] for r in got if r["b"] is None] == ["  "]
+
+
+def test_very_many_whole_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROUTED_FILES", 1)
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f'a\n"x\n{i}"\n')
+    assert files.whole_files(spark, str(tmp_path)) is None
+    assert sorted(r["a"] for r in files.read_csv(spark, str(tmp_path)).rows().collect()) == ["x\n0", "x\n1", "x\n2"]
 
 
 def test_json_file(spark, tmp_path):

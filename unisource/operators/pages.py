@@ -130,9 +130,9 @@ def page_totals(
 
 
 def page_fields(fields: DataFrame, page: DataFrame) -> DataFrame:
-    """Fields of the entities on one page, which is at most MAX_PAGE_SIZE rows to broadcast."""
+    """Fields of the entities on one page. Spark knows a limited page is small and broadcasts it."""
     ids = page.select(F.col("id").alias("entity_id"))
-    return fields.join(F.broadcast(ids), "entity_id", "left_semi").orderBy("entity_id", "position", "name")
+    return fields.join(ids, "entity_id", "left_semi").orderBy("entity_id", "position", "name")
 
 
 def entity_detail(entities: DataFrame, fields: DataFrame, per_part: int = FIELDS_PER_PART) -> DataFrame:

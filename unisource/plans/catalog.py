@@ -66,7 +66,7 @@ class Catalog:
     def detail(self, source_id: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, search: str = "") -> DataFrame:
         """One page of a source's entities with their fields nested."""
         chosen = pages.entity_page(self.entities(), source_id, page, page_size, search)
-        ids = F.broadcast(chosen.select(F.col("id").alias("entity_id")))
+        ids = chosen.select(F.col("id").alias("entity_id"))
         own = self.fields().filter(F.col("source_id") == source_id).join(ids, "entity_id", "left_semi")
         return pages.entity_detail(chosen, own).orderBy("name", "entity_id", "part")
 

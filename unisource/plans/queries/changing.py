@@ -13,14 +13,14 @@ from unisource.plans.queries.registry import pick, query, sql_pick, table
 SELECT o_custkey AS source_id, o_orderkey AS id, o_orderpriority AS name FROM orders
 WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 1000)
 UNION ALL
-SELECT c_custkey, -c_custkey, 'new ' || c_name FROM customer WHERE c_acctbal < 1000 AND c_custkey % 2 = 0""")
+SELECT c_custkey, -c_custkey, 'new ' || c_name FROM customer WHERE c_acctbal < 1000 AND c_mktsegment <> 'BUILDING'""")
 def metadata_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with a low balance are synced again; every second of them finds nothing."""
+    """Customers with a low balance are synced again; those of one segment find nothing."""
     current = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")
     )
     synced = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 1000)
-    found = synced.filter(F.col("c_custkey") % 2 == 0).select(
+    found = synced.filter(F.col("c_mktsegment") != "BUILDING").select(
         F.col("c_custkey").alias("source_id"), (-F.col("c_custkey")).alias("id"),
         F.concat(F.lit("new "), "c_name").alias("name"),
     )
@@ -28,10 +28,10 @@ def metadata_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("partial_update", """
-SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'renamed ' || c_custkey ELSE c_name END AS name,
- CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'host' || c_custkey ELSE c_mktsegment END AS host,
- CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN '{"a":1}' ELSE '{"old":1}' END AS options,
- CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 1 END AS n_tags FROM customer""")
+SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 AND c_custkey % 3 = 0 THEN 'renamed ' || c_custkey ELSE c_name END AS name,
+ CASE WHEN c_acctbal > 0 AND c_custkey % 2 = 0 THEN 'host' || c_custkey ELSE c_mktsegment END AS host,
+ CASE WHEN c_acctbal > 0 AND c_custkey % 5 = 0 THEN '{"a":1}' ELSE '{"old":1}' END AS options,
+ CASE WHEN c_acctbal > 0 AND c_custkey % 3 = 1 THEN 0 ELSE 1 END AS n_tags FROM customer""")
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches with gaps: null keeps, an empty options object keeps, an empty tag list sets."""
     key = F.col("c_custkey")
@@ -40,11 +40,11 @@ def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("host"),
         F.lit('{"old":1}').alias("options"), F.array(F.lit("old")).alias("tags"),
     )
-    patches = customers.filter(key % 3 < 2).select(
+    patches = customers.filter(F.col("c_acctbal") > 0).select(
         key.alias("id"),
         F.when(key % 3 == 0, F.concat(F.lit("renamed "), key)).alias("name"),
-        F.when((key % 3 == 0) & (key % 2 == 0), F.concat(F.lit("host"), key)).alias("host"),
-        F.when((key % 3 == 0) & (key % 5 == 0), '{"a":1}').otherwise("{}").alias("options"),
+        F.when(key % 2 == 0, F.concat(F.lit("host"), key)).alias("host"),
+        F.when(key % 5 == 0, '{"a":1}').otherwise("{}").alias("options"),
         F.when(key % 3 == 1, F.array().cast("array<string>")).alias("tags"),
     )
     updated = changes.partial_update(current, patches)

@@ -257,16 +257,16 @@ def dynamics_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entity", "entity_description", *_FIELD, "description")
 
 
-@query("dynamics_attributes", _pair_sql("c_custkey % 5 IN (0, 1)") + f"""
+@query("dynamics_attributes", _pair_sql("c_custkey % 5 = 1 OR c_mktsegment = 'BUILDING'") + f"""
 UNION ALL SELECT 'acc_' || c_custkey, {_DESCRIPTION}, CAST(0 AS INTEGER), 'own_id', 'uuid', 'Uniqueidentifier', false,
- true, false, 'Own id' FROM customer WHERE c_custkey % 5 > 1
+ true, false, 'Own id' FROM customer WHERE c_custkey % 5 <> 1 AND c_mktsegment <> 'BUILDING'
 UNION ALL SELECT 'acc_' || c_custkey, {_DESCRIPTION}, CAST(1 AS INTEGER), 'attr',
  {sql_pick(_ATTRIBUTE_TYPE, "c_custkey % 8")}, {sql_pick(_ATTRIBUTE_NATIVE, "c_custkey % 8")}, true, false,
- c_custkey % 8 = 0, 'attr' FROM customer WHERE c_custkey % 5 > 1""")
+ c_custkey % 8 = 0, 'attr' FROM customer WHERE c_custkey % 5 <> 1 AND c_mktsegment <> 'BUILDING'""")
 def dynamics_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions with attributes, with an empty reply, and with none at all."""
     key = F.col("c_custkey")
-    customers = table(spark, sf_dir, "customer").filter(key % 5 != 0)
+    customers = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != "BUILDING")
     body = F.when(key % 5 == 1, '{"value":[]}').otherwise(
         F.concat(
             F.lit('{"value":[{"LogicalName":"own_id","AttributeType":"Uniqueidentifier","IsPrimaryId":true,'
@@ -375,7 +375,7 @@ WITH cols AS (
  SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT 'T' || l_orderkey AS entity, l_linenumber AS position, 'c' || l_linenumber AS name,
  {sql_pick(_SQL_TYPE, "p % 7")} AS type, {sql_pick(_SQL_NATIVE, "p % 7")} AS native_type, p % 3 = 0 AS nullable,
- l_linenumber = 1 AS primary_key, o_orderkey % 3 = 0 AND l_linenumber IN (2, 3) AS foreign_key
+ l_linenumber = 1 AS primary_key, o_orderstatus = 'F' AND l_linenumber IN (2, 3) AS foreign_key
 FROM cols JOIN orders ON o_orderkey = l_orderkey"""
 
 
@@ -391,7 +391,7 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     orders = table(spark, sf_dir, "orders")
     name = F.concat(F.lit("T"), "o_orderkey")
     keys = orders.select(F.lit("db").alias("source_id"), name.alias("table_name"), F.lit("c1").alias("column_name"))
-    references = orders.filter(F.col("o_orderkey") % 3 == 0).select(
+    references = orders.filter(F.col("o_orderstatus") == "F").select(
         F.lit("db").alias("source_id"), name.alias("table_name"),
         F.array(F.lit("c2"), F.lit("c3")).alias("constrained"),
         F.concat(F.lit("T"), "o_custkey").alias("referred_table"),
@@ -411,9 +411,9 @@ def sql_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH known AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
 SELECT 'T' || o_orderkey AS source_entity, 'T' || o_custkey AS target_entity, 'c2' AS source_field,
  'c1' AS target_field, 'many_to_one' AS relation_type
-FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey IN (SELECT k FROM known)
+FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT k FROM known)
 UNION ALL SELECT 'T' || o_orderkey, 'T' || o_custkey, 'c3', 'c2', 'many_to_one'
-FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 AND o_custkey IN (SELECT k FROM known)""")
+FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 1 AND o_custkey IN (SELECT k FROM known)""")
 def fk_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns, _, references = _dictionary(spark, sf_dir)
     found = relations.fk_relations(references, columns)

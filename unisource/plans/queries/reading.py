@@ -49,13 +49,13 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"),
         F.col("o_orderstatus").alias("source_id"),
         F.col("o_orderpriority").alias("name"),
-        (F.col("o_orderkey") % 10 != 0).alias("is_visible"),
+        (F.col("o_totalprice") > 50000).alias("is_visible"),
     )
 
 
 _ENTITIES_SQL = """
 SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderstatus AS source_id, o_orderpriority AS name,
- o_orderkey % 10 <> 0 AS is_visible FROM orders"""
+ o_totalprice > 50000 AS is_visible FROM orders"""
 _PAGE_SQL = f"""
 SELECT * FROM ({_ENTITIES_SQL}) WHERE is_visible AND source_id = 'F' AND name ILIKE '%e%'
 ORDER BY name, id LIMIT 20 OFFSET 40"""
@@ -172,13 +172,13 @@ SELECT 'field name unique in entity' AS rule, count(*) AS n_violations FROM (
 UNION ALL SELECT 'field position unique in entity', count(*) FROM (
  SELECT l_orderkey, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT 'field has entity', count(*) FROM lineitem
- WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)
+ WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
 UNION ALL SELECT 'entity text length', count(*) FROM orders
- WHERE o_orderkey % 7 <> 0 AND length(repeat(o_orderpriority, 20)) > 255
+ WHERE o_orderstatus <> 'P' AND length(repeat(o_orderpriority, 20)) > 255
 UNION ALL SELECT 'field text length', count(*) FROM lineitem WHERE length(repeat(CAST(l_partkey AS VARCHAR), 30)) > 100""")
 def catalog_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated names and positions, fields of missing entities, overlong texts."""
-    entities = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 7 != 0).select(
+    """Repeated names and positions, fields of missing entities (pending orders), overlong texts."""
+    entities = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "P").select(
         F.col("o_orderkey").alias("id"), F.repeat("o_orderpriority", F.lit(20)).alias("name")
     )
     fields = table(spark, sf_dir, "lineitem").select(

@@ -13,22 +13,29 @@ from unisource.schemas import DISCOVERED_COLUMNS
 # ---- fixed value: rows of an upload preview ----
 PREVIEW_ROWS = 5
 
+# With more files to read whole than this, all are: their names would make a long filter.
+ROUTED_FILES = 1000
+
 
 def _csv_options(multi_line: bool) -> dict:
     # a quote inside quotes is doubled; a backslash is an ordinary character
     return {"escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "maxColumns": 1_000_000}
 
 
-def needs_whole_files(spark: SparkSession, path: str) -> bool:
-    """Whether some record spans lines, or a line holds only blanks.
+def whole_files(spark: SparkSession, path: str) -> list[str] | None:
+    """Files with a record that spans lines or a line of blanks only; None for very many.
 
-    Such files must be read whole by one task each. All others may be split at any line
-    end, so this one scan buys a parallel read of even a single very large file.
+    One task each must read such files whole. All others may be split at any line end, so
+    this one scan buys a parallel read of even a single very large file.
     """
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     blank = (line != "") & (F.trim(line) == "")
-    return not spark.read.text(path).filter((quotes % 2 == 1) | blank).select(F.lit(1)).isEmpty()
+    names = (
+        spark.read.text(path).filter((quotes % 2 == 1) | blank)
+        .select(F.col("_metadata.file_path").alias("f")).distinct().limit(ROUTED_FILES + 1).collect()
+    )
+    return [r["f"] for r in names] if len(names) <= ROUTED_FILES else None
 
 
 class CsvTable:
@@ -45,17 +52,29 @@ class CsvTable:
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> CsvTable:
-    """Read a CSV file with a header row: blank lines skipped, short rows filled with
-    nulls, extra cells dropped, byte order mark removed."""
-    if multi_line is None:
-        multi_line = needs_whole_files(spark, path)
-    options = _csv_options(multi_line)
-    header = spark.read.options(**options).csv(path, header=False).limit(1).first()
+    """Read CSV files with a header row: blank lines skipped, short rows filled with
+    nulls, extra cells dropped, byte order mark removed.
+
+    `multi_line` tells whether records span lines; None looks, and reads only the files
+    that need it whole.
+    """
+    header = spark.read.options(**_csv_options(True)).csv(path, header=False).limit(1).first()
     names = ["" if h is None else h for h in header] if header else []
     if not names:
         return CsvTable(spark.createDataFrame([], "c0 string").select(), [])
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    return CsvTable(spark.read.options(**options).schema(schema).csv(path, header=True), names)
+
+    def read(whole: bool) -> DataFrame:
+        return spark.read.options(**_csv_options(whole)).schema(schema).csv(path, header=True)
+
+    if multi_line is not None:
+        return CsvTable(read(multi_line), names)
+    routed = whole_files(spark, path)
+    if not routed:
+        return CsvTable(read(routed is None), names)
+    # filters on the file name choose files before any is opened
+    file = F.col("_metadata.file_path")
+    return CsvTable(read(False).filter(~file.isin(routed)).union(read(True).filter(file.isin(routed))), names)
 
 
 def csv_fields(
