@@ -13,9 +13,11 @@ SAMPLE_ROWS = 100
 THRESHOLD = 0.8
 BOOLEAN_WORDS = ["true", "false", "1", "0", "oui", "non"]
 
-_INTEGER = r"^-?\p{Nd}+\z"
-_DECIMAL = r"^-?\p{Nd}+\.\p{Nd}+\z"
-_DATE = r"^\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}"
+# Any Unicode digit counts; naming the ASCII ones first lets the matcher use a bit table.
+# Possessive quantifiers never back up, so a text is looked at once.
+_DIGIT = r"[0-9\p{Nd}]"
+_NUMBER = rf"^-?{_DIGIT}++(?:\.{_DIGIT}++)?+\z"
+_DATE = rf"^{_DIGIT}{{4}}-{_DIGIT}{{2}}-{_DIGIT}{{2}}"
 
 
 def _looks_like(value: Column) -> Column:
@@ -30,8 +32,7 @@ def _looks_like(value: Column) -> Column:
         F.when(value.isin("0", "1"), "bit")
         .when(
             numeric_start,
-            F.when(value.rlike(_INTEGER), "integer")
-            .when(value.rlike(_DECIMAL), "float")
+            F.when(value.rlike(_NUMBER), F.when(F.contains(value, F.lit(".")), "float").otherwise("integer"))
             .when(value.rlike(_DATE), "date"),
         )
         .when((F.octet_length(value) <= 5) & F.lower(value).isin(BOOLEAN_WORDS), "word")
