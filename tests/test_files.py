@@ -134,3 +134,30 @@ def test_summary(spark):
     assert csv_summary(df, "x").first()["description"] == "CSV - 3 lignes, 2 colonnes"
     empty = csv_summary(df.limit(0), "x").first()
     assert (empty["n_fields"], empty["description"]) == (0, None)
+
+
+def test_invalid_bytes_fail_a_sync_but_not_a_preview(spark, tmp_path):
+    path = tmp_path / "latin.csv"
+    path.write_bytes("nom,n\né,1\n".encode("latin-1"))
+    with pytest.raises(ValueError):
+        files.csv_fields(spark, str(path), "x")
+    about, preview = files.preview_upload(spark, str(path))
+    assert [tuple(r) for r in preview.collect()] == [("é", "1")]
+    row = about.first()
+    assert (row["filename"], row["size"], row["format"], row["columns"], row["column_count"]) == ("latin.csv", 10, "csv", ["nom", "n"], 2)
+
+
+def test_upload_previews(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a,b\n" + "1,2\n" * 9)
+    (tmp_path / "empty.csv").write_text("a,b\n")
+    (tmp_path / "a.json").write_text('[{"x":1,"y":2},{"x":3}]')
+    (tmp_path / "o.json").write_text('{"rows":[{"x":1}],"n":1}')
+    seen = {}
+    for name in ("a.txt", "empty.csv", "a.json", "o.json"):
+        about, preview = files.preview_upload(spark, str(tmp_path / name))
+        seen[name] = (about.first()["format"], about.first()["columns"], preview.count())
+    assert seen == {
+        "a.txt": ("csv", ["a", "b"], 5), "empty.csv": ("csv", [], 0), "a.json": ("json", ["x", "y"], 2), "o.json": ("json", ["rows", "n"], 1),
+    }
+    with pytest.raises(ValueError):
+        files.preview_upload(spark, str(tmp_path / "a.xls"))

@@ -77,3 +77,13 @@ def test_registered_columns(spark):
     spark.range(3).select("id", F.lit("a").alias("v")).createOrReplaceTempView("known")
     got = [(r["column_name"], r["native_type"], r["position"]) for r in jdbc.registered_columns(spark, "s", ["known"]).collect()]
     assert got == [("id", "bigint", 0), ("v", "string", 1)]
+
+
+def test_service_endpoints():
+    assert endpoints.service_endpoints("odata") == [{"path": "/$metadata", "entity_name": "odata"}]
+    assert endpoints.service_endpoints("dynamics_attributes", ["account"]) == [
+        {"path": "/api/data/v9.2/EntityDefinitions(LogicalName='account')/Attributes", "entity_name": "account"}
+    ]
+    x3 = endpoints.service_endpoints("sage_x3", folder="PROD")
+    assert len(x3) == 12 and x3[0]["path"] == "/api/x3/erp/PROD/CUSTOMER/$descriptor"
+    assert [e["entity_name"] for e in endpoints.service_endpoints("sage_cloud")][:2] == ["ledger_accounts", "journals"]

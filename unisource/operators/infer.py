@@ -56,6 +56,7 @@ def vote(cells: DataFrame, keys: list[str], value: str = "value", merge_numeric:
         bare.select(*keys, "_filled", F.coalesce("_raw", _looks_like(F.col("_bare"))).alias("_kind"))
         .groupBy(*keys)
         .agg(
+            F.count("*").alias("n_cells"),
             F.count_if("_filled").alias("n_values"),
             F.count_if(F.col("_kind").isin("integer", "bit")).alias("n_integer"),
             F.count_if(F.col("_kind") == "float").alias("n_float"),
@@ -101,7 +102,7 @@ def infer_columns(
     return vote(cells, ["column"], merge_numeric=merge_numeric).select(
         place.alias("position"),
         strip(F.get(labels, place)).alias("name"),
-        "type", "n_values", "n_integer", "n_float", "n_date", "n_boolean",
+        "type", "n_cells", "n_values", "n_integer", "n_float", "n_date", "n_boolean",
     )
 
 

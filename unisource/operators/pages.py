@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unisource.session import reliable
+from unisource.session import staged
 
 # ---- fixed values: page bounds ----
 DEFAULT_PAGE_SIZE = 50
@@ -85,13 +85,14 @@ def entity_page_after(
 def deep_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """Rows offset..offset+limit of a total order without one task seeing all rows before them.
 
-    Rows are range-sorted once and kept in a checkpoint; every row's rank is the number of
-    rows in the ranges before it plus its place in its own range.
+    Rows are range-sorted once and staged; every row's rank is the number of rows in the
+    ranges before it plus its place in its own range.
     """
-    placed = reliable(
+    placed = staged(
         df.repartitionByRange(*[F.col(c) for c in order])
         .sortWithinPartitions(*order)
-        .withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_seq", F.monotonically_increasing_id()),
+        "page",
     )
     part = F.shiftright("_seq", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# ---- fixed values: source kind -> (first failing status code, label of a success) ----
+# ---- fixed values: source kind -> (first failing status code, message of a success) ----
 SUCCESS_RULES = {
-    "rest": (500, "HTTP"),
-    "odata": (500, "HTTP"),
-    "graphql": (500, "HTTP"),
-    "soap": (500, "HTTP"),
-    "sap_odata": (500, "SAP OData HTTP"),
-    "sage_x3": (500, "SAGE X3 HTTP"),
-    "dynamics365": (400, "Dynamics 365 HTTP"),
-    "sage_cloud": (400, "SAGE Cloud HTTP"),
-    "file": (400, "HTTP"),
+    "rest": (500, "HTTP %d"),
+    "odata": (500, "HTTP %d"),
+    "graphql": (500, "HTTP %d"),
+    "soap": (500, "HTTP %d"),
+    "sap_odata": (500, "SAP OData HTTP %d"),
+    "sage_x3": (500, "SAGE X3 HTTP %d"),
+    "dynamics365": (400, "Dynamics 365 HTTP %d"),
+    "sage_cloud": (400, "SAGE Cloud HTTP %d"),
+    "file": (400, "Fichier accessible (HTTP %d)"),
 }
 STRICT_STATUS = 200
 
@@ -31,13 +31,13 @@ def succeeded(kind: Column, status: Column, variant: str = "live") -> Column:
 
 def status_rules(answers: DataFrame, variant: str = "live") -> DataFrame:
     """Test rows (`source_id`, `kind`, `status`, `latency_ms`, `tested_at`) with verdict and message."""
-    labels = F.create_map(*[F.lit(x) for k, (_, label) in SUCCESS_RULES.items() for x in (k, label)])
+    messages = F.create_map(*[F.lit(x) for k, (_, message) in SUCCESS_RULES.items() for x in (k, message)])
     ok = succeeded(F.col("kind"), F.col("status"), variant)
-    label = F.when(F.col("success"), F.try_element_at(labels, F.col("kind"))).otherwise("HTTP")
+    message = F.when(F.col("success"), F.try_element_at(messages, F.col("kind"))).otherwise("HTTP %d")
     return answers.withColumn("success", ok).withColumn(
         "message",
         F.when(F.col("status").isNull(), "no answer").otherwise(
-            F.concat(label, F.lit(" "), F.col("status").cast("string"))
+            F.replace(message, F.lit("%d"), F.col("status").cast("string"))
         ),
     )
 

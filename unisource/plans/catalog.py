@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from unisource import schemas
 from unisource.operators import changes, fields, pages, status
+from unisource.session import staged
 
 _BY_SOURCE = {"entities": schemas.ENTITIES, "fields": schemas.FIELDS, "relations": schemas.RELATIONS}
 _VERSIONED = schemas.SOURCES + ", is_deleted boolean, version timestamp"
@@ -113,9 +114,11 @@ class Catalog:
     def save_metadata(self, discovered: DataFrame, synced: DataFrame, relations: DataFrame | None = None) -> None:
         """Make `discovered` the whole metadata of the sources in `synced` (`source_id`).
 
-        Fields go first and the source row last: a sync that dies on the way leaves the
-        source's old counts and is repeated whole.
+        Discovery runs once: its rows are staged, then feed all tables. Fields go first and
+        the source row last: a sync that dies on the way leaves the source's old counts and
+        is repeated whole.
         """
+        discovered = staged(discovered, "discovered")
         self._replace("fields", fields.to_fields(discovered), synced)
         self._replace("entities", fields.to_entities(discovered), synced)
         if relations is not None:

@@ -39,7 +39,7 @@ def vote_sql(name: str) -> str:
  CASE WHEN n_date / n_values > 0.8 THEN 'date' WHEN n_boolean / n_values > 0.8 THEN 'boolean'
       WHEN n_integer / n_values > 0.8 THEN 'integer' WHEN n_float / n_values > 0.8 THEN 'float'
       ELSE 'string' END AS type,
- CAST(n_values AS BIGINT) AS n_values, CAST(n_integer AS BIGINT) AS n_integer, CAST(n_float AS BIGINT) AS n_float,
+ (SELECT count(*) FROM {name}) AS n_cells, CAST(n_values AS BIGINT) AS n_values, CAST(n_integer AS BIGINT) AS n_integer, CAST(n_float AS BIGINT) AS n_float,
  CAST(n_date AS BIGINT) AS n_date, CAST(n_boolean AS BIGINT) AS n_boolean
 FROM (SELECT CAST(count(*) AS DOUBLE) AS n_values,
  CAST(count(*) FILTER (regexp_full_match(v, '-?[0-9]+')) AS DOUBLE) AS n_integer,

@@ -147,12 +147,12 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KINDS = ["rest", "odata", "graphql", "soap", "sap_odata", "sage_x3", "dynamics365", "sage_cloud", "file"]
-_LABELS = ["HTTP", "HTTP", "HTTP", "HTTP", "SAP OData HTTP", "SAGE X3 HTTP", "Dynamics 365 HTTP", "SAGE Cloud HTTP", "HTTP"]
+_LABELS = ["HTTP", "HTTP", "HTTP", "HTTP", "SAP OData HTTP", "SAGE X3 HTTP", "Dynamics 365 HTTP", "SAGE Cloud HTTP", "Fichier accessible (HTTP"]
 
 
 @query("status_rules", f"""
 SELECT event_id, kind, status, success,
- CASE WHEN status IS NULL THEN 'no answer' WHEN success THEN label || ' ' || status ELSE 'HTTP ' || status END AS message
+ CASE WHEN status IS NULL THEN 'no answer' WHEN success THEN label || ' ' || status || CASE kind WHEN 'file' THEN ')' ELSE '' END ELSE 'HTTP ' || status END AS message
 FROM (SELECT *, coalesce(status < CASE WHEN kind IN ('dynamics365', 'sage_cloud', 'file') THEN 400 ELSE 500 END, false)
   AS success
  FROM (SELECT event_id, {sql_pick(_KINDS, "event_id % 9")} AS kind, {sql_pick(_LABELS, "event_id % 9")} AS label,

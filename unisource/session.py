@@ -57,13 +57,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Compute once: write to a new folder below the shared one and read it back.
+
+    What follows reads the same rows each time, only the columns it needs, and survives
+    lost executors. The folder is scratch space, to be cleared by the cluster's own rules.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread_small(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from unisource.operators.sage import CLOUD_RESOURCES, X3_FOLDER, X3_OBJECTS
 from unisource.schemas import LANDED
 
 # ---- fixed values: default endpoint and request options of the services ----
@@ -29,6 +30,28 @@ REQUEST_OPTIONS = {
     },
     "sage_cloud": {"$top": "1"},
 }
+# Request paths of the services, below their base address.
+SERVICE_PATHS = {
+    "odata": "/$metadata",
+    "sap_odata": "/sap/opu/odata/sap/{name}/$metadata",
+    "sap_services": "/sap/opu/odata/IWFND/CATALOGSERVICE/ServiceCollection",
+    "dynamics_entities": "/api/data/v9.2/EntityDefinitions",
+    "dynamics_attributes": "/api/data/v9.2/EntityDefinitions(LogicalName='{name}')/Attributes",
+    "dynamics_edmx": "/api/data/v9.2/$metadata",
+    "sage_x3": "/api/x3/erp/{folder}/{name}/$descriptor",
+    "sage_cloud": "/{name}",
+}
+
+
+def service_endpoints(dialect: str, names: list[str] | None = None, folder: str = X3_FOLDER) -> list[dict]:
+    """Endpoints to scan for one dialect: one per name where its path has a name in it.
+
+    Without names, SAGE falls back to the objects or resources it reads by default.
+    """
+    if names is None:
+        names = {"sage_x3": X3_OBJECTS, "sage_cloud": list(CLOUD_RESOURCES)}.get(dialect, [""])
+    template = SERVICE_PATHS[dialect]
+    return [{"path": template.format(name=n, folder=folder), "entity_name": n or dialect} for n in names]
 
 
 @dataclass

@@ -10,32 +10,41 @@ from unisource.functions.text import strip
 from unisource.operators.infer import SAMPLE_ROWS, infer_columns
 from unisource.schemas import DISCOVERED_COLUMNS
 
-# ---- fixed value: rows of an upload preview ----
+# ---- fixed values: rows of an upload preview, file types accepted ----
 PREVIEW_ROWS = 5
+UPLOAD_EXTENSIONS = [".csv", ".json", ".txt"]
 
 # With more files to read whole than this, all are: their names would make a long filter.
 ROUTED_FILES = 1000
 
 
-def _csv_options(multi_line: bool) -> dict:
+def _csv_options(multi_line: bool, encoding: str) -> dict:
     # a quote inside quotes is doubled; a backslash is an ordinary character
-    return {"escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "maxColumns": 1_000_000}
+    return {
+        "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "maxColumns": 1_000_000, "encoding": encoding,
+    }
 
 
-def whole_files(spark: SparkSession, path: str) -> list[str] | None:
+def whole_files(spark: SparkSession, path: str, strict: bool = True) -> list[str] | None:
     """Files with a record that spans lines or a line of blanks only; None for very many.
 
     One task each must read such files whole. All others may be split at any line end, so
-    this one scan buys a parallel read of even a single very large file.
+    this one scan buys a parallel read of even a single very large file. With `strict` it
+    also refuses bytes that are no UTF-8.
     """
     line = F.col("value")
+    invalid = ~F.is_valid_utf8(line)
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     blank = (line != "") & (F.trim(line) == "")
-    names = (
-        spark.read.text(path).filter((quotes % 2 == 1) | blank)
-        .select(F.col("_metadata.file_path").alias("f")).distinct().limit(ROUTED_FILES + 1).collect()
+    found = (
+        spark.read.text(path).filter((quotes % 2 == 1) | blank | invalid)
+        .groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(F.bool_or(invalid).alias("invalid"))
+        .limit(ROUTED_FILES + 1).collect()
     )
-    return [r["f"] for r in names] if len(names) <= ROUTED_FILES else None
+    if strict and any(r["invalid"] for r in found):
+        raise ValueError(f"not valid UTF-8: {next(r['file'] for r in found if r['invalid'])}")
+    return [r["file"] for r in found] if len(found) <= ROUTED_FILES else None
 
 
 class CsvTable:
@@ -51,25 +60,27 @@ class CsvTable:
         return self.data.select(*[F.col(f"c{i}").alias(name.strip()) for name, i in last.items()])
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> CsvTable:
+def read_csv(
+    spark: SparkSession, path: str, multi_line: bool | None = None, encoding: str = "UTF-8"
+) -> CsvTable:
     """Read CSV files with a header row: blank lines skipped, short rows filled with
     nulls, extra cells dropped, byte order mark removed.
 
     `multi_line` tells whether records span lines; None looks, and reads only the files
     that need it whole.
     """
-    header = spark.read.options(**_csv_options(True)).csv(path, header=False).limit(1).first()
+    header = spark.read.options(**_csv_options(True, encoding)).csv(path, header=False).limit(1).first()
     names = ["" if h is None else h for h in header] if header else []
     if not names:
         return CsvTable(spark.createDataFrame([], "c0 string").select(), [])
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
 
     def read(whole: bool) -> DataFrame:
-        return spark.read.options(**_csv_options(whole)).schema(schema).csv(path, header=True)
+        return spark.read.options(**_csv_options(whole, encoding)).schema(schema).csv(path, header=True)
 
     if multi_line is not None:
         return CsvTable(read(multi_line), names)
-    routed = whole_files(spark, path)
+    routed = whole_files(spark, path, strict=encoding == "UTF-8")
     if not routed:
         return CsvTable(read(routed is None), names)
     # filters on the file name choose files before any is opened
@@ -89,33 +100,32 @@ def csv_fields(
     last = {name: i for i, name in enumerate(table.names)}
     # equal names all show the last column's values, as a row keyed by name does
     texts = table.data.select(*[F.col(f"c{last[n]}").alias(f"c{i}") for i, n in enumerate(table.names)])
-    n_rows = table.data.agg(F.count("*").alias("n_rows"))
-    header = n_rows.select(
-        F.lit(source_id).alias("source_id"), F.lit(path).alias("path"), F.lit(0).alias("entity_no"),
-        F.lit(entity).alias("entity"), F.lit("file").alias("entity_type"),
-        F.when(
-            F.col("n_rows") > 0, F.format_string(f"CSV - %d lignes, {len(table.names)} colonnes", "n_rows")
-        ).alias("entity_description"),
-    )
     if not table.names:
-        typed = spark.createDataFrame([], "position int, type string, n int")
-    else:
-        if sample is not None:
-            # `sample` rows at most; take() reads the file's first partitions in order and stops
-            texts = spark.createDataFrame(texts.take(sample), texts.schema)
+        typed = spark.createDataFrame([], "position int, type string, n_rows bigint")
+    elif sample is None:
+        # every column has one cell a row, so the vote has counted the rows too
         typed = infer_columns(texts, merge_numeric=merge_numeric).select(
-            "position", "type", F.lit(1).alias("n")
+            "position", "type", F.col("n_cells").alias("n_rows")
         )
-    labels = F.array(*[F.lit(n) for n in table.names]) if table.names else F.array(F.lit(""))
-    # a file without rows gives no votes: one row of its entity alone stays
-    some = typed.select(
-        "position", strip(F.get(labels, F.col("position"))).alias("name"), "type",
+    else:
+        # `sample` rows at most; take() reads the file's first partitions in order and stops
+        first = spark.createDataFrame(texts.take(sample), texts.schema)
+        typed = infer_columns(first, merge_numeric=merge_numeric).select(
+            "position", "type", table.data.agg(F.count("*")).scalar().alias("n_rows")
+        )
+    labels = F.array(*[F.lit(n) for n in table.names or [""]])
+    columns = typed.select(
+        F.lit(path).alias("path"), "position", strip(F.get(labels, F.col("position"))).alias("name"), "type",
         F.lit("csv_column").alias("native_type"), F.lit(True).alias("nullable"),
         F.lit(False).alias("primary_key"), F.lit(False).alias("foreign_key"), F.lit("").alias("description"),
-        F.lit(path).alias("path"),
+        F.format_string(f"CSV - %d lignes, {len(table.names)} colonnes", "n_rows").alias("entity_description"),
+    )
+    # a file without rows gives no votes: the row of its entity alone stays
+    entity_row = spark.createDataFrame(
+        [(source_id, path, 0, entity, "file")],
+        "source_id string, path string, entity_no int, entity string, entity_type string",
     )
-    # one header row and one row per column of the file
-    return header.join(some, "path", "left").select(*DISCOVERED_COLUMNS)
+    return entity_row.join(columns, "path", "left").select(*DISCOVERED_COLUMNS)
 
 
 def land_files(
@@ -173,6 +183,31 @@ def preview_json(landed: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     )
 
 
+def preview_upload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What an upload holds: one row about the file, and its first rows or items.
+
+    .csv and .txt are read as CSV, .json as JSON; a file that is no UTF-8 is read as Latin-1.
+    """
+    extension = path[path.rfind("."):].lower()
+    if extension not in UPLOAD_EXTENSIONS:
+        raise ValueError(f"unsupported file type {extension}, accepted: {', '.join(UPLOAD_EXTENSIONS)}")
+    if extension == ".json":
+        content = spark.read.format("binaryFile").load(path).select("path", decode_preview(F.col("content")).alias("body"))
+        parsed = preview_json(content)
+        preview = parsed.select(F.explode("preview").alias("row"))
+        columns = parsed.select("columns")
+    else:
+        valid = spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
+        preview = preview_head(read_csv(spark, path, encoding="UTF-8" if valid else "ISO-8859-1").rows())
+        shown = F.array(*[F.lit(c) for c in preview.columns]) if preview.columns else F.array().cast("array<string>")
+        columns = preview.agg(F.when(F.count("*") > 0, shown).otherwise(F.array().cast("array<string>")).alias("columns"))
+    about = list_uploads(spark, path).select(
+        "filename", "path", "size", F.lit("json" if extension == ".json" else "csv").alias("format"),
+        columns.scalar().alias("columns"),
+    ).withColumn("column_count", F.size("columns"))
+    return about, preview
+
+
 def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder with their sizes; contents are not read."""
     return spark.read.format("binaryFile").load(folder).select(
