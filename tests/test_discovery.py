@@ -257,3 +257,30 @@ def test_discover_by_dialect(land):
 def test_no_python_in_discovery(land, plan):
     for df in (edmx.edmx_fields(land((xml(ORDER),))), dynamics.definition_fields(land((DEFINITIONS,))), sage.cloud_fields(land(("{}",)))):
         assert "Python" not in plan(df)
+
+
+def test_library_variants(land):
+    body = xml('<EntityType Name="E"><Property Name="t" Type="Edm.TimeOfDay" Nullable="maybe"/></EntityType>')
+    row = edmx.edmx_fields(land((body,)), "odata_lib").first()
+    assert (row["type"], row["nullable"]) == ("time", False)
+    assert edmx.edmx_fields(land((body,))).first()["nullable"]
+    x3 = sage.x3_fields(land(
+        ("s", "A", '{"$description":"Clients","$fields":[{"$fieldName":"N"}]}'), ("s", "B", '{"$fields":[{"$fieldName":"N"}]}'),
+        ("s", "C", "x", 404), ("s", "D", "{bad"),
+    ), variant="lib")
+    assert {(r["entity"], r["entity_description"]) for r in x3.collect()} == {
+        ("A", "Clients"), ("B", "SAGE X3 Object B"), ("D", "SAGE X3 Object D (non détaillé)")
+    }
+    assert x3.filter("entity = 'D'").count() == 3
+    cloud = sage.cloud_fields(land(("s", "p", '{"$items":[]}'), ("s", "q", '{"$items":[{"a":1}]}')), variant="lib")
+    assert listed(cloud, "entity", "name") == [("p", "id"), ("p", "display_name"), ("q", "a")]
+
+
+def test_relations_become_catalog_rows(spark, land):
+    landed = land(("s", "", xml(ORDER + '<EntityType Name="Line"><Property Name="x"/></EntityType>')))
+    entities = fields.to_entities(edmx.edmx_fields(landed))
+    ids = {r["name"]: r["id"] for r in entities.collect()}
+    got = {r["source_field"]: r for r in relations.to_relations(edmx.nav_relations(landed), entities).collect()}
+    assert (got["Lines"]["source_entity_id"], got["Lines"]["target_entity_id"]) == (ids["Order"], ids["Line"])
+    assert (got["Owner"]["target_entity_id"], got["Owner"]["confidence"], got["Owner"]["is_confirmed"]) == (None, 1.0, False)
+    assert len(got) == 2

@@ -161,3 +161,9 @@ def test_upload_previews(spark, tmp_path):
     }
     with pytest.raises(ValueError):
         files.preview_upload(spark, str(tmp_path / "a.xls"))
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a":1}\n\n{"a":2.5}\n')
+    landed = files.land_lines(spark, str(tmp_path / "x.jsonl"), "s", "e")
+    assert sorted(r["body"] for r in landed.collect()) == ['{"a":1}', '{"a":2.5}']

@@ -114,3 +114,12 @@ def test_record_types(spark):
 def test_unreadable(land):
     got = records.unreadable(land(("{bad",), ("[1]",), ('{"a":1}',), ('{"a":{"x":1,"x":2}}',), ("7",)))
     assert sorted(r["path"] for r in got.collect()) == ["p0", "p3"]
+
+
+def test_library_entities(land):
+    """Objects and lists of objects give an entity; an empty list gives none."""
+    got = fields(records.endpoint_fields(land(
+        ("s", "c", '{"id": 1, "name": "A", "active": true}'), ("s", "u", '[{"id": 1}, {"id": 2}]'), ("s", "x", "[]"), ("s", "n", "5"),
+        ("s", "l", "[1]"),
+    ), "lib"))
+    assert got == {"p0": [("id", "integer"), ("name", "string"), ("active", "boolean")], "p1": [("id", "integer")]}

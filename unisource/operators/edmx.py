@@ -21,6 +21,7 @@ _EDMX = f"DataServices array<struct<Schema:array<struct<EntityType:{_ENTITY_TYPE
 # ---- fixed values: variant -> type map and entity type ----
 VARIANTS = {
     "odata": ("live", "odata_entity"),
+    "odata_lib": ("lib", "odata_entity"),
     "sap": ("live", "sap_odata_entity"),
     "dynamics": ("live", "dynamics_entity"),
     "dynamics_lib": ("dynamics", "dynamics_entity"),
@@ -82,15 +83,16 @@ def edmx_fields(landed: DataFrame, variant: str = "odata", prefix: str | None =
     def from_property(p: Column) -> Column:
         native = F.coalesce(p["_Type"], F.lit("Edm.String"))
         name = F.coalesce(p["_Name"], F.lit(""))
+        stated = F.lower(F.coalesce(p["_Nullable"], F.lit("true")))
         return field(
             name, universal_type(native, "edm", types), native,
-            nullable=F.lower(F.coalesce(p["_Nullable"], F.lit("true"))) != "false",
+            nullable=(stated == "true") if variant == "odata_lib" else (stated != "false"),
             primary_key=F.array_contains("keys", name),
             description=describe(p),
         )
 
     def from_navigation(n: Column) -> Column:
-        other = n["_ToRole"] if variant == "odata" else F.lit(None)
+        other = n["_ToRole"] if variant.startswith("odata") else F.lit(None)
         native = F.coalesce(n["_Type"], other, F.lit(""))
         return field(F.coalesce(n["_Name"], F.lit("")), F.lit("relation"), native, foreign_key=True)
 

@@ -75,23 +75,24 @@ def _json_fields(pairs: Column, native_type: Column) -> Column:
     return F.transform(pairs, lambda e: field(e["key"], J.value_type(e["value"]), native_type))
 
 
-def endpoint_fields(landed: DataFrame) -> DataFrame:
+def endpoint_fields(landed: DataFrame, variant: str = "live") -> DataFrame:
     """Entity of a REST endpoint: keys of the first item of a list, or of the object.
 
-    An empty list or a bare value gives an entity without fields, a list of bare values none.
+    An empty list or a bare value gives an entity without fields (none in the `lib`
+    variant, which also flattens slashes in names), a list of bare values gives none.
     """
-    parsed = _parsed(landed)
     first = F.get("_items", 0)
-    sampled = parsed.filter(
-        F.col("_items").isNull() | (F.size("_items") == 0) | J.is_object(first)
-    ).select(
+    usable = F.col("_items").isNull() | (F.size("_items") == 0) | J.is_object(first)
+    if variant == "lib":
+        usable = F.col("_pairs").isNotNull() | J.is_object(first)
+    sampled = _parsed(landed).filter(usable).select(
         "source_id", "path", "entity_hint",
         F.when(F.size("_items") > 0, J.entries(F.get(J.item_texts("body"), 0)))
         .otherwise(F.col("_pairs")).alias("_sample"),
     )
+    named = F.coalesce(non_empty("entity_hint"), entity_name_from_path("path", flatten=variant == "lib"))
     entities = sampled.select(
-        "source_id", "path", F.lit(0).alias("entity_no"),
-        F.coalesce(non_empty("entity_hint"), entity_name_from_path("path")).alias("entity"),
+        "source_id", "path", F.lit(0).alias("entity_no"), named.alias("entity"),
         F.lit("endpoint").alias("entity_type"),
         F.lit(None).cast("string").alias("entity_description"),
         _json_fields(F.col("_sample"), F.lit(None)).alias("fields"),

@@ -30,6 +30,28 @@ def fk_relations(foreign_keys: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+def to_relations(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """Catalog rows of relations, their entity names looked up among a source's entities.
+
+    Names may repeat within a source; a relation then belongs to the smallest id.
+    """
+    ids = entities.groupBy("source_id", "name").agg(F.min("id").alias("_id"))
+    own = ids.select("source_id", F.col("name").alias("source_entity"), F.col("_id").alias("source_entity_id"))
+    other = ids.select("source_id", F.col("name").alias("target_entity"), F.col("_id").alias("target_entity_id"))
+    parts = ["source_id", "source_entity", "target_entity", "source_field", "target_field"]
+    measured = "confidence" in found.columns
+    return (
+        found.join(own, ["source_id", "source_entity"])
+        .join(other, ["source_id", "target_entity"], "left")
+        .select(
+            F.md5(F.concat_ws("\x1f", *parts)).alias("id"), "source_id", "source_entity_id", "target_entity_id",
+            "source_field", "target_field", "relation_type",
+            (F.col("confidence") if measured else F.lit(1.0)).alias("confidence"),
+            F.lit(False).alias("is_confirmed"),
+        )
+    )
+
+
 def _key_stem(column: str) -> str:
     """What a key column is about: its name without the table's own short prefix."""
     return column.split("_", 1)[1] if "_" in column else column

@@ -29,20 +29,28 @@ CLOUD_RESOURCES = {
     "currencies": "Devises",
     "cost_centres": "Centres de cout",
 }
+X3_OBJECTS_LIB = X3_OBJECTS[:9]
+CLOUD_RESOURCES_LIB = list(CLOUD_RESOURCES)[:10]
 SAGE_100_PREFIXES = ["F_", "P_", "G_", "E_", "CBF_", "JM_"]
 
 _DESCRIPTOR = (
-    "`$fields` array<struct<`$fieldName`:string,`$type`:string,`$description`:string,"
+    "`$description` string, `$fields` array<struct<`$fieldName`:string,`$type`:string,`$description`:string,"
     "`$isKey`:boolean,`$isForeignKey`:boolean>>"
 )
 
 
-def x3_fields(landed: DataFrame, folder: str = X3_FOLDER) -> DataFrame:
-    """Fields of X3 object descriptors; an object the server refuses gets three basic fields."""
+def x3_fields(landed: DataFrame, folder: str = X3_FOLDER, variant: str = "live") -> DataFrame:
+    """Fields of X3 object descriptors.
+
+    An object the server refuses gets three basic fields and an unreadable reply is
+    skipped; the `lib` variant does it the other way round and takes the description from
+    the descriptor.
+    """
     doc = landed.select(
         "source_id", "path", "entity_hint", (F.coalesce("status", F.lit(200)) < 400).alias("_ok"),
         F.from_json("body", _DESCRIPTOR).alias("_d"), J.is_readable_object("body").alias("_readable"),
-    ).filter(~F.col("_ok") | F.col("_readable"))
+    ).filter(F.col("_ok") if variant == "lib" else ~F.col("_ok") | F.col("_readable"))
+    detailed = F.col("_readable") if variant == "lib" else F.col("_ok")
 
     def describe(f: Column) -> Column:
         native = F.coalesce(f["$type"], F.lit("A"))
@@ -59,17 +67,29 @@ def x3_fields(landed: DataFrame, folder: str = X3_FOLDER) -> DataFrame:
         fixed_field("CODE", "string", "A", nullable=False, primary_key=False),
         fixed_field("DESCRIPTION", "string", "A", nullable=True, primary_key=False),
     )
+    if variant == "lib":
+        named = F.concat(F.lit("SAGE X3 Object "), "entity_hint")
+        description = F.when(detailed, F.coalesce("_d.$description", named)).otherwise(
+            F.concat(named, F.lit(" (non détaillé)"))
+        )
+    else:
+        description = F.concat(F.lit(f"SAGE X3 - {folder} - "), "entity_hint")
     entities = doc.select(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sage_x3_object").alias("entity_type"),
-        F.format_string(f"SAGE X3 - {folder} - %s", "entity_hint").alias("entity_description"),
-        F.when(F.col("_ok"), F.transform("_d.$fields", describe)).otherwise(basic).alias("fields"),
+        description.alias("entity_description"),
+        F.when(detailed, F.transform("_d.$fields", describe)).otherwise(basic).alias("fields"),
     )
     return explode_fields(entities, keep_empty=True)
 
 
-def cloud_fields(landed: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
-    """Fields of the first record a resource returns; refused or unreadable replies are skipped."""
+def cloud_fields(
+    landed: DataFrame, labels: dict[str, str] | None = None, variant: str = "live"
+) -> DataFrame:
+    """Fields of the first record a resource returns; refused or unreadable replies are skipped.
+
+    An empty sample has no fields, in the `lib` variant the two fields every resource has.
+    """
     labels = CLOUD_RESOURCES if labels is None else labels
     parsed = landed.filter(F.coalesce("status", F.lit(200)) < 400).select(
         "source_id", "path", "entity_hint", J.entries("body").alias("_pairs"),
@@ -98,7 +118,7 @@ def cloud_fields(landed: DataFrame, labels: dict[str, str] | None = None) -> Dat
             foreign_key=e["key"].endswith("_id") & (e["key"] != "id"),
         )
 
-    # a first item that is no object falls back to the two fields every resource has
+    # a first item that is no object falls back to these
     basic = F.array(
         fixed_field("id", "uuid", "string", nullable=False, primary_key=True),
         fixed_field("display_name", "string", "string", nullable=True, primary_key=False),
@@ -107,10 +127,11 @@ def cloud_fields(landed: DataFrame, labels: dict[str, str] | None = None) -> Dat
         F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("entity_hint")),
         F.col("entity_hint"),
     ) if labels else F.col("entity_hint")
+    sampled = F.when(F.size("_sample") > 0, F.col("_sample")) if variant == "lib" else F.col("_sample")
     entities = listed.withColumn("_sample", sample).select(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sage_cloud_resource").alias("entity_type"),
         F.concat(F.lit("SAGE Business Cloud - "), label).alias("entity_description"),
-        F.coalesce(F.transform("_sample", describe), basic).alias("fields"),
+        F.coalesce(F.transform(sampled, describe), basic).alias("fields"),
     )
     return explode_fields(entities, keep_empty=True)

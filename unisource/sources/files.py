@@ -142,6 +142,20 @@ def land_files(
     )
 
 
+def land_lines(
+    spark: SparkSession, path: str, source_id: str, entity: str, dialect: str = "file_json"
+) -> DataFrame:
+    """Files of one JSON document per line, which may be split anywhere; blank lines are skipped."""
+    return spark.read.text(path).filter(strip("value") != "").select(
+        F.lit(source_id).alias("source_id"),
+        F.lit(dialect).alias("dialect"),
+        F.lit(entity).alias("entity_hint"),
+        F.col("_metadata.file_path").alias("path"),
+        F.lit(200).alias("status"),
+        F.col("value").alias("body"),
+    )
+
+
 def file_format(spark: SparkSession, path: str, connector_type: str) -> str:
     """csv or json: by connector type, else by the first character that is no blank."""
     if connector_type == "file_csv":
