@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and the plans that must hold at scale."""
 
 import os
+import re
 
 import pytest
 
@@ -46,6 +47,26 @@ def test_no_python_and_no_cartesian_product(spark, plan, name):
 def test_columns_are_pruned(spark, plan):
     text = plan(entry.queries()["latest_status"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string>" in text
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_orderpriority:string>" in plan(
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in plan(
         entry.queries()["entity_page"](spark, SF)
     )
+
+
+def test_bodies_are_parsed_once(spark, plan):
+    assert plan(entry.queries()["edmx_fields"](spark, SF)).count("from_xml(") == 1
+    assert "from_json" not in plan(entry.queries()["json_file_fields"](spark, SF)).split("RoundRobin")[-1].split("FileScan")[-1]
+
+
+def test_joins_without_broadcast_exchange_each_side_once(spark, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        measured = plan(entry.queries()["relation_confidence"](spark, SF))
+        detail = plan(entry.queries()["entity_detail"](spark, SF))
+        replaced = plan(entry.queries()["metadata_replace"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # seven pairs: each side is exchanged by value for its distinct and the join reuses that
+    assert measured.count("SortMergeJoin") == 7 and measured.count("Exchange hashpartitioning") == 14
+    # nested fields are not exchanged again after they were gathered
+    assert re.search(r"Sort \[entity_id[^\n]*part[^\n]*\n[^\n]*ObjectHashAggregate", detail)
+    assert replaced.count("Exchange hashpartitioning") == 4
