@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unisource.operators import changes, checks
+from unisource.plans.catalog import Catalog
 from unisource.plans.queries.registry import pick, query, sql_pick, table
+from unisource.schemas import DISCOVERED, DISCOVERED_COLUMNS
+from unisource.session import scratch_path
 
 
 @query("metadata_replace", """
@@ -144,3 +147,63 @@ def create_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "name", "category", "connector_type", "status", "auth_type", "options",
         F.size("tags").alias("n_tags"), "entity_count",
     )
+
+
+def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities as sources, orders as entities, lines as fields; some have none."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    found = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    empty = F.col("l_orderkey").isNull()
+
+    def of_field(value):
+        return F.when(~empty, value)
+
+    return found.select(
+        F.col("o_orderpriority").alias("source_id"), F.lit("").alias("path"), F.lit(0).alias("entity_no"),
+        F.concat(F.lit("order_"), "o_orderkey").alias("entity"), F.lit("table").alias("entity_type"),
+        F.lit(None).cast("string").alias("entity_description"), F.col("l_linenumber").alias("position"),
+        of_field(F.concat(F.lit("line_"), "l_linenumber")).alias("name"), of_field(F.lit("string")).alias("type"),
+        of_field(F.col("l_linenumber").cast("string")).alias("native_type"), of_field(F.lit(True)).alias("nullable"),
+        of_field(F.col("l_linenumber") == 1).alias("primary_key"), of_field(F.lit(False)).alias("foreign_key"),
+        F.lit("").alias("description"),
+    ).select(*DISCOVERED_COLUMNS)
+
+
+_STORED_FIELDS = """
+SELECT DISTINCT o_orderpriority AS source_id, 'order_' || o_orderkey AS entity, 'Order ' || o_orderkey AS display_name,
+ 'line_' || l_linenumber AS name, l_linenumber AS position, l_linenumber = 1 AS is_primary_key
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"""
+
+
+@query("stored_catalog", f"""
+WITH found AS ({_STORED_FIELDS}), stored AS (
+ SELECT * FROM found WHERE source_id NOT IN ('1-URGENT', '5-LOW')
+ UNION ALL SELECT * FROM found WHERE source_id = '1-URGENT' AND position = 1),
+counts AS (SELECT source_id, CAST(count(DISTINCT entity) AS INTEGER) AS entity_count FROM stored GROUP BY source_id)
+SELECT source_id, entity, display_name, name, position, is_primary_key, entity_count FROM stored JOIN counts USING (source_id)
+UNION ALL SELECT '5-LOW', NULL, NULL, NULL, NULL, NULL, CAST(0 AS INTEGER)""")
+def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a catalog into the shared folder, sync two sources again (one finds less, one
+    finds nothing), and read sources, entities and fields back."""
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    found = _discovered(spark, sf_dir)
+    synced = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source_id"))
+    catalog.create_sources(
+        synced.distinct().select(
+            F.col("source_id").alias("id"), F.concat(F.lit("shop "), "source_id").alias("name"),
+            F.lit("rest").alias("connector_type"), F.lit(None).cast("string").alias("host"),
+            F.lit(None).cast("string").alias("database_name"), F.lit("http://shop").alias("base_url"),
+        )
+    )
+    catalog.save_metadata(found, synced)
+    urgent = F.col("source_id") == "1-URGENT"
+    catalog.save_metadata(found.filter(urgent & (F.col("position") == 1)), synced.filter(urgent))
+    catalog.save_metadata(spark.createDataFrame([], DISCOVERED), synced.filter(F.col("source_id") == "5-LOW"))
+    entities = catalog.entities().select("source_id", F.col("id").alias("entity_id"), F.col("name").alias("entity"), "display_name")
+    fields = catalog.fields().select("entity_id", "name", "position", "is_primary_key")
+    return (
+        catalog.sources().select(F.col("id").alias("source_id"), "entity_count")
+        .join(entities, "source_id", "left")
+        .join(fields, "entity_id", "left")
+        .select("source_id", "entity", "display_name", "name", "position", "is_primary_key", "entity_count")
+    )

@@ -37,6 +37,12 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.list_sources(_sources(spark, sf_dir), "webservice", "active", "1_%5")
 
 
+@query("get_source", f"""
+SELECT * FROM ({_SOURCES_SQL}) WHERE id = '42'""")
+def get_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.get_source(_sources(spark, sf_dir), "42")
+
+
 @query("search_sources", f"""
 SELECT * FROM ({_SOURCES_SQL}) WHERE name ILIKE '%house%' OR description ILIKE '%house%'""")
 def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
