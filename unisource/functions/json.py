@@ -49,9 +49,23 @@ def first_list(pairs: Column, skip_empty: bool) -> Column:
     return F.get(F.filter(lists, keep), 0)
 
 
-def value_type(value: Column) -> Column:
+def shaped(pairs: Column) -> Column:
+    """Entries with the shape of their value next to it.
+
+    The type ladders below look at the shape in every branch; given it, they do not derive
+    it from the value again and again.
+    """
+    return F.transform(
+        pairs,
+        lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("shape")
+        ),
+    )
+
+
+def value_type(value: Column, shape: Column | None = None) -> Column:
     """Universal type of one JSON value."""
-    shape = F.schema_of_variant(value)
+    shape = F.schema_of_variant(value) if shape is None else shape
     return (
         F.when(shape == "BOOLEAN", "boolean")
         .when(shape == "BIGINT", "integer")
@@ -65,18 +79,19 @@ def value_type(value: Column) -> Column:
     )
 
 
-def value_class(value: Column) -> Column:
+# ---- fixed values: universal type -> name of the dynamic type in a script ----
+_CLASSES = {
+    "boolean": "bool", "integer": "int", "float": "float", "object": "dict", "array": "list", "date": "str",
+    "string": "str",
+}
+
+
+def value_class(value: Column, shape: Column | None = None) -> Column:
     """Name of the dynamic type a JSON value has when read by a script."""
-    shape = F.schema_of_variant(value)
-    kind = value_type(value)
-    return (
-        F.when(value.isNull() | (shape == "VOID"), "NoneType")
-        .when(kind == "boolean", "bool")
-        .when(kind == "integer", "int")
-        .when(kind == "float", "float")
-        .when(kind == "object", "dict")
-        .when(kind == "array", "list")
-        .otherwise("str")
+    shape = F.schema_of_variant(value) if shape is None else shape
+    names = F.create_map(*[F.lit(x) for kv in _CLASSES.items() for x in kv])
+    return F.when(value.isNull() | (shape == "VOID"), "NoneType").otherwise(
+        F.element_at(names, value_type(value, shape))
     )
 
 

@@ -72,7 +72,9 @@ def _parsed(landed: DataFrame) -> DataFrame:
 
 
 def _json_fields(pairs: Column, native_type: Column) -> Column:
-    return F.transform(pairs, lambda e: field(e["key"], J.value_type(e["value"]), native_type))
+    return F.transform(
+        J.shaped(pairs), lambda e: field(e["key"], J.value_type(e["value"], e["shape"]), native_type)
+    )
 
 
 def endpoint_fields(landed: DataFrame, variant: str = "live") -> DataFrame:
@@ -145,10 +147,11 @@ def record_types(records: DataFrame, keys: list[str], body: str = "body", merge_
     A key keeps its smallest place; its type is the one all its non-null values share, else string.
     """
     kinds = (
-        records.select(*keys, F.posexplode(J.entries(body)).alias("position", "_e"))
+        records.select(*keys, F.posexplode(J.shaped(J.entries(body))).alias("position", "_e"))
         .select(
-            *keys, "position", F.col("_e.key").alias("name"), J.value_type(F.col("_e.value")).alias("_type"),
-            (F.schema_of_variant("_e.value") != "VOID").alias("_filled"),
+            *keys, "position", F.col("_e.key").alias("name"),
+            J.value_type(F.col("_e.value"), F.col("_e.shape")).alias("_type"),
+            (F.col("_e.shape") != "VOID").alias("_filled"),
         )
     )
     kind = F.when(F.col("_filled"), F.col("_type"))

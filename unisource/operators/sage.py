@@ -113,7 +113,7 @@ def cloud_fields(
 
     def describe(e: Column) -> Column:
         return field(
-            e["key"], J.value_type(e["value"]), J.value_class(e["value"]),
+            e["key"], J.value_type(e["value"], e["shape"]), J.value_class(e["value"], e["shape"]),
             primary_key=e["key"] == "id",
             foreign_key=e["key"].endswith("_id") & (e["key"] != "id"),
         )
@@ -132,6 +132,6 @@ def cloud_fields(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sage_cloud_resource").alias("entity_type"),
         F.concat(F.lit("SAGE Business Cloud - "), label).alias("entity_description"),
-        F.coalesce(F.transform(sampled, describe), basic).alias("fields"),
+        F.coalesce(F.transform(J.shaped(sampled), describe), basic).alias("fields"),
     )
     return explode_fields(entities, keep_empty=True)

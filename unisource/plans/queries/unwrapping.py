@@ -94,8 +94,10 @@ _VALUE_TYPES = [
 def json_value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         spread_small(table(spark, sf_dir, "events"))
-        .select(F.posexplode(J.entries(_value_body())).alias("position", "_e"))
-        .select("position", F.col("_e.key").alias("name"), J.value_type(F.col("_e.value")).alias("type"))
+        .select(F.posexplode(J.shaped(J.entries(_value_body()))).alias("position", "_e"))
+        .select(
+            "position", F.col("_e.key").alias("name"), J.value_type(F.col("_e.value"), F.col("_e.shape")).alias("type")
+        )
         .groupBy("position", "name", "type")
         .agg(F.count("*").alias("n"))
     )
