@@ -60,7 +60,7 @@ if __name__ == "__main__":
     session.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
-    for name in sys.argv[2:] or entry.queries():
+    for name in sys.argv[2:] or entry.oracle_sql():
         start = time.time()
         try:
             found = difference(session, con, name, sf) if name in entry.oracle_sql() else "no SQL"

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from unisource.plans.queries import QUERIES
 from compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert name in entry.oracle_sql()
     assert difference(spark, con, name, SF) is None
@@ -37,7 +38,7 @@ def test_type_map_is_broadcast(spark, plan):
     assert "BroadcastHashJoin" in plan(entry.queries()["normalize_types"](spark, SF))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cartesian_product(spark, plan, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text and "MapInPandas" not in text
