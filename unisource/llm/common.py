@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, however often and wherever `body` names it.
+
+    A plain column would do only if the optimizer never merged projections: inside a lambda it would
+    then be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of `df` has, in any case."""
     taken = {c.lower() for c in df.columns}

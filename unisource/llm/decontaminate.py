@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unisource.llm.common import NOT_ALNUM, ascii_lower, fresh, join_rows, row_hash, words
+from unisource.llm.common import NOT_ALNUM, ascii_lower, fresh, join_rows, let, row_hash, words
 
 SPAN = 10
 GRAM = 5
@@ -24,40 +24,36 @@ def item_words(text: Column) -> Column:
     return words(ascii_lower(text), NOT_ALNUM)
 
 
-def winnowed(table: DataFrame) -> DataFrame:
-    """Adds `prints`, the kept fingerprints of the array column `words` with their places from 0."""
-    grams = table.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn(
-        "grams",
-        F.when(
-            F.size("words") >= SPAN,
-            F.transform(F.sequence(F.lit(1), F.size("words") - (GRAM - 1)), lambda i: F.xxhash64(F.slice("hashes", i, GRAM))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+def word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
-    def least(i: Column) -> Column:
-        run = F.slice("grams", i, RUN)
-        return (i + F.array_position(run, F.array_min(run)) - 2).cast("int")
-
-    places = F.when(
-        F.size("grams") >= RUN,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("grams") - (RUN - 1)), least)),
-    ).otherwise(F.array().cast("array<int>"))
-    return grams.withColumn("places", places).withColumn(
-        "prints",
-        F.transform("places", lambda p: F.struct(F.lit(SPAN).alias("m"), F.get("grams", p).alias("h"), p.alias("pos"))),
-    )
 
+def winnowed(hashes: Column) -> Column:
+    """The kept fingerprints of an array of word hashes, with their places from 0."""
+
+    def place(grams: Column, i: Column) -> Column:
+        return let(F.slice(grams, i, RUN), lambda run: (i + F.array_position(run, F.array_min(run)) - 2).cast("int"))
+
+    def kept(grams: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(1), F.size(grams) - (RUN - 1)), lambda i: place(grams, i))
+        return F.transform(
+            F.array_distinct(places), lambda p: F.struct(F.lit(SPAN).alias("m"), F.get(grams, p).alias("h"), p.alias("pos"))
+        )
+
+    grams = F.transform(F.sequence(F.lit(1), F.size(hashes) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(hashes, i, GRAM)))
+    return F.when(F.size(hashes) >= SPAN, let(grams, kept)).otherwise(F.array().cast(NO_PRINTS))
 
-def whole_grams(lengths: list[int]) -> Column:
+
+def whole_grams(hashes: Column, lengths: list[int]) -> Column:
     """Hashes of all word sequences of the given lengths."""
     if not lengths:
         return F.array().cast(NO_PRINTS)
     return F.concat(*[
         F.when(
-            F.size("words") >= m,
+            F.size(hashes) >= m,
             F.transform(
-                F.sequence(F.lit(0), F.size("words") - m),
-                lambda i, m=m: F.struct(F.lit(m).alias("m"), F.xxhash64(F.slice("hashes", i + 1, m)).alias("h"), i.alias("pos")),
+                F.sequence(F.lit(0), F.size(hashes) - m),
+                lambda i, m=m: F.struct(F.lit(m).alias("m"), F.xxhash64(F.slice(hashes, i + 1, m)).alias("h"), i.alias("pos")),
             ),
         ).otherwise(F.array().cast(NO_PRINTS))
         for m in lengths
@@ -74,17 +70,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Occurrences of item windows: doc_id, row, item_id, start, length; places count words from 0."""
     items = items_of(benchmark)
     lengths = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
-    own = winnowed(items)
-    short = F.when(
-        F.size("words") < SPAN,
-        F.array(F.struct(F.size("words").alias("m"), F.xxhash64(F.slice("hashes", 1, F.size("words"))).alias("h"), F.lit(0).alias("pos"))),
-    ).otherwise(F.array().cast(NO_PRINTS))
-    wanted = own.select("item", F.explode(F.concat("prints", short)).alias("p")).select(
+
+    def item_prints(hashes: Column) -> Column:
+        whole = F.array(F.struct(F.size(hashes).alias("m"), F.xxhash64(hashes).alias("h"), F.lit(0).alias("pos")))
+        return F.when(F.size(hashes) < SPAN, whole).otherwise(winnowed(hashes))
+
+    wanted = items.select("item", F.explode(let(word_hashes(F.col("words")), item_prints)).alias("p")).select(
         "item", F.col("p.m").alias("m"), F.col("p.h").alias("h"), F.col("p.pos").alias("at")
     ).distinct()
 
     keyed = docs.select("doc_id", row_hash(docs["text"]).alias("row"), item_words(docs["text"]).alias("words"))
-    prints = winnowed(keyed).select("doc_id", "row", F.explode(F.concat("prints", whole_grams(lengths))).alias("p"))
+    found = let(word_hashes(F.col("words")), lambda hashes: F.concat(winnowed(hashes), whole_grams(hashes, lengths)))
+    prints = keyed.select("doc_id", "row", F.explode(found).alias("p"))
     hits = (
         prints.select("doc_id", "row", F.col("p.m").alias("m"), F.col("p.h").alias("h"), F.col("p.pos").alias("pos"))
         .join(wanted, ["m", "h"])
@@ -94,22 +91,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # extend each hit along its diagonal
     lined = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    texts = keyed.select("doc_id", "row", "words").dropDuplicates(["doc_id", "row"])
-    along = join_rows(texts, lined).select(
-        "doc_id", "row", "item_id", "shift", F.least(F.lit(SPAN), F.size("item_words")).alias("length"),
-        F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.size("item_words")).alias("here"),
-        F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("words")).alias("there"),
-    )
-    last = F.least(F.size("here"), F.size("there")) - F.col("length")
-    starts = F.when(
-        last >= 0,
-        F.filter(
-            F.sequence(F.lit(0), last),
-            lambda i: F.slice("here", i + 1, F.col("length")) == F.slice("there", i + 1, F.col("length")),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
-    return along.select(
-        "doc_id", "row", "item_id", "length", F.explode(starts).alias("i"), F.greatest("shift", F.lit(0)).alias("base")
+    texts = keyed.dropDuplicates(["doc_id", "row"])
+    here = F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.size("item_words"))
+    there = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("words"))
+    length = F.least(F.lit(SPAN), F.size("item_words"))
+
+    def equal(here: Column, there: Column) -> Column:
+        last = F.least(F.size(here), F.size(there)) - length
+        return F.when(last >= 0, F.filter(
+            F.sequence(F.lit(0), last), lambda i: F.slice(here, i + 1, length) == F.slice(there, i + 1, length)
+        )).otherwise(F.array().cast("array<int>"))
+
+    starts = let(F.struct(here.alias("here"), there.alias("there")), lambda x: equal(x["here"], x["there"]))
+    return join_rows(texts, lined).select(
+        "doc_id", "row", "item_id", length.alias("length"), F.greatest("shift", F.lit(0)).alias("base"), F.explode(starts).alias("i")
     ).select("doc_id", "row", "item_id", (F.col("base") + F.col("i")).alias("start"), "length")
 
 

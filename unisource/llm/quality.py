@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unisource.llm.common import SPACES, fresh, words
+from unisource.llm.common import fresh, let, words
 from unisource.session import staged
 
 SYMBOLS = "#*$%&|<>"
@@ -24,10 +24,12 @@ WINDOW = 8
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 VOTES = (-1, 0, 1)
 
-# Pseudo-counts: what a rule is taken to do before any text was seen, for good and for bad texts.
-PRIOR_GOOD = {-1: 0.2, 0: 2.0, 1: 8.0}
-PRIOR_BAD = {-1: 4.0, 0: 2.0, 1: 4.0}
-PRIOR_CLASS = (9.0, 1.0)
+# What a rule is taken to do before any text was seen, as shares of its votes for good and for bad texts, and
+# how much that counts against the corpus: so many texts for each one of it, and so many at least.
+PRIOR_GOOD = {-1: 0.002, 0: 0.148, 1: 0.85}
+PRIOR_BAD = {-1: 0.2, 0: 0.05, 1: 0.75}
+PRIOR_GOOD_SHARE = 0.9
+PRIOR_WEIGHT, PRIOR_LEAST = 1.0, 10.0
 ROUNDS = 50
 
 
@@ -45,6 +47,25 @@ def base_measures(text: Column) -> list[Column]:
     ]
 
 
+def repeated_words(hashes: Column) -> Column:
+    """Words inside windows of 8 that occur again in the same array of word hashes."""
+
+    def marked(ranked: Column) -> Column:
+        again = F.filter(ranked, lambda s, j: s["h"].eqNullSafe(F.get(ranked, j - 1)["h"]) | s["h"].eqNullSafe(F.get(ranked, j + 1)["h"]))
+        return F.sort_array(F.transform(again, lambda s: s["i"]))
+
+    def covered(starts: Column) -> Column:
+        own = F.transform(starts, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, j + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(own, F.lit(0), lambda a, b: a + b)
+
+    def counted(windows: Column) -> Column:
+        ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(let(ranked, marked), covered)).otherwise(0)
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    return F.when(F.size(hashes) > WINDOW, let(windows, counted)).otherwise(0)
+
+
 def measures(docs: DataFrame, keep: Iterable[str]) -> DataFrame:
     """The columns in `keep` and a struct of measures, under a name that is returned last.
 
@@ -55,52 +76,16 @@ def measures(docs: DataFrame, keep: Iterable[str]) -> DataFrame:
     (out,) = fresh(docs, "measures")
     kept = F.struct(*[docs[c] for c in keep]).alias("row")
     base = docs.select(kept, *base_measures(docs["text"]))
-    hashed = base.withColumn("n_words", F.size("words").cast("long")).withColumn(
-        "hashes", F.transform("words", lambda w: F.xxhash64(w))
-    )
-    windows = hashed.withColumn(
-        "windows",
-        F.when(
-            F.col("n_words") >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)),
-                lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    ranked = windows.withColumn(
-        "ranked",
-        F.when(
-            F.size(F.array_distinct("windows")) < F.size("windows"),
-            F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-    )
-    starts = ranked.withColumn(
-        "starts",
-        F.sort_array(F.transform(
-            F.filter(
-                "ranked",
-                lambda s, j: s["h"].eqNullSafe(F.get("ranked", j - 1)["h"]) | s["h"].eqNullSafe(F.get("ranked", j + 1)["h"]),
-            ),
-            lambda s: s["i"],
-        )),
-    )
-    covered = F.aggregate(
-        F.transform(
-            "starts", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", j + 1) - p, F.lit(WINDOW)))
-        ),
-        F.lit(0), lambda a, b: a + b,
-    )
-    n_lines = F.size("lines")
-    found = F.struct(
-        "n_words", "word_chars", "n_symbols",
-        (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        n_lines.cast("long").alias("n_lines"),
-        F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct"),
+    lines = F.col("lines")
+    found = let(F.transform("words", lambda w: F.xxhash64(w)), lambda hashes: F.struct(
+        F.size(hashes).cast("long").alias("n_words"), F.col("word_chars"), F.col("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        repeated_words(hashes).cast("long").alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.array_distinct(hashes)).cast("long").alias("n_distinct"),
         F.col("n_upper").cast("long").alias("n_upper"), F.col("n_stops").cast("long").alias("n_stops"),
-    )
-    return starts.select("row.*", found.alias(out))
+    ))
+    return base.select("row.*", found.alias(out))
 
 
 def rules(m: Column) -> dict[str, Column]:
@@ -115,8 +100,8 @@ def rules(m: Column) -> dict[str, Column]:
         "length": vote(n < 20, n >= 50),
         "word_length": vote((chars < 3 * n) | (chars > 8 * n), (chars >= 4 * n) & (10 * chars <= 65 * n)),
         "symbols": vote(10 * m["n_symbols"] > n, 100 * m["n_symbols"] <= n),
-        "lines": vote(10 * m["n_dup_lines"] > 3 * m["n_lines"], (m["n_lines"] > 1) & (10 * m["n_dup_lines"] <= m["n_lines"])),
-        "repeats": vote(100 * m["n_repeat_words"] > 20 * n, 100 * m["n_repeat_words"] <= 5 * n),
+        "lines": vote((m["n_dup_lines"] > 2) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]), (m["n_lines"] > 1) & (10 * m["n_dup_lines"] <= m["n_lines"])),
+        "repeats": vote((m["n_repeat_words"] > 40) & (100 * m["n_repeat_words"] > 20 * n), 100 * m["n_repeat_words"] <= 5 * n),
         "variety": vote((n <= 2000) & (10 * m["n_distinct"] < 3 * n), 2 * m["n_distinct"] >= n),
         "capitals": vote(2 * m["n_upper"] > chars, 5 * m["n_upper"] <= chars),
         "stops": vote((n >= 20) & ((50 * m["n_stops"] < n) | (m["n_stops"] > n)), (20 * m["n_stops"] >= n) & (2 * m["n_stops"] <= n)),
@@ -148,17 +133,19 @@ def maximise(names: list[str], counted: list[tuple[tuple[int, ...], int]], round
     """Expectation-maximisation over combinations of votes and how often they occur.
 
     Starts from "any bad vote makes a text suspicious". A rule may not turn round: its bad votes stay
-    at least as likely for bad texts as for good ones. Without rows the pseudo-counts decide.
+    at least as likely for bad texts as for good ones. Without rows the prior decides.
     """
     counted = sorted(counted)
     good = [0.1 if -1 in votes else 0.95 for votes, _ in counted]
+    total = sum(c for _, c in counted)
+    prior = PRIOR_LEAST + PRIOR_WEIGHT * total
     for _ in range(rounds):
-        total = sum(c for _, c in counted)
         ones = sum(g * c for g, (_, c) in zip(good, counted))
-        share = (ones + PRIOR_CLASS[0]) / (total + sum(PRIOR_CLASS))
+        share = (ones + PRIOR_GOOD_SHARE * prior) / (total + prior)
         given_good, given_bad = {}, {}
         for k, name in enumerate(names):
-            up, down = dict(PRIOR_GOOD), dict(PRIOR_BAD)
+            up = {v: x * prior for v, x in PRIOR_GOOD.items()}
+            down = {v: x * prior for v, x in PRIOR_BAD.items()}
             for g, (votes, c) in zip(good, counted):
                 up[votes[k]] += g * c
                 down[votes[k]] += (1 - g) * c
@@ -183,7 +170,7 @@ def fit(measured: DataFrame, column: str) -> VoteModel:
     return maximise(list(votes), [(tuple(r[:-1]), r[-1]) for r in counted])
 
 
-def score(docs: DataFrame, keep: Iterable[str] | None = None, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, keep: Iterable[str] | None = None, threshold: float = 0.95) -> DataFrame:
     """The columns in `keep` (default: all), a struct `quality` and the verdict `kept` for each row.
 
     Null and empty texts have no words and fail; repeated rows get the same verdict each; an empty
@@ -202,7 +189,7 @@ def score(docs: DataFrame, keep: Iterable[str] | None = None, threshold: float =
     return table.select(*[table[c] for c in keep], quality.alias("quality"), verdict.alias("kept"))
 
 
-def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """The rows of `docs` that pass, with the columns they had."""
     names = docs.columns
     (row,) = fresh(docs, "row")
