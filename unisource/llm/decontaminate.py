@@ -91,7 +91,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # extend each hit along its diagonal
     lined = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    texts = keyed.dropDuplicates(["doc_id", "row"])
+    # the text travels as it is, an array of its words would be several times as large
+    texts = docs.select("doc_id", row_hash(docs["text"]).alias("row"), docs["text"].alias("text"))
+    met = join_rows(texts, lined).withColumn("words", item_words(F.col("text")))
     here = F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.size("item_words"))
     there = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("words"))
     length = F.least(F.lit(SPAN), F.size("item_words"))
@@ -103,7 +105,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )).otherwise(F.array().cast("array<int>"))
 
     starts = let(F.struct(here.alias("here"), there.alias("there")), lambda x: equal(x["here"], x["there"]))
-    return join_rows(texts, lined).select(
+    return met.select(
         "doc_id", "row", "item_id", length.alias("length"), F.greatest("shift", F.lit(0)).alias("base"), F.explode(starts).alias("i")
     ).select("doc_id", "row", "item_id", (F.col("base") + F.col("i")).alias("start"), "length")
 
