@@ -111,16 +111,18 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The pattern of highest value that fits: unbounded knapsack by dynamic programming."""
+    useful = np.flatnonzero(values > 0)
+    small, worth = sizes[useful], values[useful]
     best = np.zeros(room + 1)
     take = np.full(room + 1, -1)
+    fits = np.searchsorted(small, np.arange(room + 1), "right")
     for r in range(1, room + 1):
         best[r] = best[r - 1]
-        fit = np.flatnonzero(sizes <= r)
-        if len(fit):
-            options = best[r - sizes[fit]] + values[fit]
-            k = int(np.argmax(options))
+        if fits[r]:
+            options = best[r - small[: fits[r]]] + worth[: fits[r]]
+            k = int(options.argmax())
             if options[k] > best[r]:
-                best[r], take[r] = options[k], fit[k]
+                best[r], take[r] = options[k], useful[k]
     pattern = np.zeros(len(sizes), np.int64)
     r = room
     while r > 0:
@@ -132,33 +134,27 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 2000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used in the linear program's solution.
 
-    Revised simplex: the basis starts with patterns of one class each; each round prices one new pattern
-    with the dual values and exchanges it for the column that runs out first.
+    The basis starts with patterns of one class each; each round prices one new pattern with the dual
+    values and exchanges it for the column that runs out first. A best price of 1 + gap proves the solution to
+    be within `gap` of the optimum, so that is where it stops.
     """
     basis = np.diag(room // sizes).astype(float)
-    inverse = np.linalg.inv(basis)
-    used = inverse @ demand
-    for n in range(rounds):
-        duals = inverse.sum(axis=0)
+    used = demand / (room // sizes)
+    for _ in range(rounds):
+        duals = np.linalg.solve(basis.T, np.ones(len(sizes)))
         value, pattern = best_pattern(duals, sizes, room)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
-        along = inverse @ pattern
-        steps = np.where(along > 1e-9, used / np.where(along > 1e-9, along, 1), np.inf)
-        out = int(np.argmin(steps))
-        step = max(steps[out], 0.0)
-        used = np.maximum(used - step * along, 0)
-        used[out] = step
-        basis[:, out] = pattern
-        pivot = inverse[out] / along[out]
-        inverse -= np.outer(along, pivot)
-        inverse[out] = pivot
-        if n % 200 == 199:  # rounding errors do not add up
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
+        along = np.linalg.solve(basis, pattern)
+        can = along > 1e-7
+        if not can.any():
+            break
+        steps = np.where(can, used / np.where(can, along, 1), np.inf)
+        basis[:, int(np.argmin(steps))] = pattern
+        used = np.maximum(np.linalg.solve(basis, demand), 0)
     return basis.astype(np.int64), used
 
 
@@ -204,9 +200,10 @@ def plan_sequences(histogram: dict[int, int], room: int = SEQUENCE // STEP) -> P
     basis, used = column_generation(sizes, demand.astype(float), room)
     times = np.floor(used + 1e-6).astype(np.int64)
     left = demand - basis @ times
-    while (left < 0).any():  # rounding errors of the solution: use one pattern less
+    while (left < 0).any():  # rounding errors of the solution: use a pattern less often
         k = int(np.argmin(left))
-        times[np.flatnonzero((basis[k] > 0) & (times > 0))[0]] -= 1
+        j = int(np.argmax(np.where(basis[k] > 0, times, -1)))
+        times[j] -= min(int(times[j]), int(-(left[k] // basis[k, j])))
         left = demand - basis @ times
     patterns = [(basis[:, k], int(t)) for k, t in enumerate(times) if t > 0]
     patterns += [(p, 1) for p in first_fit(sizes, left, room)]
