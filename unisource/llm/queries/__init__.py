@@ -1,6 +1,8 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from unisource.llm.queries.models import op2_toxicity, op3_token_counts, op4_language_id, op7_packing
+from unisource.llm.queries.models import (
+    op2_toxicity, op3_token_counts, op4_language_id, op6_lm_scores, op7_packing,
+)
 from unisource.llm.queries.native import (
     OP5_SQL, OP8_SQL, OP10_SQL, op5_quality_rules, op8_secret_scans, op10_decontamination,
 )
@@ -10,6 +12,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
     "op8_secret_scans": op8_secret_scans,
     "op10_decontamination": op10_decontamination,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unisource.llm import language, packing, tokens, toxicity
+from unisource.llm import language, lm, packing, tokens, toxicity
 from unisource.llm.common import remainder
 from unisource.llm.queries.native import read
 
@@ -39,3 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, by add-one unigrams and by deleted interpolation."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    left = remainder(docs["doc_id"], 7)
+    return lm.lm_scores(docs, train=left != 2, held_out=left == 2, deleted=left == 3)

@@ -102,7 +102,7 @@ class ToxicityModel:
 def regression(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, share: float) -> ToxicityModel:
     """Logistic regression on features scaled by `ratios`, by accelerated gradient steps.
 
-    Both classes weigh the same while fitting; the intercept then moves to the true share of toxic rows.
+    Both classes weigh the same while fitting; the intercept then moves half way to the true share of toxic rows.
     """
     labels = np.array([t for t, _ in rows], float)
     kept = [f[ratios[f] != 0] for _, f in rows]
@@ -128,7 +128,7 @@ def regression(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, share: fl
         w, b = new_w, new_b
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = w * scaled
-    return ToxicityModel(weights, b + float(np.log(share / (1 - share))))
+    return ToxicityModel(weights, b + 0.5 * float(np.log(share / (1 - share))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> ToxicityModel:
