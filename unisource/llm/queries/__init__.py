@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators and their SQL."""
 
 from unisource.llm.queries.models import (
-    op2_toxicity, op3_token_counts, op4_language_id, op6_lm_scores, op7_packing,
+    op2_toxicity, op3_token_counts, op4_language_id, op6_lm_scores, op7_packing, op9_substring_dedup,
 )
 from unisource.llm.queries.native import (
     OP5_SQL, OP8_SQL, OP10_SQL, op5_quality_rules, op8_secret_scans, op10_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {"op8_secret_scans": OP8_SQL, "op10_decontamination": OP10_SQL}

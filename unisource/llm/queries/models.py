@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unisource.llm import language, lm, packing, tokens, toxicity
+from unisource.llm import language, lm, packing, substrings, tokens, toxicity
 from unisource.llm.common import remainder
 from unisource.llm.queries.native import read
 
@@ -46,3 +46,8 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     left = remainder(docs["doc_id"], 7)
     return lm.lm_scores(docs, train=left != 2, held_out=left == 2, deleted=left == 3)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated sequences of 35 words."""
+    return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
