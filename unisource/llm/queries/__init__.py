@@ -1,13 +1,14 @@
 """The registered queries of the corpus operators and their SQL."""
 
 from unisource.llm.queries.models import (
-    op2_toxicity, op3_token_counts, op4_language_id, op6_lm_scores, op7_packing, op9_substring_dedup,
+    op1_jaccard_join, op2_toxicity, op3_token_counts, op4_language_id, op6_lm_scores, op7_packing, op9_substring_dedup,
 )
 from unisource.llm.queries.native import (
     OP5_SQL, OP8_SQL, OP10_SQL, op5_quality_rules, op8_secret_scans, op10_decontamination,
 )
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unisource.llm import language, lm, packing, substrings, tokens, toxicity
+from unisource.llm import jaccard, language, lm, packing, substrings, tokens, toxicity
 from unisource.llm.common import remainder
 from unisource.llm.queries.native import read
 
@@ -51,3 +51,9 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated sequences of 35 words."""
     return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.components(docs, 4, 85, 100).drop("row")
