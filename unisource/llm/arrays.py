@@ -52,5 +52,5 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     size = max(0, len(hashes) - n + 1)
     out = np.full(size, n, np.uint64)
     for k in range(n if size else 0):
-        out = mixed(out * MIX + hashes[k : k + size])
-    return out
+        out = out * MIX + hashes[k : k + size]
+    return mixed(out)

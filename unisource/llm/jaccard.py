@@ -1,6 +1,6 @@
 """Exact Jaccard join of word n-gram sets in metric space.
 
-Jaccard distance is a metric, and so is the symmetric difference of two sets, of which a 512-bit parity sketch
+Jaccard distance is a metric, and so is the symmetric difference of two sets, of which a 4096-bit parity sketch
 gives a lower bound. The join narrows down in regions:
 
 * The first pivots are single n-grams. In an order by hash, a set's region is that of its first n-gram; a set within
@@ -28,7 +28,7 @@ from unisource.llm.arrays import WordHasher, grams
 from unisource.llm.common import fresh, join_rows, row_hash
 from unisource.session import staged
 
-SKETCH_BITS = 512
+SKETCH_BITS = 4096
 BRUTE = 256  # regions up to this size are compared directly
 SKETCH_WORDS = SKETCH_BITS // 64
 
@@ -42,7 +42,7 @@ def gram_set(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def sketch(members: np.ndarray) -> bytes:
     """Parity of the members that fall on each bit."""
-    bits = np.bincount((members >> np.uint64(64 - 9)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    bits = np.bincount((members % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -55,7 +55,7 @@ def shell_edges(num: int, den: int, largest: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, row, n, cid (class of equal sets), shell, prefix, sketch of each row."""
+    """doc_id, row, n, cid (class of equal sets), shell, prefix of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,14 +69,14 @@ def described(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 window = n - -(-num * n // den) + 1 if n else 0
                 rows.append((
                     n, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), int(np.searchsorted(edges, n, "right")),
-                    own[:window].view(np.int64), sketch(own) if n else None,
+                    own[:window].view(np.int64),
                 ))
             yield pd.concat([
                 batch[["doc_id", "row"]].reset_index(drop=True),
-                pd.DataFrame(rows, columns=["n", "cid", "shell", "prefix", "sketch"]),
+                pd.DataFrame(rows, columns=["n", "cid", "shell", "prefix"]),
             ], axis=1)
 
-    return docs.mapInPandas(run, f"doc_id {kind}, row long, n long, cid long, shell int, prefix array<long>, sketch binary")
+    return docs.mapInPandas(run, f"doc_id {kind}, row long, n long, cid long, shell int, prefix array<long>")
 
 
 def reach(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -228,7 +228,7 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     classes = staged(
         base.where("n > 0").groupBy("cid").agg(
             F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.first("shell").alias("shell"),
-            F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
+            F.first("prefix").alias("prefix"),
         ), "classes",
     )
     spread = classes.select("cid", "n", "shell", F.explode("prefix").alias("gram"))
@@ -244,15 +244,21 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(lower=True)
         for batch in batches:
-            yield pd.DataFrame({"cid": batch["cid"], "members": [gram_set(hasher(t), size).tobytes() for t in batch["text"]]})
+            found = [gram_set(hasher(t), size) for t in batch["text"]]
+            yield pd.DataFrame({"cid": batch["cid"], "members": [x.tobytes() for x in found], "sketch": [sketch(x) for x in found]})
 
     sets = staged(
-        join_rows(read, one_row).select("cid", "text").mapInPandas(members, "cid long, members binary").dropDuplicates(["cid"]), "members"
+        join_rows(read, one_row).select("cid", "text").mapInPandas(members, "cid long, members binary, sketch binary").dropDuplicates(["cid"]), "members"
     )
-    drawn = classes.select("cid", "sketch")
-
-    alive = cells.groupBy("gram", "cell").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("any_home")).where("k > 1 and any_home")
-    regions = cells.join(alive.select("gram", "cell"), ["gram", "cell"]).join(drawn, "cid").withColumn("label", F.col("cid"))
+    drawn = sets.select("cid", "sketch")
+
+    # near copies share most of their n-grams: regions with the same sets, told by two hashes of them, count once
+    alive = cells.groupBy("gram", "cell").agg(
+        F.count(F.lit(1)).alias("k"), F.max("home").alias("any_home"),
+        F.bit_xor(F.xxhash64("cid", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "cid", F.lit(1))).alias("y"),
+    ).where("k > 1 and any_home").groupBy("cell", "k", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "cell")
+    cells = staged(cells.join(alive, ["gram", "cell"]), "cells")
+    regions = cells.join(drawn, "cid").withColumn("label", F.col("cid"))
     starred = candidates(regions, num, den, first_pass=True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = staged(links(starred, sets, num, den), "links")
 
