@@ -27,7 +27,7 @@ from unisource.session import staged
 SEQUENCE = 1024
 STEP = 8
 END_ID = 0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 # White space other than single spaces and line ends inside a text: such texts are tokenized as a whole.
 UNUSUAL_SPACE = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
 
