@@ -48,16 +48,15 @@ def whole_grams(hashes: Column, lengths: list[int]) -> Column:
     """Hashes of all word sequences of the given lengths."""
     if not lengths:
         return F.array().cast(NO_PRINTS)
-    return F.concat(*[
-        F.when(
-            F.size(hashes) >= m,
-            F.transform(
-                F.sequence(F.lit(0), F.size(hashes) - m),
-                lambda i, m=m: F.struct(F.lit(m).alias("m"), F.xxhash64(F.slice(hashes, i + 1, m)).alias("h"), i.alias("pos")),
-            ),
-        ).otherwise(F.array().cast(NO_PRINTS))
-        for m in lengths
-    ])
+
+    def of_length(m: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(0), F.size(hashes) - m),
+            lambda i: F.struct(F.lit(m).alias("m"), F.xxhash64(F.slice(hashes, i + 1, m)).alias("h"), i.alias("pos")),
+        )
+        return F.when(F.size(hashes) >= m, found).otherwise(F.array().cast(NO_PRINTS))
+
+    return F.concat(*[of_length(m) for m in lengths])
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ class Bits:
 class FMIndex:
     """Counts occurrences of word sequences of up to `depth` words.
 
-    `text` holds small integers from 0; suffixes are sorted by their first `depth` symbols at least, which is all
+    `text` holds small integers and ends with a 0, which no pattern holds; suffixes are sorted by their first `depth` symbols at least, which is all
     that patterns of that length can tell apart.
     """
 

@@ -106,9 +106,9 @@ def regression(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, share: fl
     """
     labels = np.array([t for t, _ in rows], float)
     kept = [f[ratios[f] != 0] for _, f in rows]
-    sizes = np.array([len(f) for f in kept])
+    sizes = np.array([len(f) for f in kept], np.int64)
     where = np.repeat(np.arange(len(rows)), sizes)
-    flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    flat = np.concatenate(kept).astype(np.int64) if kept else np.zeros(0, np.int64)
     used, column = np.unique(flat, return_inverse=True)
     scaled = ratios[used]
     values = scaled[column]
