@@ -9,10 +9,6 @@ from unisource.functions.types import universal_type
 from unisource.operators.edmx import edmx_fields
 from unisource.operators.fields import explode_fields, field, settle
 
-# ---- fixed values: page sizes asked of the server ----
-TOP_ENTITIES = 200
-TOP_ATTRIBUTES = 200
-
 _LABEL = "DisplayName:struct<UserLocalizedLabel:struct<Label:string>>"
 _DEFINITIONS = (
     "value array<struct<LogicalName:string,PrimaryIdAttribute:string,PrimaryNameAttribute:string,"
@@ -36,8 +32,8 @@ def _primary_fields(d: Column) -> Column:
     )
 
 
-def definitions(landed: DataFrame, top: int | None = TOP_ENTITIES) -> DataFrame:
-    """Entity definitions without intersect tables, the first `top` of each reply."""
+def definitions(landed: DataFrame, top: int | None = None) -> DataFrame:
+    """Entity definitions without intersect tables, all or the first `top` of each reply."""
     rows = F.filter(
         F.from_json("body", _DEFINITIONS)["value"],
         lambda d: ~F.coalesce(d["IsIntersect"], F.lit(False)),
@@ -60,14 +56,14 @@ def definitions(landed: DataFrame, top: int | None = TOP_ENTITIES) -> DataFrame:
     )
 
 
-def definition_fields(landed: DataFrame, top: int | None = TOP_ENTITIES) -> DataFrame:
+def definition_fields(landed: DataFrame, top: int | None = None) -> DataFrame:
     """Id and name field of every definition."""
     return explode_fields(definitions(landed, top), keep_empty=False)
 
 
 def attribute_fields(
-    landed: DataFrame, attributes: DataFrame, top: int | None = TOP_ENTITIES,
-    top_attributes: int | None = TOP_ATTRIBUTES,
+    landed: DataFrame, attributes: DataFrame, top: int | None = None,
+    top_attributes: int | None = None,
 ) -> DataFrame:
     """All attributes of every definition (`entity_hint` of a reply names its entity).
 

@@ -11,11 +11,7 @@ from unisource.functions.types import universal_type
 from unisource.operators.edmx import edmx_fields
 from unisource.operators.fields import explode_fields, field
 
-# ---- fixed values: server-side limits of a sync ----
-LISTED_TABLES = 300
-LISTED_TABLES_LIB = 500
-SYNCED_TABLES = 200
-SYNCED_SERVICES = 20
+# ---- fixed values ----
 TABLE_CLASS = "TRANSP"
 
 _LISTING = "FIELDS array<struct<FIELDNAME:string,OFFSET:string,LENGTH:string>>, DATA array<struct<WA:string>>"
@@ -23,8 +19,8 @@ _STRUCTURE = "FIELDS array<struct<FIELDNAME:string,DATATYPE:string,KEYFLAG:strin
 _INTERFACE = "PARAMS_AND_EXCPS array<struct<PARAMETER:string,TABNAME:string,PARAMTEXT:string>>"
 
 
-def rfc_rows(landed: DataFrame, row_count: int | None = LISTED_TABLES) -> DataFrame:
-    """Stripped work areas of a table read, blank ones dropped, at most `row_count` read per call."""
+def rfc_rows(landed: DataFrame, row_count: int | None = None) -> DataFrame:
+    """Stripped work areas of a table read, blank ones dropped; all of them, or at most `row_count` read per call."""
     data = F.from_json("body", _LISTING)["DATA"]
     if row_count is not None:
         data = F.slice(data, 1, row_count)
@@ -70,8 +66,8 @@ def rfc_columns(
     return cut
 
 
-def listed_tables(listing: DataFrame, max_tables: int | None = SYNCED_TABLES) -> DataFrame:
-    """The first tables of each source's listing, in listing order.
+def listed_tables(listing: DataFrame, max_tables: int | None = None) -> DataFrame:
+    """All tables of each source's listing, or the first `max_tables` in listing order with their number.
 
     The rank filter is applied within each task first, so however long one source's
     listing is, at most `max_tables` of its rows leave a task.
@@ -134,8 +130,8 @@ def bapi_fields(interfaces: DataFrame, variant: str = "live") -> DataFrame:
     return explode_fields(entities, keep_empty=True)
 
 
-def gateway_services(catalogs: DataFrame, max_services: int = SYNCED_SERVICES) -> DataFrame:
-    """Named services of each gateway catalog: the first ones, and how many there are."""
+def gateway_services(catalogs: DataFrame, max_services: int | None = None) -> DataFrame:
+    """Named services of each gateway catalog, all or the first `max_services`, and how many there are."""
     listed = F.try_variant_get(
         F.try_parse_json("body"), "$.value", "array<struct<TechnicalServiceName:string>>"
     )
@@ -143,11 +139,11 @@ def gateway_services(catalogs: DataFrame, max_services: int = SYNCED_SERVICES) -
     return catalogs.select("source_id", names.alias("_names")).select(
         "source_id",
         F.size("_names").alias("n_services"),
-        F.posexplode(F.slice("_names", 1, max_services)).alias("service_no", "service"),
+        F.posexplode("_names" if max_services is None else F.slice("_names", 1, max_services)).alias("service_no", "service"),
     )
 
 
-def service_fields(catalogs: DataFrame, metadata: DataFrame, max_services: int = SYNCED_SERVICES) -> DataFrame:
+def service_fields(catalogs: DataFrame, metadata: DataFrame, max_services: int | None = None) -> DataFrame:
     """Fields of the catalogued services' metadata documents (`entity_hint` names the service).
 
     With several services the service name goes before the entity name. A source without

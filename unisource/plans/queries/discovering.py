@@ -201,7 +201,7 @@ SELECT source_id, table_name, table_no FROM (
 WHERE table_no <= 200""")
 def rfc_listed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sync's own limit: the first 200 tables a system lists."""
-    return sap.listed_tables(sap.rfc_rows(_listings(spark, sf_dir))).select("source_id", "table_name", "table_no")
+    return sap.listed_tables(sap.rfc_rows(_listings(spark, sf_dir)), max_tables=200).select("source_id", "table_name", "table_no")
 
 
 @query("rfc_columns", """

@@ -39,7 +39,11 @@ def discover(landed: DataFrame, dialects: list[str] | None = None) -> DataFrame:
     found = [operator(of(name)) for name, operator in _SINGLE.items() if wanted(name)]
     if wanted("abap"):
         tables = sap.listed_tables(sap.rfc_rows(of("abap_listing")))
-        found.append(sap.abap_fields(of("abap"), tables))
+        fields = of("abap")
+        # a source with a configured table list has no listing: all its tables count
+        unlisted = fields.join(of("abap_listing").select("source_id").distinct(), "source_id", "left_anti")
+        found.append(sap.abap_fields(fields, tables))
+        found.append(sap.abap_fields(unlisted.select(*fields.columns)))
     if wanted("sap_odata"):
         found.append(sap.service_fields(of("sap_services"), of("sap_odata")))
     if wanted("dynamics"):

@@ -22,11 +22,9 @@ REQUEST_OPTIONS = {
     "dynamics_entities": {
         "$select": "LogicalName,DisplayName,PrimaryIdAttribute,PrimaryNameAttribute,IsCustomEntity",
         "$filter": "IsIntersect eq false",
-        "$top": "200",
     },
     "dynamics_attributes": {
         "$select": "LogicalName,DisplayName,AttributeType,IsPrimaryId,IsPrimaryName,RequiredLevel",
-        "$top": "200",
     },
     "sage_cloud": {"$top": "1"},
 }
