@@ -87,6 +87,28 @@ def test_joined_finds_all_near_pairs():
                 assert (j, i) in got
 
 
+def test_near_copies_around_the_limit(spark):
+    """A group whose members lie on both sides of the asked similarity, against all pairs."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.choice(80, int(rng.integers(0, 4)), replace=False):
+            own[at] = f"v{int(rng.integers(0, 500))}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(77)} for t in texts]
+    smallest = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    smallest[i] = min(smallest[i], smallest[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(tuple(r) for r in jaccard.components(df, 4, 85, 100).select("doc_id", "component_id").collect())
+    assert got == dict(enumerate(smallest)) and len(set(smallest)) > 1
+
+
 def test_token_counts(docs, none):
     import sentencepiece
 

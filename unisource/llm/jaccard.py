@@ -10,8 +10,9 @@ gives a lower bound. The join narrows down in regions:
 * Inside a region documents are pivots: sets near a pivot go with it. Sets that lie too far apart by the triangle
   inequality of the sketches' distances are never compared; halves around a pivot join recursively.
 
-Equal sets are one class from the start. A first pass checks each class against one pivot only; the second looks at pairs
-of classes that are not yet connected, so a large group of near copies never makes all its pairs.
+Equal sets are one class from the start. A first pass checks each class against one pivot only. Regions where that left
+pairs unseen come again, for pairs of classes that are not yet connected: first the closest two of every
+two components, then all that is still apart. So a large group of near copies never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from unisource.session import staged
 SKETCH_BITS = 4096
 BRUTE = 256  # regions up to this size are compared directly
 SKETCH_WORDS = SKETCH_BITS // 64
+STEPS = ("stars", "closest", "all")
 
 
 def gram_set(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -55,7 +57,7 @@ def shell_edges(num: int, den: int, largest: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, row, n, cid (class of equal sets), shell, prefix of each row."""
+    """doc_id, row, n, cid (class of equal sets), shell, prefix, sketch of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,14 +71,14 @@ def described(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 window = n - -(-num * n // den) + 1 if n else 0
                 rows.append((
                     n, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), int(np.searchsorted(edges, n, "right")),
-                    own[:window].view(np.int64),
+                    own[:window].view(np.int64), sketch(own),
                 ))
             yield pd.concat([
                 batch[["doc_id", "row"]].reset_index(drop=True),
-                pd.DataFrame(rows, columns=["n", "cid", "shell", "prefix"]),
+                pd.DataFrame(rows, columns=["n", "cid", "shell", "prefix", "sketch"]),
             ], axis=1)
 
-    return docs.mapInPandas(run, f"doc_id {kind}, row long, n long, cid long, shell int, prefix array<long>")
+    return docs.mapInPandas(run, f"doc_id {kind}, row long, n long, cid long, shell int, prefix array<long>, sketch binary")
 
 
 def reach(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -91,14 +93,13 @@ def near(sketches: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, num:
     return (den * small >= num * large) & (apart <= reach(n[i], n[j], num, den))
 
 
-def leaders(sketches: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+def leaders(left: np.ndarray, sketches: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pivots one after another, each with the remaining members near it."""
-    left = np.arange(len(n))
     while len(left) > 1:
         pivot, rest = left[0], left[1:]
         hit = near(sketches, n, np.full(len(rest), pivot), rest, num, den)
         if hit.any():
-            yield int(pivot), rest[hit]
+            yield np.full(int(hit.sum()), pivot), rest[hit]
         left = rest[~hit]
 
 
@@ -135,47 +136,79 @@ def crossed(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, n: np.ndarray, l
                 yield np.full(len(hit), i), hit
 
 
-def candidates(regions: DataFrame, num: int, den: int, first_pass: bool) -> DataFrame:
-    """a, b: classes of one region to compare. `regions`: gram, cell, cid, n, home, sketch, label."""
+def closest(i: np.ndarray, j: np.ndarray, sketches: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the closest pair of every two labels."""
+    apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1)
+    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    order = np.lexsort((apart, high, low))
+    return order[np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))]
 
-    def one(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        group = group.sort_values(["n", "cid"])
-        cid, home = group["cid"].to_numpy(), group["home"].to_numpy(bool)
-        n = group["n"].to_numpy(np.int64)
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
-        if first_pass:
-            pairs = ((np.full(len(m), p), m) for p, m in leaders(sketches, n, num, den))
-        else:
-            pairs = joined(np.arange(len(n)), sketches, n, group["label"].to_numpy(), num, den)
-        for i, j in pairs:
-            use = home[i] | home[j]  # two boundary sets meet in their own shell
-            if use.any():
-                yield pd.DataFrame({"a": np.minimum(cid[i], cid[j])[use], "b": np.maximum(cid[i], cid[j])[use]})
+
+def candidates(regions: DataFrame, num: int, den: int, step: str) -> DataFrame:
+    """a, b: classes of one region to compare; gram, cell, again: whether its region has pairs that were passed over.
+
+    `regions`: gram, cell, cid, n, home, sketch, label. The step is one of STEPS.
+    """
+    schema = "a long, b long, gram long, cell int, again boolean"
+
+    def compared(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole regions, one after another in `rows`; those of two members are compared all at once."""
+        cid, home, label = rows["cid"].to_numpy(), rows["home"].to_numpy(bool), rows["label"].to_numpy()
+        n = rows["n"].to_numpy(np.int64)
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
+        starts = np.append(0, region_starts(rows))
+        ends = np.append(starts[1:], len(rows))
+        two = starts[(ends - starts == 2)]
+        two = two[label[two] != label[two + 1]]
+        hit = near(sketches, n, two, two + 1, num, den)
+        pairs = [(two[hit], two[hit] + 1)]
+        again = np.zeros(len(rows), bool)
+        for start, end in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+            members = np.arange(start, end)
+            if step == "stars":
+                own = list(leaders(members, sketches, n, num, den))
+                again[start:end] = bool(own)
+            else:
+                own = list(met(members, sketches, n, label))
+                if step == "closest" and own:
+                    i, j = (np.concatenate(x) for x in zip(*own))
+                    keep = closest(i, j, sketches, label)
+                    again[start:end] = True
+                    own = [(i[keep], j[keep])]
+            pairs += own
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        yield pd.DataFrame({
+            "a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j]), "gram": rows["gram"].to_numpy()[i],
+            "cell": rows["cell"].to_numpy()[i], "again": again[i],
+        })[home[i] | home[j]]  # two boundary sets meet in their own shell
+
+    def met(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in joined(members, sketches, n, label, num, den):
+            keep = closest(i, j, sketches, label) if step == "closest" else slice(None)
+            yield i[keep], j[keep]
+
+    def region_starts(rows: pd.DataFrame) -> np.ndarray:
+        gram, cell = rows["gram"].to_numpy(), rows["cell"].to_numpy()
+        return np.flatnonzero((gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        last = None
         for batch in batches:
-            change = (batch["gram"] != batch["gram"].shift()) | (batch["cell"] != batch["cell"].shift())
-            for _, group in batch.groupby(change.cumsum(), sort=False):
-                key = (group["gram"].iloc[0], group["cell"].iloc[0])
-                if held and key != last:
-                    yield from found(held)
-                    held = []
-                held.append(group)
-                last = key
+            if not len(batch):
+                continue
+            if held and (held[-1][["gram", "cell"]].iloc[-1] != batch[["gram", "cell"]].iloc[0]).any():
+                yield from compared(pd.concat(held))
+                held = []
+            starts = region_starts(batch)
+            if len(starts):
+                yield from compared(pd.concat([*held, batch.iloc[: starts[-1]]]))
+                held = []
+            held.append(batch.iloc[starts[-1] :] if len(starts) else batch)
         if held:
-            yield from found(held)
+            yield from compared(pd.concat(held))
 
-    def found(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = pd.concat(held) if len(held) > 1 else held[0]
-        if len(group) > 1:
-            parts = list(one(group))
-            if parts:
-                yield pd.concat(parts)
-
-    rows = regions.repartition("gram", "cell").sortWithinPartitions("gram", "cell")
-    return rows.mapInPandas(run, "a long, b long")
+    rows = regions.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "n", "cid")
+    return rows.mapInPandas(run, schema)
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,17 +228,15 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_members", "b_members").mapInPandas(run, "a long, b long")
 
 
-def spread_labels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """cid, label: the smallest class each class is connected to, after all rounds or so many of them.
+def spread_labels(edges: DataFrame) -> DataFrame:
+    """cid, label: the smallest class each class is connected to.
 
     Each round takes the smallest label among a class and its neighbours and then the label of the label,
     and writes it, so that the plan stays short. Edges both ways are counted by class, which combines before the exchange.
     """
     both = staged(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    done = 0
-    while rounds is None or done < rounds:
-        done += 1
+    while True:
         told = both.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
         least = labels.join(told, "cid").select("cid", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         jump = labels.select(F.col("cid").alias("new"), F.col("label").alias("jumped"))
@@ -228,7 +259,7 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     classes = staged(
         base.where("n > 0").groupBy("cid").agg(
             F.min("doc_id").alias("smallest"), F.first("n").alias("n"), F.first("shell").alias("shell"),
-            F.first("prefix").alias("prefix"),
+            F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "row")).alias("at"),
         ), "classes",
     )
     spread = classes.select("cid", "n", "shell", F.explode("prefix").alias("gram"))
@@ -237,20 +268,21 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     cells = spread.select(
         "gram", "cid", "n", F.explode(F.array(F.struct(F.col("shell").alias("cell"), F.lit(True).alias("home")), F.struct((F.col("shell") + 1).alias("cell"), F.lit(False).alias("home")))).alias("c")
     ).select("gram", "c.cell", "c.home", "cid", "n")
-    # the sets of all classes that share a region, from one row of each
-    met = spread.select("cid").distinct()
-    one_row = base.join(met, "cid").groupBy("cid").agg(F.min(F.struct("doc_id", "row")).alias("at")).select("cid", "at.*")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(lower=True)
         for batch in batches:
             found = [gram_set(hasher(t), size) for t in batch["text"]]
-            yield pd.DataFrame({"cid": batch["cid"], "members": [x.tobytes() for x in found], "sketch": [sketch(x) for x in found]})
+            yield pd.DataFrame({"cid": batch["cid"], "members": [x.tobytes() for x in found]})
 
-    sets = staged(
-        join_rows(read, one_row).select("cid", "text").mapInPandas(members, "cid long, members binary, sketch binary").dropDuplicates(["cid"]), "members"
-    )
-    drawn = sets.select("cid", "sketch")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of classes that are compared, built again from one row of each."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        one_row = classes.join(asked, "cid").select("cid", "at.*")
+        texts = join_rows(read, one_row).select("cid", "text").dropDuplicates(["cid"])
+        return staged(texts.mapInPandas(members, "cid long, members binary"), "members")
+
+    drawn = classes.select("cid", "sketch")
 
     # near copies share most of their n-grams: regions with the same sets, told by two hashes of them, count once
     alive = cells.groupBy("gram", "cell").agg(
@@ -258,18 +290,23 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         F.bit_xor(F.xxhash64("cid", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "cid", F.lit(1))).alias("y"),
     ).where("k > 1 and any_home").groupBy("cell", "k", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "cell")
     cells = staged(cells.join(alive, ["gram", "cell"]), "cells")
-    regions = cells.join(drawn, "cid").withColumn("label", F.col("cid"))
-    starred = candidates(regions, num, den, first_pass=True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = staged(links(starred, sets, num, den), "links")
-
-    labels = spread_labels(found, rounds=2)
-    told = cells.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_ = told.groupBy("gram", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("home").alias("any_home")).where("low < high and any_home")
-    again = told.join(open_.select("gram", "cell"), ["gram", "cell"]).join(drawn, "cid")
-    more = staged(links(candidates(again, num, den, first_pass=False).distinct(), sets, num, den), "links")
-
-    final = spread_labels(found.unionAll(more))
-    owned = classes.select("cid", "smallest").join(final, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    found = labels = again = None
+    for step in STEPS:
+        if labels is None:
+            told = cells.withColumn("label", F.col("cid"))
+        else:
+            told = cells.join(again, ["gram", "cell"]).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+            apart = told.groupBy("gram", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            told = told.join(apart.select("gram", "cell"), ["gram", "cell"])
+        met = staged(candidates(told.join(drawn, "cid"), num, den, step), "met")
+        pairs = staged(met.select("a", "b").distinct(), "pairs")
+        more = staged(links(pairs, sets_of(pairs), num, den), "links")
+        again = met.where("again").select("gram", "cell").distinct()
+        if labels is None or not more.isEmpty():
+            found = more if found is None else found.unionAll(more)
+            labels = spread_labels(found)
+
+    owned = classes.select("cid", "smallest").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = owned.groupBy("label").agg(F.min("smallest").alias("component_id"))
     by_class = owned.join(lowest, "label").select("cid", "component_id")
     return base.join(by_class, "cid", "left").select(
