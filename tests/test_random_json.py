@@ -1,75 +1,53 @@
-"""Random JSON bodies against a plain Python restatement of the record rules."""
+"""Random JSON bodies that are built together with the rows and fields they must give."""
 
 import json
 import random
-import re
 
 from pyspark.sql import functions as F
 
 from unisource.operators import records, sage
 
+KEYS = ["id", "b", "z.y", "tax_id", "é", "a b", "k'q"]
+FLAT = [
+    (1, "integer"), (-7, "integer"), (0, "integer"), (10**25, "integer"), (2.5, "float"), (1.0, "float"), (1e5, "float"),
+    (True, "boolean"), (False, "boolean"), (None, "string"), ("x", "string"), ("", "string"), ("[1]", "string"),
+    ('{"a":1}', "string"), ("true", "string"), ("2024-01-02", "date"), ({"u": 1}, "object"), ({}, "object"),
+]
 
-def kind(v):
-    for cls, name in ((bool, "boolean"), (int, "integer"), (float, "float"), (dict, "object"), (list, "array")):
-        if isinstance(v, cls):
-            return name
-    return "date" if isinstance(v, str) and re.match(r"\d{4}-\d{2}-\d{2}", v) else "string"
 
+def record(rng):
+    """A record without lists and the fields it has."""
+    chosen = [(k, *rng.choice(FLAT)) for k in rng.sample(KEYS, rng.randint(0, 4))]
+    return {k: v for k, v, _ in chosen}, [(k, t) for k, _, t in chosen]
 
-def described(record):
-    return [(k, kind(v)) for k, v in record.items()]
 
+def said(records_, fields):
+    return f"JSON - {records_} enregistrements, {fields} champs"
 
-def rest_rows(doc):
-    if isinstance(doc, list):
-        return doc
-    if not isinstance(doc, dict):
-        return []
-    return next((v for v in doc.values() if isinstance(v, list)), [doc])
 
-
-def file_sample(doc):
-    """(record count, sample) of a JSON file."""
-    if isinstance(doc, list):
-        return len(doc), doc[0] if doc else {}
-    if isinstance(doc, dict):
-        full = next((v for v in doc.values() if isinstance(v, list) and v), None)
-        return (len(full), full[0]) if full else (1, doc)
-    return None, {}
-
-
-def endpoint_sample(doc):
-    return (doc[0] if doc else {}) if isinstance(doc, list) else doc if isinstance(doc, dict) else {}
-
-
-def cloud_sample(doc):
-    listed = doc.get("$items", doc.get("value", []))
-    return listed[0] if listed else {}
-
-
-def bodies(n):
+def cases(n):
+    """(body, rows, endpoint fields or None for no entity, file fields, file description)."""
     rng = random.Random(11)
-    keys = ["id", "b", "z.y", "value", "$items", "tax_id", "é", "a b", "k'q"]
-    scalars = [1, -7, 0, 2.5, 1.0, 1e5, True, False, None, "x", "2024-01-02", "[1]", '{"a":1}', "", 10**25, "true"]
-
-    def value(depth):
-        roll = rng.random()
-        if depth and roll < 0.25:
-            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
-        if depth and roll < 0.45:
-            return {k: value(depth - 1) for k in rng.sample(keys, rng.randint(0, 4))}
-        return rng.choice(scalars)
-
-    docs = []
     for _ in range(n):
-        roll = rng.random()
-        if roll < 0.3:
-            docs.append([value(2) for _ in range(rng.randint(0, 3))])
-        elif roll < 0.95:
-            docs.append({k: value(3) for k in rng.sample(keys, rng.randint(0, 5))})
+        one, own = record(rng)
+        many = [record(rng) for _ in range(rng.randint(1, 3))]
+        rows, first = [r for r, _ in many], many[0][1]
+        outer = {**one, "rows": rows}
+        shape = rng.randrange(7)
+        if shape == 0:
+            yield rows, rows, first, first, said(len(rows), len(first))
+        elif shape == 1:
+            yield one, [one], own, own, said(1, len(own))
+        elif shape == 2:
+            yield outer, rows, [*own, ("rows", "array")], first, said(len(rows), len(first))
+        elif shape == 3:  # rows take an empty list, files go on to the next one
+            yield {"none": [], **outer}, [], [("none", "array"), *own, ("rows", "array")], first, said(len(rows), len(first))
+        elif shape == 4:
+            yield [], [], [], [], said(0, 0)
+        elif shape == 5:
+            yield [3, "x"], [3, "x"], None, [], said(2, 0)
         else:
-            docs.append(value(0))
-    return docs
+            yield rng.choice([3, "x", 2.5, True]), [], [], [], None
 
 
 def by_path(df):
@@ -79,33 +57,36 @@ def by_path(df):
     return found
 
 
-def test_against_python(land):
-    docs = bodies(600)
-    landed = land(*[("s", "e", json.dumps(d)) for d in docs])
+def test_known_answers(land):
+    known = list(cases(400))
+    landed = land(*[("s", "e", json.dumps(body)) for body, *_ in known])
 
     rows = {}
     for r in records.rest_rows(landed).select("path", "row_no", F.to_json("row").alias("t")).collect():
-        rows.setdefault(int(r["path"][1:]), {})[r["row_no"]] = json.loads(r["t"]) if r["t"] is not None else None
-    for i, d in enumerate(docs):
-        assert [rows.get(i, {}).get(k) for k in range(len(rest_rows(d)))] == rest_rows(d), d
-
-    got = by_path(records.endpoint_fields(landed))
-    want = {i: described(endpoint_sample(d)) for i, d in enumerate(docs) if isinstance(endpoint_sample(d), dict)}
-    assert got == want
+        rows.setdefault(int(r["path"][1:]), {})[r["row_no"]] = json.loads(r["t"])
+    for i, (body, expected, *_) in enumerate(known):
+        assert [rows.get(i, {})[k] for k in sorted(rows.get(i, {}))] == expected, body
 
+    assert by_path(records.endpoint_fields(landed)) == {i: k[2] for i, k in enumerate(known) if k[2] is not None}
     found = records.json_file_fields(landed)
-    samples = [file_sample(d) for d in docs]
-    fields = [described(s) if isinstance(s, dict) else [] for _, s in samples]
-    assert by_path(found) == dict(enumerate(fields))
-    said = {int(r["path"][1:]): r["entity_description"] for r in found.select("path", "entity_description").distinct().collect()}
-    assert said == {
-        i: None if n is None else f"JSON - {n} enregistrements, {len(f)} champs" for i, ((n, _), f) in enumerate(zip(samples, fields))
-    }
-
-
-def test_cloud_against_python(land):
-    docs = [d for d in bodies(600) if isinstance(d, dict) and isinstance(d.get("$items", d.get("value", [])), list)]
-    got = by_path(sage.cloud_fields(land(*[("s", "e", json.dumps(d)) for d in docs])))
-    basic = [("id", "uuid"), ("display_name", "string")]
-    want = {i: described(cloud_sample(d)) if isinstance(cloud_sample(d), dict) else basic for i, d in enumerate(docs)}
-    assert got == want
+    assert by_path(found) == {i: k[3] for i, k in enumerate(known)}
+    texts = {int(r["path"][1:]): r["entity_description"] for r in found.select("path", "entity_description").distinct().collect()}
+    assert texts == {i: k[4] for i, k in enumerate(known)}
+
+
+def test_cloud_known_answers(land):
+    rng = random.Random(12)
+    known = []
+    for _ in range(200):
+        one, own = record(rng)
+        known += rng.choice([
+            [({"$items": [one, {}]}, own)],
+            [({"value": [one]}, own)],
+            [({"value": [], "$items": [one]}, own)],
+            [({"$items": []}, [])],
+            [({"$items": None, "value": [one]}, [])],
+            [({"other": one}, [])],
+            [({"$items": [5]}, [("id", "uuid"), ("display_name", "string")])],
+        ])
+    got = by_path(sage.cloud_fields(land(*[("s", "e", json.dumps(body)) for body, _ in known])))
+    assert got == {i: fields for i, (_, fields) in enumerate(known)}

@@ -11,112 +11,219 @@ from pyspark.sql import types as T
 
 from unisource.functions.text import col, strip
 
-# ---- fixed values: universal type <- native names, per dialect and variant ----
+# ---- fixed values: native name -> universal type, per dialect and variant ----
 TYPE_MAPS: dict[tuple[str, str], dict[str, str]] = {
     ("sql", "live"): {
-        "integer": "INTEGER BIGINT SMALLINT INT",
-        "decimal": "NUMERIC DECIMAL",
-        "float": "FLOAT DOUBLE REAL",
-        "string": "VARCHAR TEXT CHAR NVARCHAR",
-        "boolean": "BOOLEAN BOOL",
-        "date": "DATE",
-        "datetime": "TIMESTAMP DATETIME",
-        "json": "JSON JSONB",
-        "uuid": "UUID",
+        "INTEGER": "integer",
+        "BIGINT": "integer",
+        "SMALLINT": "integer",
+        "INT": "integer",
+        "NUMERIC": "decimal",
+        "DECIMAL": "decimal",
+        "FLOAT": "float",
+        "DOUBLE": "float",
+        "REAL": "float",
+        "VARCHAR": "string",
+        "TEXT": "string",
+        "CHAR": "string",
+        "NVARCHAR": "string",
+        "BOOLEAN": "boolean",
+        "BOOL": "boolean",
+        "DATE": "date",
+        "TIMESTAMP": "datetime",
+        "DATETIME": "datetime",
+        "JSON": "json",
+        "JSONB": "json",
+        "UUID": "uuid",
     },
     ("sql", "lib"): {
-        "integer": "INTEGER BIGINT SMALLINT",
-        "decimal": "NUMERIC DECIMAL",
-        "float": "FLOAT DOUBLE",
-        "string": "VARCHAR TEXT CHAR NVARCHAR",
-        "boolean": "BOOLEAN BOOL",
-        "date": "DATE",
-        "datetime": "TIMESTAMP DATETIME",
-        "time": "TIME",
-        "json": "JSON JSONB",
-        "uuid": "UUID",
-        "binary": "BYTEA BLOB",
+        "INTEGER": "integer",
+        "BIGINT": "integer",
+        "SMALLINT": "integer",
+        "NUMERIC": "decimal",
+        "DECIMAL": "decimal",
+        "FLOAT": "float",
+        "DOUBLE": "float",
+        "VARCHAR": "string",
+        "TEXT": "string",
+        "CHAR": "string",
+        "NVARCHAR": "string",
+        "BOOLEAN": "boolean",
+        "BOOL": "boolean",
+        "DATE": "date",
+        "TIMESTAMP": "datetime",
+        "DATETIME": "datetime",
+        "TIME": "time",
+        "JSON": "json",
+        "JSONB": "json",
+        "UUID": "uuid",
+        "BYTEA": "binary",
+        "BLOB": "binary",
     },
     ("sql", "sage100"): {
-        "string": "varchar nvarchar char text ntext",
-        "integer": "int bigint smallint tinyint",
-        "boolean": "bit",
-        "decimal": "decimal numeric money",
-        "float": "float real",
+        "varchar": "string",
+        "nvarchar": "string",
+        "char": "string",
+        "text": "string",
+        "ntext": "string",
+        "int": "integer",
+        "bigint": "integer",
+        "smallint": "integer",
+        "tinyint": "integer",
+        "bit": "boolean",
+        "decimal": "decimal",
+        "numeric": "decimal",
+        "money": "decimal",
+        "float": "float",
+        "real": "float",
         "date": "date",
-        "datetime": "datetime datetime2",
+        "datetime": "datetime",
+        "datetime2": "datetime",
     },
     ("edm", "live"): {
-        "string": "Edm.String Edm.Binary Edm.Time",
-        "integer": "Edm.Int16 Edm.Int32 Edm.Int64 Edm.Byte",
-        "decimal": "Edm.Decimal",
-        "float": "Edm.Single Edm.Double",
-        "boolean": "Edm.Boolean",
-        "datetime": "Edm.DateTime Edm.DateTimeOffset",
-        "date": "Edm.Date",
-        "uuid": "Edm.Guid",
+        "Edm.String": "string",
+        "Edm.Binary": "string",
+        "Edm.Time": "string",
+        "Edm.Int16": "integer",
+        "Edm.Int32": "integer",
+        "Edm.Int64": "integer",
+        "Edm.Byte": "integer",
+        "Edm.Decimal": "decimal",
+        "Edm.Single": "float",
+        "Edm.Double": "float",
+        "Edm.Boolean": "boolean",
+        "Edm.DateTime": "datetime",
+        "Edm.DateTimeOffset": "datetime",
+        "Edm.Date": "date",
+        "Edm.Guid": "uuid",
     },
     ("edm", "lib"): {
-        "string": "Edm.String",
-        "integer": "Edm.Int16 Edm.Int32 Edm.Int64",
-        "decimal": "Edm.Decimal",
-        "float": "Edm.Single Edm.Double",
-        "boolean": "Edm.Boolean",
-        "datetime": "Edm.DateTime Edm.DateTimeOffset",
-        "date": "Edm.Date",
-        "time": "Edm.Time Edm.TimeOfDay",
-        "uuid": "Edm.Guid",
-        "binary": "Edm.Binary",
+        "Edm.String": "string",
+        "Edm.Int16": "integer",
+        "Edm.Int32": "integer",
+        "Edm.Int64": "integer",
+        "Edm.Decimal": "decimal",
+        "Edm.Single": "float",
+        "Edm.Double": "float",
+        "Edm.Boolean": "boolean",
+        "Edm.DateTime": "datetime",
+        "Edm.DateTimeOffset": "datetime",
+        "Edm.Date": "date",
+        "Edm.Time": "time",
+        "Edm.TimeOfDay": "time",
+        "Edm.Guid": "uuid",
+        "Edm.Binary": "binary",
     },
     ("edm", "sap"): {
-        "string": "Edm.String Edm.Binary",
-        "integer": "Edm.Int16 Edm.Int32 Edm.Int64 Edm.Byte",
-        "decimal": "Edm.Decimal",
-        "float": "Edm.Single Edm.Double",
-        "boolean": "Edm.Boolean",
-        "datetime": "Edm.DateTime Edm.DateTimeOffset",
-        "date": "Edm.Date",
-        "uuid": "Edm.Guid",
+        "Edm.String": "string",
+        "Edm.Binary": "string",
+        "Edm.Int16": "integer",
+        "Edm.Int32": "integer",
+        "Edm.Int64": "integer",
+        "Edm.Byte": "integer",
+        "Edm.Decimal": "decimal",
+        "Edm.Single": "float",
+        "Edm.Double": "float",
+        "Edm.Boolean": "boolean",
+        "Edm.DateTime": "datetime",
+        "Edm.DateTimeOffset": "datetime",
+        "Edm.Date": "date",
+        "Edm.Guid": "uuid",
     },
     ("edm", "dynamics"): {
-        "string": "Edm.String Edm.Binary",
-        "integer": "Edm.Int16 Edm.Int32 Edm.Int64",
-        "decimal": "Edm.Decimal",
-        "float": "Edm.Single Edm.Double",
-        "boolean": "Edm.Boolean",
-        "datetime": "Edm.DateTime Edm.DateTimeOffset",
-        "date": "Edm.Date",
-        "uuid": "Edm.Guid",
+        "Edm.String": "string",
+        "Edm.Binary": "string",
+        "Edm.Int16": "integer",
+        "Edm.Int32": "integer",
+        "Edm.Int64": "integer",
+        "Edm.Decimal": "decimal",
+        "Edm.Single": "float",
+        "Edm.Double": "float",
+        "Edm.Boolean": "boolean",
+        "Edm.DateTime": "datetime",
+        "Edm.DateTimeOffset": "datetime",
+        "Edm.Date": "date",
+        "Edm.Guid": "uuid",
     },
     ("dynamics", "live"): {
-        "uuid": "lookup uniqueidentifier owner customer",
-        "integer": "picklist integer bigint state status",
+        "lookup": "uuid",
+        "uniqueidentifier": "uuid",
+        "owner": "uuid",
+        "customer": "uuid",
+        "picklist": "integer",
+        "integer": "integer",
+        "bigint": "integer",
+        "state": "integer",
+        "status": "integer",
         "boolean": "boolean",
-        "decimal": "decimal money",
-        "float": "double",
+        "decimal": "decimal",
+        "money": "decimal",
+        "double": "float",
         "datetime": "datetime",
-        "string": "memo string virtual image",
+        "memo": "string",
+        "string": "string",
+        "virtual": "string",
+        "image": "string",
     },
     ("abap", "live"): {
-        "string": "C N T X STRING CHAR NUMC",
-        "date": "D DATS",
-        "integer": "I S B INT1 INT2 INT4",
-        "decimal": "P CURR QUAN DEC",
-        "float": "F",
+        "C": "string",
+        "N": "string",
+        "T": "string",
+        "X": "string",
+        "STRING": "string",
+        "CHAR": "string",
+        "NUMC": "string",
+        "D": "date",
+        "DATS": "date",
+        "I": "integer",
+        "S": "integer",
+        "B": "integer",
+        "INT1": "integer",
+        "INT2": "integer",
+        "INT4": "integer",
+        "P": "decimal",
+        "CURR": "decimal",
+        "QUAN": "decimal",
+        "DEC": "decimal",
+        "F": "float",
     },
     ("abap", "lib"): {
-        "string": "C N T X STRING CHAR NUMC XSTRING TIMS",
-        "date": "D DATS",
-        "integer": "I S B INT1 INT2 INT4 INT8",
-        "decimal": "P CURR QUAN DEC",
-        "float": "F",
+        "C": "string",
+        "N": "string",
+        "T": "string",
+        "X": "string",
+        "STRING": "string",
+        "CHAR": "string",
+        "NUMC": "string",
+        "XSTRING": "string",
+        "TIMS": "string",
+        "D": "date",
+        "DATS": "date",
+        "I": "integer",
+        "S": "integer",
+        "B": "integer",
+        "INT1": "integer",
+        "INT2": "integer",
+        "INT4": "integer",
+        "INT8": "integer",
+        "P": "decimal",
+        "CURR": "decimal",
+        "QUAN": "decimal",
+        "DEC": "decimal",
+        "F": "float",
     },
     ("sage_x3", "live"): {
-        "string": "A ANM M C",
-        "date": "D",
-        "decimal": "DCB MD QTY",
-        "integer": "L W",
-        "boolean": "Y",
+        "A": "string",
+        "ANM": "string",
+        "M": "string",
+        "C": "string",
+        "D": "date",
+        "DCB": "decimal",
+        "MD": "decimal",
+        "QTY": "decimal",
+        "L": "integer",
+        "W": "integer",
+        "Y": "boolean",
     },
 }
 
@@ -139,8 +246,7 @@ SPARK_TYPES: dict[str, T.DataType] = {
 
 
 def native_lookup(dialect: str, variant: str = "live") -> dict[str, str]:
-    groups = TYPE_MAPS[(dialect, variant)]
-    return {native: universal for universal, names in groups.items() for native in names.split()}
+    return TYPE_MAPS[(dialect, variant)]
 
 
 def native_key(native: Column | str, dialect: Column, variant: Column) -> Column:

@@ -30,13 +30,22 @@ def _given(column: str, value: Column) -> Column:
     return value
 
 
-def partial_update(current: DataFrame, patches: DataFrame, columns: list[str] | None = None, key: str = "id") -> DataFrame:
+def partial_update(current: DataFrame, patches: DataFrame, columns: list[str] | None = None, key: str = "id", order_by: str | None = None) -> DataFrame:
     """Set only what a patch gives; a row whose patch gives nothing is unchanged.
 
-    At most one patch per row; `updated_at` moves where something was set.
+    Several patches of one row count as one: of each column the latest given value by `order_by`. Without it
+    they must not contradict each other, else the query fails. `updated_at` moves where something was set.
     """
     columns = [c for c in (columns or UPDATABLE) if c in current.columns and c in patches.columns]
-    patch = patches.select(key, *[_given(c, F.col(c)).alias(f"_new_{c}") for c in columns])
+
+    def settled(c: str) -> Column:
+        value = _given(c, F.col(c))
+        if order_by:
+            return F.max_by(value, F.when(value.isNotNull(), F.col(order_by)))
+        apart = F.min(value) != F.max(value)
+        return F.when(apart, F.raise_error(F.lit(f"patches of one row contradict each other in {c}"))).otherwise(F.max(value))
+
+    patch = patches.groupBy(key).agg(*[settled(c).alias(f"_new_{c}") for c in columns])
     joined = current.join(patch, key, "left")
     changed = F.array_contains(F.array(*[F.col(f"_new_{c}").isNotNull() for c in columns]), True)
     result = joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns})

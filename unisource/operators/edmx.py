@@ -40,9 +40,11 @@ def _all_types(doc: Column) -> Column:
 
 
 def entity_types(landed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per entity type of each metadata document; unreadable XML gives none."""
+    """One row per entity type of each metadata document; unreadable XML and refused requests give none."""
     doc = F.from_xml("body", _EDMX, {"ignoreNamespace": "true"})
     carried = ["source_id", "path", "entity_hint", *keep]
+    if "status" in landed.columns:
+        landed = landed.filter(F.coalesce("status", F.lit(200)) < 400)
     return (
         landed.select(*carried, doc.alias("_doc"))
         .select(*carried, F.posexplode(_all_types(F.col("_doc"))).alias("entity_no", "_t"))

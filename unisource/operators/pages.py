@@ -144,8 +144,9 @@ def entity_detail(entities: DataFrame, fields: DataFrame, per_part: int = FIELDS
     have part 0 only. Without fields the list is empty.
 
     Entities and parts meet on (entity, part). So fields are exchanged once, and the parts
-    of one huge entity spread over the cluster.
+    of one huge entity spread over the cluster. A missing position counts as 0, the catalog's default.
     """
+    fields = fields.withColumn("position", F.coalesce("position", F.lit(0)))
     nested = fields.groupBy("entity_id", F.floor(F.col("position") / per_part).cast("int").alias("part")).agg(
         F.array_sort(
             F.collect_list(

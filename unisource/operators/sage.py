@@ -29,8 +29,6 @@ CLOUD_RESOURCES = {
     "currencies": "Devises",
     "cost_centres": "Centres de cout",
 }
-X3_OBJECTS_LIB = X3_OBJECTS[:9]
-CLOUD_RESOURCES_LIB = list(CLOUD_RESOURCES)[:10]
 SAGE_100_PREFIXES = ["F_", "P_", "G_", "E_", "CBF_", "JM_"]
 
 _DESCRIPTOR = (
@@ -102,10 +100,13 @@ def cloud_fields(
     chosen_items = (
         doc.withColumn("_key", chosen)
         .withColumn("_items", J.as_list(value))
+        .withColumn("_null", F.is_variant_null(value))
         .withColumn("_text", F.try_element_at("_texts", F.col("_key")))
     )
-    # a reply whose items are no list cannot be sampled
-    listed = settle(chosen_items, "_key", "_items").filter(F.col("_key").isNull() | F.col("_items").isNotNull())
+    # null items are none; a reply whose items are anything else than a list cannot be sampled
+    listed = settle(chosen_items, "_key", "_items", "_null").filter(
+        F.col("_key").isNull() | F.col("_items").isNotNull() | F.col("_null")
+    )
     first = F.get("_items", 0)
     sample = F.when(F.size("_items") > 0, F.when(J.is_object(first), J.entries(F.get(J.item_texts("_text"), 0)))).otherwise(
         F.array().cast("array<struct<key:string,value:variant>>")

@@ -131,7 +131,12 @@ def bapi_fields(interfaces: DataFrame, variant: str = "live") -> DataFrame:
 
 
 def gateway_services(catalogs: DataFrame, max_services: int | None = None) -> DataFrame:
-    """Named services of each gateway catalog, all or the first `max_services`, and how many there are."""
+    """Named services of each gateway catalog, all or the first `max_services`, and how many there are.
+
+    Refused requests list none.
+    """
+    if "status" in catalogs.columns:
+        catalogs = catalogs.filter(F.coalesce("status", F.lit(200)) < 400)
     listed = F.try_variant_get(
         F.try_parse_json("body"), "$.value", "array<struct<TechnicalServiceName:string>>"
     )
