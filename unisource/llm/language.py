@@ -8,7 +8,7 @@ language knows is read from left to right: at each place the longest known n-gra
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,6 @@ LONGEST = 5
 #: Entries of the model per language: words, and n-grams of each length.
 MAX_WORDS = 20_000
 MAX_GRAMS = 5_000
-CACHE_WORDS = 200_000
 SLICE_CHARS = 2_000_000
 UNKNOWN = "und"
 
@@ -30,12 +29,16 @@ def letter_words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def grams(word: str) -> Iterator[str]:
-    """Character n-grams of a word with its ends marked."""
-    marked = f"^{word}$"
-    for n in range(1, LONGEST + 1):
-        for k in range(len(marked) - n + 1):
-            yield marked[k : k + n]
+def gram_counts(words: dict[str, int]) -> dict[str, int]:
+    """How often each character n-gram stands in words of these numbers, with the ends of words marked."""
+    found: defaultdict[str, int] = defaultdict(int)
+    for word, n in words.items():
+        marked = f"^{word}$"
+        size = len(marked)
+        for k in range(size):
+            for end in range(k + 1, min(k + LONGEST, size) + 1):
+                found[marked[k:end]] += n
+    return found
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -47,10 +50,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 seen: Counter[str] = Counter()
                 for text in texts:
                     seen.update(letter_words(text))
-                parts: Counter[str] = Counter()
-                for word, n in seen.items():
-                    for g in grams(word):
-                        parts[g] += n
+                parts = gram_counts(seen)
                 yield pd.DataFrame({"lang": lang, "size": 0, "entry": list(seen), "n": list(seen.values())})
                 yield pd.DataFrame({"lang": lang, "size": [len(g) for g in parts], "entry": list(parts), "n": list(parts.values())})
 
@@ -63,46 +63,58 @@ class LanguageModel:
 
     def __init__(self, rows: pd.DataFrame, totals: dict[tuple[str, int], int]):
         self.langs = sorted({lang for lang, _ in totals})
-        self.entries: list[dict[str, np.ndarray]] = []
-        for size in range(LONGEST + 1):
-            own = rows[rows["size"] == size]
-            places = {e: k for k, e in enumerate(own["entry"].unique())}
-            table = np.zeros((len(places), len(self.langs)))
-            at = own["entry"].map(places).to_numpy(int) if len(own) else np.zeros(0, int)
-            table[at, [self.langs.index(x) for x in own["lang"]]] = own["n"].to_numpy(float)
-            total = np.array([totals.get((lang, size), 0) for lang in self.langs], float)
-            logs = np.log((table + 0.5) / (total + 0.5 * (len(places) + 1)))
-            self.entries.append({e: logs[k] for e, k in places.items()})
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.entries[0].get(word)
-        if known is not None:
-            return known
-        marked, total, k = f"^{word}$", np.zeros(len(self.langs)), 0
-        while k < len(marked):
-            for n in range(min(LONGEST, len(marked) - k), 0, -1):
-                found = self.entries[n].get(marked[k : k + n])
+        self.words, self.word_logs = self.table(rows[rows["size"] == 0], 0, totals)
+        sizes = [self.table(rows[rows["size"] == n], n, totals) for n in range(1, LONGEST + 1)]
+        self.grams: dict[str, int] = {}
+        for places, _ in sizes:
+            self.grams.update({g: k for k, g in enumerate(places, len(self.grams))})
+        self.gram_logs = np.concatenate([logs / LONGEST * n for n, (_, logs) in enumerate(sizes, 1)])
+
+    def table(self, own: pd.DataFrame, size: int, totals: dict[tuple[str, int], int]) -> tuple[dict[str, int], np.ndarray]:
+        """The entries of one size and their rows of log frequencies."""
+        places = {e: k for k, e in enumerate(own["entry"].unique())}
+        table = np.zeros((len(places), len(self.langs)))
+        at = own["entry"].map(places).to_numpy(int) if len(own) else np.zeros(0, int)
+        table[at, [self.langs.index(x) for x in own["lang"]]] = own["n"].to_numpy(float)
+        total = np.array([totals.get((lang, size), 0) for lang in self.langs], float)
+        return places, np.log((table + 0.5) / (total + 0.5 * (len(places) + 1)))
+
+    def known_grams(self, marked: str) -> list[int]:
+        """At each place of a word the longest n-gram that the model has."""
+        grams, size, out = self.grams, len(marked), []
+        for k in range(size):
+            for end in range(min(k + LONGEST, size), k, -1):
+                found = grams.get(marked[k:end])
                 if found is not None:
-                    total = total + found / LONGEST * n
+                    out.append(found)
                     break
-            k += 1
-        return total / max(1, len(marked))
+        return out
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """One row for each word: its own log frequencies, or the mean of its n-grams'."""
+        scores = np.zeros((len(words), len(self.langs)))
+        place = np.array([self.words.get(w, -1) for w in words], np.int64)
+        scores[place >= 0] = self.word_logs[place[place >= 0]]
+        unseen = np.flatnonzero(place < 0)
+        marked = [f"^{words[k]}$" for k in unseen.tolist()]
+        parts = [self.known_grams(m) for m in marked]
+        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        flat = np.array([g for x in parts for g in x], np.int64)
+        size = np.array([len(m) for m in marked])
+        for j in range(len(self.langs)):
+            total = np.bincount(owner, weights=self.gram_logs[flat, j], minlength=len(parts))
+            scores[unseen, j] = total / size
+        return scores
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [letter_words(t) if t else [] for t in texts]
         split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]
         local: dict[str, int] = {}
         ids = np.array([local.setdefault(w, len(local)) for ws in split for w in ws], np.int64)
-        if len(self.cache) + len(local) > CACHE_WORDS:
-            self.cache = {}
-        for w in local:
-            if w not in self.cache:
-                self.cache[w] = self.word(w)
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.langs or not len(ids):
             return labels, scores
-        rows = np.array([self.cache[w] for w in local])[ids]
+        rows = self.word_scores(list(local))[ids]
         full = [k for k, ws in enumerate(split) if ws]
         starts = np.cumsum([0] + [len(split[k]) for k in full])[:-1]
         sums = np.add.reduceat(rows, starts, axis=0)
