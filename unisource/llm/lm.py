@@ -36,7 +36,7 @@ class Tokens:
     """The tokens of a batch: hashes, the text each belongs to, and the places of its distinct keys."""
 
     doc: np.ndarray
-    keys: np.ndarray  # distinct, sorted by part and value
+    keys: np.ndarray  # distinct words, the start and distinct pairs, sorted by part
     parts: np.ndarray  # part of each key
     word: np.ndarray  # place of each token's own key
     context: np.ndarray
@@ -53,18 +53,19 @@ def tokens_of(texts: list[str | None], parts: int, hasher: WordHasher) -> Tokens
         empty = np.zeros(0, np.int64)
         return Tokens(empty, np.zeros(0, np.uint64), empty, empty, empty, empty)
     w, d = np.concatenate(word), np.concatenate(doc)
+    first = np.append(True, d[1:] != d[:-1])
     before = np.append(START, w[:-1])
-    before[np.append(True, d[1:] != d[:-1])] = START
-    pair = mixed(before * MIX + w) ^ np.uint64(1)
-    every = np.concatenate([mixed(w), mixed(before), mixed(pair)])
-    keys, place = np.unique(every, return_inverse=True)
+    before[first] = START
+    # a context is the word before or the start, so only words and pairs are told apart
+    word_place, words = pd.factorize(w)
+    pair_place, pairs = pd.factorize(mixed(before * MIX + w) ^ np.uint64(1))
+    keys = mixed(np.concatenate([words, [START], pairs]))
+    context_place = np.where(first, len(words), np.append(0, word_place[:-1]))
     part = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    place = back[place]
-    n = len(w)
-    return Tokens(d, keys[order], part[order], place[:n], place[n : 2 * n], place[2 * n :])
+    return Tokens(d, keys[order], part[order], back[word_place], back[context_place], back[pair_place + len(words) + 1])
 
 
 def batch_name(batch: pd.DataFrame) -> int:
@@ -105,8 +106,8 @@ def answers(asked: DataFrame) -> DataFrame:
         keys = [np.frombuffer(k, np.uint64) for k in part["keys"]]
         flat = np.concatenate(keys)
         own = np.concatenate([np.frombuffer(c, "<u4") for c in part["counts"]])
-        distinct, place = np.unique(flat, return_inverse=True)
-        total = np.bincount(place, weights=own).astype(np.int64)
+        place, distinct = pd.factorize(flat)
+        total = np.bincount(place, weights=own, minlength=len(distinct)).astype(np.int64)
         is_word = np.zeros(len(distinct), bool)
         word = np.concatenate([np.unpackbits(np.frombuffer(w, np.uint8), count=len(k)) for w, k in zip(part["is_word"], keys)])
         is_word[place[word.astype(bool)]] = True
