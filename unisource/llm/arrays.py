@@ -22,29 +22,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes(dict):
+    """Hashes of words as UTF-8 bytes, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class WordHasher:
-    """64-bit hashes of a text's words; those of frequent words are looked up."""
+    """64-bit hashes of a text's words; those of frequent words are looked up.
+
+    Bytes know only the ASCII letters and white space, which is what a word is defined by.
+    """
 
     def __init__(self, lower: bool):
         self.lower = lower
-        self.cache: dict[str, int] = {}
+        self.cache = Hashes()
 
     def words(self, text: str | None) -> list[str]:
         text = text if isinstance(text, str) else ""
         return WORD.findall(text.translate(UPPER_TO_LOWER) if self.lower else text)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        found = self.words(text)
-        try:
-            return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            for w in found:
-                if w not in cache:
-                    cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        found = (data.lower() if self.lower else data).split()
+        return np.fromiter(map(self.cache.__getitem__, found), np.uint64, len(found))
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
