@@ -173,7 +173,10 @@ def test_stored_catalog(spark, tmp_path):
     s2 = catalog.sources().filter("id = 's2'").first()
     assert (s2["status"], s2["error_message"], s2["test_latency_ms"]) == ("error", "HTTP 503", None)
 
-    assert catalog.connection_tests().count() == 1
+    late = tests.withColumn("id", F.lit("late")).withColumn("tested_at", F.col("tested_at") - F.expr("INTERVAL 1 DAY"))
+    catalog.save_tests(late.withColumn("error_message", F.lit("older")))
+    assert catalog.sources().filter("id = 's2'").first()["error_message"] == "HTTP 503"
+    assert catalog.connection_tests().count() == 2
     gone = catalog.delete_sources(spark.createDataFrame([("s2",), ("nobody",)], "id string"))
     assert [r["id"] for r in gone.collect()] == ["s2"]
     assert [r["id"] for r in catalog.sources().collect()] == ["s1"]

@@ -138,11 +138,16 @@ class Catalog:
         self._append_versions(rows)
 
     def save_tests(self, tests: DataFrame) -> None:
-        """Log connection tests and move their sources to the state of the last one."""
+        """Log connection tests and move their sources to the state of the last one.
+
+        A batch that arrives late, with tests from before a source's last one, is logged only.
+        """
         tests.select(*_names(schemas.CONNECTION_TESTS)).write.mode("append").parquet(f"{self.root}/connection_tests")
         latest = status.latest_status(tests).withColumnRenamed("source_id", "id")
         names = ["status", "test_latency_ms", "error_message", "last_tested_at"]
-        rows = self.sources().drop(*names).join(latest, "id")
+        known = self.sources().withColumn("_before", F.col("last_tested_at")).drop(*names)
+        moved = F.col("_before").isNull() | (F.col("last_tested_at") >= F.col("_before"))
+        rows = known.join(latest, "id").filter(moved).drop("_before")
         self._append_versions(rows.withColumn("updated_at", F.current_timestamp()))
 
     def delete_sources(self, doomed: DataFrame) -> DataFrame:
