@@ -109,6 +109,42 @@ def test_near_copies_around_the_limit(spark):
     assert got == dict(enumerate(smallest)) and len(set(smallest)) > 1
 
 
+@pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80)])
+def test_nested_texts_across_shell_edges(spark, size, num):
+    """Two sets of one shell link, or not, with a third of the next shell that only the larger of them reaches."""
+    edges = [int(e) for e in jaccard.shell_edges(num, 100, 400)]
+    texts, number = [], 0
+    for low in (e for e in edges if 60 < e < 250):
+        top = next(n for n in range(2 * low, low, -1) if 100 * (low + 1) >= num * n)  # within reach of low + 1 only
+        for _ in range(25):
+            number += 1
+            words = [f"x{number}y{k}" for k in range(top + size - 1)]
+            texts += [" ".join(words[: n + size - 1]) for n in (low, low + 1, top)]
+    sets = [gram_set(t, size) for t in texts]
+    want = list(range(len(texts)))
+    for at in range(0, len(texts), 3):
+        for _ in range(3):
+            for i in range(at, at + 3):
+                for j in range(at, at + 3):
+                    if 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                        want[i] = want[j] = min(want[i], want[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(tuple(r) for r in jaccard.components(df, size, num, 100).select("doc_id", "component_id").collect())
+    assert got == dict(enumerate(want))
+
+
+def test_closest_pairs_leave_boundary_pairs_out():
+    """The closest pair of two labels is one that this shell may emit."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 102).astype(np.uint64)
+    sets = [base[:86], base[:87], base]
+    sketches = np.frombuffer(b"".join(map(jaccard.sketch, sets)), np.uint64).reshape(-1, jaccard.SKETCH_WORDS)
+    n, label, home = np.array([86, 87, 102]), np.arange(3), np.array([False, False, True])
+    got = {(int(a), int(b)) for i, j in jaccard.joined(label, sketches, n, label, 85, 100, home) for a, b in zip(i, j)}
+    assert got == {(1, 2)}
+    assert [(i.tolist(), j.tolist()) for i, j in jaccard.leaders(label, sketches, n, home, 85, 100)] == [([2], [1])]
+
+
 def test_token_counts(docs, none):
     import sentencepiece
 

@@ -93,9 +93,13 @@ def near(sketches: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, num:
     return (den * small >= num * large) & (apart <= reach(n[i], n[j], num, den))
 
 
-def leaders(left: np.ndarray, sketches: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pivots one after another, each with the remaining members near it."""
-    while len(left) > 1:
+def leaders(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, home: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pivots at home one after another, each with the remaining members near it.
+
+    Boundary sets are no pivots: they meet each other in their own shell, and one must not use up another here.
+    """
+    left = np.concatenate([members[home[members]], members[~home[members]]])
+    while len(left) > 1 and home[left[0]]:
         pivot, rest = left[0], left[1:]
         hit = near(sketches, n, np.full(len(rest), pivot), rest, num, den)
         if hit.any():
@@ -103,14 +107,16 @@ def leaders(left: np.ndarray, sketches: np.ndarray, n: np.ndarray, num: int, den
         left = rest[~hit]
 
 
-def joined(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of members with different labels.
+def joined(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray, num: int, den: int, home: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of members with different labels, one of them at home at least; without `home` all are.
 
     A pivot halves the members by their distance from it. Partners on both sides of the cut are at most
     the reach away from it; if that leaves most members out, the halves join by themselves and the
     two sides of the cut with each other; else all are compared.
     """
-    if len(members) < 2 or (label[members] == label[members[0]]).all():
+    if home is None:
+        home = np.ones(len(label), bool)
+    if len(members) < 2 or (label[members] == label[members[0]]).all() or not home[members].any():
         return
     if len(members) > BRUTE:
         far = np.bitwise_count(sketches[members] ^ sketches[members[0]]).sum(axis=1)
@@ -119,17 +125,17 @@ def joined(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.n
         inner, outer = members[far <= cut], members[far > cut]
         a, b = members[(far <= cut) & (far > cut - width - 1)], members[(far > cut) & (far <= cut + width)]
         if len(inner) < len(members) and len(a) * len(b) < len(members) ** 2 // 16:
-            yield from joined(inner, sketches, n, label, num, den)
-            yield from joined(outer, sketches, n, label, num, den)
-            yield from crossed(a, b, sketches, n, label, num, den)
+            yield from joined(inner, sketches, n, label, num, den, home)
+            yield from joined(outer, sketches, n, label, num, den, home)
+            yield from crossed(a, b, sketches, n, label, num, den, home)
             return
     for k in range(len(members) - 1):
-        yield from crossed(members[k : k + 1], members[k + 1 :], sketches, n, label, num, den)
+        yield from crossed(members[k : k + 1], members[k + 1 :], sketches, n, label, num, den, home)
 
 
-def crossed(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def crossed(a: np.ndarray, b: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray, num: int, den: int, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i in a:
-        other = b[label[b] != label[i]]
+        other = b[(label[b] != label[i]) & (home[b] | home[i])]
         if len(other):
             hit = other[near(sketches, n, np.full(len(other), i), other, num, den)]
             if len(hit):
@@ -159,17 +165,17 @@ def candidates(regions: DataFrame, num: int, den: int, step: str) -> DataFrame:
         starts = np.append(0, region_starts(rows))
         ends = np.append(starts[1:], len(rows))
         two = starts[(ends - starts == 2)]
-        two = two[label[two] != label[two + 1]]
+        two = two[(label[two] != label[two + 1]) & (home[two] | home[two + 1])]
         hit = near(sketches, n, two, two + 1, num, den)
         pairs = [(two[hit], two[hit] + 1)]
         again = np.zeros(len(rows), bool)
         for start, end in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
             members = np.arange(start, end)
             if step == "stars":
-                own = list(leaders(members, sketches, n, num, den))
+                own = list(leaders(members, sketches, n, home, num, den))
                 again[start:end] = bool(own)
             else:
-                own = list(met(members, sketches, n, label))
+                own = list(met(members, sketches, n, label, home))
                 if step == "closest" and own:
                     i, j = (np.concatenate(x) for x in zip(*own))
                     keep = closest(i, j, sketches, label)
@@ -180,10 +186,10 @@ def candidates(regions: DataFrame, num: int, den: int, step: str) -> DataFrame:
         yield pd.DataFrame({
             "a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j]), "gram": rows["gram"].to_numpy()[i],
             "cell": rows["cell"].to_numpy()[i], "again": again[i],
-        })[home[i] | home[j]]  # two boundary sets meet in their own shell
+        })
 
-    def met(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, j in joined(members, sketches, n, label, num, den):
+    def met(members: np.ndarray, sketches: np.ndarray, n: np.ndarray, label: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in joined(members, sketches, n, label, num, den, home):
             keep = closest(i, j, sketches, label) if step == "closest" else slice(None)
             yield i[keep], j[keep]
 
