@@ -298,6 +298,46 @@ def test_language_held_out(spark):
     assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
 
 
+def test_language_counts_every_word(spark):
+    """Words and n-grams far down the list of a large vocabulary still count, against plain arithmetic."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    many = sorted({"".join(rng.choice(letters, 6)) for _ in range(23_000)})
+    rows = [(k, " ".join(many[k::10] * 2), "aa") for k in range(10)] + [(10, "zzzrare once", "aa"), (11, "zzzrare once more here " * 3, "bb")]
+    asked = [(20, "zzzrare once"), (21, "qqzzy zzzrar"), (22, many[-1] + " more")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in language.predict(docs, model, ["doc_id"]).collect()}
+    seen = {(x, n): Counter() for x in ("aa", "bb") for n in range(6)}
+    for _, text, lang in rows:
+        for w in text.split():
+            seen[lang, 0][w] += 1
+            m = f"^{w}$"
+            for k in range(len(m)):
+                for n in range(1, min(5, len(m) - k) + 1):
+                    seen[lang, n][m[k : k + n]] += 1
+    types = [len(set(seen["aa", n]) | set(seen["bb", n])) for n in range(6)]
+    total = {k: sum(c.values()) for k, c in seen.items()}
+
+    def log(lang, n, entry):
+        return math.log((seen[lang, n][entry] + 0.5) / (total[lang, n] + 0.5 * (types[n] + 1)))
+
+    def known(n, entry):
+        return seen["aa", n][entry] + seen["bb", n][entry] > 0
+
+    def one(lang, w):
+        if known(0, w):
+            return log(lang, 0, w)
+        m = f"^{w}$"
+        longest = [next((n for n in range(min(5, len(m) - k), 0, -1) if known(n, m[k : k + n])), 0) for k in range(len(m))]
+        return sum(log(lang, n, m[k : k + n]) * n / 5 for k, n in enumerate(longest) if n) / len(m)
+
+    for doc, text in asked:
+        a, b = (sum(one(x, w) for w in text.split()) for x in ("aa", "bb"))
+        share = 1 / (1 + math.exp(b - a))
+        assert got[doc] == (("aa", round(share, 6)) if a >= b else ("bb", round(1 - share, 6)))
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(17)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)

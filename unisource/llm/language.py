@@ -1,26 +1,30 @@
 """Language by words first: known words by their frequency in each language, others by character n-grams.
 
-Counts cover all training rows; tasks combine them before the exchange. The model keeps the most frequent words and
-n-grams of each language, a stated number, so its size does not grow with the corpus. A word that no
-language knows is read from left to right: at each place the longest known n-gram counts, 5 to 1 characters.
+Counts cover all training rows; tasks combine them before the exchange. All words and n-grams stay, as a table that
+grows with the corpus and is never in one place: a batch of documents asks for its distinct words, and gets one row of
+log frequencies for each. A word that no language knows is read from left to right: at each place the longest
+known n-gram counts, 5 to 1 characters.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unisource.llm.common import fresh
+from unisource.session import staged
+
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Entries of the model per language: words, and n-grams of each length.
-MAX_WORDS = 20_000
-MAX_GRAMS = 5_000
 SLICE_CHARS = 2_000_000
 UNKNOWN = "und"
 
@@ -58,85 +62,86 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
 
 
+@dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies by language of words and n-grams."""
-
-    def __init__(self, rows: pd.DataFrame, totals: dict[tuple[str, int], int]):
-        self.langs = sorted({lang for lang, _ in totals})
-        self.words, self.word_logs = self.table(rows[rows["size"] == 0], 0, totals)
-        sizes = [self.table(rows[rows["size"] == n], n, totals) for n in range(1, LONGEST + 1)]
-        self.grams: dict[str, int] = {}
-        for places, _ in sizes:
-            self.grams.update({g: k for k, g in enumerate(places, len(self.grams))})
-        self.gram_logs = np.concatenate([logs / LONGEST * n for n, (_, logs) in enumerate(sizes, 1)])
-
-    def table(self, own: pd.DataFrame, size: int, totals: dict[tuple[str, int], int]) -> tuple[dict[str, int], np.ndarray]:
-        """The entries of one size and their rows of log frequencies."""
-        places = {e: k for k, e in enumerate(own["entry"].unique())}
-        table = np.zeros((len(places), len(self.langs)))
-        at = own["entry"].map(places).to_numpy(int) if len(own) else np.zeros(0, int)
-        table[at, [self.langs.index(x) for x in own["lang"]]] = own["n"].to_numpy(float)
-        total = np.array([totals.get((lang, size), 0) for lang in self.langs], float)
-        return places, np.log((table + 0.5) / (total + 0.5 * (len(places) + 1)))
-
-    def known_grams(self, marked: str) -> list[int]:
-        """At each place of a word the longest n-gram that the model has."""
-        grams, size, out = self.grams, len(marked), []
-        for k in range(size):
-            for end in range(min(k + LONGEST, size), k, -1):
-                found = grams.get(marked[k:end])
-                if found is not None:
-                    out.append(found)
-                    break
-        return out
+    """Languages in order, occurrences by size and language, distinct entries by size, and the table of all counts.
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """One row for each word: its own log frequencies, or the mean of its n-grams'."""
-        scores = np.zeros((len(words), len(self.langs)))
-        place = np.array([self.words.get(w, -1) for w in words], np.int64)
-        scores[place >= 0] = self.word_logs[place[place >= 0]]
-        unseen = np.flatnonzero(place < 0)
-        marked = [f"^{words[k]}$" for k in unseen.tolist()]
-        parts = [self.known_grams(m) for m in marked]
-        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        flat = np.array([g for x in parts for g in x], np.int64)
-        size = np.array([len(m) for m in marked])
-        for j in range(len(self.langs)):
-            total = np.bincount(owner, weights=self.gram_logs[flat, j], minlength=len(parts))
-            scores[unseen, j] = total / size
-        return scores
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [letter_words(t) if t else [] for t in texts]
-        split = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in split]
-        local: dict[str, int] = {}
-        ids = np.array([local.setdefault(w, len(local)) for ws in split for w in ws], np.int64)
-        labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.langs or not len(ids):
-            return labels, scores
-        rows = self.word_scores(list(local))[ids]
-        full = [k for k, ws in enumerate(split) if ws]
-        starts = np.cumsum([0] + [len(split[k]) for k in full])[:-1]
-        sums = np.add.reduceat(rows, starts, axis=0)
-        weights = np.exp(sums - sums.max(axis=1, keepdims=True))
-        share = weights / weights.sum(axis=1, keepdims=True)
-        for k, s in zip(full, share):
-            best = int(np.argmax(s))
-            labels[k], scores[k] = self.langs[best], float(s[best])
-        return labels, scores
+    The table has size (0 for words), entry and n, the occurrences in each language.
+    """
+
+    langs: list[str]
+    totals: np.ndarray
+    types: np.ndarray
+    table: DataFrame | None
+
+    def logs(self) -> Column:
+        """Log frequencies of a row of the table; those of an n-gram weigh by its length."""
+        def of(size: int) -> Column:
+            below = F.array(*[F.lit(float(t + 0.5 * (self.types[size] + 1))) for t in self.totals[size]])
+            weight = F.lit(size / LONGEST if size else 1.0)
+            return F.zip_with("n", below, lambda n, b: F.log((n + 0.5) / b) * weight)
+
+        out = F.when(F.col("size") == 0, of(0))
+        for size in range(1, LONGEST + 1):
+            out = out.when(F.col("size") == size, of(size))
+        return out
 
 
 def fit(docs: DataFrame) -> LanguageModel:
-    """The model of all rows of `docs` (text, lang). The driver gets only the model, of stated size."""
-    counted = counts(docs)
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry")
-    limit = F.when(F.col("size") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    # two filters: the first is a constant, so each task keeps its own first rows only before the exchange
-    top = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_WORDS).where(F.col("place") <= limit)
-    rows = top.select("lang", "size", "entry", "n").toArrow().to_pandas()
-    # every word of k letters has the same number of places for each n, so totals follow from the kept counts
-    totals = {(r[0], r[1]): int(r[2]) for r in rows.groupby(["lang", "size"])["n"].sum().reset_index().itertuples(index=False)}
-    return LanguageModel(rows, totals)
+    """The model of all rows of `docs` (text, lang). The driver gets the totals only."""
+    counted = staged(counts(docs), "language-counts")
+    sums = counted.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()
+    langs = sorted({r["lang"] for r in sums})
+    totals, types = np.zeros((LONGEST + 1, len(langs))), np.zeros(LONGEST + 1)
+    for r in sums:
+        totals[r["size"], langs.index(r["lang"])] = r["n"]
+    if not langs:
+        return LanguageModel(langs, totals, types, None)
+    own = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs]
+    table = staged(counted.groupBy("size", "entry").agg(F.array(*own).alias("n")), "language-model")
+    for r in table.groupBy("size").count().collect():
+        types[r["size"]] = r["count"]
+    return LanguageModel(langs, totals, types, table)
+
+
+def places(marked: str) -> Iterator[list[str]]:
+    """At each place of a word its n-grams, the longest first."""
+    size = len(marked)
+    for k in range(size):
+        yield [marked[k:end] for end in range(min(k + LONGEST, size), k, -1)]
+
+
+def unseen_scores(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """word, logs: the mean of the longest known n-grams' log frequencies, for words that no language knows."""
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            if len(batch):
+                yield pd.DataFrame({"chunk": [(part << 32) + k], "words": [list(batch["word"])]})
+
+    chunks = staged(words.mapInPandas(chunked, "chunk long, words array<string>"), "language-unseen")
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for chunk, own in zip(batch["chunk"], batch["words"]):
+                grams = sorted({g for w in own for found in places(f"^{w}$") for g in found})
+                yield pd.DataFrame({"chunk": chunk, "entry": grams})
+
+    known = model.table.where("size > 0").select("entry", model.logs().alias("logs"))
+    grams = chunks.mapInPandas(asked, "chunk long, entry string").join(known, "entry")
+    width = len(model.langs)
+
+    def scored(chunk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        logs = dict(zip(found["entry"], found["logs"]))
+        words, rows = [w for own in chunk["words"] for w in own], []
+        for w in words:
+            longest = [next((g for g in at if g in logs), None) for at in places(f"^{w}$")]
+            known = [logs[g] for g in longest if g is not None]
+            rows.append(np.sum(known, axis=0) / len(longest) if known else np.zeros(width))
+        return pd.DataFrame({"word": words, "logs": rows})
+
+    return chunks.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInPandas(scored, "word string, logs array<double>")
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str]) -> DataFrame:
@@ -145,20 +150,58 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str]) ->
     Null texts and texts without a letter are `und` with score 0; so is everything if there was nothing to
     learn from. Ties go to the language that sorts first. Repeated rows are predicted each.
     """
-    kept = docs.select(*keep, docs["text"].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["_text"]]
-            labels, scores, begin, chars = [], [], 0, 0
-            for end, text in enumerate(texts, 1):
-                chars += len(text or "")
-                if chars >= SLICE_CHARS or end == len(texts):
-                    a, b = own.predict(texts[begin:end])
-                    labels, scores, begin, chars = labels + a, scores + b, end, 0
-            yield batch.drop(columns="_text").assign(lang_pred=labels, score=scores)
-
-    return kept.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    plain = docs.select(*keep)
+    if not model.langs:
+        return plain.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    text, batch, place, ids, words = fresh(plain, "text", "batch", "place", "ids", "words")
+    kept = docs.select(*keep, docs["text"].alias(text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Texts as places in the list of distinct words of a slice; the list stands in the slice's first row."""
+        number = TaskContext.get().partitionId() << 32
+        for rows in batches:
+            texts = [t if isinstance(t, str) else "" for t in rows[text]]
+            begin, chars = 0, 0
+            for end, t in enumerate(texts, 1):
+                chars += len(t)
+                if chars < SLICE_CHARS and end < len(texts):
+                    continue
+                local: dict[str, int] = {}
+                packed = []
+                for own in map(letter_words, texts[begin:end]):
+                    own = own if any(c.isalpha() for w in own for c in w) else []
+                    at = np.array([local.setdefault(w, len(local)) for w in own], "<u4")
+                    packed.append(zlib.compress(at.tobytes(), 1))
+                size = end - begin
+                yield rows.iloc[begin:end].drop(columns=text).assign(**{
+                    batch: number, place: np.arange(size), ids: packed, words: [list(local), *[None] * (size - 1)],
+                })
+                number, begin, chars = number + 1, end, 0
+
+    whole = f"{schema}, `{batch}` long, `{place}` int, `{ids}` binary, `{words}` array<string>"
+    read = staged(kept.mapInPandas(split, whole), "language-words")
+    asked = read.where(F.col(words).isNotNull()).select(F.col(batch).alias("batch"), F.posexplode(words).alias("at", "word"))
+    known = model.table.where("size = 0").select(F.col("entry").alias("word"), model.logs().alias("logs"))
+    unseen = asked.select("word").distinct().join(known, "word", "left_anti")
+    answers = asked.join(known.unionAll(unseen_scores(unseen, model)), "word").select("batch", "at", "logs")
+    langs = model.langs
+
+    def scored(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(place)
+        asked_for = next((len(w) for w in rows[words] if w is not None), 0)
+        if len(found) != asked_for:
+            raise RuntimeError("a batch did not get the words it asked for; was the input changed meanwhile?")
+        logs = np.stack(found.sort_values("at")["logs"].to_list()) if len(found) else np.zeros((0, len(langs)))
+        labels, scores = [UNKNOWN] * len(rows), [0.0] * len(rows)
+        for k, packed in enumerate(rows[ids]):
+            own = np.frombuffer(zlib.decompress(packed), "<u4")
+            if len(own):
+                total = logs[own].sum(axis=0)
+                weights = np.exp(total - total.max())
+                best = int(np.argmax(total))
+                labels[k], scores[k] = langs[best], float(weights[best] / weights.sum())
+        return rows.drop(columns=[batch, place, ids, words]).assign(lang_pred=labels, score=scores)
+
+    parts = read.groupBy(batch).cogroup(answers.groupBy("batch"))
+    return parts.applyInPandas(scored, f"{schema}, lang_pred string, score double")
