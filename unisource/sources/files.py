@@ -29,21 +29,23 @@ def whole_files(spark: SparkSession, path: str, strict: bool = True) -> list[str
     """Files with a record that spans lines or a line of blanks only; None for very many.
 
     One task each must read such files whole. All others may be split at any line end, so
-    this one scan buys a parallel read of even a single very large file. With `strict` it
-    also refuses bytes that are no UTF-8.
+    this one scan buys a parallel read of even a single very large file. With `strict` a
+    scan of its own, over all files, refuses bytes that are no UTF-8.
     """
     line = F.col("value")
     invalid = ~F.is_valid_utf8(line)
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     blank = (line != "") & (F.trim(line) == "")
+    lines, file = spark.read.text(path), F.col("_metadata.file_path")
+    if strict:
+        broken = lines.filter(invalid).agg(F.min(file)).first()[0]
+        if broken is not None:
+            raise ValueError(f"not valid UTF-8: {broken}")
     found = (
-        spark.read.text(path).filter((quotes % 2 == 1) | blank | invalid)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.bool_or(invalid).alias("invalid"))
+        lines.filter((quotes % 2 == 1) | blank | invalid)
+        .groupBy(file.alias("file")).agg(F.count("*"))
         .limit(ROUTED_FILES + 1).collect()
     )
-    if strict and any(r["invalid"] for r in found):
-        raise ValueError(f"not valid UTF-8: {next(r['file'] for r in found if r['invalid'])}")
     return [r["file"] for r in found] if len(found) <= ROUTED_FILES else None
 
 
