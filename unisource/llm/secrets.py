@@ -3,7 +3,8 @@
 A long random-looking token without a telling name may be a credential or an example that everyone
 copies. Candidates are hashed and counted by distinct owners and distinct repositories over all rows: a
 value that one owner has in few repositories looks live and its spans are added; a widely copied
-one does not. Spans found by pattern always stay; the same counts mark which of them look copied.
+one does not. Spans found by pattern always stay; verdicts() marks by the same counts which spans look copied.
+Redaction counts equal texts once and asks for the owners only, so copies of a document hide no live value.
 """
 
 from __future__ import annotations
@@ -79,34 +80,56 @@ def scan(docs: DataFrame, owner: str) -> DataFrame:
     return staged(free.withColumn("base", F.sort_array("base")), "secrets")
 
 
-def ownership(scanned: DataFrame) -> DataFrame:
+def ownership(scanned: DataFrame, once: bool = False) -> DataFrame:
     """Distinct owners and repositories of each candidate value: hash, owners, repos.
 
     Each step combines before its exchange and the first drops repeats, so a value that a third of
     all documents hold costs one row per task and document at most. A null owner is an owner of its own.
+    With `once` all rows of equal text are one repository, of the owner that sorts first.
     """
-    values = scanned.select("doc_id", "owner", F.explode(F.concat("base", "more")).alias("s")).select(
-        F.xxhash64("s.value").alias("hash"), F.col("owner"), F.col("doc_id")
+    values = scanned.select("doc_id", "row", "owner", F.explode(F.concat("base", "more")).alias("s")).select(
+        F.xxhash64("s.value").alias("hash"), F.col("owner"), F.col("doc_id"), F.col("row")
     )
+    if once:
+        values = values.groupBy("hash", "row").agg(F.min("owner").alias("owner")).withColumnRenamed("row", "doc_id")
+    else:
+        values = values.drop("row")
     repos = values.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     return repos.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
 
 
-def added(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def looks_live(max_owners: int, max_repos: int | None) -> Column:
+    """Whether few enough owners and repositories have a value; None is any number of repositories."""
+    few = F.col("owners") <= max_owners
+    return few if max_repos is None else few & (F.col("repos") <= max_repos)
+
+
+def added(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int | None = MAX_REPOS, once: bool = False) -> DataFrame:
     """Live-looking spans by row: doc_id, row, live (sorted spans)."""
-    few = ownership(scanned).where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("hash")
+    few = ownership(scanned, once).where(looks_live(max_owners, max_repos)).select("hash")
     spans = scanned.select("doc_id", "row", F.explode("more").alias("s")).withColumn("hash", F.xxhash64("s.value"))
     return spans.join(few, "hash").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("s")).alias("live"))
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def verdicts(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = None, once: bool = True) -> DataFrame:
+    """One row per base span and other candidate: doc_id, row, start, end, kind, owners, repos, looks_live."""
+    scanned = scan(docs, owner)
+    spans = scanned.select("doc_id", "row", F.explode(F.concat("base", "more")).alias("s")).withColumn("hash", F.xxhash64("s.value"))
+    return spans.join(ownership(scanned, once), "hash").select(
+        "doc_id", "row", "s.start", "s.end", "s.kind", "owners", "repos", looks_live(max_owners, max_repos).alias("looks_live")
+    )
+
+
+def secret_spans(
+    docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = MAX_REPOS, once: bool = False
+) -> DataFrame:
     """One row per document row: doc_id, row, base and live, sorted arrays of (start, end, kind, value).
 
     Null and empty texts have no spans. Rows that repeat an id and its text share their spans and
     count as one repository. An empty table gives no rows.
     """
     scanned = scan(docs, owner)
-    live = added(scanned, max_owners, max_repos)
+    live = added(scanned, max_owners, max_repos, once)
     return join_rows(scanned, live, "left").select(
         "doc_id", "row", "base", F.coalesce("live", F.array().cast(f"array<{SPAN}>")).alias("live")
     )
@@ -125,7 +148,7 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]") -> Da
     """`docs` with every secret span replaced by `mark`; overlapping spans become one mark. No row is dropped."""
     names = docs.columns
     row, spans = fresh(docs, "row", "spans")
-    found_ = secret_spans(docs, owner).where((F.size("base") > 0) | (F.size("live") > 0))
+    found_ = secret_spans(docs, owner, max_repos=None, once=True).where((F.size("base") > 0) | (F.size("live") > 0))
     by_row = found_.select("doc_id", "row", F.sort_array(F.concat("base", "live")).alias("spans")).dropDuplicates(["doc_id", "row"])
     keyed = docs.withColumn(row, row_hash(docs["text"]))
     joined = join_rows(keyed, by_row.toDF("doc_id", row, spans), "left", ("doc_id", row)).drop(row)
