@@ -231,6 +231,22 @@ def test_lm_base_and_mixture(docs, none):
     assert lm.lm_scores(none, left != 2, left == 2, left == 1).count() == 0
 
 
+def test_lm_scores_repeated_rows_of_several_batches(spark):
+    """Equal batches count and are scored each."""
+    many = spark.createDataFrame([(5, "same words here")] * 3 + [(7, "other words")], "doc_id long, text string")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    for deleted in (F.col("doc_id") == 5, F.lit(False)):
+        spark.conf.set(setting, "1")
+        try:
+            rows = lm.lm_scores(many, F.lit(True), F.lit(False), deleted).collect()
+        finally:
+            spark.conf.set(setting, usual)
+        assert sorted(r.doc_id for r in rows) == [5, 5, 5, 7] and {r.train_tokens for r in rows} == {15}
+        base = {d: math.log10(n / 21) for d, n in (("same", 4), ("words", 5), ("here", 4), ("end", 5), ("other", 2))}
+        assert all(math.isclose(r.base_score, sum(base[w] for w in (("same", "words", "here", "end") if r.doc_id == 5 else ("other", "words", "end")))) for r in rows)
+
+
 def test_quality(docs, none):
     scored = quality.score(docs.select("doc_id", "text"), ["doc_id"])
     rows = scored.select("doc_id", "quality.measures.*", "quality.base_failed", "kept").collect()

@@ -69,8 +69,11 @@ def tokens_of(texts: list[str | None], parts: int, hasher: WordHasher) -> Tokens
 
 
 def batch_name(batch: pd.DataFrame) -> int:
-    """A batch's name follows from its rows, so asking and scoring agree or fail, never mix."""
-    text = ",".join(f"{d}:{r}" for d, r in zip(batch["doc_id"], batch["row"]))
+    """A batch's name follows from its rows, so asking and scoring agree or fail, never mix.
+
+    Batches of the same rows share a name: they ask for the same counts and are told apart by number only.
+    """
+    text = ",".join(":".join(map(str, x)) for x in zip(*[batch[c] for c in ("doc_id", "row", "train", "held_out", "deleted")]))
     return xxhash.xxh3_64_intdigest(text.encode()) >> 1
 
 
@@ -154,12 +157,15 @@ def looked_up(docs: DataFrame, found: DataFrame, parts: int, run, schema: str) -
     def both(batch: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return run(batch, None, None)
-        batch = batch.sort_values("place")
+        # batches of one name have the same rows and got the same answers: one is looked up for all
+        names = len(batch)
+        batch = batch.drop_duplicates("place").sort_values("place")
+        copies = names // len(batch)
         t = tokens_of(list(batch["text"]), parts, WordHasher(lower=True))
-        total = np.frombuffer(b"".join(counts.sort_values("part")["counts"]), "<u4").astype(np.int64)
+        total = np.frombuffer(b"".join(counts.drop_duplicates("part").sort_values("part")["counts"]), "<u4").astype(np.int64)
         if len(total) != len(t.keys):
             raise RuntimeError("the counts of a batch are not those it asked for; was the input changed meanwhile?")
-        return run(batch, t, total)
+        return pd.concat([run(batch, t, total)] * copies)
 
     return rows.groupBy("batch").cogroup(found.where("batch >= 0").select("part", "batch", "counts").groupBy("batch")).applyInPandas(both, schema)
 
