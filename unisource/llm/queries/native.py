@@ -48,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The measures of op5 that do not depend on the corpus; tests compare them.
+# The measures of op5 that do not depend on the corpus; not registered, and no test runs it yet.
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
