@@ -1,5 +1,3 @@
-import csv
-import io
 import json
 
 import pytest
@@ -10,42 +8,30 @@ from unisource.operators.records import json_file_fields
 from unisource.operators.summary import csv_summary
 from unisource.sources import files
 
-from test_infer import restated
-
+# Per case: the file, its description, and name and type of each column.
 CSV_CASES = {
-    "plain": "a,b\n1,2024-01-01\n22,2024-01-02\n",
-    "bom": "﻿a,b\n1,x\n",
-    "quoted newline": 'a,b\n"x\ny",12\n"q""q",13\n',
-    "blank lines": "a,b\n\n1,2\n\n\n3,4\n",
-    "short and long rows": "a,b,c\n1\n2,3,4,5\n6,7,8\n",
-    "header only": "a,b\n",
-    "padded header": " a , b b \n1,2\n",
-    "duplicate header": "a,b,a\n1,x,2024-01-01\n2,y,2024-01-02\n",
-    "case duplicate header": "a,A\n1.5,x\n",
-    "backslashes": 'a,b\nC:\\x,"d\\"\n',
-    "crlf": "a,b\r\n12,1.5\r\n13,2.5\r\n",
-    "blank-only line": "a\n5\n   \n7\n",
-    "one column quotes": 'a\n"x, y"\n"z"\n',
-    "quote inside": 'a,b\n5" pipe,7\n',
+    "plain": ("a,b\n1,2024-01-01\n22,2024-01-02\n", "CSV - 2 lignes, 2 colonnes", [("a", "integer"), ("b", "date")]),
+    "bom": ("\ufeffa,b\n1,x\n", "CSV - 1 lignes, 2 colonnes", [("a", "boolean"), ("b", "string")]),
+    "quoted newline": ('a,b\n"x\ny",12\n"q""q",13\n', "CSV - 2 lignes, 2 colonnes", [("a", "string"), ("b", "integer")]),
+    "blank lines": ("a,b\n\n1,2\n\n\n3,4\n", "CSV - 2 lignes, 2 colonnes", [("a", "integer"), ("b", "integer")]),
+    "short and long rows": ("a,b,c\n1\n2,3,4,5\n6,7,8\n", "CSV - 3 lignes, 3 colonnes", [("a", "integer"), ("b", "integer"), ("c", "integer")]),
+    "header only": ("a,b\n", None, []),
+    "padded header": (" a , b b \n1,2\n", "CSV - 1 lignes, 2 colonnes", [("a", "boolean"), ("b b", "integer")]),
+    "duplicate header": ("a,b,a\n1,x,2024-01-01\n2,y,2024-01-02\n", "CSV - 2 lignes, 3 colonnes", [("a", "date"), ("b", "string"), ("a", "date")]),
+    "case duplicate header": ("a,A\n1.5,x\n", "CSV - 1 lignes, 2 colonnes", [("a", "float"), ("A", "string")]),
+    "backslashes": ('a,b\nC:\\x,"d\\"\n', "CSV - 1 lignes, 2 colonnes", [("a", "string"), ("b", "string")]),
+    "crlf": ("a,b\r\n12,1.5\r\n13,2.5\r\n", "CSV - 2 lignes, 2 colonnes", [("a", "integer"), ("b", "float")]),
+    "blank-only line": ("a\n5\n   \n7\n", "CSV - 3 lignes, 1 colonnes", [("a", "string")]),
+    "one column quotes": ('a\n"x, y"\n"z"\n', "CSV - 2 lignes, 1 colonnes", [("a", "string")]),
+    "quote inside": ('a,b\n5" pipe,7\n', "CSV - 1 lignes, 2 colonnes", [("a", "string"), ("b", "integer")]),
 }
 
 
-def reference_fields(content):
-    """The same file through Python's csv module."""
-    reader = csv.DictReader(io.StringIO(content.lstrip("﻿").replace("\r\n", "\n")))
-    rows = list(reader)
-    if not rows:
-        return None, []
-    names = reader.fieldnames
-    found = [(n.strip(), restated([r.get(n, "") for r in rows[:100] if r.get(n)])) for n in names]
-    return f"CSV - {len(rows)} lignes, {len(names)} colonnes", found
-
-
 @pytest.mark.parametrize("case", CSV_CASES)
 def test_csv_fields(spark, tmp_path, case):
     path = tmp_path / "x.csv"
-    path.write_bytes(CSV_CASES[case].encode("utf-8"))
-    description, expected = reference_fields(CSV_CASES[case])
+    content, description, expected = CSV_CASES[case]
+    path.write_bytes(content.encode("utf-8"))
     for sample in (100, None):
         got = files.csv_fields(spark, str(path), "x", sample=sample).orderBy("position").collect()
         assert {r["entity_description"] for r in got} == {description}
