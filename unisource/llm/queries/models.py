@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unisource.llm import jaccard, language, lm, packing, substrings, tokens, toxicity
+from unisource.llm import jaccard, language, lm, packing, simhash, substrings, tokens, toxicity
 from unisource.llm.common import remainder
 from unisource.llm.queries.native import read
 
@@ -57,3 +57,8 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.components(docs, 4, 85, 100).drop("row")
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in two bits or fewer."""
+    return simhash.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"), 3, 2).drop("row")
