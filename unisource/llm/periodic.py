@@ -4,8 +4,8 @@ The periods of octave k lie from 2^k to 2^(k+1) - 1. A run repeats its period fo
 places that are multiples of 2^k; these are the octave's boundaries. Forward and backward Z-functions at a boundary
 say for each period of the octave at once how far the words around it agree with those one period later. So:
 
-* A document is exploded into tiles of each octave: stretches around the boundaries where the run of words at the
-  boundary comes again one period later. Tiles overlap as far as a boundary's Z-functions reach.
+* A document is exploded into tiles of each octave: stretches around the boundaries where the words at the
+  boundary come again within the octave's periods. Tiles overlap as far as a boundary's Z-functions reach.
 * Every tile is solved by itself, by any task, and gives fragments: stretches of places whose word comes again one period later.
 * Fragments are shuffled by document and period, and those that touch are stitched.
 
@@ -32,7 +32,7 @@ TIMES = 4  # a run is as many periods long, at least
 LEAST = 6  # and as many words
 TILE_WORDS = 4096  # boundaries next to each other share a tile up to about this length
 YIELD_BYTES = 1 << 23
-GRAM = 8  # words compared to tell which boundaries can lie in a run
+GRAM = 16  # words compared to tell which boundaries can lie in a run
 RUNS = "array<struct<start:bigint,period:bigint,length:bigint>>"
 
 
@@ -43,7 +43,7 @@ def codes_of(words: list[bytes]) -> np.ndarray:
 
 
 def gram_codes(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of the 1, 2, 4 and 8 words from each place on; equal words have equal hashes."""
+    """Hashes of the 1, 2, 4, 8 and 16 words from each place on; equal words have equal hashes."""
     out = {1: mixed(codes.astype(np.uint64) + np.uint64(1))}
     while (size := max(out)) < GRAM and len(codes) >= 2 * size:
         out[2 * size] = mixed(out[size][:-size] * MIX + out[size][size:])
@@ -51,52 +51,72 @@ def gram_codes(codes: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def active_boundaries(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Octave and those of its boundaries whose next words come again within the octave's periods.
+    """Octave and those of its boundaries that can lie in a run.
 
-    Boundaries that a run reaches beyond by 2^k or more are all among them; others do no harm.
+    Of a run's places, three periods come again one period later. So beyond two boundaries next to each other at least the
+    words of a boundary's reach, 2^k, come again, and beyond one of them twice as many.
     """
     n = len(codes)
     if n < LEAST:
         return
     grams = gram_codes(codes)
-    places = None
+    recurs = Recurrences(grams[max(grams)])
     k = 0
     while TIMES << k <= n:
-        size = min(1 << k, GRAM)
-        gram = grams[size]
-        boundaries = np.arange(0, len(gram), 1 << k)
-        found = np.zeros(len(boundaries), bool)
-        if (1 << k) <= GRAM:
-            for q in range(1 << k, 2 << k):
-                met = boundaries[boundaries + q < len(gram)]
-                found[: len(met)] |= gram[met] == gram[met + q]
+        size, double = min(1 << k, GRAM), min(max(2 << k, 4), GRAM)
+        boundaries = np.arange(0, n - size + 1, 1 << k)
+        if size < GRAM:
+            found = recurring(grams[size], boundaries, 1 << k)
+            sure = found.any() and recurring(grams[double], boundaries[boundaries <= n - double], 1 << k)
         else:
-            if places is None:
-                places = np.unique(gram, return_inverse=True, return_counts=True)[1:]
-                kind, count = places
-                by_kind = np.sort(kind * n + np.arange(len(gram)))
-            often = np.flatnonzero(count[kind[boundaries]] > 1)
-            at = boundaries[often]
-            low = np.searchsorted(by_kind, kind[at] * n + np.minimum(at + (1 << k), n))
-            high = np.searchsorted(by_kind, kind[at] * n + np.minimum(at + (2 << k), n))
-            found[often] = high > low
-        if found.any():
-            yield k, boundaries[found]
+            found = sure = recurs.within(boundaries, 1 << k, 2 << k)
+        if np.any(sure):
+            # stretches of boundaries next to each other, two at least and one of them sure
+            edge = np.flatnonzero(np.diff(found, prepend=False, append=False))
+            seen = np.append(0, np.cumsum(sure))
+            for start, end in zip(edge[::2], edge[1::2]):
+                if end - start > 1 and seen[min(end, len(sure))] > seen[min(start, len(sure))]:
+                    yield k, boundaries[start:end]
         k += 1
 
 
+def recurring(gram: np.ndarray, boundaries: np.ndarray, unit: int) -> np.ndarray:
+    """Whether a boundary's words come again at one of the periods unit to 2 * unit - 1."""
+    found = np.zeros(len(boundaries), bool)
+    for q in range(unit, 2 * unit):
+        met = boundaries[: np.searchsorted(boundaries, len(gram) - q)]
+        found[: len(met)] |= gram[met] == gram[met + q]
+    return found
+
+
+class Recurrences:
+    """Where the same gram comes again, by search in the places sorted by gram."""
+
+    def __init__(self, gram: np.ndarray):
+        self.n = len(gram)
+        _, self.kind, self.count = np.unique(gram, return_inverse=True, return_counts=True)
+        self.by_kind = np.sort(self.kind * self.n + np.arange(self.n))
+
+    def within(self, boundaries: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Whether a boundary's gram starts again at a distance from low to before high."""
+        found = np.zeros(len(boundaries), bool)
+        often = np.flatnonzero(self.count[self.kind[boundaries]] > 1)
+        at = boundaries[often]
+        own = self.kind[at] * self.n
+        first, last = (np.searchsorted(self.by_kind, own + np.minimum(at + d, self.n)) for d in (low, high))
+        found[often] = last > first
+        return found
+
+
 def tiles(codes: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
     """octave, place of the first word, first boundary (from there), boundaries, words as 32-bit numbers."""
     for k, boundaries in active_boundaries(codes):
         unit = 1 << k
         most = max(1, TILE_WORDS // unit)
-        rank = np.arange(len(boundaries))
-        new = np.append(True, boundaries[1:] != boundaries[:-1] + unit)
-        inside = rank - np.maximum.accumulate(np.where(new, rank, 0))
-        starts = np.flatnonzero(inside % most == 0)
-        for first, last in zip(boundaries[starts], boundaries[np.append(starts[1:], len(boundaries)) - 1]):
-            at = max(0, int(first) - unit)
-            yield k, at, int(first) - at, (int(last) - int(first)) // unit + 1, codes[at : int(last) + 4 * unit].tobytes()
+        for start in range(0, len(boundaries), most):
+            first, last = int(boundaries[start]), int(boundaries[start : start + most][-1])
+            at = max(0, first - unit)
+            yield k, at, first - at, (last - first) // unit + 1, codes[at : last + 4 * unit].tobytes()
 
 
 def z_function(s: list[int], places: int) -> list[int]:
