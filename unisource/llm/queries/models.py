@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unisource.llm import jaccard, language, lm, packing, periodic, simhash, substrings, tokens, toxicity
+from unisource.llm import jaccard, language, lm, packing, periodic, phrases, simhash, substrings, tokens, toxicity
 from unisource.llm.common import remainder, words
 from unisource.llm.queries.native import read
 
@@ -87,6 +87,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return phrases.collocations(read(spark, sf_dir, "documents").select("lang", "text"), 30, 2000)
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in two bits or fewer."""
     return simhash.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"), 3, 2).drop("row")
