@@ -61,7 +61,7 @@ def texts():
 @pytest.mark.parametrize(("range_bytes", "shard_words", "least", "top"), [(1 << 30, 1 << 20, 30, 2000), (900, 700, 5, 2000), (900, 50, 12, 7)])
 def test_collocations(spark, monkeypatch, range_bytes, shard_words, least, top):
     """One range and one shard, and very many of both, with phrases on their borders."""
-    monkeypatch.setattr(phrases, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(phrases, "HELD_BYTES", 2000)
     rows = texts()
     docs = spark.createDataFrame([(i, t, lang, "s", 1, "k", "p") for i, (lang, t) in enumerate(rows)], SCHEMA).repartition(5)
     got = phrases.collocations(docs, least, top, range_bytes, shard_words)
@@ -92,7 +92,7 @@ def test_automaton_round_trip():
         rows[rng.random(500) < 0.2, d:] = -1
     want = Counter(tuple(int(x) for x in r[:d]) for r in rows for d in range(1, 5) if r[d - 1] >= 0)
     halves = [phrases.build(words, phrases.levels_of_windows(*phrases.summed(half, np.ones(len(half), np.int64)))) for half in (rows[:200], rows[200:])]
-    whole = phrases.united([phrases.load(phrases.dump(a)) for a in halves])
+    whole = phrases.united([phrases.dump(a) for a in halves])
     found, weights = whole.phrases()
     assert {tuple(x for x in r.tolist() if x >= 0): w for r, w in zip(found, weights.tolist())} == want
     asked = [*(tuple(words[i] for i in p) for p in want), (b"w0", b"none"), (b"none",), tuple([words[0]] * 4)]

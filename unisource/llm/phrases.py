@@ -27,8 +27,9 @@ from unisource.session import staged
 
 LONGEST = 4  # words of a phrase
 SHARD_WORDS = 1 << 20  # words that a task holds before it builds a transducer of them
-RANGE_BYTES = 16 << 20  # text per prefix range
+RANGE_BYTES = 3 << 20  # text per prefix range
 MAX_RANGES = 100_000
+HELD_BYTES = 12 << 20  # transducers of a range that a task holds before it unites them
 SAMPLES = 20  # sampled phrases per range
 UNKNOWN = "und"
 #: Ends a piece of a text. No word contains it, since it is one of the characters that separate pieces.
@@ -62,8 +63,8 @@ def phrase_of(text: str) -> Phrase:
 
 def packed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers for each row, in the order of the rows; a phrase comes before all that it begins."""
-    up = (rows + 1).astype(np.uint64)
-    return (up[:, 0] << np.uint64(32)) | up[:, 1], (up[:, 2] << np.uint64(32)) | up[:, 3]
+    a, b, c, d = ((rows[:, k] + 1).astype(np.uint64) for k in range(LONGEST))
+    return (a << np.uint64(32)) | b, (c << np.uint64(32)) | d
 
 
 def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,16 +231,31 @@ def of_phrases(entries: dict[Phrase, int]) -> Automaton:
     return build(words, levels_of_phrases(rows, weights))
 
 
-def united(automata: list[Automaton]) -> Automaton:
-    """One transducer with the summed weights of several."""
-    words = sorted(set().union(*(a.words for a in automata)))
-    place = {w: i for i, w in enumerate(words)}
+class Numbers(dict):
+    """A number for each word, given when it is first seen; -1 for BREAK."""
+
+    def __init__(self):
+        super().__init__({BREAK: -1})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) - 1
+        return number
+
+
+def united(dumps: list[bytes]) -> Automaton:
+    """One transducer with the summed weights of several, each as `dump` gives it."""
+    numbers = Numbers()
     rows, weights = [], []
-    for a in automata:
+    for a in map(load, dumps):
         own, n = a.phrases()
-        rows.append(np.fromiter((*(place[w] for w in a.words), -1), np.int32, len(a.words) + 1)[own])
+        rows.append(np.fromiter(map(numbers.__getitem__, (*a.words, BREAK)), np.int32, len(a.words) + 1)[own])
         weights.append(n)
-    return build(words, levels_of_phrases(*summed(np.concatenate(rows), np.concatenate(weights))))
+    known = list(numbers)[1:]
+    order = sorted(range(len(known)), key=known.__getitem__)
+    place = np.full(len(known) + 1, -1, np.int32)
+    place[order] = np.arange(len(order))
+    phrases, counts = summed(place[np.concatenate(rows)], np.concatenate(weights))
+    return build([known[i] for i in order], levels_of_phrases(phrases, counts))
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -321,17 +337,6 @@ def sampled_borders(docs: DataFrame, range_bytes: int) -> Borders:
 # ---- counting ----
 
 
-class Numbers(dict):
-    """A number for each word, given when it is first seen; -1 for BREAK."""
-
-    def __init__(self):
-        super().__init__({BREAK: -1})
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self) - 1
-        return number
-
-
 def shard_parts(lang: str, codes: np.ndarray, begins: np.ndarray, vocabulary: list[bytes], borders: list[Phrase]) -> Iterator[tuple[str, int, bytes]]:
     """The transducer of a shard's phrases in one language, cut at the borders: language, range, data.
 
@@ -415,10 +420,11 @@ def range_counts(parts: DataFrame, borders: Borders, least: int) -> DataFrame:
                     if held:
                         yield counted(*key, united(held))
                     key, held, size = (lang, part), [], 0
-                held.append(load(data))
+                held.append(data)
                 size += len(data)
-                if size > RANGE_BYTES:
-                    held, size = [united(held)], 0
+                if size > HELD_BYTES + len(held[0]):
+                    held = [dump(united(held))]
+                    size = len(held[0])
         if held:
             yield counted(*key, united(held))
 
