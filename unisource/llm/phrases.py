@@ -27,9 +27,10 @@ from unisource.session import staged
 
 LONGEST = 4  # words of a phrase
 SHARD_WORDS = 1 << 20  # words that a task holds before it builds a transducer of them
-RANGE_BYTES = 3 << 20  # text per prefix range
+RANGE_BYTES = 4 << 20  # text per prefix range
 MAX_RANGES = 100_000
-HELD_BYTES = 12 << 20  # transducers of a range that a task holds before it unites them
+HELD_BYTES = 10 << 20  # transducers of a range that a task holds before it unites them
+SPARE = 8  # partitions for languages that the sample of borders did not meet
 SAMPLES = 20  # sampled phrases per range
 UNKNOWN = "und"
 #: Ends a piece of a text. No word contains it, since it is one of the characters that separate pieces.
@@ -50,7 +51,7 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).replace(BREAK, b" . ").split()
 
 
-def spelled(phrase: Phrase) -> str:
+def spelled(phrase: Phrase | list[bytes]) -> str:
     return b" ".join(phrase).decode("utf-8", "surrogatepass")
 
 
@@ -103,20 +104,26 @@ class Automaton:
     weight: list[np.ndarray]
     target: list[np.ndarray]
 
-    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
-        """All phrases that can be read, and their weights."""
+    def arcs(self, d: int, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the arcs of some states of level d, one state after another, and how many each has."""
+        low = self.first[d][states]
+        n = self.first[d][states + 1] - low
+        return np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum())), n
+
+    def phrases(self, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All phrases that can be read over arcs of some weight at least, and their weights."""
         out, weights = [], []
         paths = np.full((1, LONGEST), -1, np.int32)
         states = np.ones(1, np.int64)
         for d in range(LONGEST):
-            low = self.first[d][states]
-            n = self.first[d][states + 1] - low
-            arcs = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-            paths = np.repeat(paths, n, axis=0)
+            arcs, n = self.arcs(d, states)
+            heavy = self.weight[d][arcs] >= least
+            arcs = arcs[heavy]
+            paths = paths[np.repeat(np.arange(len(paths)), n)[heavy]]
             paths[:, d] = self.label[d][arcs]
-            states = self.target[d][arcs]
+            states = self.target[d][arcs].astype(np.int64)
             out.append(paths)
-            weights.append(self.weight[d][arcs])
+            weights.append(self.weight[d][arcs].astype(np.int64))
         return np.concatenate(out), np.concatenate(weights)
 
     def compose(self, rows: np.ndarray) -> np.ndarray:
@@ -149,11 +156,11 @@ class Automaton:
         return rows
 
 
-Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # place in the sorted input, label, weight of each arc
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # arc of the level before that leads there, label, weight of each arc, in order
 
 
 def build(words: list[bytes], levels: list[Level]) -> Automaton:
-    """The transducer of sorted input, from its arcs by level.
+    """The transducer of phrases in order, from its arcs by level.
 
     States are frozen from the ends on: when those of one level are made, all that they lead to are final, and
     states with one equal arc become one.
@@ -161,9 +168,7 @@ def build(words: list[bytes], levels: list[Level]) -> Automaton:
     first, label, weight, target = ([None] * LONGEST for _ in range(4))
     leads_to = np.zeros(len(levels[-1][0]), np.int64)
     for d in reversed(range(LONGEST)):
-        places, labels, weights = levels[d]
-        # an arc belongs to the last arc of the level before at or before its place; on the first level all to the start
-        parents = np.searchsorted(levels[d - 1][0], places, "right") - 1 if d else np.zeros(len(places), np.int64)
+        parents, labels, weights = levels[d]
         n = np.bincount(parents, minlength=len(levels[d - 1][0]) if d else 1)
         single, several = np.flatnonzero(n == 1), np.flatnonzero(n > 1)
         at = (np.cumsum(n) - n)[single]
@@ -201,61 +206,60 @@ def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def levels_of_windows(rows: np.ndarray, counts: np.ndarray) -> list[Level]:
     """Arcs of sorted, different windows: each beginning of a window occurs as often as the windows that it begins."""
     change = np.zeros(len(rows), bool)
-    out = []
+    out, before = [], np.zeros(1, np.int64)
     for d in range(LONGEST):
         change[:1] = True
         change[1:] |= rows[1:, d] != rows[:-1, d]
         starts = np.flatnonzero(change)
         weights = np.add.reduceat(counts, starts) if len(starts) else counts
         real = rows[starts, d] >= 0
-        out.append((starts[real], rows[starts[real], d], weights[real]))
-    return out
-
-
-def levels_of_phrases(rows: np.ndarray, weights: np.ndarray) -> list[Level]:
-    """Arcs of sorted, different phrases, each of whose beginnings is among them."""
-    length = (rows >= 0).sum(axis=1)
-    out = []
-    for d in range(LONGEST):
-        own = np.flatnonzero(length == d + 1)
-        out.append((own, rows[own, d], weights[own]))
+        starts = starts[real]
+        out.append((np.searchsorted(before, starts, "right") - 1, rows[starts, d], weights[real]))
+        before = starts
     return out
 
 
 def of_phrases(entries: dict[Phrase, int]) -> Automaton:
     """The transducer that reads some phrases with their weights; beginnings that are not among them weigh 0."""
-    whole = {p[:d]: 0 for p in entries for d in range(1, len(p))} | entries
-    words = sorted({w for p in whole for w in p})
-    blank = Automaton(words, [], [], [], [])
-    rows, weights = summed(blank.rows_of(list(whole)), np.fromiter(whole.values(), np.int64, len(whole)))
-    return build(words, levels_of_phrases(rows, weights))
-
-
-class Numbers(dict):
-    """A number for each word, given when it is first seen; -1 for BREAK."""
-
-    def __init__(self):
-        super().__init__({BREAK: -1})
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self) - 1
-        return number
+    whole = sorted(({p[:d]: 0 for p in entries for d in range(1, len(p))} | entries).items())
+    words = sorted({w for p, _ in whole for w in p})
+    place = {w: i for i, w in enumerate(words)}
+    number: dict[Phrase, int] = {(): 0}
+    levels = []
+    for d in range(1, LONGEST + 1):
+        own = [(p, f) for p, f in whole if len(p) == d]
+        arcs = [(number[p[:-1]], place[p[-1]], f) for p, f in own]
+        levels.append(tuple(np.array(arcs, np.int64).reshape(-1, 3).T))
+        number |= {p: i for i, (p, _) in enumerate(own)}
+    return build(words, levels)
 
 
 def united(dumps: list[bytes]) -> Automaton:
-    """One transducer with the summed weights of several, each as `dump` gives it."""
-    numbers = Numbers()
-    rows, weights = [], []
-    for a in map(load, dumps):
-        own, n = a.phrases()
-        rows.append(np.fromiter(map(numbers.__getitem__, (*a.words, BREAK)), np.int32, len(a.words) + 1)[own])
-        weights.append(n)
-    known = list(numbers)[1:]
-    order = sorted(range(len(known)), key=known.__getitem__)
-    place = np.full(len(known) + 1, -1, np.int32)
-    place[order] = np.arange(len(order))
-    phrases, counts = summed(place[np.concatenate(rows)], np.concatenate(weights))
-    return build([known[i] for i in order], levels_of_phrases(phrases, counts))
+    """One transducer with the summed weights of several, each as `dump` gives it.
+
+    All are read side by side, level by level: arcs with the same word behind the same beginning are one arc.
+    """
+    automata = [load(d) for d in dumps]
+    words = sorted(set().union(*(a.words for a in automata)))
+    place = {w: i for i, w in enumerate(words)}
+    codes = [np.fromiter(map(place.__getitem__, a.words), np.int64, len(a.words)) for a in automata]
+    states, behind = [np.ones(1, np.int64) for _ in automata], [np.zeros(1, np.int64) for _ in automata]
+    span = max(1, len(words))
+    levels = []
+    for d in range(LONGEST):
+        keys, weights = [], []
+        for k, a in enumerate(automata):
+            arcs, n = a.arcs(d, states[k])
+            keys.append(np.repeat(behind[k], n) * span + codes[k][a.label[d][arcs]])
+            weights.append(a.weight[d][arcs].astype(np.int64))
+            states[k] = a.target[d][arcs].astype(np.int64)
+        cuts = np.cumsum([len(x) for x in keys])[:-1]
+        one, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(one), np.int64)
+        np.add.at(total, number, np.concatenate(weights))
+        levels.append((one // span, one % span, total))
+        behind = np.split(number, cuts)
+    return build(words, levels)
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -270,7 +274,7 @@ def dump(a: Automaton) -> bytes:
 def load(data: bytes) -> Automaton:
     words, (sizes, label, weight, target) = pickle.loads(data)
     first = [np.append(0, np.cumsum(s, dtype=np.int64)) for s in sizes]
-    return Automaton(words.split(b" ") if words else [], first, *([x.astype(np.int64) for x in g] for g in (label, weight, target)))
+    return Automaton(words.split(b" ") if words else [], first, label, weight, target)
 
 
 # ---- prefix ranges ----
@@ -281,6 +285,21 @@ def part_of(phrase: Phrase, borders: list[Phrase]) -> int:
     return bisect_right(borders, phrase)
 
 
+def dealt(rows: DataFrame, borders: Borders, *order: str) -> DataFrame:
+    """Rows with lang and part by range, one range after another in a task.
+
+    Languages whose borders are known have a partition for each of their ranges, the others share some by hash.
+    """
+    sizes = {lang: len(own) + 1 for lang, own in sorted(borders.items())}
+    ranges = sum(sizes.values())
+    begin = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist()))
+    place = F.pmod(F.crc32(F.col("lang").cast("binary")), F.lit(SPARE)) + ranges
+    if begin:
+        known = F.create_map(*[F.lit(x) for pair in begin.items() for x in pair])
+        place = F.coalesce(known[F.col("lang")] + F.col("part"), place)
+    return rows.repartitionById(ranges + SPARE, place.cast("int")).sortWithinPartitions("lang", "part", *order)
+
+
 def cut(words: list[bytes], rows: np.ndarray, borders: list[Phrase]) -> list[int]:
     """Places in sorted rows where the ranges begin, but for the first."""
     high, low = packed(rows)
@@ -337,6 +356,17 @@ def sampled_borders(docs: DataFrame, range_bytes: int) -> Borders:
 # ---- counting ----
 
 
+class Numbers(dict):
+    """A number for each word, given when it is first seen; -1 for BREAK."""
+
+    def __init__(self):
+        super().__init__({BREAK: -1})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) - 1
+        return number
+
+
 def shard_parts(lang: str, codes: np.ndarray, begins: np.ndarray, vocabulary: list[bytes], borders: list[Phrase]) -> Iterator[tuple[str, int, bytes]]:
     """The transducer of a shard's phrases in one language, cut at the borders: language, range, data.
 
@@ -403,9 +433,8 @@ def range_counts(parts: DataFrame, borders: Borders, least: int) -> DataFrame:
     """
 
     def counted(lang: str, part: int, whole: Automaton) -> pd.DataFrame:
-        rows, weights = whole.phrases()
-        often = np.flatnonzero(weights >= least)
-        out = [(lang, spelled([whole.words[i] for i in rows[k] if i >= 0]), int(weights[k])) for k in often.tolist()]
+        rows, weights = whole.phrases(least)
+        out = [(lang, spelled([whole.words[i] for i in row if i >= 0]), f) for row, f in zip(rows.tolist(), weights.tolist())]
         near = borders.get(lang, [])[max(0, part - 1) : part + 1]
         torn = sorted({b[:d] for b in near for d in range(1, len(b))})
         if torn:
@@ -428,8 +457,7 @@ def range_counts(parts: DataFrame, borders: Borders, least: int) -> DataFrame:
         if held:
             yield counted(*key, united(held))
 
-    ordered = parts.repartition("lang", "part").sortWithinPartitions("lang", "part")
-    return ordered.mapInPandas(run, "lang string, phrase string, f long")
+    return dealt(parts, borders).mapInPandas(run, "lang string, phrase string, f long")
 
 
 # ---- parts of phrases ----
@@ -473,8 +501,7 @@ def answers(frequent: DataFrame, borders: Borders) -> DataFrame:
                 yield pd.DataFrame({"lang": part["lang"], "phrase": part["phrase"], "a": None, "k": None, "side": None, "f": None, "longer": part["f"]})
 
     spread = frequent.mapInPandas(asked, "lang string, part int, asks boolean, phrase string, f long, of string, k int, side string")
-    ordered = spread.repartition("lang", "part").sortWithinPartitions("lang", "part", "asks", "phrase")
-    return ordered.mapInPandas(answered, "lang string, phrase string, a long, k int, side string, f long, longer long")
+    return dealt(spread, borders, "asks", "phrase").mapInPandas(answered, "lang string, phrase string, a long, k int, side string, f long, longer long")
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, range_bytes: int = RANGE_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
