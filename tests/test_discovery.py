@@ -284,3 +284,24 @@ def test_relations_become_catalog_rows(spark, land):
     assert (got["Lines"]["source_entity_id"], got["Lines"]["target_entity_id"]) == (ids["Order"], ids["Line"])
     assert (got["Owner"]["target_entity_id"], got["Owner"]["confidence"], got["Owner"]["is_confirmed"]) == (None, 1.0, False)
     assert len(got) == 2
+
+
+def test_refused_listing_lists_nothing(spark):
+    """A listing that was refused or is unreadable does not take a system's tables away."""
+    fields = '{"FIELDS":[{"FIELDNAME":"F","DATATYPE":"C"}]}'
+    rows = [
+        ("s500", "abap_listing", "DD02L", "l", 500, '{"DATA":[{"WA":"OTHER"}]}'), ("sbad", "abap_listing", "DD02L", "l", 200, "<html>"),
+        ("sgood", "abap_listing", "DD02L", "l", 200, '{"DATA":[{"WA":"T1"}]}'),
+        *[(s, "abap", t, t, 200, fields) for s in ("s500", "sbad", "sgood", "snone") for t in ("T1", "T2")],
+    ]
+    landed = spark.createDataFrame(rows, "source_id string, dialect string, entity_hint string, path string, status int, body string")
+    got = sorted((r.source_id, r.entity) for r in discover(landed, ["abap"]).collect())
+    assert got == [("s500", "T1"), ("s500", "T2"), ("sbad", "T1"), ("sbad", "T2"), ("sgood", "T1"), ("snone", "T1"), ("snone", "T2")]
+
+
+def test_catalog_pages_are_one_listing(spark):
+    listing = '{"value":[{"TechnicalServiceName":"%s"}]}'
+    rows = [("s", "", "", "c", 200, listing % "A"), ("s", "", "", "c#page=2", 200, listing % "B"), ("s", "", "", "c#page=10", 200, listing % "C")]
+    landed = spark.createDataFrame(rows, "source_id string, dialect string, entity_hint string, path string, status int, body string")
+    got = [(r.n_services, r.service_no, r.service) for r in sap.gateway_services(landed).orderBy("service_no").collect()]
+    assert got == [(3, 0, "A"), (3, 1, "B"), (3, 2, "C")]

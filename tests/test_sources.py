@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from unisource.functions.text import first_page, page_number
+from unisource.operators.dynamics import attribute_fields
 from unisource.operators.records import endpoint_fields, rest_rows
 from unisource.sources import endpoints, jdbc
 
@@ -87,3 +89,63 @@ def test_service_endpoints():
     x3 = endpoints.service_endpoints("sage_x3", folder="PROD")
     assert len(x3) == 12 and x3[0]["path"] == "/api/x3/erp/PROD/CUSTOMER/$descriptor"
     assert [e["entity_name"] for e in endpoints.service_endpoints("sage_cloud")][:2] == ["ledger_accounts", "journals"]
+
+
+def paged(spark, folder, pages, dialect, **options):
+    """Rows that the reader lands from local files, which name each other as next pages."""
+    for name, doc in pages.items():
+        (folder / name).write_text(doc if isinstance(doc, str) else json.dumps(doc), encoding="utf-8")
+    endpoints.register(spark)
+    listed = [{"path": "/first", "entity_name": "account", "params": {}}]
+    reader = endpoints.EndpointReader({
+        "base_url": folder.as_uri(), "source_id": "crm", "dialect": dialect, "endpoints": json.dumps(listed), **options,
+    })
+    reader.params = {}
+    (partition,) = reader.partitions()
+    return spark.createDataFrame(list(reader.read(partition)), endpoints.LANDED)
+
+
+def test_pages_are_followed(spark, tmp_path):
+    pages = {
+        "first": {"value": [{"LogicalName": "a1", "IsPrimaryId": True}], "@odata.nextLink": "second"},
+        "second": {"value": [{"LogicalName": "b1"}, {"LogicalName": "b2"}], "@odata.nextLink": (tmp_path / "third").as_uri()},
+        "third": {"value": [{"LogicalName": "c1"}]},
+    }
+    landed = paged(spark, tmp_path, pages, "dynamics_attributes")
+    got = landed.collect()
+    assert [(r.path, r.status, r.entity_hint) for r in got] == [("/first", 200, "account"), ("/first#page=2", 200, "account"), ("/first#page=3", 200, "account")]
+    assert "b2" in got[1].body
+    definitions = spark.createDataFrame([("crm", "", "", "d", 200, '{"value":[{"LogicalName":"account"}]}')], endpoints.LANDED)
+    found = attribute_fields(definitions, landed.repartition(3)).orderBy("position").collect()
+    assert [(r.position, r.name, r.primary_key) for r in found] == [(0, "a1", True), (1, "b1", False), (2, "b2", False), (3, "c1", False)]
+    assert [r.name for r in attribute_fields(definitions, landed, top_attributes=2).orderBy("position").collect()] == ["a1", "b1"]
+
+
+@pytest.mark.parametrize(
+    ("pages", "expected"),
+    [
+        ({"first": {"@odata.nextLink": "second"}, "second": {"@odata.nextLink": "first"}}, [200, 200]),
+        ({"first": {"@odata.nextLink": "first"}}, [200]),
+        ({"first": {"@odata.nextLink": "gone"}}, [200, None]),
+        ({"first": {"d": {"results": [], "__next": "second"}}, "second": "no json"}, [200, 200]),
+        ({"first": {"@odata.nextLink": "https://elsewhere.invalid/x"}}, [200, None]),
+        ({"first": {"@odata.nextLink": 7}}, [200]),
+        ({"first": [1, 2]}, [200]),
+    ],
+)
+def test_pages_end(spark, tmp_path, pages, expected):
+    """At a repeated, missing, foreign or odd link, and at a reply that is no object."""
+    landed = paged(spark, tmp_path, pages, "dynamics_entities").collect()
+    assert [r.status for r in landed] == expected
+    if expected[-1] is None and "elsewhere" in str(pages):
+        assert "another server" in landed[-1].body
+
+
+def test_other_dialects_have_one_page(spark, tmp_path):
+    assert paged(spark, tmp_path, {"first": {"@odata.nextLink": "first2"}, "first2": {}}, "rest").count() == 1
+
+
+def test_page_numbers_sort_as_numbers(spark):
+    df = spark.createDataFrame([(f"/x#page={i}",) for i in (10, 2)] + [("/x",), ("/y#page=z",)], "path string")
+    got = {r.path: (r.a, r.n) for r in df.select("path", first_page("path").alias("a"), page_number("path").alias("n")).collect()}
+    assert got == {"/x#page=10": ("/x", 10), "/x#page=2": ("/x", 2), "/x": ("/x", 1), "/y#page=z": ("/y#page=z", 1)}

@@ -46,6 +46,19 @@ def entity_name_from_path(path: Column | str, flatten: bool = False) -> Column:
     return F.coalesce(non_empty(bare), F.lit("data"))
 
 
+PAGE_MARK = "#page="
+
+
+def first_page(path: Column | str) -> Column:
+    """Path of the endpoint a landed page belongs to."""
+    return F.regexp_replace(col(path), PAGE_MARK + "[0-9]+$", "")
+
+
+def page_number(path: Column | str) -> Column:
+    """Number of a landed page, from 1; a path without mark is the first."""
+    return F.coalesce(F.regexp_extract(col(path), PAGE_MARK + "([0-9]+)$", 1).try_cast("bigint"), F.lit(1))
+
+
 def human_size(size: Column | str) -> Column:
     """Bytes as o, Ko, Mo, Go or To with one decimal, ties rounded to even."""
     n = col(size).cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unisource.functions.text import first_page, page_number
 from unisource.functions.types import universal_type
 from unisource.operators.edmx import edmx_fields
 from unisource.operators.fields import explode_fields, field, settle
@@ -67,12 +68,11 @@ def attribute_fields(
 ) -> DataFrame:
     """All attributes of every definition (`entity_hint` of a reply names its entity).
 
-    Replies are joined whole and unfolded after the join, so one row per entity is
-    exchanged. An entity without attributes keeps its id and name field.
+    The pages of an entity's attributes are put together in page order, by the keys the join needs anyway, and
+    unfolded after it, so one row per page is exchanged. `top_attributes` counts over all pages. An entity
+    without attributes keeps its id and name field.
     """
     rows = F.from_json("body", _ATTRIBUTES)["value"]
-    if top_attributes is not None:
-        rows = F.slice(rows, 1, top_attributes)
 
     def describe(a: Column) -> Column:
         name = F.coalesce(a["LogicalName"], F.lit(""))
@@ -85,10 +85,13 @@ def attribute_fields(
             description=_label(a, name),
         )
 
-    described = attributes.filter(F.coalesce("status", F.lit(200)) < 400).select(
-        "source_id", F.col("entity_hint").alias("entity"), F.transform(rows, describe).alias("_own")
+    described = attributes.filter((F.coalesce("status", F.lit(200)) < 400) & F.col("entity_hint").isNotNull()).select(
+        "source_id", F.col("entity_hint").alias("entity"), "path", F.transform(rows, describe).alias("_own")
     )
-    replies = settle(described, "_own").filter(F.size("_own") > 0)
+    pages = settle(described, "_own").filter(F.size("_own") > 0)
+    page = F.struct(first_page("path").alias("at"), page_number("path").alias("page"), F.col("_own").alias("own"))
+    own = F.flatten(F.transform(F.sort_array(F.collect_list(page)), lambda p: p["own"]))
+    replies = pages.groupBy("source_id", "entity").agg((own if top_attributes is None else F.slice(own, 1, top_attributes)).alias("_own"))
     joined = definitions(landed, top).join(replies, ["source_id", "entity"], "left")
     return explode_fields(
         joined.withColumn("fields", F.coalesce("_own", "fields")), keep_empty=False

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unisource.functions import json as J
-from unisource.functions.text import non_empty, strip
+from unisource.functions.text import first_page, non_empty, page_number, strip
 from unisource.functions.types import universal_type
 from unisource.operators.edmx import edmx_fields
 from unisource.operators.fields import explode_fields, field
@@ -20,7 +20,12 @@ _INTERFACE = "PARAMS_AND_EXCPS array<struct<PARAMETER:string,TABNAME:string,PARA
 
 
 def rfc_rows(landed: DataFrame, row_count: int | None = None) -> DataFrame:
-    """Stripped work areas of a table read, blank ones dropped; all of them, or at most `row_count` read per call."""
+    """Stripped work areas of a table read, blank ones dropped; all of them, or at most `row_count` read per call.
+
+    Refused requests have none.
+    """
+    if "status" in landed.columns:
+        landed = landed.filter(F.coalesce("status", F.lit(200)) < 400)
     data = F.from_json("body", _LISTING)["DATA"]
     if row_count is not None:
         data = F.slice(data, 1, row_count)
@@ -131,9 +136,9 @@ def bapi_fields(interfaces: DataFrame, variant: str = "live") -> DataFrame:
 
 
 def gateway_services(catalogs: DataFrame, max_services: int | None = None) -> DataFrame:
-    """Named services of each gateway catalog, all or the first `max_services`, and how many there are.
+    """Named services of each source's gateway catalog, all or the first `max_services`, and how many there are.
 
-    Refused requests list none.
+    The pages of a catalog count as one listing, in page order. Refused requests list none.
     """
     if "status" in catalogs.columns:
         catalogs = catalogs.filter(F.coalesce("status", F.lit(200)) < 400)
@@ -141,7 +146,11 @@ def gateway_services(catalogs: DataFrame, max_services: int | None = None) -> Da
         F.try_parse_json("body"), "$.value", "array<struct<TechnicalServiceName:string>>"
     )
     names = F.filter(F.transform(listed, lambda s: s["TechnicalServiceName"]), lambda n: non_empty(n).isNotNull())
-    return catalogs.select("source_id", names.alias("_names")).select(
+    page = F.struct(first_page("path").alias("at"), page_number("path").alias("page"), F.col("_names").alias("names"))
+    whole = catalogs.select("source_id", "path", names.alias("_names")).groupBy("source_id").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(page)), lambda p: p["names"])).alias("_names")
+    )
+    return whole.select(
         "source_id",
         F.size("_names").alias("n_services"),
         F.posexplode("_names" if max_services is None else F.slice("_names", 1, max_services)).alias("service_no", "service"),

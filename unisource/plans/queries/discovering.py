@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unisource.functions import types
+from unisource.functions import text, types
 from unisource.operators import dictionary, dynamics, edmx, fields, relations, sage, sap
 from unisource.plans.queries.registry import payload, pick, query, sql_pick, table
 
@@ -280,6 +280,29 @@ def dynamics_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entity", "entity_description", *_FIELD, "description")
 
 
+@query("dynamics_attribute_pages", """
+SELECT 'acc_' || c_custkey AS entity, CAST(f.k AS INTEGER) AS position, 'a' || f.k || '_' || c_custkey AS name,
+ CASE WHEN f.k < 2 THEN 'integer' ELSE 'string' END AS type, f.k = 0 AS primary_key
+FROM customer, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS f(k) WHERE f.k < c_custkey % 13 AND c_custkey % 13 <> 5
+UNION ALL SELECT 'acc_' || c_custkey, CAST(0 AS INTEGER), 'acc_id', 'uuid', true FROM customer WHERE c_custkey % 13 IN (0, 5)
+UNION ALL SELECT 'acc_' || c_custkey, CAST(1 AS INTEGER), CASE c_custkey % 4 WHEN 0 THEN 'name' ELSE 'title' END, 'string', false
+FROM customer WHERE c_custkey % 13 IN (0, 5)""")
+def dynamics_attribute_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attribute a page and up to twelve pages an entity; pages of some entities are refused."""
+    key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    pages = customers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).where(F.col("k") < key % 13)
+    body = F.concat(
+        F.lit('{"value":[{"LogicalName":"a'), F.col("k"), F.lit("_"), key, F.lit('","AttributeType":"'),
+        F.when(F.col("k") < 2, "Integer").otherwise("String"), F.lit('","IsPrimaryId":'), (F.col("k") == 0).cast("string"), F.lit("}]}"),
+    )
+    path = F.concat(F.lit("/attributes"), F.when(F.col("k") > 0, F.concat(F.lit(text.PAGE_MARK), F.col("k") + 1)).otherwise(""))
+    status = F.when(key % 13 == 5, 500).otherwise(200)
+    replies = payload(pages, "crm", F.concat(F.lit("acc_"), key), path, body, status)
+    found = dynamics.attribute_fields(_definitions(spark, sf_dir), replies)
+    return found.select("entity", "position", "name", "type", "primary_key")
+
+
 @query("dynamics_choice", """
 SELECT 'crm' || c_custkey AS source_id, 'acc' AS entity, 'acc_id' AS name FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT 'crm' || c_custkey, 'acc', 'name' FROM customer WHERE c_custkey % 2 = 0

@@ -36,7 +36,7 @@ def payload(df: DataFrame, source: Column | str, hint: Column, path: Column, bod
         F.lit("").alias("dialect"),
         hint.cast("string").alias("entity_hint"),
         path.cast("string").alias("path"),
-        F.lit(status).cast("int").alias("status"),
+        (F.lit(status) if isinstance(status, int) else status).cast("int").alias("status"),
         body.alias("body"),
     )
 

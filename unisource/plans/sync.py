@@ -40,8 +40,8 @@ def discover(landed: DataFrame, dialects: list[str] | None = None) -> DataFrame:
     if wanted("abap"):
         tables = sap.listed_tables(sap.rfc_rows(of("abap_listing")))
         fields = of("abap")
-        # a source with a configured table list has no listing: all its tables count
-        unlisted = fields.join(of("abap_listing").select("source_id").distinct(), "source_id", "left_anti")
+        # without a listing, or with one that was refused or cannot be read, all tables of a source count
+        unlisted = fields.join(tables.select("source_id").distinct(), "source_id", "left_anti")
         found.append(sap.abap_fields(fields, tables))
         found.append(sap.abap_fields(unlisted.select(*fields.columns)))
     if wanted("sap_odata"):

@@ -1,4 +1,4 @@
-"""A Python data source that lands one response per configured endpoint."""
+"""A Python data source that lands the responses of configured endpoints, one row per page."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from unisource.functions.text import PAGE_MARK
 from unisource.operators.sage import CLOUD_RESOURCES, X3_FOLDER, X3_OBJECTS
 from unisource.schemas import LANDED
 
@@ -39,6 +40,9 @@ SERVICE_PATHS = {
     "sage_x3": "/api/x3/erp/{folder}/{name}/$descriptor",
     "sage_cloud": "/{name}",
 }
+# Where replies of these dialects name their next page.
+NEXT_PAGE = ("@odata.nextLink", "odata.nextLink", "__next")
+PAGED = ("odata_rows", "dynamics_entities", "dynamics_attributes", "sap_services")
 
 
 def service_endpoints(dialect: str, names: list[str] | None = None, folder: str = X3_FOLDER) -> list[dict]:
@@ -64,7 +68,13 @@ class Endpoint(InputPartition):
 
 
 class EndpointReader(DataSourceReader):
-    """One task per endpoint; a failing endpoint becomes a row, not a failed task."""
+    """One task per endpoint; a failing endpoint becomes a row, not a failed task.
+
+    Replies of a dialect in PAGED are followed to their last page. Pages land one by one, so a task holds one
+    at a time; page n > 1 has `#page=n` behind its path. Following ends at a link that was followed before,
+    at a failing page, which lands with its status, and at a link to another server, which lands without
+    status: the headers may hold secrets and are sent to the endpoint's own server only.
+    """
 
     def __init__(self, options: dict):
         self.source_id = options.get("source_id", "")
@@ -98,6 +108,20 @@ class EndpointReader(DataSourceReader):
         url = self.base_url + partition.path
         if partition.params:
             url += "?" + urllib.parse.urlencode(partition.params, safe="$,")
+        server, seen, page = urllib.parse.urlsplit(url)[:2], set(), 0
+        while url and url not in seen:
+            seen.add(url)
+            page += 1
+            if urllib.parse.urlsplit(url)[:2] == server:
+                status, body = self.fetch(url)
+            else:
+                status, body = None, f"next page on another server: {url}"
+            path = partition.path if page == 1 else f"{partition.path}{PAGE_MARK}{page}"
+            yield (self.source_id, self.dialect, partition.entity, path, status, body)
+            url = next_page(url, body) if self.dialect in PAGED and status is not None and status < 400 else None
+
+    def fetch(self, url: str) -> tuple[int | None, str | None]:
+        """Status and text of one reply; without a reply no status and the reason."""
         status, body = None, None
         try:
             request = urllib.request.Request(url, headers=self.headers)
@@ -108,7 +132,21 @@ class EndpointReader(DataSourceReader):
             status, body = e.code, e.read().decode("utf-8", "replace")
         except (OSError, ValueError) as e:
             body = str(e)
-        yield (self.source_id, self.dialect, partition.entity, partition.path, status, body)
+        return status, body
+
+
+def next_page(url: str, body: str | None) -> str | None:
+    """Address of the page after this one, if the reply names one."""
+    try:
+        doc = json.loads(body or "")
+    except ValueError:
+        return None
+    for part in (doc, doc.get("d")) if isinstance(doc, dict) else ():
+        for name in NEXT_PAGE:
+            link = part.get(name) if isinstance(part, dict) else None
+            if isinstance(link, str) and link:
+                return urllib.parse.urljoin(url, link)
+    return None
 
 
 def _entity(endpoint: dict) -> str:
