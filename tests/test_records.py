@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from unisource.functions import json as J
 from unisource.operators import records
+from unisource.operators.records import endpoint_fields, json_file_fields
 
 
 def rows(df):
@@ -123,3 +124,52 @@ def test_library_entities(land):
         ("s", "l", "[1]"),
     ), "lib"))
     assert got == {"p0": [("id", "integer"), ("name", "string"), ("active", "boolean")], "p1": [("id", "integer")]}
+
+
+def all_fields(df):
+    return [(r.path, r.entity, r.position, r.name, r.type) for r in df.orderBy("path", "position").collect()]
+
+
+def test_all_records_make_the_schema(land):
+    """Keys of late records, mixed types, nulls, and the shapes that have no records."""
+    landed = land(
+        ('[{"a":1,"b":null},{"c":"2024-01-01","a":2.5},7,{"b":true}]',), ('{"x":1,"y":[1]}',), ("[]",), ("[1,2]",), ("3",), ("{broken",),
+        ("[{},{}]",), ('[[1],{"k":{}}]',), (None,), ('["{\\"no\\":1}"]',),
+    )
+    assert all_fields(endpoint_fields(landed, mode="all")) == [
+        ("p0", "e", 0, "a", "string"), ("p0", "e", 1, "c", "date"), ("p0", "e", 2, "b", "boolean"),
+        ("p1", "e", 0, "x", "integer"), ("p1", "e", 1, "y", "array"), ("p2", "e", None, None, None), ("p4", "e", None, None, None),
+        ("p6", "e", None, None, None), ("p7", "e", 0, "k", "object"),
+    ]
+    assert [r[0] for r in all_fields(endpoint_fields(landed, "lib", "all"))] == ["p0", "p0", "p0", "p1", "p1", "p6", "p7"]
+
+
+def test_all_records_agree_with_the_first_where_there_is_one(land):
+    bodies = ['{"a":1,"b":"x"}', '[{"a":1,"z":2,"c":null}]', '{"rows":[{"q":1.5}]}', "[]", "5", '{"rows":[1]}', '{"a":[],"b":[[]]}']
+    landed = land(*[(b,) for b in bodies])
+    for run in (endpoint_fields, json_file_fields):
+        first, every = ([tuple(r) for r in run(landed, mode=m).orderBy("path", "position").collect()] for m in ("first", "all"))
+        assert first == every
+
+
+def test_json_file_counts_all_records(land):
+    got = json_file_fields(land(('{"n":[],"rows":[{"a":1},2,{"b":1}]}',), ("[]",), ("7",)), mode="all").orderBy("path", "position").collect()
+    assert [(r.path, r.entity_description, r.name) for r in got] == [
+        ("p0", "JSON - 3 enregistrements, 2 champs", "a"), ("p0", "JSON - 3 enregistrements, 2 champs", "b"),
+        ("p1", "JSON - 0 enregistrements, 0 champs", None), ("p2", None, None),
+    ]
+
+
+def test_merge_numeric_over_records(land):
+    from unisource.functions import json as J
+    from unisource.operators.records import all_records
+
+    landed = land(('[{"a":1},{"a":2.5}]',)).select(
+        "source_id", "path", "entity_hint", J.items("body").alias("_items"), J.item_texts("body").alias("_texts"), F.lit(True).alias("_found")
+    )
+    assert [all_records(landed, m).first()["keys"][0]["type"] for m in (False, True)] == ["string", "float"]
+
+
+def test_one_row_per_key_leaves_a_task(land, plan):
+    text = plan(endpoint_fields(land(("[]",)), mode="all"))
+    assert text.count("Exchange hashpartitioning") == 2 and "Python" not in text

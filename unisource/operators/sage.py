@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from unisource.functions import json as J
 from unisource.functions.types import universal_type
 from unisource.operators.fields import explode_fields, field, fixed_field, settle
+from unisource.operators.records import all_records
 
 # ---- fixed values: objects and resources read by default ----
 X3_OBJECTS = [
@@ -82,11 +83,13 @@ def x3_fields(landed: DataFrame, folder: str = X3_FOLDER, variant: str = "live")
 
 
 def cloud_fields(
-    landed: DataFrame, labels: dict[str, str] | None = None, variant: str = "live"
+    landed: DataFrame, labels: dict[str, str] | None = None, variant: str = "live", mode: str = "first"
 ) -> DataFrame:
-    """Fields of the first record a resource returns; refused or unreadable replies are skipped.
+    """Fields of the records a resource returns; refused or unreadable replies are skipped.
 
-    An empty sample has no fields, in the `lib` variant the two fields every resource has.
+    Mode `first` takes those of the first record, `all` those of all records (see `records.all_records`). An
+    empty sample has no fields, in the `lib` variant the two fields every resource has; so has a sample whose first
+    record, or in mode `all` every record, is no object.
     """
     labels = CLOUD_RESOURCES if labels is None else labels
     parsed = landed.filter(F.coalesce("status", F.lit(200)) < 400).select(
@@ -108,31 +111,43 @@ def cloud_fields(
         F.col("_key").isNull() | F.col("_items").isNotNull() | F.col("_null")
     )
     first = F.get("_items", 0)
+    if mode == "all":
+        sampled = listed.select("source_id", "path", "entity_hint", "_items", J.item_texts("_text").alias("_texts"), F.lit(True).alias("_found"))
+        merged = all_records(sampled)
+        own = F.transform("keys", lambda k: _cloud_field(k["name"], k["type"], k["class"]))
+        usable = F.col("n_objects") > 0 if variant == "lib" else (F.col("n_objects") > 0) | (F.col("n_records") == 0)
+        return _cloud_entities(merged, F.coalesce(F.when(usable, own), _basic_cloud_fields()), labels)
     sample = F.when(F.size("_items") > 0, F.when(J.is_object(first), J.entries(F.get(J.item_texts("_text"), 0)))).otherwise(
         F.array().cast("array<struct<key:string,value:variant>>")
     )
 
-    def describe(e: Column) -> Column:
-        return field(
-            e["key"], J.value_type(e["value"], e["shape"]), J.value_class(e["value"], e["shape"]),
-            primary_key=e["key"] == "id",
-            foreign_key=e["key"].endswith("_id") & (e["key"] != "id"),
-        )
+    sampled = F.when(F.size("_sample") > 0, F.col("_sample")) if variant == "lib" else F.col("_sample")
+    described = F.transform(
+        J.shaped(sampled), lambda e: _cloud_field(e["key"], J.value_type(e["value"], e["shape"]), J.value_class(e["value"], e["shape"]))
+    )
+    # a first item that is no object falls back to the basic fields
+    return _cloud_entities(listed.withColumn("_sample", sample), F.coalesce(described, _basic_cloud_fields()), labels)
 
-    # a first item that is no object falls back to these
-    basic = F.array(
+
+def _cloud_field(key: Column, type: Column, native_type: Column) -> Column:
+    return field(key, type, native_type, primary_key=key == "id", foreign_key=key.endswith("_id") & (key != "id"))
+
+
+def _basic_cloud_fields() -> Column:
+    return F.array(
         fixed_field("id", "uuid", "string", nullable=False, primary_key=True),
         fixed_field("display_name", "string", "string", nullable=True, primary_key=False),
     )
+
+
+def _cloud_entities(resources: DataFrame, fields: Column, labels: dict[str, str]) -> DataFrame:
     label = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("entity_hint")),
         F.col("entity_hint"),
     ) if labels else F.col("entity_hint")
-    sampled = F.when(F.size("_sample") > 0, F.col("_sample")) if variant == "lib" else F.col("_sample")
-    entities = listed.withColumn("_sample", sample).select(
+    entities = resources.select(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sage_cloud_resource").alias("entity_type"),
-        F.concat(F.lit("SAGE Business Cloud - "), label).alias("entity_description"),
-        F.coalesce(F.transform(J.shaped(sampled), describe), basic).alias("fields"),
+        F.concat(F.lit("SAGE Business Cloud - "), label).alias("entity_description"), fields.alias("fields"),
     )
     return explode_fields(entities, keep_empty=True)

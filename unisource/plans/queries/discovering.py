@@ -388,6 +388,25 @@ def cloud_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sage.cloud_fields(landed).select("entity", "entity_description", *_FIELD)
 
 
+@query("cloud_fields_all", """
+WITH rows AS (SELECT s_suppkey, 'res' || s_suppkey AS entity, 'SAGE Business Cloud - res' || s_suppkey AS entity_description FROM supplier)
+SELECT entity, entity_description, f.position, f.name, f.type, f.native_type, f.nullable, f.primary_key, f.foreign_key
+FROM rows, (VALUES (CAST(0 AS INTEGER), 'id', 'string', 'str', true, true, false), (CAST(1 AS INTEGER), 'note', 'date', 'str', true, false, false),
+ (CAST(2 AS INTEGER), 'late_id', 'integer', 'int', true, false, true), (CAST(3 AS INTEGER), 'none', 'string', 'NoneType', true, false, false))
+ AS f(position, name, type, native_type, nullable, primary_key, foreign_key) WHERE s_suppkey % 4 = 0
+UNION ALL SELECT entity, entity_description, f.position, f.name, f.type, 'string', f.position = 1, f.position = 0, false
+FROM rows, (VALUES (CAST(0 AS INTEGER), 'id', 'uuid'), (CAST(1 AS INTEGER), 'display_name', 'string')) AS f(position, name, type) WHERE s_suppkey % 4 = 1
+UNION ALL SELECT entity, entity_description, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM rows WHERE s_suppkey % 4 = 2""")
+def cloud_fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources typed from all records: a key and a type that only later ones have, records that are no objects, no records, refused."""
+    key = F.col("s_suppkey")
+    rows = F.concat(F.lit('{"$items":["x",{"id":"s'), key, F.lit('","note":null},{"id":null,"late_id":'), key, F.lit(',"none":null,"note":"2024-05-06"}]}'))
+    body = F.when(key % 4 == 0, rows).when(key % 4 == 1, '{"value":[1,"x"]}').otherwise('{"$items":[]}')
+    status = F.when(key % 4 == 3, 403).otherwise(200)
+    landed = payload(table(spark, sf_dir, "supplier"), "cloud", F.concat(F.lit("res"), key), key, body, status)
+    return sage.cloud_fields(landed, mode="all").select("entity", "entity_description", *_FIELD)
+
+
 # ---- SQL dictionary ----
 
 _SQL_NATIVE = ["VARCHAR(255)", "NUMERIC(12, 2)", "double precision", "bigint", "TIMESTAMP", "money", "uuid"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unisource.functions import json as J
+from unisource.functions.text import PAGE_MARK
 from unisource.operators import records
 from unisource.plans.queries.registry import payload, pick, query, table
 from unisource.session import spread_small
@@ -156,6 +157,50 @@ def json_file_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The second record has the keys in another order, one of another type, one key more and an empty one.
+_LATE = '{"a_flag":null,"status":7,"z_key":1.5,"late":["x"]}'
+_ALL_FIELDS = [
+    ("z_key", "string"), ("a_flag", "boolean"), ("status", "string"), ("placed", "date"), ("total", "float"), ("late", "array"),
+]
+_ALL_VALUES = ", ".join(f"(CAST({i} AS INTEGER), '{n}', '{t}')" for i, (n, t) in enumerate(_ALL_FIELDS))
+
+
+@query("record_entity_all", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS path, 'order_' || o_custkey AS entity, f.position, f.name, f.type
+FROM orders, (VALUES {_ALL_VALUES}) AS f(position, name, type) WHERE o_orderkey % 5 IN (0, 4)
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'order_' || o_custkey, f.position, f.name, f.type
+FROM orders, (VALUES {_ORDER_VALUES}) AS f(position, name, type) WHERE o_orderkey % 5 = 1
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'order_' || o_custkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 2""")
+def record_entity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed from all records: lists whose later records differ, objects, empty lists, bare values, and one list over two pages."""
+    m = F.col("o_orderkey") % 5
+    both = F.concat(F.lit("[3,"), _order(), F.lit(f",{_LATE}]"))
+    body = F.when(m == 0, both).when(m == 1, _order()).when(m == 2, "[]").when(m == 3, "[1,2]")
+    orders = table(spark, sf_dir, "orders").withColumn("_page", F.explode(F.when(m == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    page = F.when(F.col("_page") == 1, F.concat(F.lit("["), _order(), F.lit("]"))).otherwise(f"[{_LATE}]")
+    path = F.concat("o_orderkey", F.when(F.col("_page") > 1, F.concat(F.lit(PAGE_MARK), "_page")).otherwise(""))
+    landed = payload(orders, "orders", F.concat(F.lit("order_"), "o_custkey"), path, F.coalesce(body, page))
+    return records.endpoint_fields(landed, mode="all").select("path", "entity", "position", "name", "type")
+
+
+@query("json_file_fields_all", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS path,
+ CASE o_orderkey % 3 WHEN 0 THEN 'JSON - 3 enregistrements, 6 champs' ELSE 'JSON - 1 enregistrements, 5 champs' END AS entity_description,
+ f.position, f.name, f.type, 'json_field' AS native_type
+FROM orders, (SELECT 0 AS m, * FROM (VALUES {_ALL_VALUES}) UNION ALL SELECT 1, * FROM (VALUES {_ORDER_VALUES})) AS f(m, position, name, type)
+WHERE o_orderkey % 3 = f.m
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'JSON - 3 enregistrements, 0 champs', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 3 = 2""")
+def json_file_fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files typed from all records; one has a record that is no object, one has no other."""
+    m = F.col("o_orderkey") % 3
+    body = (
+        F.when(m == 0, F.concat(F.lit('{"none":[],"rows":['), _order(), F.lit(f',"x",{_LATE}]}}')))
+        .when(m == 1, _order()).otherwise('{"rows":[1,2,3]}')
+    )
+    landed = payload(table(spark, sf_dir, "orders"), "orders", F.lit("orders"), F.col("o_orderkey"), body)
+    return records.json_file_fields(landed, mode="all").select("path", "entity_description", "position", "name", "type", "native_type")
+
+
 @query("json_schema_all", """
 SELECT event_type, name, CAST(min(position) AS INTEGER) AS position,
  CASE WHEN count(DISTINCT type) FILTER (type <> 'none') = 1 THEN min(type) FILTER (type <> 'none') ELSE 'string' END

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from unisource.operators import dynamics, edmx, records, sage, sap
 
+# Dialects of plain records, and those whose fields come from records at all.
+_RECORDS = ("rest", "graphql", "soap")
+_TYPED = (*_RECORDS, "file_json", "sage_cloud")
 # Dialects one operator handles alone.
 _SINGLE = {
-    "rest": records.endpoint_fields,
-    "graphql": records.endpoint_fields,
-    "soap": records.endpoint_fields,
+    **dict.fromkeys(_RECORDS, records.endpoint_fields),
     "file_json": records.json_file_fields,
     "odata": edmx.edmx_fields,
     "bapi": sap.bapi_fields,
@@ -22,10 +23,12 @@ _SINGLE = {
 }
 
 
-def discover(landed: DataFrame, dialects: list[str] | None = None) -> DataFrame:
+def discover(landed: DataFrame, dialects: list[str] | None = None, mode: str = "all") -> DataFrame:
     """Fields of every landed payload. Store payloads partitioned by dialect, so that each
     operator reads its own; `dialects` leaves out branches known to have none.
 
+    Records are typed from all of them; mode `first` takes each payload's first one.
+
     Multi-part dialects: `abap_listing` + `abap`, `sap_services` + `sap_odata`,
     `dynamics_entities` + `dynamics_attributes` + `dynamics_edmx`.
     """
@@ -36,7 +39,7 @@ def discover(landed: DataFrame, dialects: list[str] | None = None) -> DataFrame:
     def wanted(name: str) -> bool:
         return dialects is None or name in dialects
 
-    found = [operator(of(name)) for name, operator in _SINGLE.items() if wanted(name)]
+    found = [operator(of(name), **({"mode": mode} if name in _TYPED else {})) for name, operator in _SINGLE.items() if wanted(name)]
     if wanted("abap"):
         tables = sap.listed_tables(sap.rfc_rows(of("abap_listing")))
         fields = of("abap")
