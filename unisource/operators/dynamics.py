@@ -25,7 +25,7 @@ def _label(row: Column, default: Column) -> Column:
     return F.coalesce(row["DisplayName"]["UserLocalizedLabel"]["Label"], default)
 
 
-def _primary_fields(d: Column) -> Column:
+def primary_fields(d: Column) -> Column:
     """The pair of fields every definition names: its id and its name column."""
     return F.array(
         field(F.coalesce(d["PrimaryIdAttribute"], F.lit("id")), F.lit("uuid"), F.lit("Edm.Guid"), False, True),
@@ -33,26 +33,50 @@ def _primary_fields(d: Column) -> Column:
     )
 
 
+def definition_rows(body: Column | str) -> Column:
+    """Entity definitions of a reply without intersect tables."""
+    return F.filter(F.from_json(body, _DEFINITIONS)["value"], lambda d: ~F.coalesce(d["IsIntersect"], F.lit(False)))
+
+
+def definition_name(d: Column) -> Column:
+    return F.coalesce(d["LogicalName"], F.lit(""))
+
+
+def definition_label(d: Column) -> Column:
+    custom = F.when(F.coalesce(d["IsCustomEntity"], F.lit(False)), " (Custom)").otherwise(" (Standard)")
+    return F.concat(_label(d, definition_name(d)), custom)
+
+
+def attribute_rows(body: Column | str) -> Column:
+    """Fields of one reply with attributes."""
+
+    def describe(a: Column) -> Column:
+        name = F.coalesce(a["LogicalName"], F.lit(""))
+        native = F.coalesce(a["AttributeType"], F.lit("String"))
+        return field(
+            name, universal_type(native, "dynamics"), native,
+            nullable=F.coalesce(a["RequiredLevel"]["Value"], F.lit("None")) == "None",
+            primary_key=F.coalesce(a["IsPrimaryId"], F.lit(False)),
+            foreign_key=F.lower(native) == "lookup",
+            description=_label(a, name),
+        )
+
+    return F.transform(F.from_json(body, _ATTRIBUTES)["value"], describe)
+
+
 def definitions(landed: DataFrame, top: int | None = None) -> DataFrame:
     """Entity definitions without intersect tables, all or the first `top` of each reply."""
-    rows = F.filter(
-        F.from_json("body", _DEFINITIONS)["value"],
-        lambda d: ~F.coalesce(d["IsIntersect"], F.lit(False)),
-    )
+    rows = definition_rows("body")
     if top is not None:
         rows = F.slice(rows, 1, top)
-    name = F.coalesce("_d.LogicalName", F.lit(""))
     return (
         landed.filter(F.coalesce("status", F.lit(200)) < 400)
         .select("source_id", "path", F.posexplode(rows).alias("entity_no", "_d"))
         .select(
-            "source_id", "path", "entity_no", name.alias("entity"),
+            "source_id", "path", "entity_no", definition_name(F.col("_d")).alias("entity"),
             F.lit("dynamics_entity").alias("entity_type"),
-            F.concat(
-                _label(F.col("_d"), name),
-                F.when(F.coalesce("_d.IsCustomEntity", F.lit(False)), " (Custom)").otherwise(" (Standard)"),
-            ).alias("entity_description"),
-            _primary_fields(F.col("_d")).alias("fields"),
+            definition_label(F.col("_d")).alias("entity_description"),
+            primary_fields(F.col("_d")).alias("fields"),
         )
     )
 
@@ -72,21 +96,8 @@ def attribute_fields(
     unfolded after it, so one row per page is exchanged. `top_attributes` counts over all pages. An entity
     without attributes keeps its id and name field.
     """
-    rows = F.from_json("body", _ATTRIBUTES)["value"]
-
-    def describe(a: Column) -> Column:
-        name = F.coalesce(a["LogicalName"], F.lit(""))
-        native = F.coalesce(a["AttributeType"], F.lit("String"))
-        return field(
-            name, universal_type(native, "dynamics"), native,
-            nullable=F.coalesce(a["RequiredLevel"]["Value"], F.lit("None")) == "None",
-            primary_key=F.coalesce(a["IsPrimaryId"], F.lit(False)),
-            foreign_key=F.lower(native) == "lookup",
-            description=_label(a, name),
-        )
-
     described = attributes.filter((F.coalesce("status", F.lit(200)) < 400) & F.col("entity_hint").isNotNull()).select(
-        "source_id", F.col("entity_hint").alias("entity"), "path", F.transform(rows, describe).alias("_own")
+        "source_id", F.col("entity_hint").alias("entity"), "path", attribute_rows("body").alias("_own")
     )
     pages = settle(described, "_own").filter(F.size("_own") > 0)
     page = F.struct(first_page("path").alias("at"), page_number("path").alias("page"), F.col("_own").alias("own"))

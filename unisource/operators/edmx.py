@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unisource.functions.text import col
 from unisource.functions.types import universal_type
-from unisource.operators.fields import explode_fields, field
+from unisource.operators.fields import FIELDS, explode_fields, field, relation
 
 _ENTITY_TYPE = (
     "array<struct<_Name:string,_Abstract:string,"
@@ -51,28 +52,17 @@ def entity_types(landed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         .select(
             *carried, "entity_no",
             F.coalesce("_t._Name", F.lit("Unknown")).alias("entity"),
-            (F.lower(F.coalesce("_t._Abstract", F.lit("false"))) == "true").alias("is_abstract"),
-            F.coalesce(
-                F.transform("_t.Key.PropertyRef", lambda r: F.coalesce(r["_Name"], F.lit(""))),
-                F.array().cast("array<string>"),
-            ).alias("keys"),
+            is_abstract(F.col("_t")).alias("is_abstract"),
+            type_keys(F.col("_t")).alias("keys"),
             F.col("_t.Property").alias("properties"),
             F.col("_t.NavigationProperty").alias("navigations"),
         )
     )
 
 
-def edmx_fields(landed: DataFrame, variant: str = "odata", prefix: str | None = None) -> DataFrame:
-    """Fields of every entity type: properties first, then navigation properties.
-
-    `variant` picks what differs between the services: abstract types are skipped and a
-    DisplayName annotation described for Dynamics, `sap:label` is the description for SAP.
-    A non-null `prefix` column is put before the entity name.
-    """
-    types, entity_type = VARIANTS[variant]
-    found = entity_types(landed, (prefix,) if prefix else ())
-    if variant.startswith("dynamics"):
-        found = found.filter(~F.col("is_abstract"))
+def type_fields(properties: Column, navigations: Column, keys: Column, variant: str) -> Column:
+    """Fields of one entity type: properties first, then navigation properties."""
+    types, _ = VARIANTS[variant]
 
     def describe(p: Column) -> Column:
         if variant.startswith("sap"):
@@ -89,7 +79,7 @@ def edmx_fields(landed: DataFrame, variant: str = "odata", prefix: str | None =
         return field(
             name, universal_type(native, "edm", types), native,
             nullable=(stated == "true") if variant == "odata_lib" else (stated != "false"),
-            primary_key=F.array_contains("keys", name),
+            primary_key=F.array_contains(keys, name),
             description=describe(p),
         )
 
@@ -98,14 +88,53 @@ def edmx_fields(landed: DataFrame, variant: str = "odata", prefix: str | None =
         native = F.coalesce(n["_Type"], other, F.lit(""))
         return field(F.coalesce(n["_Name"], F.lit("")), F.lit("relation"), native, foreign_key=True)
 
-    empty = F.array().cast(
-        "array<struct<name:string,type:string,native_type:string,nullable:boolean,"
-        "primary_key:boolean,foreign_key:boolean,description:string>>"
+    empty = F.array().cast(FIELDS)
+    return F.concat(
+        F.coalesce(F.transform(properties, from_property), empty),
+        F.coalesce(F.transform(navigations, from_navigation), empty),
     )
-    fields = F.concat(
-        F.coalesce(F.transform("properties", from_property), empty),
-        F.coalesce(F.transform("navigations", from_navigation), empty),
+
+
+def type_keys(entity_type: Column) -> Column:
+    """Names of the key columns, in key order."""
+    names = F.transform(entity_type["Key"]["PropertyRef"], lambda r: F.coalesce(r["_Name"], F.lit("")))
+    return F.coalesce(names, F.array().cast("array<string>"))
+
+
+def is_abstract(entity_type: Column) -> Column:
+    return F.lower(F.coalesce(entity_type["_Abstract"], F.lit("false"))) == "true"
+
+
+def navigation(n: Column) -> Column:
+    """A navigation property as a relation; a collection is one to many."""
+    kind = F.coalesce(n["_Type"], F.lit(""))
+    role = F.when(n["_ToRole"] != "", n["_ToRole"])
+    return relation(
+        F.coalesce(n["_Name"], F.lit("")), F.coalesce(role, F.rtrim(F.element_at(F.split(kind, r"\."), -1), F.lit(")"))), F.lit("id"),
+        F.when(kind.startswith("Collection("), "one_to_many").otherwise("many_to_one"),
     )
+
+
+def document_types(body: Column | str) -> Column:
+    """Entity types of a metadata document as a list; null for unreadable XML."""
+    doc = F.from_xml(col(body), _EDMX, {"ignoreNamespace": "true"})
+    # within an array of one, so that the document is parsed once, not wherever its types are looked for
+    return F.flatten(F.transform(F.array(doc), _all_types))
+
+
+def edmx_fields(landed: DataFrame, variant: str = "odata", prefix: str | None = None) -> DataFrame:
+    """Fields of every entity type: properties first, then navigation properties.
+
+    `variant` picks what differs between the services: abstract types are skipped and a
+    DisplayName annotation described for Dynamics, `sap:label` is the description for SAP.
+    A non-null `prefix` column is put before the entity name.
+    """
+    _, entity_type = VARIANTS[variant]
+    found = entity_types(landed, (prefix,) if prefix else ())
+    if variant.startswith("dynamics"):
+        found = found.filter(~F.col("is_abstract"))
+
+    fields = type_fields(F.col("properties"), F.col("navigations"), F.col("keys"), variant)
     description = (
         F.concat(F.lit("Dynamics 365 Entity: "), "entity") if variant == "dynamics_lib"
         else F.concat(F.lit("SAP OData Entity - "), "entity_hint") if variant == "sap_lib"
@@ -129,19 +158,10 @@ def edmx_keys(landed: DataFrame) -> DataFrame:
 
 
 def nav_relations(landed: DataFrame) -> DataFrame:
-    """Navigation properties as relations; a collection is one to many."""
-    kind = F.coalesce("_n._Type", F.lit(""))
-    last = F.element_at(F.split(kind, r"\."), -1)
-    role = F.when(F.col("_n._ToRole") != "", F.col("_n._ToRole"))
+    """Navigation properties as relations."""
     return (
         entity_types(landed)
         .select("source_id", "path", "entity", F.explode("navigations").alias("_n"))
-        .select(
-            "source_id",
-            F.col("entity").alias("source_entity"),
-            F.coalesce(role, F.rtrim(last, F.lit(")"))).alias("target_entity"),
-            F.coalesce("_n._Name", F.lit("")).alias("source_field"),
-            F.lit("id").alias("target_field"),
-            F.when(kind.startswith("Collection("), "one_to_many").otherwise("many_to_one").alias("relation_type"),
-        )
+        .select("source_id", F.col("entity").alias("source_entity"), navigation(F.col("_n")).alias("_r"))
+        .select("source_id", "source_entity", *[F.col(f"_r.{c}") for c in ("target_entity", "source_field", "target_field", "relation_type")])
     )

@@ -28,6 +28,21 @@ def field(
     )
 
 
+FIELDS = (
+    "array<struct<name:string,type:string,native_type:string,nullable:boolean,"
+    "primary_key:boolean,foreign_key:boolean,description:string>>"
+)
+RELATIONS = "array<struct<source_field:string,target_entity:string,target_field:string,relation_type:string>>"
+
+
+def relation(source_field: Column, target_entity: Column, target_field: Column, relation_type: Column) -> Column:
+    """One relation of an entity."""
+    return F.struct(
+        source_field.alias("source_field"), target_entity.alias("target_entity"), target_field.alias("target_field"),
+        relation_type.alias("relation_type"),
+    )
+
+
 def fixed_field(name: str, type: str, native_type: str, nullable: bool, primary_key: bool) -> Column:
     return field(F.lit(name), F.lit(type), F.lit(native_type), nullable, primary_key)
 
@@ -105,14 +120,18 @@ def to_fields(discovered: DataFrame) -> DataFrame:
     )
 
 
-def sync_summary(discovered: DataFrame) -> DataFrame:
-    """Entities and fields found per source, fields counted before merging repeated names."""
+def sync_summary(discovered: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Entities, fields and relations found per source, fields counted before merging repeated names."""
     keyed = discovered.withColumn("_entity", F.struct(*ENTITY_KEY))
     counted = keyed.groupBy("source_id", "_entity").agg(F.count("position").alias("n"))
+    totals = counted.groupBy("source_id").agg(F.count("*").alias("entity_count"), F.sum("n").alias("field_count"))
+    if relations is None:
+        related = totals.withColumn("relation_count", F.lit(0).cast("bigint"))
+    else:
+        per_source = relations.groupBy("source_id").agg(F.count("*").alias("relation_count"))
+        related = totals.join(per_source, "source_id", "left").withColumn("relation_count", F.coalesce("relation_count", F.lit(0)))
     return (
-        counted.groupBy("source_id")
-        .agg(F.count("*").alias("entity_count"), F.sum("n").alias("field_count"))
-        .withColumn("relation_count", F.lit(0).cast("bigint"))
+        related
         .withColumn(
             "message",
             F.format_string("%d entites, %d champs synchronises", "entity_count", "field_count"),

@@ -38,19 +38,12 @@ _DESCRIPTOR = (
 )
 
 
-def x3_fields(landed: DataFrame, folder: str = X3_FOLDER, variant: str = "live") -> DataFrame:
-    """Fields of X3 object descriptors.
+def descriptor(body: Column | str) -> Column:
+    """An X3 object descriptor."""
+    return F.from_json(body, _DESCRIPTOR)
 
-    An object the server refuses gets three basic fields and an unreadable reply is
-    skipped; the `lib` variant does it the other way round and takes the description from
-    the descriptor.
-    """
-    doc = landed.select(
-        "source_id", "path", "entity_hint", (F.coalesce("status", F.lit(200)) < 400).alias("_ok"),
-        F.from_json("body", _DESCRIPTOR).alias("_d"), J.is_readable_object("body").alias("_readable"),
-    ).filter(F.col("_ok") if variant == "lib" else ~F.col("_ok") | F.col("_readable"))
-    detailed = F.col("_readable") if variant == "lib" else F.col("_ok")
 
+def descriptor_fields(rows: Column) -> Column:
     def describe(f: Column) -> Column:
         native = F.coalesce(f["$type"], F.lit("A"))
         key = F.coalesce(f["$isKey"], F.lit(False))
@@ -61,11 +54,31 @@ def x3_fields(landed: DataFrame, folder: str = X3_FOLDER, variant: str = "live")
             description=F.coalesce(f["$description"], F.lit("")),
         )
 
-    basic = F.array(
+    return F.transform(rows, describe)
+
+
+def basic_x3_fields() -> Column:
+    """Fields of an object whose descriptor is not to be had."""
+    return F.array(
         fixed_field("ROWID", "integer", "L", nullable=False, primary_key=True),
         fixed_field("CODE", "string", "A", nullable=False, primary_key=False),
         fixed_field("DESCRIPTION", "string", "A", nullable=True, primary_key=False),
     )
+
+
+def x3_fields(landed: DataFrame, folder: str = X3_FOLDER, variant: str = "live") -> DataFrame:
+    """Fields of X3 object descriptors.
+
+    An object the server refuses gets three basic fields and an unreadable reply is
+    skipped; the `lib` variant does it the other way round and takes the description from
+    the descriptor.
+    """
+    doc = landed.select(
+        "source_id", "path", "entity_hint", (F.coalesce("status", F.lit(200)) < 400).alias("_ok"),
+        descriptor("body").alias("_d"), J.is_readable_object("body").alias("_readable"),
+    ).filter(F.col("_ok") if variant == "lib" else ~F.col("_ok") | F.col("_readable"))
+    detailed = F.col("_readable") if variant == "lib" else F.col("_ok")
+
     if variant == "lib":
         named = F.concat(F.lit("SAGE X3 Object "), "entity_hint")
         description = F.when(detailed, F.coalesce("_d.$description", named)).otherwise(
@@ -77,7 +90,7 @@ def x3_fields(landed: DataFrame, folder: str = X3_FOLDER, variant: str = "live")
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sage_x3_object").alias("entity_type"),
         description.alias("entity_description"),
-        F.when(detailed, F.transform("_d.$fields", describe)).otherwise(basic).alias("fields"),
+        F.when(detailed, descriptor_fields(F.col("_d")["$fields"])).otherwise(basic_x3_fields()).alias("fields"),
     )
     return explode_fields(entities, keep_empty=True)
 
@@ -114,37 +127,40 @@ def cloud_fields(
     if mode == "all":
         sampled = listed.select("source_id", "path", "entity_hint", "_items", J.item_texts("_text").alias("_texts"), F.lit(True).alias("_found"))
         merged = all_records(sampled)
-        own = F.transform("keys", lambda k: _cloud_field(k["name"], k["type"], k["class"]))
+        own = F.transform("keys", lambda k: cloud_field(k["name"], k["type"], k["class"]))
         usable = F.col("n_objects") > 0 if variant == "lib" else (F.col("n_objects") > 0) | (F.col("n_records") == 0)
-        return _cloud_entities(merged, F.coalesce(F.when(usable, own), _basic_cloud_fields()), labels)
+        return _cloud_entities(merged, F.coalesce(F.when(usable, own), basic_cloud_fields()), labels)
     sample = F.when(F.size("_items") > 0, F.when(J.is_object(first), J.entries(F.get(J.item_texts("_text"), 0)))).otherwise(
         F.array().cast("array<struct<key:string,value:variant>>")
     )
 
     sampled = F.when(F.size("_sample") > 0, F.col("_sample")) if variant == "lib" else F.col("_sample")
     described = F.transform(
-        J.shaped(sampled), lambda e: _cloud_field(e["key"], J.value_type(e["value"], e["shape"]), J.value_class(e["value"], e["shape"]))
+        J.shaped(sampled), lambda e: cloud_field(e["key"], J.value_type(e["value"], e["shape"]), J.value_class(e["value"], e["shape"]))
     )
     # a first item that is no object falls back to the basic fields
-    return _cloud_entities(listed.withColumn("_sample", sample), F.coalesce(described, _basic_cloud_fields()), labels)
+    return _cloud_entities(listed.withColumn("_sample", sample), F.coalesce(described, basic_cloud_fields()), labels)
 
 
-def _cloud_field(key: Column, type: Column, native_type: Column) -> Column:
+def cloud_field(key: Column, type: Column, native_type: Column) -> Column:
     return field(key, type, native_type, primary_key=key == "id", foreign_key=key.endswith("_id") & (key != "id"))
 
 
-def _basic_cloud_fields() -> Column:
+def basic_cloud_fields() -> Column:
     return F.array(
         fixed_field("id", "uuid", "string", nullable=False, primary_key=True),
         fixed_field("display_name", "string", "string", nullable=True, primary_key=False),
     )
 
 
+def cloud_label(resource: Column, labels: dict[str, str]) -> Column:
+    if not labels:
+        return resource
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), resource), resource)
+
+
 def _cloud_entities(resources: DataFrame, fields: Column, labels: dict[str, str]) -> DataFrame:
-    label = F.coalesce(
-        F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("entity_hint")),
-        F.col("entity_hint"),
-    ) if labels else F.col("entity_hint")
+    label = cloud_label(F.col("entity_hint"), labels)
     entities = resources.select(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sage_cloud_resource").alias("entity_type"),

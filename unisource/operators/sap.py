@@ -84,6 +84,53 @@ def listed_tables(listing: DataFrame, max_tables: int | None = None) -> DataFram
     return tables.withColumn("table_no", F.row_number().over(w)).filter(F.col("table_no") <= max_tables)
 
 
+def structure(body: Column | str) -> Column:
+    """Field rows of an ABAP dictionary reply."""
+    return F.from_json(body, _STRUCTURE)["FIELDS"]
+
+
+def structure_fields(rows: Column, variant: str = "live") -> Column:
+    return F.transform(
+        rows,
+        lambda f: field(
+            F.coalesce(f["FIELDNAME"], F.lit("")),
+            universal_type(F.coalesce(f["DATATYPE"], F.lit("C")), "abap", variant),
+            F.coalesce(f["DATATYPE"], F.lit("")),
+            primary_key=F.coalesce(f["KEYFLAG"], F.lit("")) == "X",
+            description=F.coalesce(f["FIELDTEXT"], F.lit("")),
+        ),
+    )
+
+
+def interface(body: Column | str) -> Column:
+    """Parameter rows of a function interface reply."""
+    return F.from_json(body, _INTERFACE)["PARAMS_AND_EXCPS"]
+
+
+def interface_fields(rows: Column, variant: str = "live") -> Column:
+    return F.transform(
+        rows,
+        lambda p: field(
+            F.coalesce(p["PARAMETER"], F.lit("")),
+            universal_type(F.coalesce(p["TABNAME"], F.lit("C")), "abap", variant),
+            F.coalesce(p["TABNAME"], F.lit("")),
+            description=F.coalesce(p["PARAMTEXT"], F.lit("")),
+        ),
+    )
+
+
+def listing(body: Column | str) -> Column:
+    """Stripped work areas of a table read, blank ones dropped."""
+    areas = F.transform(F.from_json(body, _LISTING)["DATA"], lambda d: strip(d["WA"]))
+    return F.filter(areas, lambda wa: wa != "")
+
+
+def service_names(body: Column | str) -> Column:
+    """Technical names that a gateway catalog lists."""
+    listed = F.try_variant_get(F.try_parse_json(body), "$.value", "array<struct<TechnicalServiceName:string>>")
+    return F.filter(F.transform(listed, lambda s: s["TechnicalServiceName"]), lambda n: non_empty(n).isNotNull())
+
+
 def abap_fields(
     structures: DataFrame, tables: DataFrame | None = None, variant: str = "live"
 ) -> DataFrame:
@@ -91,21 +138,12 @@ def abap_fields(
     if tables is not None:
         wanted = tables.select("source_id", F.col("table_name").alias("entity_hint")).distinct()
         structures = structures.join(wanted, ["source_id", "entity_hint"], "left_semi")
-    found = structures.select("source_id", "path", "entity_hint", F.from_json("body", _STRUCTURE)["FIELDS"].alias("_f"))
+    found = structures.select("source_id", "path", "entity_hint", structure("body").alias("_f"))
     described = F.concat(F.lit("Table SAP ABAP "), "entity_hint") if variant == "lib" else F.lit(None).cast("string")
     entities = found.select(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sap_table").alias("entity_type"), described.alias("entity_description"),
-        F.transform(
-            "_f",
-            lambda f: field(
-                F.coalesce(f["FIELDNAME"], F.lit("")),
-                universal_type(F.coalesce(f["DATATYPE"], F.lit("C")), "abap", variant),
-                F.coalesce(f["DATATYPE"], F.lit("")),
-                primary_key=F.coalesce(f["KEYFLAG"], F.lit("")) == "X",
-                description=F.coalesce(f["FIELDTEXT"], F.lit("")),
-            ),
-        ).alias("fields"),
+        structure_fields(F.col("_f"), variant).alias("fields"),
     )
     return explode_fields(entities, keep_empty=False)
 
@@ -122,15 +160,7 @@ def bapi_fields(interfaces: DataFrame, variant: str = "live") -> DataFrame:
     entities = found.select(
         "source_id", "path", F.lit(0).alias("entity_no"), F.col("entity_hint").alias("entity"),
         F.lit("sap_bapi").alias("entity_type"), described.alias("entity_description"),
-        F.transform(
-            "_d.PARAMS_AND_EXCPS",
-            lambda p: field(
-                F.coalesce(p["PARAMETER"], F.lit("")),
-                universal_type(F.coalesce(p["TABNAME"], F.lit("C")), "abap", variant),
-                F.coalesce(p["TABNAME"], F.lit("")),
-                description=F.coalesce(p["PARAMTEXT"], F.lit("")),
-            ),
-        ).alias("fields"),
+        interface_fields(F.col("_d.PARAMS_AND_EXCPS"), variant).alias("fields"),
     )
     return explode_fields(entities, keep_empty=True)
 
@@ -142,10 +172,7 @@ def gateway_services(catalogs: DataFrame, max_services: int | None = None) -> Da
     """
     if "status" in catalogs.columns:
         catalogs = catalogs.filter(F.coalesce("status", F.lit(200)) < 400)
-    listed = F.try_variant_get(
-        F.try_parse_json("body"), "$.value", "array<struct<TechnicalServiceName:string>>"
-    )
-    names = F.filter(F.transform(listed, lambda s: s["TechnicalServiceName"]), lambda n: non_empty(n).isNotNull())
+    names = service_names("body")
     page = F.struct(first_page("path").alias("at"), page_number("path").alias("page"), F.col("_names").alias("names"))
     whole = catalogs.select("source_id", "path", names.alias("_names")).groupBy("source_id").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(page)), lambda p: p["names"])).alias("_names")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from unisource.functions import text, types
 from unisource.operators import dictionary, dynamics, edmx, fields, relations, sage, sap
+from unisource.plans import dispatch
 from unisource.plans.queries.registry import payload, pick, query, sql_pick, table
 
 _FIELD = ["position", "name", "type", "native_type", "nullable", "primary_key", "foreign_key"]
@@ -475,6 +476,80 @@ def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.prefix_filter(tables)
 
 
+# ---- one scan over all dialects ----
+
+_DIALECTS = [
+    "rest", "odata", "sage_x3", "abap", "bapi", "dynamics_entities", "sage_cloud", "sql", "sage_100", "file", "sap_odata", "dynamics_edmx",
+    "graphql", "file_json",
+]
+
+
+def _all_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload per order, of a dialect by its number; system of an order is its customer."""
+    key = F.col("o_orderkey")
+    xml = F.concat(F.lit(_EDMX_HEAD), _entity_xml("O", key, F.lit("Edm.Int32"), F.concat(F.lit("Collection(NS.C"), "o_custkey", F.lit(")"))), F.lit(_EDMX_TAIL))
+    records = F.concat(F.lit('[{"id":'), key, F.lit(',"n":null},{"n":'), "o_totalprice", F.lit("}]"))
+    tables = F.concat(
+        F.lit('{"columns":[{"position":1,"name":"id","native_type":"BIGINT","nullable":false},{"position":2,"name":"ref","native_type":"BIGINT"}],'
+              '"primary_key":["id"],"foreign_keys":[{"constrained":["ref"],"referred_table":"F_'), key + F.when(key % 28 < 14, 0).otherwise(1),
+        F.lit('","referred":["id"]}]}'),
+    )
+    bodies = {
+        "rest": records, "graphql": records, "file_json": records, "odata": xml, "sap_odata": xml, "dynamics_edmx": xml,
+        "sage_x3": F.lit('{"$fields":[{"$fieldName":"N","$type":"D","$isKey":true},{"$fieldName":"M"}]}'),
+        "abap": F.lit('{"FIELDS":[{"FIELDNAME":"F","DATATYPE":"DATS","KEYFLAG":"X"},{"FIELDNAME":"G"}]}'),
+        "bapi": F.lit('{"PARAMS_AND_EXCPS":[{"PARAMETER":"P","TABNAME":"CURR"},{"PARAMETER":"Q"}]}'),
+        "dynamics_entities": F.concat(F.lit('{"value":[{"LogicalName":"acc_'), key, F.lit('","PrimaryIdAttribute":"acc_id"}]}')),
+        "sage_cloud": F.concat(F.lit('{"$items":'), records, F.lit("}")), "sql": tables, "sage_100": tables,
+        "file": F.when(key % 28 < 14, F.concat(F.lit('{"rows":'), records, F.lit("}"))).otherwise("id,n"),
+    }
+    dialect = pick(_DIALECTS, key % len(_DIALECTS))
+    body = F.lit(None).cast("string")
+    for name, made in bodies.items():
+        body = F.when(F.col("dialect") == name, made).otherwise(body)
+    landed = table(spark, sf_dir, "orders").withColumn("dialect", dialect)
+    source = F.concat(F.lit("s"), F.col("o_custkey"), F.lit("_"), "dialect")
+    rows = payload(landed.withColumn("_source", source).withColumn("_body", body), F.col("_source"), F.concat(F.lit("F_"), key), key, F.col("_body"))
+    return rows.withColumn("dialect", F.regexp_replace("source_id", "^s[0-9]+_", ""))
+
+
+_MADE = f"""o AS (SELECT *, {sql_pick(_DIALECTS, f"o_orderkey % {len(_DIALECTS)}")} AS d FROM orders),
+made AS (
+ SELECT 's' || o_custkey || '_' || d AS source_id, CAST(o_orderkey AS VARCHAR) AS path, o_custkey, o_orderkey, d,
+  CASE WHEN d IN ('odata', 'sap_odata', 'dynamics_edmx') THEN 'O' || o_orderkey WHEN d = 'dynamics_entities' THEN 'acc_' || o_orderkey
+   ELSE 'F_' || o_orderkey END AS entity
+ FROM o WHERE NOT (d = 'file' AND o_orderkey % 28 >= 14))"""
+_ALL = [
+    ("'rest','graphql','file_json','file','sage_cloud'", [("id", "integer"), ("n", "float")]),
+    ("'odata','sap_odata','dynamics_edmx'", [("id", "integer"), ("attr", "integer"), ("owner", "relation")]),
+    ("'sage_x3'", [("N", "date"), ("M", "string")]), ("'abap'", [("F", "date"), ("G", "string")]), ("'bapi'", [("P", "decimal"), ("Q", "string")]),
+    ("'dynamics_entities'", [("acc_id", "uuid"), ("name", "string")]), ("'sql','sage_100'", [("id", "integer"), ("ref", "integer")]),
+]
+
+
+@query("discover_all", f"WITH {_MADE}" + "\nUNION ALL\n".join(
+    f"SELECT source_id, path, entity, CAST({i} AS INTEGER) AS position, '{n}' AS name, '{t}' AS type FROM made WHERE d IN ({d})"
+    for d, own in _ALL for i, (n, t) in enumerate(own)
+).join(["\n", ""]))
+def discover_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of fourteen dialects in one table, discovered in one scan."""
+    found = dispatch.discover_all(_all_dialects(spark, sf_dir)).fields
+    return found.select("source_id", "path", "entity", "position", "name", "type")
+
+
+@query("discover_all_summary", f"""WITH {_MADE},
+counts AS (
+ SELECT source_id, count(*) AS entity_count,
+  sum(CASE WHEN d IN ('odata', 'sap_odata', 'dynamics_edmx') THEN 3 ELSE 2 END) AS field_count,
+  sum(CASE WHEN d IN ('odata', 'sap_odata', 'dynamics_edmx') THEN 1 WHEN d IN ('sql', 'sage_100') AND o_orderkey % 28 < 14 THEN 1 ELSE 0 END) AS relation_count
+ FROM made GROUP BY source_id)
+SELECT source_id, entity_count, CAST(field_count AS BIGINT) AS field_count, CAST(relation_count AS BIGINT) AS relation_count,
+ format('{{}} entites, {{}} champs synchronises', entity_count, CAST(field_count AS BIGINT)) AS message FROM counts""")
+def discover_all_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities, fields and relations per source; half of the foreign keys refer to a table that is not listed."""
+    return dispatch.discover_all(_all_dialects(spark, sf_dir)).summary()
+
+
 # ---- types ----
 
 # (dialect, variant, native name, expected universal type)
