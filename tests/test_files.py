@@ -49,31 +49,36 @@ def test_csv_rows(spark, tmp_path):
 def test_csv_sample_is_the_first_rows(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("a\n" + "12\n" * 100 + "x\n" * 400)
-    assert files.csv_fields(spark, str(path), "x").first()["type"] == "integer"
-    assert files.csv_fields(spark, str(path), "x", sample=None).first()["type"] == "string"
+    assert files.csv_fields(spark, str(path), "x", sample=100).first()["type"] == "integer"
+    assert files.csv_fields(spark, str(path), "x").first()["type"] == "string"  # all rows vote unless a sample is asked for
 
 
-def test_only_needed_files_are_read_whole(spark, tmp_path, plan):
+def test_only_needed_files_go_another_way(spark, tmp_path):
     folder = tmp_path / "a folder"
     folder.mkdir()
     (folder / "a.csv").write_text('a,b\n"x, y",1\n')
     (folder / "b.csv").write_text('a,b\n"x\ny",2\n')
     (folder / "c.csv").write_text("a,b\n  \n")
-    assert sorted(f[-5:] for f in files.whole_files(spark, str(folder))) == ["b.csv", "c.csv"]
-    assert files.whole_files(spark, str(folder / "a.csv")) == []
+    flags = {r.file[-5:]: (r.spans, r.broken, r.header) for r in files.file_flags(spark, str(folder)).collect()}
+    assert flags == {"a.csv": (False, False, "a,b"), "b.csv": (True, False, "a,b"), "c.csv": (True, False, "a,b")}
     got = files.read_csv(spark, str(folder)).rows().collect()
     assert sorted(tuple(r) for r in got if r["b"]) == [("x\ny", "2"), ("x, y", "1")]
     assert [r["a"] for r in got if r["b"] is None] == ["  "]
 
 
-def test_very_many_whole_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "ROUTED_FILES", 1)
+def test_very_many_spanning_files(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.csv").write_text(f'a\n"x\n{i}"\n')
-    assert files.whole_files(spark, str(tmp_path)) is None
     assert sorted(r["a"] for r in files.read_csv(spark, str(tmp_path)).rows().collect()) == ["x\n0", "x\n1", "x\n2"]
 
 
+def test_different_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        files.read_csv(spark, str(tmp_path))
+
+
 def test_json_file(spark, tmp_path):
     path = tmp_path / "x.json"
     path.write_text("﻿" + json.dumps({"e": [], "rows": [{"z": 1, "a": "2024-01-01"}, {"z": 2}]}, indent=1), encoding="utf-8")

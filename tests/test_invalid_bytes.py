@@ -1,15 +1,14 @@
-"""Bytes that are no UTF-8 among more files than are routed by name."""
+"""Bytes that are no UTF-8 among many files."""
 
 import pytest
 
 from unisource.sources import files
 
 
-def test_invalid_bytes_are_refused_among_very_many_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "ROUTED_FILES", 1)
+def test_invalid_bytes_are_refused_among_many_files(spark, tmp_path):
     for k in range(40):
         (tmp_path / f"{k}.csv").write_text('a,b\n"x\ny",1\n')
     (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff,2\n")
     with pytest.raises(ValueError, match="bad.csv"):
-        files.whole_files(spark, str(tmp_path))
-    assert files.whole_files(spark, str(tmp_path), strict=False) is None
+        files.read_csv(spark, str(tmp_path))
+    assert files.read_csv(spark, str(tmp_path), encoding="ISO-8859-1").rows().count() == 41

@@ -87,6 +87,28 @@ def csv_scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_fields(spark, path, "part", sample=None).select("position", "name", "type", "entity_description")
 
 
+@query("csv_default_profile", """
+SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'late', 'string'), (CAST(1 AS INTEGER), 'id', 'integer')) AS f(position, name, type)""")
+def csv_default_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column whose first rows are numbers only, decided by all rows."""
+    path = scratch_path(spark, "csv-orders")
+    key = F.col("o_orderkey")
+    late = F.when(key < 1000, (key + 10).cast("string")).otherwise(F.col("o_orderstatus"))
+    table(spark, sf_dir, "orders").select(late.alias("late"), (key + 10).alias("id")).write.option("header", True).csv(path)
+    return csv_fields(spark, path, "orders").select("position", "name", "type")
+
+
+@query("csv_multiline_split", """
+SELECT doc_id, md5(text) AS text_md5, lang FROM documents WHERE text IS NOT NULL""")
+def csv_multiline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV, their line breaks within quotes, each file read by as many tasks as it has splits."""
+    path = scratch_path(spark, "csv-one")
+    documents = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "lang")
+    documents.write.options(header=True, escape='"', quoteAll=True, lineSep="\n", emptyValue="").csv(path)
+    rows = read_csv(spark, path).rows()
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang")
+
+
 @query("csv_rows", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from unisource.functions import json as J
 from unisource.functions.text import strip
-from unisource.operators.infer import SAMPLE_ROWS, infer_columns
+from unisource.operators.infer import infer_columns
 from unisource.schemas import DISCOVERED_COLUMNS
+from unisource.session import staged
+from unisource.sources import csv_records
 
 # ---- fixed values: rows of an upload preview, file types accepted ----
 PREVIEW_ROWS = 5
 UPLOAD_EXTENSIONS = [".csv", ".json", ".txt"]
 
-# With more files to read whole than this, all are: their names would make a long filter.
-ROUTED_FILES = 1000
-
-
 def _csv_options(multi_line: bool, encoding: str) -> dict:
     # a quote inside quotes is doubled; a backslash is an ordinary character
     return {
@@ -25,36 +23,32 @@ def _csv_options(multi_line: bool, encoding: str) -> dict:
     }
 
 
-def whole_files(spark: SparkSession, path: str, strict: bool = True) -> list[str] | None:
-    """Files with a record that spans lines or a line of blanks only; None for very many.
+def file_flags(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: spans (a record spans lines, or a line holds blanks only), broken (bytes that are no UTF-8), header.
 
-    One task each must read such files whole. All others may be split at any line end, so
-    this one scan buys a parallel read of even a single very large file. With `strict` a
-    scan of its own, over all files, refuses bytes that are no UTF-8.
+    One scan and one aggregation, of which a task sends a row per file. The header is a file's first line
+    without byte order mark, quotes and outer blanks.
     """
-    line = F.col("value")
-    invalid = ~F.is_valid_utf8(line)
+    line = F.col("line")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     blank = (line != "") & (F.trim(line) == "")
-    lines, file = spark.read.text(path), F.col("_metadata.file_path")
-    if strict:
-        broken = lines.filter(invalid).agg(F.min(file)).first()[0]
-        if broken is not None:
-            raise ValueError(f"not valid UTF-8: {broken}")
-    found = (
-        lines.filter((quotes % 2 == 1) | blank | invalid)
-        .groupBy(file.alias("file")).agg(F.count("*"))
-        .limit(ROUTED_FILES + 1).collect()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("no"), F.col("value").alias("line"),
+    )
+    return lines.groupBy("file").agg(
+        F.bool_or((quotes % 2 == 1) | blank | ~F.is_valid_utf8("line")).alias("spans"), F.bool_or(~F.is_valid_utf8("line")).alias("broken"),
+        strip(F.translate(F.min_by("line", F.struct("block", "no")), "\ufeff\"", "")).alias("header"),
     )
-    return [r["file"] for r in found] if len(found) <= ROUTED_FILES else None
 
 
 class CsvTable:
-    """A CSV file as texts: `names` as in the header, columns c0, c1, ... in `data`."""
+    """CSV files as texts: `names` as in the header, columns c0, c1, ... in `data`, in any order; `ordered` streams in file order."""
 
-    def __init__(self, data: DataFrame, names: list[str]):
+    def __init__(self, data: DataFrame, names: list[str], ordered: DataFrame | None = None):
         self.data = data
         self.names = names
+        self.ordered = data if ordered is None else ordered
 
     def rows(self) -> DataFrame:
         """Rows under stripped header names; of equal names the last column counts."""
@@ -68,8 +62,9 @@ def read_csv(
     """Read CSV files with a header row: blank lines skipped, short rows filled with
     nulls, extra cells dropped, byte order mark removed.
 
-    `multi_line` tells whether records span lines; None looks, and reads only the files
-    that need it whole.
+    `multi_line` tells whether records span lines: True reads each file as one stream, False cuts files at any line
+    end. None looks: files with such records go through `csv_records`, many tasks each, all others are cut at
+    line ends. UTF-8 that is none, and files with another header than the others, are refused then.
     """
     header = spark.read.options(**_csv_options(True, encoding)).csv(path, header=False).limit(1).first()
     names = ["" if h is None else h for h in header] if header else []
@@ -82,26 +77,40 @@ def read_csv(
 
     if multi_line is not None:
         return CsvTable(read(multi_line), names)
-    routed = whole_files(spark, path, strict=encoding == "UTF-8")
-    if not routed:
-        return CsvTable(read(routed is None), names)
-    # filters on the file name choose files before any is opened
-    file = F.col("_metadata.file_path")
-    return CsvTable(read(False).filter(~file.isin(routed)).union(read(True).filter(file.isin(routed))), names)
+    flags = staged(file_flags(spark, path), "csv-files")
+    seen = flags.agg(
+        F.min(F.when(F.col("broken"), F.col("file"))).alias("broken"), F.min("header").alias("low"), F.max("header").alias("high"),
+        F.bool_or("spans").alias("some"), F.bool_and("spans").alias("all"),
+    ).first()
+    if seen["broken"] is not None and encoding == "UTF-8":
+        raise ValueError(f"not valid UTF-8: {seen['broken']}")
+    if seen["low"] != seen["high"]:
+        raise ValueError(f"files with different headers: {seen['low']!r} and {seen['high']!r}")
+    if not seen["some"]:
+        return CsvTable(read(False), names)
+    spanning = flags.filter("spans").select("file")
+    lines = csv_records.file_lines(spark, path, encoding).join(spanning, "file", "left_semi")
+    options = {k: str(v) for k, v in _csv_options(True, encoding).items() if k in ("escape", "maxColumns")}
+    data = csv_records.data_rows(spark, lines, schema, options)
+    if not seen["all"]:
+        others = read(False).select("*", F.col("_metadata.file_path").alias("file")).join(spanning, "file", "left_anti").drop("file")
+        data = data.unionByName(others)
+    return CsvTable(data, names, read(True))
 
 
 def csv_fields(
-    spark: SparkSession, path: str, entity: str, source_id: str = "", sample: int | None = SAMPLE_ROWS,
+    spark: SparkSession, path: str, entity: str, source_id: str = "", sample: int | None = None,
     multi_line: bool | None = None, merge_numeric: bool = False,
 ) -> DataFrame:
-    """Entity of one CSV file. `sample` rows vote in file order, or all of them with None.
+    """Entity of one CSV file. All rows vote, or the first `sample` in file order (`infer.SAMPLE_ROWS` is what a quick look takes).
 
     A file without data rows has no fields, even if it has a header.
     """
     table = read_csv(spark, path, multi_line)
     last = {name: i for i, name in enumerate(table.names)}
     # equal names all show the last column's values, as a row keyed by name does
-    texts = table.data.select(*[F.col(f"c{last[n]}").alias(f"c{i}") for i, n in enumerate(table.names)])
+    shown = [F.col(f"c{last[n]}").alias(f"c{i}") for i, n in enumerate(table.names)]
+    texts = table.data.select(*shown)
     if not table.names:
         typed = spark.createDataFrame([], "position int, type string, n_rows bigint")
     elif sample is None:
@@ -111,7 +120,7 @@ def csv_fields(
         )
     else:
         # `sample` rows at most; take() reads the file's first partitions in order and stops
-        first = spark.createDataFrame(texts.take(sample), texts.schema)
+        first = spark.createDataFrame(table.ordered.select(*shown).take(sample), texts.schema)
         typed = infer_columns(first, merge_numeric=merge_numeric).select(
             "position", "type", table.data.agg(F.count("*")).scalar().alias("n_rows")
         )
@@ -214,7 +223,8 @@ def preview_upload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         columns = parsed.select("columns")
     else:
         valid = spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
-        preview = preview_head(read_csv(spark, path, encoding="UTF-8" if valid else "ISO-8859-1").rows())
+        # one stream, of which the first rows are read
+        preview = preview_head(read_csv(spark, path, True, "UTF-8" if valid else "ISO-8859-1").rows())
         shown = F.array(*[F.lit(c) for c in preview.columns]) if preview.columns else F.array().cast("array<string>")
         columns = preview.agg(F.when(F.count("*") > 0, shown).otherwise(F.array().cast("array<string>")).alias("columns"))
     about = list_uploads(spark, path).select(
