@@ -51,7 +51,7 @@ def visible_entities(entities: DataFrame, source_id: str | None = None, search:
     return entities.filter(_contains("name", search) if search else F.col("name").isNotNull())
 
 
-def _check_page(page: int, page_size: int) -> None:
+def check_page(page: int, page_size: int) -> None:
     if page < 1:
         raise ValueError("page must be at least 1")
     if not 1 <= page_size <= MAX_PAGE_SIZE:
@@ -63,7 +63,7 @@ def entity_page(
     search: str = "",
 ) -> DataFrame:
     """One page of visible entities by name; the id orders equal names."""
-    _check_page(page, page_size)
+    check_page(page, page_size)
     found = visible_entities(entities, source_id, search)
     offset = (page - 1) * page_size
     if offset + page_size <= SHALLOW_ROWS:
@@ -76,7 +76,7 @@ def entity_page_after(
     page_size: int = DEFAULT_PAGE_SIZE, search: str = "",
 ) -> DataFrame:
     """The page behind a known row: as cheap on the last page as on the first."""
-    _check_page(1, page_size)
+    check_page(1, page_size)
     found = visible_entities(entities, source_id, search)
     behind = (F.col("name") > last_name) | ((F.col("name") == last_name) & (F.col("id") > last_id))
     return found.filter(behind).orderBy("name", "id").limit(page_size)
@@ -115,7 +115,7 @@ def page_totals(
     search: str = "",
 ) -> DataFrame:
     """Totals under the page's own filter; a page past the end still has them."""
-    _check_page(page, page_size)
+    check_page(page, page_size)
     total = F.col("total_entities")
     return (
         visible_entities(entities, source_id, search)

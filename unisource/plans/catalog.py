@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unisource import schemas
 from unisource.operators import changes, fields, pages, status
+from unisource.plans.snapshots import Changes, Snapshot, Snapshots, bucket_number, bucket_of
 from unisource.session import staged
 
 _BY_SOURCE = {"entities": schemas.ENTITIES, "fields": schemas.FIELDS, "relations": schemas.RELATIONS}
-_VERSIONED = schemas.SOURCES + ", is_deleted boolean, version timestamp"
+_ORDER = {"entities": ["source_id", "name", "id"], "fields": ["source_id", "entity_id", "position"], "relations": ["source_id", "id"]}
+_VERSIONED = schemas.SOURCES + ", is_deleted boolean, version bigint"
+# How many visible entities of a source each file of `entities` holds, and the first of them.
+_FILES = "source_id string, file string, n bigint, name string, id string"
 
 
 def _names(schema: str) -> list[str]:
@@ -23,142 +26,180 @@ def _names(schema: str) -> list[str]:
 class Catalog:
     """Catalog tables below one shared folder.
 
-    `sources` and `connection_tests` only grow: a change of a source appends its new
-    version, reading keeps the latest. `entities`, `fields` and `relations` are
-    partitioned by source, and a sync overwrites just the partitions of its sources.
+    Every change of whatever tables is one snapshot (see `snapshots`). `sources` and `connection_tests` are lists of
+    segments: a change of a source adds its new version, reading keeps the latest. `entities`, `fields` and
+    `relations` are buckets of sources, and a sync replaces the buckets of its sources. Files of `entities` are sorted and
+    counted, so that a page opens the files that hold it.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.snapshots = Snapshots(spark, root)
 
     # ---- reading ----
 
-    def _stored(self, table: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def sources(self) -> DataFrame:
-        latest = changes.upsert_latest(self._stored("sources", _VERSIONED), ["id"], ["version"])
+    def sources(self, snapshot: Snapshot | None = None) -> DataFrame:
+        stored = self.snapshots.read(snapshot or self.snapshots.latest(), "sources", _VERSIONED)
+        latest = changes.upsert_latest(stored, ["id"], ["version"])
         return latest.filter(~F.col("is_deleted")).drop("is_deleted", "version")
 
-    def _by_source(self, table: str) -> DataFrame:
-        # a source that lost all its rows keeps one marker row without id
-        return self._stored(table, _BY_SOURCE[table]).filter(F.col("id").isNotNull())
+    def _by_source(self, table: str, source_id: str | None = None, snapshot: Snapshot | None = None) -> DataFrame:
+        """Rows of all sources, or those of one, for which only its bucket is read."""
+        snapshot = snapshot or self.snapshots.latest()
+        if source_id is None:
+            return self.snapshots.read(snapshot, table, _BY_SOURCE[table])
+        return self.snapshots.read(snapshot, table, _BY_SOURCE[table], [bucket_number(source_id)]).filter(F.col("source_id") == source_id)
 
-    def entities(self) -> DataFrame:
-        return self._by_source("entities")
+    def entities(self, source_id: str | None = None) -> DataFrame:
+        return self._by_source("entities", source_id)
 
-    def fields(self) -> DataFrame:
-        return self._by_source("fields")
+    def fields(self, source_id: str | None = None) -> DataFrame:
+        return self._by_source("fields", source_id)
 
-    def relations(self) -> DataFrame:
-        return self._by_source("relations")
+    def relations(self, source_id: str | None = None) -> DataFrame:
+        return self._by_source("relations", source_id)
 
     def connection_tests(self) -> DataFrame:
         """The test log without the tests of deleted sources."""
-        log = self._stored("connection_tests", schemas.CONNECTION_TESTS)
-        return log.join(self.sources().select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        snapshot = self.snapshots.latest()
+        log = self.snapshots.read(snapshot, "connection_tests", schemas.CONNECTION_TESTS)
+        return log.join(self.sources(snapshot).select(F.col("id").alias("source_id")), "source_id", "left_semi")
+
+    def entity_page(
+        self, source_id: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, snapshot: Snapshot | None = None
+    ) -> DataFrame:
+        """One page of a source's visible entities by name, at the same cost wherever it lies.
+
+        The counts of the source's files, a few numbers each, say which files hold the page; no other one is opened.
+        """
+        pages.check_page(page, page_size)
+        snapshot = snapshot or self.snapshots.latest()
+        counted = self.snapshots.read(snapshot, "entity_files", _FILES, [bucket_number(source_id)]).filter(F.col("source_id") == source_id)
+        offset, before, chosen, skipped = (page - 1) * page_size, 0, [], 0
+        for r in counted.orderBy("name", "id").collect():
+            if before + r["n"] <= offset:
+                skipped = before + r["n"]
+            elif before < offset + page_size:
+                chosen.append(r["file"])
+            before += r["n"]
+        if not chosen:
+            return self.spark.createDataFrame([], schemas.ENTITIES)
+        rows = self.spark.read.schema(schemas.ENTITIES).parquet(*chosen)
+        return pages.visible_entities(rows, source_id).orderBy("name", "id").offset(offset - skipped).limit(page_size)
 
     def detail(self, source_id: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, search: str = "") -> DataFrame:
         """One page of a source's entities with their fields nested."""
-        chosen = pages.entity_page(self.entities(), source_id, page, page_size, search)
+        snapshot = self.snapshots.latest()
+        if search:
+            chosen = pages.entity_page(self._by_source("entities", source_id, snapshot), source_id, page, page_size, search)
+        else:
+            chosen = self.entity_page(source_id, page, page_size, snapshot)
         ids = chosen.select(F.col("id").alias("entity_id"))
-        own = self.fields().filter(F.col("source_id") == source_id).join(ids, "entity_id", "left_semi")
+        own = self._by_source("fields", source_id, snapshot).join(ids, "entity_id", "left_semi")
         return pages.entity_detail(chosen, own).orderBy("name", "entity_id", "part")
 
     # ---- writing ----
 
-    def _append_versions(self, rows: DataFrame, deleted: bool = False) -> datetime:
-        version = datetime.now(timezone.utc)
-        versioned = rows.withColumn("is_deleted", F.lit(deleted)).withColumn("version", F.lit(version))
-        versioned.select(*_names(_VERSIONED)).write.mode("append").parquet(f"{self.root}/sources")
-        return version
+    def _publish(self, snapshot: Snapshot, parts: Iterable[Changes]) -> None:
+        self.snapshots.publish(snapshot, {table: own for part in parts for table, own in part.items()})
+
+    def _versions(self, snapshot: Snapshot, rows: DataFrame, deleted: bool = False) -> Changes:
+        """A segment with new versions of sources, numbered by the snapshot that will name it."""
+        versioned = rows.withColumn("is_deleted", F.lit(deleted)).withColumn("version", F.lit(snapshot.version + 1).cast("bigint"))
+        return self.snapshots.add(
+            snapshot, "sources", versioned.select(*_names(_VERSIONED)), _VERSIONED, lambda rows: changes.upsert_latest(rows, ["id"], ["version"])
+        )
 
     def create_sources(self, requests: DataFrame) -> DataFrame:
         """Add the requests that meet the rules; returns the others with their errors."""
+        snapshot = self.snapshots.latest()
         accepted, refused = changes.new_sources(requests)
-        self._append_versions(accepted)
+        self._publish(snapshot, [self._versions(snapshot, accepted)])
         return refused
 
-    def update_sources(self, patches: DataFrame) -> None:
-        touched = self.sources().join(patches.select("id"), "id", "left_semi")
-        self._append_versions(changes.partial_update(touched, patches))
-
-    def _replace(self, table: str, rows: DataFrame, synced: DataFrame) -> None:
-        """Overwrite the partitions of the synced sources in one job.
-
-        The rebalance hint gathers a source's rows into few files and, at run time, splits
-        a source that is too large for one task.
-        """
-        columns = _names(_BY_SOURCE[table])
-        owners = synced.select(F.col("source_id")).distinct()
-        empty = owners.join(rows.select("source_id").distinct(), "source_id", "left_anti")
-        marker = empty.select(
-            *[F.col(c) if c == "source_id" else F.lit(None).alias(c) for c in columns]
-        )
-        (
-            rows.select(*columns)
-            .unionByName(marker)
-            .hint("rebalance", "source_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source_id")
-            .parquet(f"{self.root}/{table}")
-        )
-
-    def save_metadata(self, discovered: DataFrame, synced: DataFrame, relations: DataFrame | None = None) -> None:
-        """Make `discovered` the whole metadata of the sources in `synced` (`source_id`).
-
-        Discovery runs once: its rows are staged, then feed all tables. Fields go first and
-        the source row last: a sync that dies on the way leaves the source's old counts and
-        is repeated whole.
-        """
+    def update_sources(self, patches: DataFrame, order_by: str | None = None) -> None:
+        """Patch sources by id. Several patches of one source count as one; by the column `order_by` the last one wins where they differ."""
+        snapshot = self.snapshots.latest()
+        touched = self.sources(snapshot).join(patches.select("id").distinct(), "id", "left_semi")
+        self._publish(snapshot, [self._versions(snapshot, changes.partial_update(touched, patches, order_by=order_by))])
+
+    def _replaced(self, snapshot: Snapshot, table: str, rows: DataFrame, synced: DataFrame) -> list[Changes]:
+        """Changes that make `rows` all there is of the synced sources; entities are counted file by file."""
+        change = self.snapshots.replace(snapshot, table, rows, _BY_SOURCE[table], synced, _ORDER[table])
+        if table != "entities":
+            return [change]
+        paths = [p for p in change[table].values() if p]
+        counts: Changes = {"entity_files": {n: None for n in change[table]}}
+        if paths:
+            stored = pages.visible_entities(self.spark.read.schema(schemas.ENTITIES).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file")))
+            first = F.min(F.struct("name", "id")).alias("first")
+            counted = stored.groupBy("source_id", "file").agg(F.count("*").alias("n"), first).select("source_id", "file", "n", "first.name", "first.id")
+            path = self.snapshots.new_path("entity_files")
+            counted.withColumn("bucket", bucket_of("source_id")).write.partitionBy("bucket").parquet(path)
+            held = self.spark.read.schema(f"{_FILES}, bucket int").parquet(path).select("bucket").distinct().collect()
+            counts["entity_files"] |= {r[0]: f"{path}/bucket={r[0]}" for r in held}
+        return [change, counts]
+
+    def prepare_metadata(self, discovered: DataFrame, synced: DataFrame, relations: DataFrame | None = None) -> tuple[Snapshot, list[Changes]]:
+        """Write all that a sync changes, without making any of it visible."""
+        snapshot = self.snapshots.latest()
         discovered = staged(discovered, "discovered")
-        self._replace("fields", fields.to_fields(discovered), synced)
-        self._replace("entities", fields.to_entities(discovered), synced)
+        parts = self._replaced(snapshot, "fields", fields.to_fields(discovered), synced)
+        parts += self._replaced(snapshot, "entities", fields.to_entities(discovered), synced)
         if relations is not None:
-            self._replace("relations", relations, synced)
+            parts += self._replaced(snapshot, "relations", relations, synced)
         counts = fields.sync_summary(discovered).select(
             F.col("source_id").alias("id"), F.col("entity_count").cast("int").alias("_n")
         )
         ids = synced.select(F.col("source_id").alias("id")).distinct()
         now = F.current_timestamp()
         rows = (
-            self.sources().join(ids, "id", "left_semi").join(counts, "id", "left")
+            self.sources(snapshot).join(ids, "id", "left_semi").join(counts, "id", "left")
             .withColumn("entity_count", F.coalesce("_n", F.lit(0)))
             .withColumn("last_synced_at", now)
             .withColumn("updated_at", now)
             .drop("_n")
         )
-        self._append_versions(rows)
+        return snapshot, [*parts, self._versions(snapshot, rows)]
+
+    def save_metadata(self, discovered: DataFrame, synced: DataFrame, relations: DataFrame | None = None) -> None:
+        """Make `discovered` the whole metadata of the sources in `synced` (`source_id`).
+
+        Entities, fields, relations and the sources' new counts become visible together; a sync that dies on the way
+        leaves everything as it was. Rows of other sources are left out.
+        """
+        self._publish(*self.prepare_metadata(discovered, synced, relations))
 
-    def save_tests(self, tests: DataFrame) -> None:
+    def save_tests(self, tests: DataFrame, batch: tuple[str, int] | None = None) -> bool:
         """Log connection tests and move their sources to the state of the last one.
 
-        A batch that arrives late, with tests from before a source's last one, is logged only.
+        A batch that arrives late, with tests from before a source's last one, is logged only. `batch` is the name of a stream
+        and the number of its batch: one that was saved before is left out, and False comes back.
         """
-        tests.select(*_names(schemas.CONNECTION_TESTS)).write.mode("append").parquet(f"{self.root}/connection_tests")
+        snapshot = self.snapshots.latest()
+        mark: Changes = {}
+        if batch is not None:
+            name, number = f"batch/{batch[0]}", batch[1]
+            if int(snapshot.tables.get(name, {}).get(0, "-1")) >= number:
+                return False
+            mark = {name: {0: str(number)}}
+        tests = staged(tests, "tests")
+        log = self.snapshots.add(
+            snapshot, "connection_tests", tests.select(*_names(schemas.CONNECTION_TESTS)), schemas.CONNECTION_TESTS, lambda rows: rows
+        )
         latest = status.latest_status(tests).withColumnRenamed("source_id", "id")
         names = ["status", "test_latency_ms", "error_message", "last_tested_at"]
-        known = self.sources().withColumn("_before", F.col("last_tested_at")).drop(*names)
+        known = self.sources(snapshot).withColumn("_before", F.col("last_tested_at")).drop(*names)
         moved = F.col("_before").isNull() | (F.col("last_tested_at") >= F.col("_before"))
         rows = known.join(latest, "id").filter(moved).drop("_before")
-        self._append_versions(rows.withColumn("updated_at", F.current_timestamp()))
+        self._publish(snapshot, [log, self._versions(snapshot, rows.withColumn("updated_at", F.current_timestamp())), mark])
+        return True
 
     def delete_sources(self, doomed: DataFrame) -> DataFrame:
-        """Delete sources (`id`) and all that hangs on them; returns the ids that were there.
-
-        The sources' own rows go last, so a deletion that dies on the way can be repeated.
-        """
-        present = self.sources().join(doomed.select("id").distinct(), "id", "left_semi")
+        """Delete sources (`id`) and all that hangs on them, in one snapshot; returns the ids that were there."""
+        snapshot = self.snapshots.latest()
+        present = staged(self.sources(snapshot).join(doomed.select("id").distinct(), "id", "left_semi"), "doomed")
         owners = present.select(F.col("id").alias("source_id"))
-        for table, schema in _BY_SOURCE.items():
-            self._replace(table, self.spark.createDataFrame([], schema), owners)
-        version = self._append_versions(present, deleted=True)
-        stored = self._stored("sources", _VERSIONED)
-        return stored.filter(F.col("is_deleted") & (F.col("version") == version)).select("id")
+        parts = [part for table, schema in _BY_SOURCE.items() for part in self._replaced(snapshot, table, self.spark.createDataFrame([], schema), owners)]
+        self._publish(snapshot, [*parts, self._versions(snapshot, present, deleted=True)])
+        return present.select("id")

@@ -207,3 +207,71 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(fields, "entity_id", "left")
         .select("source_id", "entity", "display_name", "name", "position", "is_primary_key", "entity_count")
     )
+
+
+def _shops(spark: SparkSession, sf_dir: str, catalog: Catalog) -> DataFrame:
+    """Order priorities as the sources of a new catalog; returns all that is found in them."""
+    synced = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source_id"))
+    catalog.create_sources(
+        synced.distinct().select(
+            F.col("source_id").alias("id"), F.concat(F.lit("shop "), "source_id").alias("name"),
+            F.lit("rest").alias("connector_type"), F.lit(None).cast("string").alias("host"),
+            F.lit(None).cast("string").alias("database_name"), F.lit("http://shop").alias("base_url"),
+        )
+    )
+    found = _discovered(spark, sf_dir)
+    catalog.save_metadata(found, synced)
+    return found
+
+
+@query("catalog_after_crash", f"""
+WITH found AS ({_STORED_FIELDS}),
+counts AS (SELECT source_id, CAST(count(DISTINCT entity) AS INTEGER) AS entity_count FROM found GROUP BY source_id)
+SELECT source_id, entity, name, position, entity_count FROM found JOIN counts USING (source_id)""")
+def catalog_after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sync that wrote all its files and died before it was published: the catalog is as it was."""
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    found = _shops(spark, sf_dir, catalog)
+    catalog.prepare_metadata(found.filter(F.col("position") == 1), found.select("source_id"))
+    entities = catalog.entities().select("source_id", F.col("id").alias("entity_id"), F.col("name").alias("entity"))
+    return (
+        catalog.sources().select(F.col("id").alias("source_id"), "entity_count").join(entities, "source_id")
+        .join(catalog.fields().select("entity_id", "name", "position"), "entity_id", "left")
+        .select("source_id", "entity", "name", "position", "entity_count")
+    )
+
+
+@query("save_tests_log", """
+WITH t AS (
+ SELECT event_type AS source_id, event_id, ts, event_id % 3 <> 0 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k
+ FROM events)
+SELECT source_id, count(*) AS n_tests, max(CASE WHEN k = 1 THEN CASE WHEN ok THEN 'active' ELSE 'error' END END) AS status,
+ max(CASE WHEN k = 1 AND NOT ok THEN 'HTTP ' || (500 + event_id % 7) END) AS error_message, max(ts) AS last_tested_at FROM t GROUP BY source_id""")
+def save_tests_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as connection tests, logged in nine batches by their id, one of which is sent twice; event types are the sources."""
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    events = table(spark, sf_dir, "events")
+    catalog.create_sources(events.select("event_type").distinct().select(
+        F.col("event_type").alias("id"), F.col("event_type").alias("name"), F.lit("rest").alias("connector_type"), F.lit(None).cast("string").alias("host"),
+        F.lit(None).cast("string").alias("database_name"), F.lit("http://x").alias("base_url"),
+    ))
+    ok = F.col("event_id") % 3 != 0
+    tests = events.select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("event_type").alias("source_id"), ok.alias("success"),
+        F.when(ok, 5).cast("int").alias("latency_ms"), F.concat(F.lit("HTTP "), F.when(ok, 200).otherwise(500 + F.col("event_id") % 7)).alias("message"),
+        F.col("ts").cast("timestamp").alias("tested_at"),
+    )
+    for batch in (0, 1, 2, 2, 3, 4, 5, 6, 7, 8):
+        catalog.save_tests(tests.filter(F.pmod(F.col("id").cast("bigint"), F.lit(9)) == batch), ("events", batch))
+    counts = catalog.connection_tests().groupBy("source_id").agg(F.count("*").alias("n_tests"))
+    states = catalog.sources().select(F.col("id").alias("source_id"), "status", "error_message", F.col("last_tested_at").cast("timestamp_ntz").alias("last_tested_at"))
+    return counts.join(states, "source_id").select("source_id", "n_tests", "status", "error_message", "last_tested_at")
+
+
+@query("catalog_deep_page", """
+SELECT 'order_' || o_orderkey AS name FROM orders WHERE o_orderpriority = '3-MEDIUM' ORDER BY 'order_' || o_orderkey LIMIT 50 OFFSET 150""")
+def catalog_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth page of one source's entities, found by the counts stored with the catalog."""
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    _shops(spark, sf_dir, catalog)
+    return catalog.entity_page("3-MEDIUM", 4, 50).select("name")
