@@ -305,3 +305,46 @@ def test_catalog_pages_are_one_listing(spark):
     landed = spark.createDataFrame(rows, "source_id string, dialect string, entity_hint string, path string, status int, body string")
     got = [(r.n_services, r.service_no, r.service) for r in sap.gateway_services(landed).orderBy("service_no").collect()]
     assert got == [(3, 0, "A"), (3, 1, "B"), (3, 2, "C")]
+
+
+def key_tables(spark):
+    """Tables whose key columns hold all, some and none of the values of each other, with nulls and other types."""
+    ids = spark.range(3000)
+    return {
+        "shop": ids.select(F.col("id").alias("s_shop_id"), F.concat(F.lit("c"), F.col("id") % 9).alias("s_code_key")),
+        "bill": ids.select(
+            F.when(F.col("id") % 5 > 0, F.col("id") % 100).alias("b_shop_id"), (F.col("id") + 2000).alias("c_shop_id"), (F.col("id") + 9000).alias("d_shop_id"),
+            F.lit(None).cast("bigint").alias("e_shop_id"), F.lit("c1").alias("b_code_key"), F.lit(1).alias("f_shop_id"),
+        ),
+        "code": spark.createDataFrame([(f"c{i}",) for i in range(5)], "k_code_key string"),
+    }, {"shop": "s_shop_id", "code": "k_code_key"}
+
+
+def test_confidence_in_one_pass(spark):
+    """Shared masks of values give what each pair by itself gives."""
+    tables, keys = key_tables(spark)
+    got = {(r.source_entity, r.source_field, r.target_entity): (r.n_values, r.n_found, r.confidence) for r in relations.relation_confidence(tables, keys).collect()}
+    want = {}
+    for s, c, t, k in relations.key_candidates(tables, keys):
+        r = relations.containment(tables[s], c, tables[t], k).first()
+        want[s, c, t] = (r.n_values, r.n_found, r.n_found / r.n_values if r.n_values else 0.0)
+    assert got == want and len(want) >= 6 and {v[2] for v in want.values()} >= {0.0, 1.0}
+    assert ("bill", "f_shop_id", "shop") not in got  # an int is no bigint
+
+
+def test_sketches_leave_out_what_cannot_reach_the_bound(spark):
+    tables, keys = key_tables(spark)
+    pairs = relations.key_candidates(tables, keys)
+    exact = {tuple(r)[:4]: r for r in relations.relation_confidence(tables, keys).collect()}
+    for least in (0.1, 0.3, 0.34, 0.9, 1.0):
+        left = relations.sketched_pairs(tables, pairs, least)
+        assert {p for p in pairs if exact[p].confidence >= least} <= set(left)
+        assert sorted(relations.relation_confidence(tables, keys, least).collect()) == sorted(r for r in exact.values() if r.confidence >= least)
+    assert ("bill", "d_shop_id", "shop", "s_shop_id") not in relations.sketched_pairs(tables, pairs, 0.9)
+
+
+def test_more_columns_than_a_word_has_bits(spark):
+    wide = spark.range(50).select(*[(F.col("id") + i).alias(f"c{i}_item_id") for i in range(70)])
+    tables = {"item": spark.range(60).select(F.col("id").alias("i_item_id")), "wide": wide}
+    got = {r.source_field: (r.n_values, r.n_found) for r in relations.relation_confidence(tables, {"item": "i_item_id"}).collect()}
+    assert got == {f"c{i}_item_id": (50, max(0, min(50, 60 - i))) for i in range(70)}
