@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unisource.operators import pages
-from unisource.plans.catalog import Catalog
+from unisource.plans.catalog import Catalog, pattern_grams
 from unisource.plans.snapshots import MERGED, ConcurrentChange, bucket_number, bucket_of
 from unisource.schemas import CONNECTION_TESTS, DISCOVERED
 from unisource.streaming import jobs
@@ -111,6 +111,32 @@ def test_a_page_opens_the_files_that_hold_it(spark, tmp_path):
         catalog.entity_page("big", 0)
 
 
+def test_a_search_opens_the_files_that_can_match(spark, tmp_path):
+    catalog = Catalog(spark, f"{tmp_path}/search")
+    catalog.create_sources(spark.createDataFrame([("big", "Big", "rest", None, None, "http://u")], REQUEST))
+    names = [f"{word}_{i:03d}" for word in ("Orders", "invoice", "Éléments", "x\\y", "ab", "a%b") for i in range(60)] + ["K\u212aelvin", "İx", "q"]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "40")
+    try:
+        catalog.save_metadata(found(spark, *[("big", n, "x") for n in names]), spark.createDataFrame([("big",)], "source_id string"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    everything = catalog.entities()
+    for text in ("ORD", "ders_01", "d%s_0_1", "voice", "é", "ments_0", "lém", "x\\\\y", "ab", "b_0", "a%b", "kelv", "KKE", "nothing", "rs_059", "İ", "q", "___", "%"):
+        for page in (1, 2):
+            want = [r.name for r in pages.entity_page(everything, "big", page, 25, text).collect()]
+            assert [r.name for r in catalog.search("big", text, page, 25).collect()] == want, text
+    assert len(everything.inputFiles()) >= 9
+    rows = [f for f in catalog.search("big", "voice_03").inputFiles() if "/entities/" in f]
+    assert 0 < len(rows) <= 3
+    assert [r.name for r in catalog.detail("big", search="invoice_017").collect()] == ["invoice_017"]
+
+
+def test_pattern_grams():
+    assert pattern_grams("Order_12%345") == ["345", "der", "ord", "rde"]
+    assert pattern_grams("ab") == pattern_grams("a_b%c") == pattern_grams("a\\bcd") == pattern_grams("") == []
+    assert pattern_grams("éabcé") == ["abc"]
+
+
 def test_batches_count_once_and_late_tests_change_nothing(spark, catalog):
     assert catalog.save_tests(test_rows(spark, ("t1", "s0", False, "HTTP 503", 10)), ("stream", 0))
     assert not catalog.save_tests(test_rows(spark, ("t1", "s0", False, "HTTP 503", 10)), ("stream", 0))

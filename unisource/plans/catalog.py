@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,21 @@ _ORDER = {"entities": ["source_id", "name", "id"], "fields": ["source_id", "enti
 _VERSIONED = schemas.SOURCES + ", is_deleted boolean, version bigint"
 # How many visible entities of a source each file of `entities` holds, and the first of them.
 _FILES = "source_id string, file string, n bigint, name string, id string"
+# Which visible entities have three characters in a row in their lower-cased name, and the file that holds them.
+_GRAMS = "source_id string, gram string, file string, id string"
+GRAM = 3
+
+
+def pattern_grams(text: str) -> list[str]:
+    """Three characters in a row that every name has which the search pattern matches.
+
+    Wildcards match anything, and letters beyond ASCII may change their number when lower-cased; neither is in one. A
+    backslash makes the next character plain: such a pattern has none at all.
+    """
+    if "\\" in text:
+        return []
+    runs = re.split(r"[%_]|[^\x00-\x7f]", text.lower())
+    return sorted({run[i : i + GRAM] for run in runs for i in range(len(run) - GRAM + 1)})
 
 
 def _names(schema: str) -> list[str]:
@@ -29,7 +45,8 @@ class Catalog:
     Every change of whatever tables is one snapshot (see `snapshots`). `sources` and `connection_tests` are lists of
     segments: a change of a source adds its new version, reading keeps the latest. `entities`, `fields` and
     `relations` are buckets of sources, and a sync replaces the buckets of its sources. Files of `entities` are sorted and
-    counted, so that a page opens the files that hold it.
+    counted, so that a page opens the files that hold it, and their names' character triples are listed, so that a
+    search opens the files that can match.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -87,11 +104,32 @@ class Catalog:
         rows = self.spark.read.schema(schemas.ENTITIES).parquet(*chosen)
         return pages.visible_entities(rows, source_id).orderBy("name", "id").offset(offset - skipped).limit(page_size)
 
+    def search(
+        self, source_id: str, text: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, snapshot: Snapshot | None = None
+    ) -> DataFrame:
+        """One page of a source's visible entities whose name matches, like `pages.entity_page` with a search text.
+
+        Only entities that have all character triples of the text are read and compared. A text without any, such
+        as one of two characters, is compared with all names of the source.
+        """
+        snapshot = snapshot or self.snapshots.latest()
+        grams = pattern_grams(text)
+        if not grams:
+            return pages.entity_page(self._by_source("entities", source_id, snapshot), source_id, page, page_size, text)
+        listed = self.snapshots.read(snapshot, "entity_grams", _GRAMS, [bucket_number(source_id)])
+        own = listed.filter((F.col("source_id") == source_id) & F.col("gram").isin(grams))
+        hits = staged(own.groupBy("file", "id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("file", "id"), "hits")
+        files = [r["file"] for r in hits.select("file").distinct().collect()]  # files of one bucket
+        if not files:
+            return self.spark.createDataFrame([], schemas.ENTITIES)
+        rows = self.spark.read.schema(schemas.ENTITIES).parquet(*files).join(hits.select("id"), "id", "left_semi")
+        return pages.entity_page(rows.select(*_names(schemas.ENTITIES)), source_id, page, page_size, text)
+
     def detail(self, source_id: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, search: str = "") -> DataFrame:
         """One page of a source's entities with their fields nested."""
         snapshot = self.snapshots.latest()
         if search:
-            chosen = pages.entity_page(self._by_source("entities", source_id, snapshot), source_id, page, page_size, search)
+            chosen = self.search(source_id, search, page, page_size, snapshot)
         else:
             chosen = self.entity_page(source_id, page, page_size, snapshot)
         ids = chosen.select(F.col("id").alias("entity_id"))
@@ -129,16 +167,28 @@ class Catalog:
         if table != "entities":
             return [change]
         paths = [p for p in change[table].values() if p]
-        counts: Changes = {"entity_files": {n: None for n in change[table]}}
-        if paths:
-            stored = pages.visible_entities(self.spark.read.schema(schemas.ENTITIES).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file")))
-            first = F.min(F.struct("name", "id")).alias("first")
-            counted = stored.groupBy("source_id", "file").agg(F.count("*").alias("n"), first).select("source_id", "file", "n", "first.name", "first.id")
-            path = self.snapshots.new_path("entity_files")
-            counted.withColumn("bucket", bucket_of("source_id")).write.partitionBy("bucket").parquet(path)
-            held = self.spark.read.schema(f"{_FILES}, bucket int").parquet(path).select("bucket").distinct().collect()
-            counts["entity_files"] |= {r[0]: f"{path}/bucket={r[0]}" for r in held}
-        return [change, counts]
+        if not paths:
+            return [change, *({t: dict.fromkeys(change[table])} for t in ("entity_files", "entity_grams"))]
+        rows = self.spark.read.schema(schemas.ENTITIES).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"))
+        stored = pages.visible_entities(rows)
+        first = F.min(F.struct("name", "id")).alias("first")
+        counted = stored.groupBy("source_id", "file").agg(F.count("*").alias("n"), first).select("source_id", "file", "n", "first.name", "first.id")
+        name = F.lower("name")
+        places = F.when(F.length(name) >= GRAM, F.sequence(F.lit(1), F.length(name) - GRAM + 1))
+        grams = F.array_distinct(F.transform(places, lambda i: F.substring(name, i, F.lit(GRAM))))
+        spelled = stored.select("source_id", F.explode(grams).alias("gram"), "file", "id")
+        return [
+            change, self._beside("entity_files", counted, _FILES, change[table], ["source_id", "name"]),
+            self._beside("entity_grams", spelled, _GRAMS, change[table], ["source_id", "gram"]),
+        ]
+
+    def _beside(self, table: str, rows: DataFrame, schema: str, touched: dict[int, str | None], order: list[str]) -> Changes:
+        """What is kept beside the entities of some buckets, sorted."""
+        path = self.snapshots.new_path(table)
+        placed = rows.withColumn("bucket", bucket_of("source_id"))
+        placed.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+        held = {r[0] for r in self.spark.read.schema(f"{schema}, bucket int").parquet(path).select("bucket").distinct().collect()}
+        return {table: {n: f"{path}/bucket={n}" if n in held else None for n in touched}}
 
     def prepare_metadata(self, discovered: DataFrame, synced: DataFrame, relations: DataFrame | None = None) -> tuple[Snapshot, list[Changes]]:
         """Write all that a sync changes, without making any of it visible."""

@@ -275,3 +275,13 @@ def catalog_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = Catalog(spark, scratch_path(spark, "catalog"))
     _shops(spark, sf_dir, catalog)
     return catalog.entity_page("3-MEDIUM", 4, 50).select("name")
+
+
+@query("entity_search_indexed", """
+SELECT 'order_' || o_orderkey AS name FROM orders WHERE o_orderpriority = '2-HIGH' AND 'order_' || o_orderkey ILIKE '%DER_1%23%'
+ORDER BY 'order_' || o_orderkey LIMIT 50""")
+def entity_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search text with wildcards, of which the character triples are looked up before any name is read."""
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    _shops(spark, sf_dir, catalog)
+    return catalog.search("2-HIGH", "DER_1%23").select("name")
