@@ -107,6 +107,16 @@ def test_success_rules(spark, kind, code, live, lib):
     assert status.status_rules(df, "lib").first()["success"] == lib
 
 
+def test_tests_without_status_codes(spark):
+    rows = [("postgresql", None, True, "PostgreSQL 16"), ("sap_rfc", None, False, "refused"), ("mssql", None, None, None), ("sqlite", 200, False, None), ("rest", 200, False, "x")]
+    df = spark.createDataFrame(rows, "kind string, status int, reached boolean, detail string")
+    got = {r.kind: (r.success, r.message) for r in status.status_rules(df).collect()}
+    assert got == {
+        "postgresql": (True, "PostgreSQL 16"), "sap_rfc": (False, "refused"), "mssql": (False, "no answer"), "sqlite": (False, "no answer"), "rest": (True, "HTTP 200"),
+    }
+    assert not status.status_rules(df.drop("reached", "detail")).filter("kind = 'postgresql'").first()["success"]
+
+
 def test_validation(spark):
     rows = [
         ("postgresql", "n", "h", "d", None), ("postgresql", "n", "", "d", None), ("sage_100", "n", "h", None, None),

@@ -348,3 +348,30 @@ def test_more_columns_than_a_word_has_bits(spark):
     tables = {"item": spark.range(60).select(F.col("id").alias("i_item_id")), "wide": wide}
     got = {r.source_field: (r.n_values, r.n_found) for r in relations.relation_confidence(tables, {"item": "i_item_id"}).collect()}
     assert got == {f"c{i}_item_id": (50, max(0, min(50, 60 - i))) for i in range(70)}
+
+
+def test_large_documents_are_split_by_elements(spark, tmp_path):
+    """Elements of a file that many tasks read are those of the whole document, in its order."""
+    many = "".join(
+        f'<EntityType Name="E{i}"><Key><PropertyRef Name="k"/></Key><Property Name="k" Type="Edm.Int32" Nullable="false"/><Property Name="p{i}" sap:label="l &lt;{i}&gt;"/>'
+        f'<NavigationProperty Name="n" Type="Collection(NS.E{i + 1})"/></EntityType>' if i % 5 else f'<EntityType Name="Empty{i}" Abstract="true"/>'
+        for i in range(300)
+    )
+    folder = tmp_path / "meta"
+    folder.mkdir()
+    (folder / "one.xml").write_text(xml(many))
+    (folder / "two.xml").write_text(xml(ORDER).replace("<Schema", "\n<Schema"))
+    landed = spark.read.text(str(folder), wholetext=True).select(
+        F.lit("s").alias("source_id"), F.lit("").alias("entity_hint"), F.col("_metadata.file_path").alias("path"), F.lit(200).alias("status"), F.col("value").alias("body")
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert edmx.element_rows(spark, str(folder)).rdd.getNumPartitions() > 5
+        assert edmx.element_rows(spark, str(folder), "edm:EntityType").count() == 0
+        for variant in ("odata", "sap", "dynamics"):
+            split = sorted(map(tuple, edmx.edmx_file_fields(spark, str(folder), "s", variant).collect()))
+            assert split == sorted(map(tuple, edmx.edmx_fields(landed, variant).collect())) and len(split) > 700
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

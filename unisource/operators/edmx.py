@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from unisource.functions.text import col
@@ -165,3 +165,56 @@ def nav_relations(landed: DataFrame) -> DataFrame:
         .select("source_id", F.col("entity").alias("source_entity"), navigation(F.col("_n")).alias("_r"))
         .select("source_id", "source_entity", *[F.col(f"_r.{c}") for c in ("target_entity", "source_field", "target_field", "relation_type")])
     )
+
+
+# ---- documents too large for one task ----
+
+ELEMENT = "EntityType"
+_ONE_TYPE = _ENTITY_TYPE.removeprefix("array<")[:-1]
+
+
+def element_rows(spark: SparkSession, path: str, tag: str = ELEMENT) -> DataFrame:
+    """Entity types of metadata files: file, block (where the split begins), no, at (their order there) and _t.
+
+    A file is cut behind each element's end tag, by as many tasks as it has splits, so no task holds a whole
+    document. `tag` is the element's name as the file writes it, with a prefix where it has one. An attribute's
+    value must not hold the characters `/>`, nor a comment the element's tags.
+    """
+    chunks = spark.read.option("lineSep", f"</{tag}>").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("no"), F.col("value").alias("text"),
+    )
+    # elements that end in their start tag, then the one that the end tag belongs to
+    found = F.regexp_extract_all("text", F.lit(rf"(<{tag}(?=[\s/>])(?:[^>]*/>|[\s\S]*$))"), F.lit(1))
+    elements = chunks.select("file", "block", "no", F.posexplode(found).alias("at", "_x"))
+    whole = F.when(F.rlike("_x", F.lit(r"^[^>]*/>$")), F.col("_x")).otherwise(F.concat("_x", F.lit(f"</{tag}>")))
+    parsed = F.from_xml(whole, _ONE_TYPE, {"ignoreNamespace": "true"})
+    return elements.select("file", "block", "no", "at", parsed.alias("_t"))
+
+
+def edmx_file_fields(spark: SparkSession, path: str, source_id: str, variant: str = "odata", tag: str = ELEMENT) -> DataFrame:
+    """Fields of the entity types of metadata files, like `edmx_fields` of the landed documents, however large a file is.
+
+    Entity types are numbered in the order of the file. A file that is no XML gives what elements it has.
+    """
+    _, entity_type = VARIANTS[variant]
+    rows = element_rows(spark, path, tag)
+    if variant.startswith("dynamics"):
+        rows = rows.withColumn("_abstract", is_abstract(F.col("_t")))
+    # places within a split, then splits of a file: a window per split and one over the few splits
+    own = Window.partitionBy("file", "block").orderBy("no", "at")
+    counted = rows.withColumn("_place", F.row_number().over(own) - 1)
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = counted.join(before, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    if variant.startswith("dynamics"):
+        placed = placed.filter(~F.col("_abstract"))
+    t = F.col("_t")
+    description = F.concat(F.lit("Dynamics 365 Entity: "), F.col("entity")) if variant == "dynamics_lib" else F.lit(None).cast("string")
+    described = placed.select(
+        F.lit(source_id).alias("source_id"), F.col("file").alias("path"), (F.col("_before") + F.col("_place")).cast("int").alias("entity_no"),
+        F.coalesce("_t._Name", F.lit("Unknown")).alias("entity"), F.lit(entity_type).alias("entity_type"),
+        type_fields(t["Property"], t["NavigationProperty"], type_keys(t), variant).alias("fields"),
+    ).withColumn("entity_description", description)
+    return explode_fields(described, keep_empty=False)

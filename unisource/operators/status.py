@@ -18,6 +18,8 @@ SUCCESS_RULES = {
     "file": (400, "Fichier accessible (HTTP %d)"),
 }
 STRICT_STATUS = 200
+# Kinds tested by a call that has no status code: an explicit flag says whether it went through.
+FLAGGED = ("postgresql", "mysql", "mssql", "sqlite", "sap_hana", "sage_100", "sap_rfc")
 
 
 def succeeded(kind: Column, status: Column, variant: str = "live") -> Column:
@@ -30,13 +32,21 @@ def succeeded(kind: Column, status: Column, variant: str = "live") -> Column:
 
 
 def status_rules(answers: DataFrame, variant: str = "live") -> DataFrame:
-    """Test rows (`source_id`, `kind`, `status`, `latency_ms`, `tested_at`) with verdict and message."""
+    """Test rows (`source_id`, `kind`, `status`, `latency_ms`, `tested_at`) with verdict and message.
+
+    Databases and remote function calls answer without a status code: where the rows have the columns `reached` (whether
+    the call went through) and `detail` (its text), these decide for such kinds. Without them such a test never succeeds.
+    """
     messages = F.create_map(*[F.lit(x) for k, (_, message) in SUCCESS_RULES.items() for x in (k, message)])
-    ok = succeeded(F.col("kind"), F.col("status"), variant)
+    flagged = F.col("kind").isin(*FLAGGED)
+    reached = F.coalesce(F.col("reached"), F.lit(False)) if "reached" in answers.columns else F.lit(False)
+    detail = F.col("detail") if "detail" in answers.columns else F.lit(None).cast("string")
+    ok = F.when(flagged, reached).otherwise(succeeded(F.col("kind"), F.col("status"), variant))
     message = F.when(F.col("success"), F.try_element_at(messages, F.col("kind"))).otherwise("HTTP %d")
-    return answers.withColumn("success", ok).withColumn(
+    spoken = F.coalesce(detail, F.when(F.col("success"), "connected").otherwise("no answer"))
+    return answers.withColumn("success", F.coalesce(ok, F.lit(False))).withColumn(
         "message",
-        F.when(F.col("status").isNull(), "no answer").otherwise(
+        F.when(flagged, spoken).when(F.col("status").isNull(), "no answer").otherwise(
             F.replace(message, F.lit("%d"), F.col("status").cast("string"))
         ),
     )

@@ -9,6 +9,7 @@ from unisource.functions import text, types
 from unisource.operators import dictionary, dynamics, edmx, fields, relations, sage, sap
 from unisource.plans import dispatch
 from unisource.plans.queries.registry import payload, pick, query, sql_pick, table
+from unisource.session import scratch_path
 
 _FIELD = ["position", "name", "type", "native_type", "nullable", "primary_key", "foreign_key"]
 
@@ -79,6 +80,18 @@ def edmx_fields_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "entity", "entity_type", *_FIELD)
 
 
+@query("edmx_split", """
+SELECT 'O' || o_orderkey AS entity, CAST(f.position AS INTEGER) AS position, f.name, f.type
+FROM orders, (VALUES (0, 'id', 'integer'), (1, 'attr', 'integer'), (2, 'owner', 'relation')) AS f(position, name, type)""")
+def edmx_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata files with an entity type per order, read element by element."""
+    key = F.col("o_orderkey")
+    element = _entity_xml("O", key, F.lit("Edm.Int32"), F.concat(F.lit("NS.C"), "o_custkey"))
+    folder = scratch_path(spark, "edmx")
+    table(spark, sf_dir, "orders").select(F.concat(F.lit("<!-- order -->"), element).alias("value")).write.text(folder)
+    return edmx.edmx_file_fields(spark, folder, "shop").select("entity", "position", "name", "type")
+
+
 @query("edmx_keys", """
 SELECT CAST(o_orderkey AS VARCHAR) AS path, 'O' || o_orderkey AS entity, CAST(0 AS INTEGER) AS key_no, 'id' AS field
 FROM orders""")
