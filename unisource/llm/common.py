@@ -73,3 +73,12 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "inner", on: tuple[s
     for c, n in zip(on, names):
         cond = cond & F.col(c).eqNullSafe(F.col(n))
     return left.join(other, cond, how).drop(*names)
+
+
+def release(*tables: DataFrame) -> None:
+    """Give back the space of staged tables that nothing reads any more: each folder is written again, empty."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            empty = table.sparkSession.createDataFrame([], table.schema)
+            empty.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unisource.llm.arrays import WordHasher, grams
-from unisource.llm.common import fresh, join_rows, row_hash
+from unisource.llm.common import fresh, join_rows, release, row_hash
 from unisource.session import staged
 
 SKETCH_BITS = 4096
@@ -296,7 +296,9 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         F.bit_xor(F.xxhash64("cid", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "cid", F.lit(1))).alias("y"),
     ).where("k > 1 and any_home").groupBy("cell", "k", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "cell")
     cells = staged(cells.join(alive, ["gram", "cell"]), "cells")
+    release(spread)
     found = labels = again = None
+    done = [cells]
     for step in STEPS:
         if labels is None:
             told = cells.withColumn("label", F.col("cid"))
@@ -306,11 +308,15 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             told = told.join(apart.select("gram", "cell"), ["gram", "cell"])
         met = staged(candidates(told.join(drawn, "cid"), num, den, step), "met")
         pairs = staged(met.select("a", "b").distinct(), "pairs")
-        more = staged(links(pairs, sets_of(pairs), num, den), "links")
+        sets = sets_of(pairs)
+        more = staged(links(pairs, sets, num, den), "links")
+        release(sets, pairs)
+        done += [met, more]
         again = met.where("again").select("gram", "cell").distinct()
         if labels is None or not more.isEmpty():
             found = more if found is None else found.unionAll(more)
             labels = spread_labels(found)
+    release(*done)
 
     owned = classes.select("cid", "smallest").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = owned.groupBy("label").agg(F.min("smallest").alias("component_id"))
