@@ -268,6 +268,9 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "row")).alias("at"),
         ), "classes",
     )
+    # what the result needs of each row, without prefixes and sketches
+    rows = staged(base.select("doc_id", "row", "n", "cid"), "rows")
+    release(base)
     spread = classes.select("cid", "n", "shell", F.explode("prefix").alias("gram"))
     often = spread.groupBy("gram").count().where("count > 1").select("gram")
     spread = staged(spread.join(often, "gram"), "regions")
@@ -321,7 +324,7 @@ def components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     owned = classes.select("cid", "smallest").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = owned.groupBy("label").agg(F.min("smallest").alias("component_id"))
     by_class = owned.join(lowest, "label").select("cid", "component_id")
-    return base.join(by_class, "cid", "left").select(
+    return rows.join(by_class, "cid", "left").select(
         "doc_id", "row", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
