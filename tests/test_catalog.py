@@ -41,11 +41,10 @@ def test_search_wildcards(entities):
     assert pages.page_totals(entities, "s", search="n%3").first()["total_entities"] == len(expected(entities, "e_3"))
 
 
-def test_deep_page_equals_offset(entities, monkeypatch):
+def test_deep_page_equals_offset(entities):
     want = expected(entities)
-    monkeypatch.setattr(pages, "SHALLOW_ROWS", 10)
     for page in (1, 2, 13, 25, 26):
-        got = [r["id"] for r in pages.entity_page(entities, "s", page, 20).collect()]
+        got = [r["id"] for r in pages.entity_page(entities, "s", page, 20, deep=True).collect()]
         assert got == want[(page - 1) * 20 : page * 20]
 
 
@@ -210,3 +209,16 @@ def test_named_binds_are_values(spark):
     df = spark.createDataFrame([(1, "x' OR '1'='1"), (2, "b")], "id int, v string")
     got = execute_query(spark, "SELECT id FROM t WHERE v = :v AND id >= :n", {"v": "x' OR '1'='1", "n": 0}, {"t": df})
     assert [r["id"] for r in got.collect()] == [1]
+
+
+def test_integrity_of_odd_rows(spark):
+    """Null keys, entities without fields, repeated names and places, and empty tables."""
+    entities = spark.createDataFrame([("a", "x" * 256), ("b", "y"), (None, "z")], "id string, name string")
+    rows = [("a", "n", 0, None), ("a", "n", 1, None), ("a", "m", 1, "t" * 101), ("a", None, 2, None), ("a", None, 3, None), ("gone", "n", 0, None), (None, "n", 0, None)]
+    field_rows = spark.createDataFrame(rows, "entity_id string, name string, position int, native_type string")
+    got = {r.rule: r.n_violations for r in checks.catalog_integrity(entities, field_rows).collect()}
+    assert got == {
+        "field name unique in entity": 2, "field position unique in entity": 1, "field has entity": 2, "entity text length": 1, "field text length": 1,
+    }
+    none = {r.n_violations for r in checks.catalog_integrity(entities.limit(0), field_rows.limit(0)).collect()}
+    assert none == {0}

@@ -74,3 +74,7 @@ def test_relations_read_every_table_once(spark, plan):
     text = plan(entry.queries()["relation_confidence"](spark, SF))
     # seven pairs over seven tables: one exchange by value, one by mask, one by pair, and the join with the pairs' names
     assert text.count("FileScan") == 7 and text.count("Exchange hashpartitioning") <= 3 and "SortMergeJoin" not in text
+
+
+def test_integrity_reads_each_table_once(spark, plan):
+    assert plan(entry.queries()["catalog_integrity"](spark, SF)).count("FileScan") == 2

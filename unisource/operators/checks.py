@@ -59,36 +59,34 @@ def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> D
     return rows.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
 
 
-def orphan_count(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
-    """How many rows lack their parent, joined as one count per parent and not row by row."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    lost = orphans(counts, key, parents, parent_key)
-    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_violations"))
-
-
-def too_long(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
-    return rows.filter(reduce(lambda a, b: a | b, [F.length(c) > n for c, n in limits.items()]))
+def overlong(df: DataFrame, table: str) -> Column:
+    """Whether a text of a catalog table's row is longer than its limit."""
+    limits = [F.length(c) > n for c, n in MAX_LENGTHS[table].items() if c in df.columns]
+    return F.coalesce(reduce(lambda a, b: a | b, limits, F.lit(False)), F.lit(False))
 
 
 def catalog_integrity(entities: DataFrame, fields: DataFrame) -> DataFrame:
-    """How many violations of each catalog rule there are."""
-
-    def counted(rule: str, broken: DataFrame) -> DataFrame:
-        return broken.agg(F.count("*").alias("n_violations")).select(F.lit(rule).alias("rule"), "n_violations")
-
-    present = {
-        table: {c: n for c, n in MAX_LENGTHS[table].items() if c in df.columns}
-        for table, df in (("entities", entities), ("fields", fields))
-    }
-    return reduce(
-        DataFrame.unionByName,
-        [
-            counted("field name unique in entity", duplicate_keys(fields, ["entity_id", "name"])),
-            counted("field position unique in entity", duplicate_keys(fields, ["entity_id", "position"])),
-            orphan_count(fields, "entity_id", entities, "id").select(
-                F.lit("field has entity").alias("rule"), "n_violations"
-            ),
-            counted("entity text length", too_long(entities, present["entities"])),
-            counted("field text length", too_long(fields, present["fields"])),
-        ],
+    """How many violations of each catalog rule there are, from one scan of either table.
+
+    A field sends one counter for its name and one for its position, combined within each task. Counters
+    are summed per entity, and meet the entities as one row each.
+    """
+    long = overlong(fields, "fields").cast("long")
+    cells = fields.select("entity_id", F.inline(F.array(
+        F.struct(F.lit(True).alias("named"), F.col("name").alias("name"), F.lit(None).cast(fields.schema["position"].dataType).alias("position"), long.alias("long")),
+        F.struct(F.lit(False).alias("named"), F.lit(None).cast("string").alias("name"), F.col("position").alias("position"), F.lit(0).cast("long").alias("long")),
+    )))
+    keys = cells.groupBy("entity_id", "named", "name", "position").agg(F.count("*").alias("n"), F.sum("long").alias("long"))
+    own = keys.groupBy("entity_id").agg(
+        F.count_if(F.col("named") & (F.col("n") > 1)).alias("names"), F.count_if(~F.col("named") & (F.col("n") > 1)).alias("positions"),
+        F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("rows"), F.sum("long").alias("long"),
     )
+    known = entities.groupBy("id").agg(F.sum(overlong(entities, "entities").cast("long")).alias("entity_long"), F.lit(True).alias("known"))
+    met = own.join(known, own["entity_id"] == known["id"], "full")
+    rules = {
+        "field name unique in entity": F.sum("names"), "field position unique in entity": F.sum("positions"),
+        "field has entity": F.sum(F.when(F.col("known").isNull(), F.col("rows"))), "entity text length": F.sum("entity_long"),
+        "field text length": F.sum("long"),
+    }
+    totals = met.agg(*[F.coalesce(total, F.lit(0)).alias(f"r{i}") for i, total in enumerate(rules.values())])
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("n_violations")) for i, rule in enumerate(rules)])))

@@ -11,8 +11,6 @@ from unisource.session import staged
 DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200
 
-# Rows a task may keep for a page read by plain limit and offset.
-SHALLOW_ROWS = 100_000
 # Fields nested into one row; a longer entity goes on in its next part.
 FIELDS_PER_PART = 1000
 
@@ -60,15 +58,19 @@ def check_page(page: int, page_size: int) -> None:
 
 def entity_page(
     entities: DataFrame, source_id: str | None = None, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE,
-    search: str = "",
+    search: str = "", deep: bool = False,
 ) -> DataFrame:
-    """One page of visible entities by name; the id orders equal names."""
+    """One page of visible entities by name; the id orders equal names.
+
+    Each task keeps the rows up to the page's end. For a page far behind, ask for `deep`: see `deep_page`. The stored
+    catalog finds any page by its files' counts (`Catalog.entity_page`).
+    """
     check_page(page, page_size)
     found = visible_entities(entities, source_id, search)
     offset = (page - 1) * page_size
-    if offset + page_size <= SHALLOW_ROWS:
-        return found.orderBy("name", "id").offset(offset).limit(page_size)
-    return deep_page(found, ["name", "id"], offset, page_size)
+    if deep:
+        return deep_page(found, ["name", "id"], offset, page_size)
+    return found.orderBy("name", "id").offset(offset).limit(page_size)
 
 
 def entity_page_after(
