@@ -5,10 +5,15 @@ batch has not seen before lie one after another in one array of symbols. In each
 its own lowest-ranked pair, its first occurrence, all words at once; a word is done when none of its pairs is a
 piece. What is left are its tokens. Merging one occurrence a round keeps the library's order also
 where a merge makes a pair of lower rank.
+
+A long word (a text without spaces is one) would take as many rounds as it has tokens, so its places are kept by
+rank: a round takes all places of its lowest rank at once and looks only at their neighbours again. Where a
+merge makes a pair of lower rank, the round ends behind it, which keeps the library's order there too.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 META = "▁"  # stands for a space
-#: Counts of words kept by a task between batches; beyond that it starts anew.
+#: Counts of words kept by a task between batches; beyond that it starts anew. Longer words are not kept.
 CACHE_WORDS = 200_000
+CACHE_CHARS = 64
+#: Words of more symbols are merged by themselves, by ranks.
+LONG_SYMBOLS = 256
 
 
 class PieceCounter:
@@ -61,6 +69,7 @@ class PieceCounter:
     def count_words(self, words: list[str]) -> np.ndarray:
         """Tokens of each word."""
         symbols, lengths = [], []
+        result = np.zeros(len(words), np.int64)
         for word in words:
             before = len(symbols)
             for c in word:
@@ -69,10 +78,14 @@ class PieceCounter:
                     symbols.extend([-1] * len(c.encode()))  # one byte piece for each byte
                 else:
                     symbols.append(i)
-            lengths.append(len(symbols) - before)
+            size = len(symbols) - before
+            if size > LONG_SYMBOLS:
+                result[len(lengths)] = self.count_long(np.array(symbols[before:], np.int64))
+                del symbols[before:]
+                size = 0
+            lengths.append(size)
         sym = np.array(symbols, np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
-        result = np.zeros(len(words), np.int64)
         while len(sym):
             rank, merged = self.pair_ranks(sym[:-1], sym[1:])
             rank[word[:-1] != word[1:]] = self.none
@@ -91,15 +104,79 @@ class PieceCounter:
             sym, word = sym[keep], word[keep]
         return result
 
+    def count_long(self, sym: np.ndarray) -> int:
+        """Tokens of one long word; a round costs what it merges, not the length of the word."""
+        n = len(sym)
+        sym = np.append(sym, -1)  # place n is behind the end; it makes no pair
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, self.none)
+        merged = np.full(n + 1, -1)
+        rank[: n - 1], merged[: n - 1] = self.pair_ranks(sym[: n - 1], sym[1:n])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < self.none]
+            places = places[np.argsort(rank[places], kind="stable")]
+            own = rank[places]
+            border = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for start, end in zip([0, *border.tolist()], [*border.tolist(), len(own)]):
+                if start < end:
+                    r = int(own[start])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(places[start:end])
+
+        wait(np.arange(n))
+        left = n
+        while ranks:
+            r = heapq.heappop(ranks)
+            all_ = np.unique(np.concatenate(waiting.pop(r)))
+            all_ = all_[rank[all_] == r]
+            if not len(all_):
+                continue
+            # of places that overlap the first, the third, ... are merged
+            apart = np.append(True, after[all_[:-1]] != all_[1:])
+            run = np.flatnonzero(apart)
+            p = all_[(np.arange(len(all_)) - np.repeat(run, np.diff(np.append(run, len(all_))))) % 2 == 0]
+            new, second = merged[p], after[p]
+            right = after[second]
+            # the left neighbour as it is by then: merged itself if the place before ends there
+            other = np.where(before[p] >= 0, sym[before[p]], -1)
+            joins = np.append(False, second[:-1] == before[p[1:]])
+            other[joins] = new[np.flatnonzero(joins) - 1]
+            lower = (self.pair_ranks(other, new)[0] < r) | (self.pair_ranks(new, sym[right])[0] < r)
+            if lower.any():
+                end = int(lower.argmax()) + 1
+                rest = all_[all_ > p[end - 1]]
+                p, new, second, right = p[:end], new[:end], second[:end], right[:end]
+            else:
+                rest = all_[:0]
+            sym[p], after[p], before[right] = new, right, p
+            rank[second] = self.none
+            left -= len(p)
+            touched = np.append(p, before[p][before[p] >= 0])
+            touched = np.unique(touched)
+            ends = after[touched]
+            rank[touched], merged[touched] = self.pair_ranks(sym[touched], np.where(ends < n, sym[ends], -1))
+            wait(np.append(touched, rest[rank[rest] == r]))
+        return left
+
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; null and empty texts have none."""
         split = [pieces(t) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.cache})
+        words = set().union(*split)
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
-            new = list({w for ws in split for w in ws})
+            new = list(words)
         self.cache.update(zip(new, self.count_words(new).tolist()))
-        return [sum(map(self.cache.__getitem__, ws)) for ws in split]
+        counts = [sum(map(self.cache.__getitem__, ws)) for ws in split]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self.cache[w]
+        return counts
 
 
 def pieces(text: str) -> list[str]:
