@@ -154,6 +154,42 @@ def test_token_counts(docs, none):
     assert tokens.count_tokens(none, PIECES, 20).count() == 0
 
 
+def test_token_counts_of_texts_without_spaces():
+    """Words of up to a million letters, merged by ranks, count as the library counts them."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), tokens.PieceCounter(path)
+    rnd = np.random.default_rng(5)
+
+    def text(letters, n):
+        return "".join(rnd.choice(list(letters), n))
+
+    wide = "".join(map(chr, range(0x4E00, 0x4F00)))
+    cases = [text(a, n) for a in ("ab", "a", "aetinosh", "abcdefghijklmnopqrstuvwxyz", "aA0+/=", wide) for n in (257, 300, 1000, 5000)]
+    cases += ["the" * 400, "=" * 1000, " " * 1000, "a b" * 500 + "c" * 600, text("aetinoshrdlu", 1_000_000)]
+    assert own.count(cases) == [len(library.encode(t, num_threads=1)) for t in cases]
+    assert all(len(w) <= tokens.CACHE_CHARS for w in own.cache)
+
+
+def test_packing_encodes_stretches_as_the_library(monkeypatch):
+    """Many stretches in one text give the ids of each, also of odd texts and over several rounds of the cache."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), packing.CachedEncoder(path)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(packing, "JOINED_WORDS", 7)
+    rnd = np.random.default_rng(6)
+    parts = [" ", " ", "\n", "a", "B", "don't", "\t", "1", "é", "\x85", "中", "<|endoftext|>", "'s", "  ", ".", "x" * 70]
+    texts = ["".join(rnd.choice(parts, rnd.integers(0, 12))) for _ in range(3000)]
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        assert own.encode(part) == want
+    assert all(len(w) <= packing.CACHE_CHARS for w in own.cache)
+
+
 def test_packing_is_a_round_trip(docs, none):
     from tokenizers import Tokenizer
 

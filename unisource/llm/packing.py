@@ -27,9 +27,11 @@ from unisource.session import staged
 SEQUENCE = 1024
 STEP = 8
 END_ID = 0
+#: Stretches a task keeps between batches; longer ones are not kept.
 CACHE_WORDS = 600_000
-# White space other than single spaces and line ends inside a text: such texts are tokenized as a whole.
-UNUSUAL_SPACE = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
+CACHE_CHARS = 64
+JOINED_WORDS = 2_000
+STRETCH = re.compile(r"[ \n]?[^ \n]+")
 
 
 class CachedEncoder:
@@ -45,27 +47,57 @@ class CachedEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # a token's name has one character for each of its bytes
+        names = {i: name for name, i in self.library.get_vocab().items()}
+        self.n_bytes = np.array([len(names.get(i, "")) for i in range(max(names) + 1)], np.int64)
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def alone(self, words: list[str]) -> list[bytes]:
+        """Ids of stretches, many in one text: their ends are found again by the bytes of the tokens.
+
+        A first word, without a separator, gets a line end before it, which is a token of its own.
+        """
+        found = []
+        for begin in range(0, len(words), JOINED_WORDS):
+            own = words[begin : begin + JOINED_WORDS]
+            first = [w[0] not in " \n" for w in own]
+            joined = ["\n" + w if f else w for w, f in zip(own, first)]
+            (packed,) = self.whole(["".join(joined)])
+            until = np.cumsum(self.n_bytes[np.frombuffer(packed, "<u4")])
+            ends = np.cumsum([len(w.encode()) for w in joined])
+            at = np.searchsorted(until, ends)
+            if at[-1] >= len(until) or (until[at] != ends).any():
+                found += self.whole(own)  # a token across two stretches: not with byte-level vocabularies
+                continue
+            cuts = (4 * (at + 1)).tolist()
+            found += [packed[a + 4 * f : b] for a, b, f in zip([0, *cuts], cuts, first)]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.stretches(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.cache})
+        words = set().union(*split)
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
-            new = list({w for ws in split for w in ws})
-        self.cache.update(zip(new, self.whole(new)))
-        return [b"".join(map(self.cache.__getitem__, ws)) if ws else self.whole([t])[0] for t, ws in zip(texts, split)]
+            new = list(words)
+        self.cache.update(zip(new, self.alone(new)))
+        rest = iter(self.whole([t for t, ws in zip(texts, split) if not ws]))
+        found = [b"".join(map(self.cache.__getitem__, ws)) if ws else next(rest) for ws in split]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self.cache[w]
+        return found
 
     def stretches(self, text: str) -> list[str]:
-        """Nothing if the text must be encoded as a whole."""
-        if not text or UNUSUAL_SPACE.search(text) or any(s in text for s in self.special):
+        """Nothing if the text must be encoded as a whole: for a special string or other white space than single
+        spaces and line ends inside the text."""
+        if text.replace("\n", " ") != " ".join(text.split()) or any(s in text for s in self.special):
             return []
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first] + [w if w[0] == "\n" else " " + w for w in rest]
+        return STRETCH.findall(text)
 
 
 @lru_cache(maxsize=2)
@@ -86,6 +118,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
         own = encoder(tokenizer)
         task = TaskContext.get().partitionId()
         seen = np.zeros(size // STEP + 2, np.int64)
+        end_id = END_ID.to_bytes(4, "little")
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             begin = chars = 0
@@ -93,18 +126,25 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
                 chars += len(text)
                 if chars < 2_000_000 and end < len(texts):
                     continue
-                rows = []
-                for doc, ids in zip(batch["doc_id"].iloc[begin:end], own.encode(texts[begin:end])):
-                    ids += END_ID.to_bytes(4, "little")
-                    total = len(ids) // 4
-                    for start in range(0, total, size):
-                        part = ids[4 * start : 4 * (start + size)]
-                        length = len(part) // 4
-                        c = -(-length // STEP)
-                        rows.append((doc, start, length, zlib.crc32(part), total, task, c, seen[c]))
-                        seen[c] += 1
+                ids = [x + end_id for x in own.encode(texts[begin:end])]
+                totals = np.array([len(x) // 4 for x in ids], np.int64)
+                counts = -(-totals // size)
+                of = np.repeat(np.arange(len(ids)), counts)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
+                length = np.minimum(totals[of] - start, size)
+                crc = [zlib.crc32(x[k : k + 4 * size]) for x in ids for k in range(0, len(x), 4 * size)]
+                classes = -(-length // STEP)
+                # pieces of a class are numbered on from those this task has seen
+                order = np.argsort(classes, kind="stable")
+                found, first, n = np.unique(classes[order], return_index=True, return_counts=True)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order)) - np.repeat(first, n) + np.repeat(seen[found], n)
+                seen[found] += n
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[begin:end].iloc[of].array, "start": start, "length": length, "ids_crc32": crc,
+                    "doc_tokens": totals[of], "task": task, "class": classes, "place": place,
+                })
                 begin, chars = end, 0
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "class", "place"])
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
