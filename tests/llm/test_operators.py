@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -267,6 +268,42 @@ def test_lm_base_and_mixture(docs, none):
     assert lm.lm_scores(none, left != 2, left == 2, left == 1).count() == 0
 
 
+@pytest.mark.parametrize("chars", [4_000_000, 40])
+def test_lm_score_by_plain_counting(spark, monkeypatch, chars):
+    """The mixture's weights come from the deleted rows and the counts of all other training rows."""
+    monkeypatch.setattr(lm, "SLICE_CHARS", chars)
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(rnd.choice(["a", "b", "c", "d", "e", "F"], rnd.integers(0, 12))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    left = F.col("doc_id") % 4
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs, left != 2, left == 2, left == 3).collect()}
+    said = {d: lower(t).split() + ["\0end"] for d, t in enumerate(texts)}
+
+    def counted(ids):
+        tokens = [(b, w) for d in ids for b, w in zip(["\0start", *said[d]], said[d])]
+        return Counter(tokens), Counter(b for b, _ in tokens), Counter(w for _, w in tokens)
+
+    def estimates(counts, token):
+        pair, context, word = counts
+        return context[token[0]], pair[token] / max(context[token[0]], 1), word[token[1]] / sum(word.values())
+
+    kept, every = counted([d for d in said if d % 4 in (0, 1)]), counted([d for d in said if d % 4 != 2])
+    cells = Counter()
+    for token, n in counted([d for d in said if d % 4 == 3])[0].items():
+        context, *shares = estimates(kept, token)
+        steps = [round(lm.GRID * math.log2(x)) if x else 999 for x in shares]
+        cells[(min(math.ceil(math.log2(context + 1)), lm.BUCKETS - 1), *steps)] += n
+    table = pd.DataFrame([(*c, n) for c, n in sorted(cells.items())], columns=["bucket", "two", "one", "n"])
+    weights = lm.learn(table, len(kept[2]))
+    for d, words in said.items():
+        score = 0.0
+        for token in zip(["\0start", *words], words):
+            context, two, one = estimates(every, token)
+            w = weights[min(math.ceil(math.log2(context + 1)), lm.BUCKETS - 1)]
+            score += math.log10(w[0] * two + w[1] * one + w[2] / (len(every[2]) + 1))
+        assert math.isclose(got[d], score, rel_tol=1e-9)
+
+
 def test_lm_scores_repeated_rows_of_several_batches(spark):
     """Equal batches count and are scored each."""
     many = spark.createDataFrame([(5, "same words here")] * 3 + [(7, "other words")], "doc_id long, text string")

@@ -5,7 +5,7 @@ training occurrences beside them; keys are dealt to parts by hash. A part adds u
 all batches and answers each with the totals in the order asked, so one exchange both counts and looks up, and no
 key, however frequent, costs more than one number per batch. The mixture weights depend on how often
 the context was seen; they are learned by expectation-maximisation on a deleted part of the training
-rows, whose own occurrences are taken out of the counts.
+rows, from the counts of the others alone.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ END = np.uint64(0x5BD1E9955BD1E995)  # stands after each text
 START = np.uint64(0x27D4EB2F165667C5)  # the context of a text's first word
 BUCKETS = 24  # contexts by the power of two of their count
 PART_CHARS = 8_000_000  # a part of keys is for about so many characters of text
+SLICE_CHARS = 4_000_000  # texts of an Arrow batch that are looked at together, by characters
 ROUNDS = 30
 GRID = 4.0  # held-out probabilities are counted in steps of a quarter power of two
 
@@ -68,6 +69,14 @@ def tokens_of(texts: list[str | None], parts: int, hasher: WordHasher) -> Tokens
     return Tokens(d, keys[order], part[order], back[word_place], back[context_place], back[pair_place + len(words) + 1])
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut by characters; the same batch is always cut at the same rows. A long text is a slice of its own."""
+    for batch in batches:
+        chars = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch["text"]], dtype=np.int64)
+        for _, own in batch.groupby(chars // SLICE_CHARS, sort=True):
+            yield own.reset_index(drop=True)
+
+
 def batch_name(batch: pd.DataFrame) -> int:
     """A batch's name follows from its rows, so asking and scoring agree or fail, never mix.
 
@@ -77,12 +86,15 @@ def batch_name(batch: pd.DataFrame) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) >> 1
 
 
-def requests(docs: DataFrame, parts: int) -> DataFrame:
-    """part, batch, keys, counts (training occurrences in the batch), packed."""
+def requests(docs: DataFrame, parts: int, learning: bool) -> DataFrame:
+    """part, batch, keys, counts (training occurrences in the batch), packed; `learning` marks the deleted part.
+
+    A batch is bounded in characters, so its own counts fit 32 bits; sums over batches have 64.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(lower=True)
-        for batch in batches:
+        for batch in slices(batches):
             t = tokens_of(list(batch["text"]), parts, hasher)
             train = batch["train"].to_numpy(bool)[t.doc] if len(t.doc) else np.zeros(0, bool)
             starts = np.zeros(len(t.keys), np.int64)
@@ -99,29 +111,41 @@ def requests(docs: DataFrame, parts: int) -> DataFrame:
                 for a, b in zip(edges, ends)
             ], columns=["part", "batch", "keys", "counts", "is_word"])
 
-    return docs.mapInPandas(run, "part int, batch long, keys binary, counts binary, is_word binary")
+    asked = docs.mapInPandas(run, "part int, batch long, keys binary, counts binary, is_word binary")
+    return asked.withColumn("learning", F.lit(learning))
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """part, batch, counts (over all batches, in the order asked); one row more per part has its token and type numbers."""
+    """part, batch, counts (over all batches, in the order asked), kept (the same without the deleted part, for its batches).
+
+    One row more per part has its numbers of tokens and types, with and without the deleted part.
+    """
+    names = ["part", "batch", "counts", "kept", "n_tokens", "n_types", "kept_tokens", "kept_types"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(k, np.uint64) for k in part["keys"]]
-        flat = np.concatenate(keys)
-        own = np.concatenate([np.frombuffer(c, "<u4") for c in part["counts"]])
-        place, distinct = pd.factorize(flat)
-        total = np.bincount(place, weights=own, minlength=len(distinct)).astype(np.int64)
+        sizes = np.array([len(k) for k in keys])
+        place, distinct = pd.factorize(np.concatenate(keys))
+        total, kept = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         is_word = np.zeros(len(distinct), bool)
-        word = np.concatenate([np.unpackbits(np.frombuffer(w, np.uint8), count=len(k)) for w, k in zip(part["is_word"], keys)])
-        is_word[place[word.astype(bool)]] = True
-        found = total[place].astype("<u4")
-        ends = np.cumsum([len(k) for k in keys])
-        rows = [(part["part"].iloc[0], b, found[e - len(k) : e].tobytes(), 0, 0) for b, k, e in zip(part["batch"], keys, ends)]
-        used = is_word & (total > 0)
-        rows.append((part["part"].iloc[0], -1, b"", int(total[used].sum()), int(used.sum())))
-        return pd.DataFrame(rows, columns=["part", "batch", "counts", "n_tokens", "n_types"])
-
-    return asked.groupBy("part").applyInPandas(run, "part int, batch long, counts binary, n_tokens long, n_types long")
+        ends = np.cumsum(sizes)
+        for e, n, c, w, learning in zip(ends, sizes, part["counts"], part["is_word"], part["learning"]):
+            own = place[e - n : e]  # the keys of one batch are distinct
+            counts = np.frombuffer(c, "<u4")
+            total[own] += counts
+            if not learning:
+                kept[own] += counts
+            is_word[own[np.unpackbits(np.frombuffer(w, np.uint8), count=n).astype(bool)]] = True
+        p = part["part"].iloc[0]
+        rows = [
+            (p, b, total[place[e - n : e]].astype("<i8").tobytes(), kept[place[e - n : e]].astype("<i8").tobytes() if learning else b"", 0, 0, 0, 0)
+            for b, e, n, learning in zip(part["batch"], ends, sizes, part["learning"])
+        ]
+        numbers = [int(x) for c in (total, kept) for x in (c[is_word].sum(), (c[is_word] > 0).sum())]
+        return pd.DataFrame([*rows, (p, -1, b"", b"", *numbers)], columns=names)
+
+    schema = "part int, batch long, counts binary, kept binary, n_tokens long, n_types long, kept_tokens long, kept_types long"
+    return asked.groupBy("part").applyInPandas(run, schema)
 
 
 @dataclass(frozen=True)
@@ -143,13 +167,12 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1)).astype(int), BUCKETS - 1)
 
 
-def looked_up(docs: DataFrame, found: DataFrame, parts: int, run, schema: str) -> DataFrame:
-    """Apply run(batch, tokens, counts) to each batch and the counts it asked for."""
+def looked_up(docs: DataFrame, found: DataFrame, parts: int, run, schema: str, which: str = "counts") -> DataFrame:
+    """Apply run(batch, tokens, counts) to each batch and the counts it asked for; `which` are they."""
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.assign(batch=batch_name(batch), place=np.arange(len(batch)))
+        for batch in slices(batches):
+            yield batch.assign(batch=batch_name(batch), place=np.arange(len(batch)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInPandas(named, f"doc_id {kind}, row long, text string, train boolean, held_out boolean, deleted boolean, batch long, place int")
@@ -162,22 +185,25 @@ def looked_up(docs: DataFrame, found: DataFrame, parts: int, run, schema: str) -
         batch = batch.drop_duplicates("place").sort_values("place")
         copies = names // len(batch)
         t = tokens_of(list(batch["text"]), parts, WordHasher(lower=True))
-        total = np.frombuffer(b"".join(counts.drop_duplicates("part").sort_values("part")["counts"]), "<u4").astype(np.int64)
+        total = np.frombuffer(b"".join(counts.drop_duplicates("part").sort_values("part")[which]), "<i8")
         if len(total) != len(t.keys):
             raise RuntimeError("the counts of a batch are not those it asked for; was the input changed meanwhile?")
         return pd.concat([run(batch, t, total)] * copies)
 
-    return rows.groupBy("batch").cogroup(found.where("batch >= 0").select("part", "batch", "counts").groupBy("batch")).applyInPandas(both, schema)
+    return rows.groupBy("batch").cogroup(found.where("batch >= 0").select("part", "batch", which).groupBy("batch")).applyInPandas(both, schema)
 
 
 def held_out_cells(batch: pd.DataFrame, t: Tokens | None, total: np.ndarray | None, tokens: int, types: int) -> pd.DataFrame:
-    """Deleted rows' tokens by context bucket and by steps of their bigram and unigram estimates."""
+    """Deleted rows' tokens by context bucket and by steps of their bigram and unigram estimates.
+
+    `total`, `tokens` and `types` are those of the other training rows: no word of a deleted row lends itself weight.
+    """
     names = ["bucket", "two", "one", "n"]
     if t is None:
         return pd.DataFrame([], columns=names)
     use = batch["deleted"].to_numpy(bool)[t.doc]
-    pair, context, word = (np.maximum(total[x][use] - 1, 0) for x in (t.pair, t.context, t.word))
-    model = Mixture(max(tokens - 1, 1), types, np.zeros((0, 3)))
+    pair, context, word = (total[x][use] for x in (t.pair, t.context, t.word))
+    model = Mixture(tokens, types, np.zeros((0, 3)))
     two, one, _ = model.parts(pair, context, word)
     with np.errstate(divide="ignore"):
         step = [np.where(p > 0, np.round(GRID * np.log2(np.where(p > 0, p, 1))), 999).astype(int) for p in (two, one)]
@@ -216,14 +242,16 @@ def lm_scores(docs: DataFrame, train: Column, held_out: Column, deleted: Column)
         (train & deleted).alias("deleted"),
     )
     learning, other = read.where("deleted"), read.where("not deleted")
-    found = staged(answers(requests(learning, parts).unionAll(requests(other, parts))), "counts")
-    tokens, types = (int(x or 0) for x in found.where("batch = -1").agg(F.sum("n_tokens"), F.sum("n_types")).first())
+    found = staged(answers(requests(learning, parts, True).unionAll(requests(other, parts, False))), "counts")
+    sums = found.where("batch = -1").agg(*[F.sum(c) for c in ("n_tokens", "n_types", "kept_tokens", "kept_types")]).first()
+    tokens, types, kept_tokens, kept_types = (int(x or 0) for x in sums)
 
     cells = looked_up(
-        learning, found, parts, lambda b, t, c: held_out_cells(b, t, c, tokens, types), "bucket int, two int, one int, n long"
+        learning, found, parts, lambda b, t, c: held_out_cells(b, t, c, kept_tokens, kept_types),
+        "bucket int, two int, one int, n long", "kept",
     )
     table = cells.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).orderBy("bucket", "two", "one").toArrow().to_pandas()
-    model = Mixture(tokens, types, learn(table, types))
+    model = Mixture(tokens, types, learn(table, kept_types))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(batch: pd.DataFrame, t: Tokens | None, total: np.ndarray | None) -> pd.DataFrame:
