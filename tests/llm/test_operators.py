@@ -454,3 +454,51 @@ def test_toxicity_finds_marked_words(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, toxic int")
     scored = toxicity.score(docs.where("doc_id >= 100"), toxicity.fit(docs, labels), ["doc_id"]).collect()
     assert all((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in scored)
+
+
+def test_toxicity_by_plain_arithmetic(spark):
+    """Ratios from all labelled rows, then the regression's steps, feature by feature."""
+    rnd = np.random.default_rng(9)
+    texts = [" ".join(rnd.choice(["awful", "kind", "word", "tree", "Mean"], rnd.integers(0, 6))) for _ in range(30)]
+    marks = [int("awful" in t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scratch = np.zeros(toxicity.BUCKETS, np.int32)
+    rows = [set(toxicity.features(t, scratch).tolist()) for t in texts]
+    toxic, other = sum(marks), len(marks) - sum(marks)
+    ratio = {}
+    for f in set().union(*rows):
+        bad = sum(f in r for r, m in zip(rows, marks) if m)
+        good = sum(f in r for r, m in zip(rows, marks) if not m)
+        ratio[f] = math.log((bad + 1) / (toxic + 2) / ((good + 1) / (other + 2))) if bad + good >= toxicity.RARE else 0.0
+    weight = [0.5 / toxic if m else 0.5 / other for m in marks]
+    rate = 16 / (1 + sum(c * sum(ratio[f] ** 2 for f in r) for c, r in zip(weight, rows)) / sum(weight))
+    w, b = dict.fromkeys(ratio, 0.0), 0.0
+    ahead, ahead_b = dict(w), b
+    for k in range(toxicity.STEPS):
+        error = []
+        for r, m, c in zip(rows, marks, weight):
+            margin = sum(ratio[f] * ahead[f] for f in r) + ahead_b
+            error.append(c * (1 / (1 + math.exp(-margin)) - m))
+        grad = {f: 1e-5 * ahead[f] for f in w}
+        for r, e in zip(rows, error):
+            for f in r:
+                grad[f] += e * ratio[f]
+        new = {f: ahead[f] - rate * grad[f] for f in w}
+        new_b = ahead_b - rate * sum(error)
+        turn = k / (k + 3)
+        ahead = {f: new[f] + turn * (new[f] - w[f]) for f in w}
+        ahead_b = new_b + turn * (new_b - b)
+        w, b = new, new_b
+    share = (toxic + 1) / (len(marks) + 2)
+    intercept = b + 0.5 * math.log(share / (1 - share))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for d, r in enumerate(rows):
+        assert math.isclose(got[d], 1 / (1 + math.exp(-sum(w[f] * ratio[f] for f in r) - intercept)), rel_tol=1e-3)
+
+
+def test_toxicity_sample_is_bounded_for_repeated_ids(spark):
+    rows = spark.range(200).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    labels, sizes, flat = toxicity.sample(rows, 10)
+    assert sorted(labels) == [0] * 10 + [1] * 10 and sizes.sum() == len(flat)

@@ -22,6 +22,7 @@ SIZES = (4, 5)
 MAX_FIT_ROWS = 2_000
 STEPS = 80
 SMOOTH = 1.0
+BLOCK = 1 << 20  # features looked at together while fitting
 RARE = 3  # n-grams in fewer labelled texts than this count for nothing
 
 
@@ -62,16 +63,14 @@ def bucket_counts(labelled: DataFrame) -> pd.DataFrame:
     return rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow().to_pandas()
 
 
-def sample(labelled: DataFrame, max_rows: int) -> list[tuple[int, np.ndarray]]:
-    """Label and features of the fitting sample."""
-    ids = labelled.select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    bounds = [
-        [r[0] for r in ids.where(F.col("toxic") == c).orderBy("h").limit(max_rows).agg(F.max("h")).collect()][0] for c in (0, 1)
-    ]
-    chosen = F.lit(False)
-    for c, bound in enumerate(bounds):
-        if bound is not None:
-            chosen = chosen | ((F.col("toxic") == c) & (F.xxhash64(F.col("doc_id").cast("string")) <= bound))
+def sample(labelled: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the fitting sample, how many features each row has, and the features one after another.
+
+    Of each class the `max_rows` rows with the lowest hash of their id; of a repeated id those with the lowest
+    hash of their text, so that the driver never gets more rows.
+    """
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")]
+    chosen = [labelled.where(F.col("toxic") == c).select("text", "toxic", *order).orderBy(*order).limit(max_rows) for c in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scratch = np.zeros(BUCKETS, np.int32)
@@ -80,11 +79,14 @@ def sample(labelled: DataFrame, max_rows: int) -> list[tuple[int, np.ndarray]]:
                 "toxic": batch["toxic"], "found": [features(t, scratch).astype("<i4").tobytes() for t in batch["text"]],
             })
 
-    rows = labelled.where(chosen).select("text", "toxic").mapInPandas(run, "toxic int, found binary").toArrow()
-    return sorted(
-        ((t, np.frombuffer(f, "<i4")) for t, f in zip(rows["toxic"].to_pylist(), rows["found"].to_pylist())),
-        key=lambda x: (x[0], x[1].tobytes()[:64]),
-    )
+    labels, rows = [], []
+    for part in chosen:
+        table = part.select("text", "toxic").mapInPandas(run, "toxic int, found binary").toArrow()
+        labels += table["toxic"].to_pylist()
+        rows += [np.frombuffer(f.as_buffer(), "<i4") for f in table["found"]]
+    where = sorted(range(len(rows)), key=lambda k: (labels[k], rows[k][:16].tobytes()))
+    flat = np.concatenate([rows[k] for k in where]) if rows else np.zeros(0, "<i4")
+    return np.array([labels[k] for k in where], float), np.array([len(rows[k]) for k in where], np.int64), flat
 
 
 @dataclass(frozen=True)
@@ -99,36 +101,39 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-min(max(margin, -60.0), 60.0)))
 
 
-def regression(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, share: float) -> ToxicityModel:
+def regression(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, ratios: np.ndarray, share: float) -> ToxicityModel:
     """Logistic regression on features scaled by `ratios`, by accelerated gradient steps.
 
     Both classes weigh the same while fitting; the intercept then moves half way to the true share of toxic rows.
+    Features stay 32-bit buckets, whose scale is looked up, and are taken in blocks of rows.
     """
-    labels = np.array([t for t, _ in rows], float)
-    kept = [f[ratios[f] != 0] for _, f in rows]
-    sizes = np.array([len(f) for f in kept], np.int64)
-    where = np.repeat(np.arange(len(rows)), sizes)
-    flat = np.concatenate(kept).astype(np.int64) if kept else np.zeros(0, np.int64)
-    used, column = np.unique(flat, return_inverse=True)
-    scaled = ratios[used]
-    values = scaled[column]
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    w, b = np.zeros(len(used)), 0.0
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + BLOCK, BLOCK)))
+    cuts = np.unique(np.append(cuts[cuts < len(sizes)], [0, len(sizes)]))
+    blocks = [(a, b, flat[ends[a] - sizes[a] : ends[b - 1]], np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def margins(table: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[np.bincount(row, weights=table[own], minlength=b - a) for a, b, own, row in blocks]])
+
+    used = np.zeros(BUCKETS, bool)
+    used[flat] = True
+    scale = np.where(used, ratios, 0.0)
+    w, b = np.zeros(BUCKETS), 0.0
     # step from the largest curvature a row can have
-    squares = np.bincount(where, weights=values**2, minlength=len(rows))
-    rate = 4 / (1 + (squares * weight).sum() / max(weight.sum(), 1e-9)) * 4
+    rate = 4 / (1 + (margins(scale**2) * weight).sum() / max(weight.sum(), 1e-9)) * 4
     ahead_w, ahead_b = w, b
     for k in range(STEPS):
-        margin = np.bincount(where, weights=values * ahead_w[column], minlength=len(rows)) + ahead_b
+        margin = margins(scale * ahead_w) + ahead_b
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - labels)
-        grad = np.bincount(column, weights=values * error[where], minlength=len(used)) + 1e-5 * ahead_w
+        grad = 1e-5 * ahead_w
+        for first, last, own, row in blocks:
+            grad += scale * np.bincount(own, weights=error[first:last][row], minlength=BUCKETS)
         new_w, new_b = ahead_w - rate * grad, ahead_b - rate * error.sum()
         turn = k / (k + 3)
         ahead_w, ahead_b = new_w + turn * (new_w - w), new_b + turn * (new_b - b)
         w, b = new_w, new_b
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w * scaled
-    return ToxicityModel(weights, b + 0.5 * float(np.log(share / (1 - share))))
+    return ToxicityModel((w * scale).astype(np.float32), b + 0.5 * float(np.log(share / (1 - share))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> ToxicityModel:
@@ -140,7 +145,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Tox
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).distinct()
     labelled = docs.select("doc_id", "text").join(marks, "doc_id")
     seen = bucket_counts(labelled)
-    rows = sample(labelled, max_rows)
     totals = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     share = (toxic + 1) / (toxic + other + 2)
@@ -150,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Tox
         q = (seen["other"].to_numpy() + SMOOTH) / (other + 2 * SMOOTH)
         common = (seen["toxic"] + seen["other"]).to_numpy() >= RARE
         ratios[seen["bucket"].to_numpy()] = np.where(common, np.log(p / q), 0.0)
-    return regression(rows if toxic and other else [], ratios, share)
+    none = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, "<i4")
+    return regression(*(sample(labelled, max_rows) if toxic and other else none), ratios, share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[Column | str]) -> DataFrame:
