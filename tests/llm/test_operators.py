@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -502,3 +503,18 @@ def test_toxicity_sample_is_bounded_for_repeated_ids(spark):
     rows = spark.range(200).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
     labels, sizes, flat = toxicity.sample(rows, 10)
     assert sorted(labels) == [0] * 10 + [1] * 10 and sizes.sum() == len(flat)
+
+
+def test_lm_slice_fits_a_worker():
+    """A batch of four million characters is looked at in less than 60 MB."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(map(str, rnd.integers(0, 30_000, 300))) for _ in range(2_400)]
+    batch = pd.DataFrame({"doc_id": range(len(texts)), "row": 0, "text": texts})
+    tracemalloc.start()
+    try:
+        hasher = lm.WordHasher(lower=True)
+        for own in lm.slices(iter([batch])):
+            lm.tokens_of(list(own["text"]), 16, hasher)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()

@@ -27,7 +27,7 @@ END = np.uint64(0x5BD1E9955BD1E995)  # stands after each text
 START = np.uint64(0x27D4EB2F165667C5)  # the context of a text's first word
 BUCKETS = 24  # contexts by the power of two of their count
 PART_CHARS = 8_000_000  # a part of keys is for about so many characters of text
-SLICE_CHARS = 4_000_000  # texts of an Arrow batch that are looked at together, by characters
+SLICE_CHARS = 1_000_000  # texts of an Arrow batch that are looked at together, by characters; a token costs some 200 bytes
 ROUNDS = 30
 GRID = 4.0  # held-out probabilities are counted in steps of a quarter power of two
 
