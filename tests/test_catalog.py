@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from unisource import schemas
 from unisource.operators import changes, checks, fields, pages, status
+from unisource.plans import catalog as plans_catalog
 from unisource.plans.catalog import Catalog
 from unisource.plans.sqltext import execute_query
 from unisource.schemas import CONNECTION_TESTS, DISCOVERED
@@ -222,3 +224,34 @@ def test_integrity_of_odd_rows(spark):
     }
     none = {r.n_violations for r in checks.catalog_integrity(entities.limit(0), field_rows.limit(0)).collect()}
     assert none == {0}
+
+
+def test_a_sync_asks_once_for_its_sources(spark, tmp_path):
+    """What names the synced sources may be a large join: it is computed once."""
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for row in rows:
+            asked.add(1)
+            yield row
+
+    synced = spark.createDataFrame(spark.createDataFrame([("s",), ("t",)], "source_id string").rdd.mapPartitions(seen), "source_id string")
+    catalog.save_metadata(spark.createDataFrame([], schemas.DISCOVERED), synced)
+    assert asked.value == 2
+
+
+def test_names_are_spelled_by_bounded_tasks(spark, tmp_path, monkeypatch):
+    """However many names share a triple, it is listed by as many tasks as the names ask for; a search finds all of them."""
+    monkeypatch.setattr(plans_catalog, "SPELLED", 10)
+    found = spark.range(200).select(
+        F.lit("s").alias("source_id"), F.lit("").alias("path"), F.lit(0).alias("entity_no"), F.concat(F.lit("order_"), "id").alias("entity"),
+        *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schemas.DISCOVERED.split(", ") if c.split()[0] not in ("source_id", "path", "entity_no", "entity")],
+    ).select(*schemas.DISCOVERED_COLUMNS)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    catalog.save_metadata(found, found.select("source_id"))
+    (folder,) = catalog.snapshots.latest().paths("entity_grams")
+    listed = spark.read.parquet(folder)
+    assert "id" not in listed.columns
+    assert listed.filter("gram = 'ord'").select("_metadata.file_path").distinct().count() > 5
+    assert sorted(r["name"] for r in catalog.search("s", "der_11", 1, 200).collect()) == sorted(f"order_{k}" for k in range(200) if str(k).startswith("11"))

@@ -18,9 +18,10 @@ _ORDER = {"entities": ["source_id", "name", "id"], "fields": ["source_id", "enti
 _VERSIONED = schemas.SOURCES + ", is_deleted boolean, version bigint"
 # How many visible entities of a source each file of `entities` holds, and the first of them.
 _FILES = "source_id string, file string, n bigint, name string, id string"
-# Which visible entities have three characters in a row in their lower-cased name, and the file that holds them.
-_GRAMS = "source_id string, gram string, file string, id string"
+# Which visible entities have three characters in a row in their lower-cased name: the file that holds them and their row in it.
+_GRAMS = "source_id string, gram string, file string, row bigint"
 GRAM = 3
+SPELLED = 100_000  # names of which a task lists the triples
 
 
 def pattern_grams(text: str) -> list[str]:
@@ -118,11 +119,11 @@ class Catalog:
             return pages.entity_page(self._by_source("entities", source_id, snapshot), source_id, page, page_size, text)
         listed = self.snapshots.read(snapshot, "entity_grams", _GRAMS, [bucket_number(source_id)])
         own = listed.filter((F.col("source_id") == source_id) & F.col("gram").isin(grams))
-        hits = staged(own.groupBy("file", "id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("file", "id"), "hits")
+        hits = staged(own.groupBy("file", "row").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("file", "row"), "hits")
         files = [r["file"] for r in hits.select("file").distinct().collect()]  # files of one bucket
         if not files:
             return self.spark.createDataFrame([], schemas.ENTITIES)
-        rows = self.spark.read.schema(schemas.ENTITIES).parquet(*files).join(hits.select("id"), "id", "left_semi")
+        rows = self._placed_entities(files).join(hits, ["file", "row"], "left_semi")
         return pages.entity_page(rows.select(*_names(schemas.ENTITIES)), source_id, page, page_size, text)
 
     def detail(self, source_id: str, page: int = 1, page_size: int = pages.DEFAULT_PAGE_SIZE, search: str = "") -> DataFrame:
@@ -161,6 +162,11 @@ class Catalog:
         touched = self.sources(snapshot).join(patches.select("id").distinct(), "id", "left_semi")
         self._publish(snapshot, [self._versions(snapshot, changes.partial_update(touched, patches, order_by=order_by))])
 
+    def _placed_entities(self, paths: list[str]) -> DataFrame:
+        """Rows of entity files with their file and their row in it; files never change."""
+        rows = self.spark.read.schema(schemas.ENTITIES).parquet(*paths)
+        return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
     def _replaced(self, snapshot: Snapshot, table: str, rows: DataFrame, synced: DataFrame) -> list[Changes]:
         """Changes that make `rows` all there is of the synced sources; entities are counted file by file."""
         change = self.snapshots.replace(snapshot, table, rows, _BY_SOURCE[table], synced, _ORDER[table])
@@ -169,24 +175,27 @@ class Catalog:
         paths = [p for p in change[table].values() if p]
         if not paths:
             return [change, *({t: dict.fromkeys(change[table])} for t in ("entity_files", "entity_grams"))]
-        rows = self.spark.read.schema(schemas.ENTITIES).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"))
-        stored = pages.visible_entities(rows)
+        stored = pages.visible_entities(self._placed_entities(paths))
         first = F.min(F.struct("name", "id")).alias("first")
         counted = stored.groupBy("source_id", "file").agg(F.count("*").alias("n"), first).select("source_id", "file", "n", "first.name", "first.id")
         name = F.lower("name")
         places = F.when(F.length(name) >= GRAM, F.sequence(F.lit(1), F.length(name) - GRAM + 1))
         grams = F.array_distinct(F.transform(places, lambda i: F.substring(name, i, F.lit(GRAM))))
-        spelled = stored.select("source_id", F.explode(grams).alias("gram"), "file", "id")
+        # names are dealt out, a bounded number to a task, and spelled there: triples are many times as many, and one
+        # that all names have would meet in one task
+        parts = stored.count() // SPELLED + 1
+        dealt = stored.select("source_id", "name", "file", "row", bucket_of("source_id").alias("bucket")).repartitionByRange(parts, "bucket", "file", "row")
+        spelled = dealt.select("source_id", F.explode(grams).alias("gram"), "file", "row", "bucket")
+        files = counted.withColumn("bucket", bucket_of("source_id")).repartitionByRange("bucket", "source_id", "name")
         return [
-            change, self._beside("entity_files", counted, _FILES, change[table], ["source_id", "name"]),
+            change, self._beside("entity_files", files, _FILES, change[table], ["source_id", "name"]),
             self._beside("entity_grams", spelled, _GRAMS, change[table], ["source_id", "gram"]),
         ]
 
     def _beside(self, table: str, rows: DataFrame, schema: str, touched: dict[int, str | None], order: list[str]) -> Changes:
-        """What is kept beside the entities of some buckets, sorted."""
+        """What is kept beside the entities of some buckets; each task's rows are sorted."""
         path = self.snapshots.new_path(table)
-        placed = rows.withColumn("bucket", bucket_of("source_id"))
-        placed.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+        rows.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
         held = {r[0] for r in self.spark.read.schema(f"{schema}, bucket int").parquet(path).select("bucket").distinct().collect()}
         return {table: {n: f"{path}/bucket={n}" if n in held else None for n in touched}}
 
@@ -194,6 +203,8 @@ class Catalog:
         """Write all that a sync changes, without making any of it visible."""
         snapshot = self.snapshots.latest()
         discovered = staged(discovered, "discovered")
+        # computed once; its size is known then, so few sources are met without dealing all rows out by source
+        synced = staged(synced.select("source_id").distinct(), "synced")
         parts = self._replaced(snapshot, "fields", fields.to_fields(discovered), synced)
         parts += self._replaced(snapshot, "entities", fields.to_entities(discovered), synced)
         if relations is not None:
@@ -201,7 +212,7 @@ class Catalog:
         counts = fields.sync_summary(discovered).select(
             F.col("source_id").alias("id"), F.col("entity_count").cast("int").alias("_n")
         )
-        ids = synced.select(F.col("source_id").alias("id")).distinct()
+        ids = synced.select(F.col("source_id").alias("id"))
         now = F.current_timestamp()
         rows = (
             self.sources(snapshot).join(ids, "id", "left_semi").join(counts, "id", "left")
