@@ -505,6 +505,25 @@ def test_toxicity_sample_is_bounded_for_repeated_ids(spark):
     assert sorted(labels) == [0] * 10 + [1] * 10 and sizes.sum() == len(flat)
 
 
+def test_toxicity_sample_of_hashes_looks_texts_up(spark):
+    """Ids and hashes choose the rows, their texts are then found in place: the same sample, also of repeated rows."""
+    rows = spark.range(300).select((F.col("id") % 70).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    marked = rows.select("doc_id", F.xxhash64("text").alias("row"), "toxic")
+    for own, want in zip(toxicity.sample(marked, 25, rows.select("doc_id", "text")), toxicity.sample(rows, 25)):
+        assert own.tolist() == want.tolist()
+
+
+def test_toxicity_deals_texts_once(spark, monkeypatch):
+    """Totals and sample read ids and hashes; only the counts get labelled texts."""
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    given = []
+    chosen = toxicity.sample
+    monkeypatch.setattr(toxicity, "sample", lambda labelled, *more: given.append(labelled.columns) or chosen(labelled, *more))
+    toxicity.fit(docs, labels)
+    assert given and "text" not in given[0]
+
+
 def test_lm_slice_fits_a_worker():
     """A batch of four million characters is looked at in less than 60 MB."""
     rnd = np.random.default_rng(3)

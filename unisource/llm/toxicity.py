@@ -63,27 +63,32 @@ def bucket_counts(labelled: DataFrame) -> pd.DataFrame:
     return rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow().to_pandas()
 
 
-def sample(labelled: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sample(labelled: DataFrame, max_rows: int, docs: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labels of the fitting sample, how many features each row has, and the features one after another.
 
     Of each class the `max_rows` rows with the lowest hash of their id; of a repeated id those with the lowest
-    hash of their text, so that the driver never gets more rows.
+    hash of their text, so that the driver never gets more rows. `labelled` has doc_id, toxic and text, or instead
+    of the text its hash `row`; then the texts chosen are looked up in `docs`, where they lie.
     """
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")]
-    chosen = [labelled.where(F.col("toxic") == c).select("text", "toxic", *order).orderBy(*order).limit(max_rows) for c in (0, 1)]
+    marked = labelled if docs is not None else labelled.withColumn("row", F.xxhash64("text"))
+    docs = labelled if docs is None else docs
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("row")]
+    chosen = [r for c in (0, 1) for r in marked.where(F.col("toxic") == c).orderBy(*order).limit(max_rows).collect()]
+    keys = docs.sparkSession.createDataFrame(list({(r["doc_id"], r["row"]) for r in chosen}), marked.select("doc_id", "row").schema)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(F.broadcast(keys), ["doc_id", "row"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scratch = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            yield pd.DataFrame({
-                "toxic": batch["toxic"], "found": [features(t, scratch).astype("<i4").tobytes() for t in batch["text"]],
-            })
-
-    labels, rows = [], []
-    for part in chosen:
-        table = part.select("text", "toxic").mapInPandas(run, "toxic int, found binary").toArrow()
-        labels += table["toxic"].to_pylist()
-        rows += [np.frombuffer(f.as_buffer(), "<i4") for f in table["found"]]
+            yield batch.drop(columns="text").assign(found=[features(t, scratch).astype("<i4").tobytes() for t in batch["text"]])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = texts.dropDuplicates(["doc_id", "row"]).mapInPandas(run, f"doc_id {kind}, row long, found binary").toArrow()
+    found = {
+        (i, h): np.frombuffer(f.as_buffer(), "<i4")
+        for i, h, f in zip(table["doc_id"].to_pylist(), table["row"].to_pylist(), table["found"])
+    }
+    labels, rows = [r["toxic"] for r in chosen], [found[r["doc_id"], r["row"]] for r in chosen]
     where = sorted(range(len(rows)), key=lambda k: (labels[k], rows[k][:16].tobytes()))
     flat = np.concatenate([rows[k] for k in where]) if rows else np.zeros(0, "<i4")
     return np.array([labels[k] for k in where], float), np.array([len(rows[k]) for k in where], np.int64), flat
@@ -143,9 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Tox
     Without labels of both classes every text gets the share of toxic rows as its score.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).distinct()
-    labelled = docs.select("doc_id", "text").join(marks, "doc_id")
-    seen = bucket_counts(labelled)
-    totals = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    # texts are dealt out once, for the counts; totals and sample need ids and hashes only. The labels grow with the
+    # texts, so none is ever a table for every task and the cost is in proportion at any size.
+    seen = bucket_counts(docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("row")).join(marks, "doc_id")
+    totals = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     share = (toxic + 1) / (toxic + other + 2)
     ratios = np.zeros(BUCKETS)
@@ -155,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Tox
         common = (seen["toxic"] + seen["other"]).to_numpy() >= RARE
         ratios[seen["bucket"].to_numpy()] = np.where(common, np.log(p / q), 0.0)
     none = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, "<i4")
-    return regression(*(sample(labelled, max_rows) if toxic and other else none), ratios, share)
+    return regression(*(sample(marked, max_rows, docs) if toxic and other else none), ratios, share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[Column | str]) -> DataFrame:
