@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unisource import session
 from unisource.functions import text, types
 
 
@@ -88,3 +89,13 @@ def test_prefixes(spark):
     some = df.filter(text.starts_with_any("n", ["F_", "cbf_"])).collect()
     assert [r["n"] for r in some] == ["f_doc", "CBF_x"]
     assert df.filter(text.starts_with_any("n", [])).count() == 4
+
+
+def test_spread_parts_are_bounded(spark, tmp_path, monkeypatch):
+    """Parts get no larger with the input, also beyond the number of cores."""
+    spark.range(200_000).select(F.xxhash64("id").alias("x")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "PART_BYTES", 64 << 10, raising=False)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    spread = session.spread_small(stored)
+    assert spread.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert spread.count() == 200_000

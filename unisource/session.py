@@ -18,10 +18,11 @@ DEFAULTS = {
     "spark.sql.python.filterPushdown.enabled": "true",
 }
 
-# A scan smaller than this may be spread over the cores with one cheap exchange,
-# as far as every part keeps about SPREAD_BYTES of stored data.
-SMALL_INPUT_BYTES = 1 << 30
+# A small scan is spread over the cores with one cheap exchange, as far as every part
+# keeps about SPREAD_BYTES of stored data.
 SPREAD_BYTES = 128 << 10
+# What is made of a row may be far larger than the row, so a part has no more stored data than this.
+PART_BYTES = 4 << 20
 
 
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
@@ -69,12 +70,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on a small, badly split input.
+    """Use all cores for CPU-heavy work on a small, badly split input, and parts of bounded size for any.
 
-    One unsplittable file would leave all work to one task. The size comes from the
-    optimizer's statistics: large inputs already have enough splits and stay as they
-    are, so no big table is ever shuffled here.
+    One unsplittable file would leave all work to one task, and parts that grow with the input
+    would need ever more memory each. The size comes from the optimizer's statistics.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
-    return df.repartition(parts) if 1 < parts and size <= SMALL_INPUT_BYTES else df
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES), size // PART_BYTES)
+    return df.repartition(parts) if parts > 1 else df
