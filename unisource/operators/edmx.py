@@ -207,7 +207,8 @@ def edmx_file_fields(spark: SparkSession, path: str, source_id: str, variant: st
     sizes = rows.groupBy("file", "block").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    placed = counted.join(before, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    # one row per split of a file: small however large the files are
+    placed = counted.join(F.broadcast(before), (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
     if variant.startswith("dynamics"):
         placed = placed.filter(~F.col("_abstract"))
     t = F.col("_t")
