@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import tracemalloc
 import zlib
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from unisource.llm import decontaminate, jaccard, language, lm, packing, quality, secrets, substrings, tokens, toxicity
 from unisource.llm.fmindex import FMIndex
+from unisource.session import staged
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -400,6 +402,30 @@ def test_language_held_out(spark):
     assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
 
 
+def test_language_stages_less_than_it_reads(spark, monkeypatch):
+    """Tables, slices and answers of many texts with many rare words, as files on the shared disk."""
+    kept = []
+    monkeypatch.setattr(language, "staged", lambda df, label: kept.append(staged(df, label)) or kept[-1])
+    rng = np.random.default_rng(5)
+    parts = ["th", "er", "on", "an", "in", "ou", "st", "ea", "ly", "ing", "tion", "ent"]
+    common = ["".join(rng.choice(parts, 2)) for _ in range(300)]
+    texts = [" ".join(w if x < 0.9 else "".join(rng.choice(parts, 4)) for w, x in zip(rng.choice(common, 300), rng.random(300))) for _ in range(800)]
+    docs = spark.createDataFrame([(k, t, ("en", "fr", "de")[k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    learned = docs.where("doc_id % 5 <> 0").repartition(4)
+    assert language.predict(docs.repartition(4), language.fit(learned), ["doc_id"]).count() == len(texts)
+    files = [f.removeprefix("file:") for table in kept for f in table.inputFiles()]
+    assert sum(os.path.getsize(f) for f in files) < 0.4 * sum(map(len, texts))
+
+
+def test_language_without_words_is_no_language(spark):
+    rows = [(0, "12 34 ...", "aa"), (1, "some words of one language", "bb"), (2, "", "cc")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["bb"]
+    docs = spark.createDataFrame([(7, "words"), (8, "\u0416\u0416"), (9, "56"), (9, "56"), (10, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in language.predict(docs, model, ["doc_id"]).collect())
+    assert got == [(7, "bb", 1.0), (8, "bb", 1.0), (9, "und", 0.0), (9, "und", 0.0), (10, "und", 0.0)]
+
+
 def test_language_counts_every_word(spark):
     """Words and n-grams far down the list of a large vocabulary still count, against plain arithmetic."""
     rng = np.random.default_rng(11)
