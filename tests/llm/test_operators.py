@@ -194,6 +194,15 @@ def test_packing_encodes_stretches_as_the_library(monkeypatch):
     assert all(len(w) <= packing.CACHE_CHARS for w in own.cache)
 
 
+def test_packing_keeps_the_stretches_of_several_tasks(monkeypatch):
+    """A worker's next tasks do not encode again what 700,000 stretches before had."""
+    own = packing.CachedEncoder(BYTES)
+    texts = [" ".join(f"{k:x}" for k in range(begin, begin + 350_000)) for begin in (1 << 20, 1 << 21)]
+    first = own.encode(texts[:1]) + own.encode(texts[1:])
+    monkeypatch.setattr(own, "alone", lambda words: pytest.fail(f"{len(words)} stretches are encoded again"))
+    assert own.encode(texts) == first
+
+
 def test_packing_is_a_round_trip(docs, none):
     from tokenizers import Tokenizer
 

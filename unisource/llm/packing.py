@@ -10,11 +10,12 @@ few pieces left over are placed first-fit, and every piece finds its pattern by
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -27,18 +28,21 @@ from unisource.session import staged
 SEQUENCE = 1024
 STEP = 8
 END_ID = 0
-#: Stretches a task keeps between batches; longer ones are not kept.
-CACHE_WORDS = 600_000
+#: Stretches a task keeps between batches, and ids for each on average; longer ones are not kept.
+CACHE_WORDS = 900_000
+CACHE_TOKENS = 8
 CACHE_CHARS = 64
-JOINED_WORDS = 2_000
-STRETCH = re.compile(r"[ \n]?[^ \n]+")
+JOINED_WORDS = 200
+#: White space of ASCII, but for single spaces and line ends.
+ODD_SPACES = ["  ", " \n", "\n ", "\n\n", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31])]
 
 
 class CachedEncoder:
     """Token ids of texts as little-endian bytes.
 
     The tokenizer's own splitting never joins what a single space or line end separates from what stands
-    before it, so such stretches are encoded once and looked up afterwards.
+    before it, so such stretches are encoded once and looked up afterwards: each has a number, and their ids lie one after
+    another in one array.
     """
 
     def __init__(self, path: str):
@@ -50,54 +54,86 @@ class CachedEncoder:
         # a token's name has one character for each of its bytes
         names = {i: name for name, i in self.library.get_vocab().items()}
         self.n_bytes = np.array([len(names.get(i, "")) for i in range(max(names) + 1)], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids = np.zeros(0, "<u4")
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def alone(self, words: list[str]) -> list[bytes]:
-        """Ids of stretches, many in one text: their ends are found again by the bytes of the tokens.
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of stretches, where those of each begin and how many they are. Many are encoded in one text: their ends
+        are found again by the bytes of the tokens.
 
-        A first word, without a separator, gets a line end before it, which is a token of its own.
+        The first word of a text gets a line end before it, which is a token of its own.
         """
-        found = []
-        for begin in range(0, len(words), JOINED_WORDS):
-            own = words[begin : begin + JOINED_WORDS]
-            first = [w[0] not in " \n" for w in own]
-            joined = ["\n" + w if f else w for w, f in zip(own, first)]
-            (packed,) = self.whole(["".join(joined)])
-            until = np.cumsum(self.n_bytes[np.frombuffer(packed, "<u4")])
-            ends = np.cumsum([len(w.encode()) for w in joined])
+        ids, begins, sizes, before = [], [], [], 0
+        for start in range(0, len(words), JOINED_WORDS):
+            own = words[start : start + JOINED_WORDS]
+            first = np.array([w[0] == " " for w in own])
+            joined = [w if w[0] == "\n" else "\n" + w[1:] if w[0] == " " else " " + w for w in own]
+            text = "".join(joined)
+            found = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            until = np.cumsum(self.n_bytes[found])
+            ends = np.cumsum(list(map(len, joined if text.isascii() else map(str.encode, joined))))
             at = np.searchsorted(until, ends)
             if at[-1] >= len(until) or (until[at] != ends).any():
-                found += self.whole(own)  # a token across two stretches: not with byte-level vocabularies
-                continue
-            cuts = (4 * (at + 1)).tolist()
-            found += [packed[a + 4 * f : b] for a, b, f in zip([0, *cuts], cuts, first)]
-        return found
+                # a token across two stretches: not with byte-level vocabularies
+                apart = [np.frombuffer(x, "<u4") for x in self.whole([w[1:] if f else w for w, f in zip(joined, first)])]
+                found, first = np.concatenate(apart), 0
+                at = np.cumsum([len(x) for x in apart]) - 1
+            begin = np.append(0, at[:-1] + 1) + first
+            ids.append(found)
+            begins.append(before + begin)
+            sizes.append(at + 1 - begin)
+            before += len(found)
+        return np.concatenate(ids), np.concatenate(begins), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.stretches(t) for t in texts]
-        words = set().union(*split)
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {}
-            new = list(words)
-        self.cache.update(zip(new, self.alone(new)))
-        rest = iter(self.whole([t for t, ws in zip(texts, split) if not ws]))
-        found = [b"".join(map(self.cache.__getitem__, ws)) if ws else next(rest) for ws in split]
+        known, number = len(self.cache), self.cache.__getitem__
+        # looked up while a text's words are still near the core
+        numbers = [np.array(list(map(number, self.stretches(t))), np.int64) for t in texts]
+        # numbers are dealt in the order of the dictionary, so the new words are its last
+        new = list(islice(reversed(self.cache), len(self.cache) - known))[::-1]
+        if new:
+            ids, begins, sizes = self.alone(new)
+            self.begins = np.append(self.begins, begins + len(self.ids))
+            self.sizes = np.append(self.sizes, sizes)
+            self.ids = np.append(self.ids, ids)
+        at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        sizes = self.sizes[at]
+        ends = np.append(0, np.cumsum(sizes))
+        packed = self.ids[np.repeat(self.begins[at] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.append(0, np.cumsum([len(x) for x in numbers], dtype=np.int64))]).tolist()
+        rest = iter(self.whole([t for t, x in zip(texts, numbers) if not len(x)]))
+        found = [packed[a:b] if len(x) else next(rest) for x, a, b in zip(numbers, cuts, cuts[1:])]
         for w in new:
             if len(w) > CACHE_CHARS:
                 del self.cache[w]
+        if max(len(self.cache), len(self.ids) // CACHE_TOKENS) > CACHE_WORDS:
+            self.forget()
         return found
 
+    def single_spaced(self, text: str) -> bool:
+        """No other white space than single spaces and line ends inside the text."""
+        if not text.isascii():
+            return text.replace("\n", " ") == " ".join(text.split())
+        return text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, ODD_SPACES))
+
     def stretches(self, text: str) -> list[str]:
-        """Nothing if the text must be encoded as a whole: for a special string or other white space than single
-        spaces and line ends inside the text."""
-        if text.replace("\n", " ") != " ".join(text.split()) or any(s in text for s in self.special):
+        """A text's words, those at the begin of a line with the line end, that of the text with a space before them.
+
+        Nothing if the text must be encoded as a whole: for a special string or other white space.
+        """
+        if not text or not self.single_spaced(text) or any(map(text.__contains__, self.special)):
             return []
-        return STRETCH.findall(text)
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = " " + words[0]
+        return words
 
 
 @lru_cache(maxsize=2)
