@@ -13,6 +13,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from unisource.llm import decontaminate, jaccard, language, lm, packing, quality, secrets, substrings, tokens, toxicity
 from unisource.llm.fmindex import FMIndex
@@ -394,6 +395,24 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean(docs, items.where("item_id < 0")).count() == docs.count()
 
 
+def test_substrings_build_one_frame_a_batch(monkeypatch):
+    """Segments of all texts of a batch leave together, each with its own row's keys."""
+    class Rows:
+        schema = {"doc_id": T.StructField("doc_id", T.LongType())}
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    frames = []
+    make = pd.DataFrame
+    batch = make({"doc_id": [5, 6, 7, None], "row": [50, 60, 70, 80], "text": [PASSAGE, "too short", PASSAGE + " tail", PASSAGE]})
+    monkeypatch.setattr(substrings.pd, "DataFrame", lambda *a, **k: frames.append(1) or make(*a, **k))
+    (found,) = substrings.segments(Rows())(iter([batch]))
+    assert len(frames) == 1
+    starts = found.groupby(found["doc_id"].fillna(-1))["n"].sum().to_dict()
+    assert starts == {5: 26, 7: 27, -1: 26} and (found["row"] == found["doc_id"].fillna(8) * 10).all()
+
+
 def test_language(docs, none):
     model = language.fit(docs)
     rows = {r.doc_id: r for r in language.predict(docs, model, ["doc_id"]).collect()}

@@ -71,17 +71,18 @@ def segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(lower=False)
         for batch in batches:
-            out = []
-            for doc, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
+            found = []
+            for k, text in enumerate(batch["text"]):
                 words = hasher(text)
                 key, start, n = segment_bounds(words)
                 if len(key):
-                    out.append(pd.DataFrame({
-                        "doc_id": doc, "row": row, "key": signed(key), "segment": signed(sequence_hashes(words, start, n + WINDOW - 1)),
-                        "start": start, "n": n,
-                    }))
-            if out:
-                yield pd.concat(out)
+                    found.append((np.full(len(key), k), signed(key), signed(sequence_hashes(words, start, n + WINDOW - 1)), start, n))
+            if found:
+                of, key, segment, start, n = map(np.concatenate, zip(*found))
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[of].array, "row": batch["row"].iloc[of].array, "key": key, "segment": segment,
+                    "start": start, "n": n,
+                })
 
     return docs.mapInPandas(run, f"doc_id {kind}, row long, key long, segment long, start int, n int")
 
