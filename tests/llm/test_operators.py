@@ -413,6 +413,18 @@ def test_substrings_build_one_frame_a_batch(monkeypatch):
     assert starts == {5: 26, 7: 27, -1: 26} and (found["row"] == found["doc_id"].fillna(8) * 10).all()
 
 
+def test_index_descends_twice_a_step(monkeypatch):
+    """Only the two ends of each interval are looked up; where a symbol's descent begins is known from the start."""
+    calls = []
+    descend = FMIndex.descend
+    monkeypatch.setattr(FMIndex, "descend", lambda self, symbol, at: calls.append(len(at)) or descend(self, symbol, at))
+    text = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8, 0])
+    index = FMIndex(text, 4)
+    before = len(calls)
+    assert index.occurs_again(text, np.arange(7), 4).tolist() == [True, False, False, False, False, True, False]
+    assert len(calls) - before == 2 * 4
+
+
 def test_language(docs, none):
     model = language.fit(docs)
     rows = {r.doc_id: r for r in language.predict(docs, model, ["doc_id"]).collect()}

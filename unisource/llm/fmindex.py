@@ -47,12 +47,15 @@ class FMIndex:
         self.depth = depth
         self.bits = max(1, int(text.max(initial=0)).bit_length())
         counts = np.bincount(text, minlength=1)
-        self.first = np.cumsum(counts) - counts  # where suffixes that begin with a symbol start
+        # where suffixes that begin with a symbol start, less where its own descent begins
+        self.first = np.cumsum(counts) - counts
         self.levels: list[tuple[Bits, int]] = []
         for level in range(self.bits - 1, -1, -1):
             bit = (last >> level) & 1
             self.levels.append((Bits(bit.astype(np.uint8)), int(n - bit.sum())))
             last = np.concatenate([last[bit == 0], last[bit == 1]])
+        symbols = np.arange(len(counts))
+        self.first -= self.descend(symbols, np.zeros(len(symbols), np.int64))
 
     def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (bits, zeros) in enumerate(self.levels):
@@ -71,10 +74,9 @@ class FMIndex:
         low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.length)
         for step in range(length - 1, -1, -1):
             symbol = text[starts[active] + step]
-            origin = self.descend(symbol, np.zeros(len(symbol), np.int64))
             first = self.first[symbol]
-            low = first + self.descend(symbol, low) - origin
-            high = first + self.descend(symbol, high) - origin
+            low = first + self.descend(symbol, low)
+            high = first + self.descend(symbol, high)
             more = high - low >= 2
             active, low, high = active[more], low[more], high[more]
         found[active] = True

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -131,13 +132,19 @@ def index_masks(worded: DataFrame) -> DataFrame:
         held: list[pd.DataFrame] = []
         size = 0
         for batch in batches:
-            for _, group in batch.groupby((batch["key"] != batch["key"].shift()).cumsum(), sort=False):
-                same = held and held[-1]["key"].iloc[-1] == group["key"].iloc[0]
+            if not len(batch):
+                continue
+            key = batch["key"].to_numpy()
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.add.reduceat(np.fromiter(map(len, batch["words"]), np.int64, len(batch)) // 8, starts)
+            begin = 0
+            for start, own in zip(starts.tolist(), sizes.tolist()):
+                same = start == 0 and held and held[-1]["key"].iloc[-1] == key[0]
                 if size >= SHARD_WORDS and not same:
-                    yield shard_masks(pd.concat(held))
-                    held, size = [], 0
-                held.append(group)
-                size += int(group["words"].str.len().sum()) // 8
+                    yield shard_masks(pd.concat([*held, batch.iloc[begin:start]]))
+                    held, size, begin = [], 0, start
+                size += own
+            held.append(batch.iloc[begin:])
         if held:
             yield shard_masks(pd.concat(held))
 
@@ -191,20 +198,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher(lower=False)
         bits = np.arange(RUN)
         for batch in batches:
             rows = []
             for doc, text, marks_ in zip(batch["doc_id"], batch["text"], batch["marks"]):
-                words = hasher.words(text)
-                gone = np.zeros(len(words) + 1, np.int64)
+                # bytes know only the white space of ASCII, which is what separates words
+                left = words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
                 if marks_ is not None and len(marks_):
+                    gone = np.zeros(len(words) + 1, np.int64)
                     starts = np.concatenate([m["start"] + bits[(m["mask"] >> bits) & 1 == 1] for m in marks_])
                     np.add.at(gone, starts, 1)
                     np.add.at(gone, starts + WINDOW, -1)
-                inside = np.cumsum(gone)[:-1] > 0
-                kept = " ".join(w for w, x in zip(words, inside) if not x)
-                rows.append((doc, len(words), int(inside.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
+                    left = list(compress(words, (np.cumsum(gone)[:-1] == 0).tolist()))
+                kept = b" ".join(left)
+                rows.append((doc, len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return join_rows(read, marks, "left").select("doc_id", "text", "marks").mapInPandas(
