@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from unisource import schemas
 from unisource.operators import changes, checks, fields, pages, status
 from unisource.plans import catalog as plans_catalog
 from unisource.plans.catalog import Catalog
+from unisource.plans.queries import changing
 from unisource.plans.sqltext import execute_query
 from unisource.schemas import CONNECTION_TESTS, DISCOVERED
 
@@ -255,3 +257,23 @@ def test_names_are_spelled_by_bounded_tasks(spark, tmp_path, monkeypatch):
     assert "id" not in listed.columns
     assert listed.filter("gram = 'ord'").select("_metadata.file_path").distinct().count() > 5
     assert sorted(r["name"] for r in catalog.search("s", "der_11", 1, 200).collect()) == sorted(f"order_{k}" for k in range(200) if str(k).startswith("11"))
+
+
+def test_stored_catalog_holds_no_source_in_one_task(spark, tmp_path, plan):
+    """Entities look up their source; a left join by source would hold all entities of a source at once."""
+    orders = [(k, ["1-URGENT", "2-HIGH", "5-LOW"][k % 3]) for k in range(30)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(k, n) for k in range(30) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = changing.stored_catalog(spark, str(tmp_path))
+        assert not re.search(r"Join \[(source_id|id)#\d+\], \[source_id#\d+\], LeftOuter", plan(found))
+        rows = [(r.source_id, r.entity, r.position, r.entity_count) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sorted(r for r in rows if r[0] != "5-LOW") == sorted(
+        (s, f"order_{k}", n, 10) for k, s in orders if s != "5-LOW" for n in ((1, 2) if s == "2-HIGH" else (1,))
+    )
+    assert [r for r in rows if r[0] == "5-LOW"] == [("5-LOW", None, None, 0)]

@@ -175,6 +175,15 @@ SELECT DISTINCT o_orderpriority AS source_id, 'order_' || o_orderkey AS entity,
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"""
 
 
+def _with_entities(sources: DataFrame, entities: DataFrame) -> DataFrame:
+    """Each entity with its source, and a source without entities once, as a left join would give.
+
+    A left join by source holds all entities of a source in one task; here sources are looked up by entities.
+    """
+    bare = sources.join(entities.select("source_id").distinct(), "source_id", "left_anti")
+    return entities.join(sources, "source_id").unionByName(bare, allowMissingColumns=True)
+
+
 @query("stored_catalog", f"""
 WITH found AS ({_STORED_FIELDS}), stored AS (
  SELECT * FROM found WHERE source_id NOT IN ('1-URGENT', '5-LOW')
@@ -202,8 +211,7 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = catalog.entities().select("source_id", F.col("id").alias("entity_id"), F.col("name").alias("entity"), "display_name")
     fields = catalog.fields().select("entity_id", "name", "position", "is_primary_key")
     return (
-        catalog.sources().select(F.col("id").alias("source_id"), "entity_count")
-        .join(entities, "source_id", "left")
+        _with_entities(catalog.sources().select(F.col("id").alias("source_id"), "entity_count"), entities)
         .join(fields, "entity_id", "left")
         .select("source_id", "entity", "display_name", "name", "position", "is_primary_key", "entity_count")
     )
