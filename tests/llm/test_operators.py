@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -15,7 +16,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
+from unisource import session
 from unisource.llm import decontaminate, jaccard, language, lm, packing, quality, secrets, substrings, tokens, toxicity
+from unisource.llm.common import release
 from unisource.llm.fmindex import FMIndex
 from unisource.session import staged
 
@@ -603,3 +607,72 @@ def test_lm_slice_fits_a_worker():
         assert tracemalloc.get_traced_memory()[1] < 60 << 20
     finally:
         tracemalloc.stop()
+
+
+def stored_bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_release_drops_shuffle_files(spark):
+    before = shuffle_files(spark)
+    table = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert shuffle_files(spark) - before
+    release(table)
+    for _ in range(100):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+
+
+@pytest.fixture(scope="module")
+def random_texts(spark, tmp_path_factory):
+    """Texts that do not compress, so that a stored copy of them shows."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 590, " ".join(rng.bytes(6).hex() for _ in range(80))) for i in range(600)]
+    rows += rows[:5] + [(None, rows[7][1]), (None, rows[7][1]), (700, None)]
+    path = str(tmp_path_factory.mktemp("random") / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("stage", ["quality", "near copies", "benchmark"])
+def test_stages_leave_no_texts_behind(spark, random_texts, tmp_path, monkeypatch, stage):
+    """What a stage has staged when its result is there is small against the texts, and its rows are the right ones."""
+    monkeypatch.setattr(session, "scratch_path", lambda spark, label: str(tmp_path / f"{label}-{len(os.listdir(tmp_path))}"))
+    rows = plain(random_texts)
+    if stage == "quality":
+        kept = quality.keep_good(random_texts, 0.0)
+        assert Counter(plain(kept)) == Counter(r for r in rows if r[1])
+    elif stage == "near copies":
+        kept = jaccard.keep_first(random_texts, 5, 80, 100)
+        assert Counter(plain(kept)) == Counter({r for r in rows if r[0] is not None})
+    else:
+        items = spark.createDataFrame([(1, rows[7][1])], "item_id long, text string")
+        kept = decontaminate.clean(random_texts, items)
+        assert Counter(plain(kept)) == Counter(r for r in rows if r[1] != rows[7][1])
+    assert stored_bytes(tmp_path) < 0.3 * sum(len(t or "") for _, t in rows)
+
+
+def test_near_copies_deal_texts_out_once(spark, random_texts, plan):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(jaccard.keep_first(random_texts, 5, 80, 100))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert text.count("Exchange") == 2
+
+
+def test_pipeline_gives_back_what_was_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_path", lambda spark, label: str(tmp_path / label))
+    spark.range(50).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, docs, d: docs.where("doc_id <> 7")) for n in ("a", "b", "c")])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 49
+    left = {n: spark.read.parquet(str(tmp_path / f"pipeline-{n}")).count() for n in ("a", "b")}
+    assert left == {"a": 0, "b": 49}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unisource.llm.common import NOT_ALNUM, ascii_lower, fresh, join_rows, let, row_hash, words
+from unisource.session import drop_shuffles, staged
 
 SPAN = 10
 GRAM = 5
@@ -142,7 +143,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without any benchmark window, with the columns they had."""
-    found = matches(docs, benchmark).select("doc_id", "row").distinct()
+    # known before texts are dealt out: few rows are hit, and then texts stay where they are
+    found = staged(matches(docs, benchmark).select("doc_id", "row").distinct(), "hit")
+    drop_shuffles(docs.sparkSession)
     (row,) = fresh(docs, "row")
     keyed = docs.withColumn(row, row_hash(docs["text"]))
     return join_rows(keyed, found.withColumnRenamed("row", row), "left_anti", ("doc_id", row)).drop(row)

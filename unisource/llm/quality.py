@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unisource.llm.common import fresh, let, words
+from unisource.llm.common import fresh, join_rows, let, row_hash, words
 from unisource.session import staged
 
 SYMBOLS = "#*$%&|<>"
@@ -190,8 +190,12 @@ def score(docs: DataFrame, keep: Iterable[str] | None = None, threshold: float =
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """The rows of `docs` that pass, with the columns they had."""
-    names = docs.columns
+    """The rows of `docs` that pass, with the columns they had.
+
+    Only keys and measures are staged; texts meet the verdicts by id and hash.
+    """
     (row,) = fresh(docs, "row")
-    nested = docs.select(F.struct(*[docs[c] for c in names]).alias(row), docs["text"].alias("text"))
-    return score(nested, [row], threshold).where("kept").select(f"{row}.*")
+    scored = score(docs.select("doc_id", row_hash(docs["text"]).alias(row), "text"), ["doc_id", row], threshold)
+    good = scored.where("kept").select("doc_id", row).distinct()
+    keyed = docs.withColumn(row, row_hash(docs["text"]))
+    return join_rows(keyed, good, "left_semi", ("doc_id", row)).drop(row)
