@@ -99,3 +99,10 @@ def test_spread_parts_are_bounded(spark, tmp_path, monkeypatch):
     spread = session.spread_small(stored)
     assert spread.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert spread.count() == 200_000
+
+
+def test_spread_leaves_unknown_sizes(spark):
+    """A table without statistics counts as 8 EiB, by which nothing can be split."""
+    made = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert session.spread_small(made) is made
+    assert session.spread_small(made.select("k")).count() == 1
